@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import packing, quality_rules
+from tessera.llm import packing, quality_rules, secrets
 
-MODULES = [quality_rules, packing]
+MODULES = [quality_rules, packing, secrets]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
