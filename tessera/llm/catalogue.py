@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import chat, decontaminate, ngram_join, packing, quality_rules, secrets
+from tessera.llm import chat, decontaminate, ngram_join, packing, quality_rules, secrets, suffix_dedup
 
-MODULES = [quality_rules, decontaminate, ngram_join, chat, secrets, packing]
+MODULES = [quality_rules, decontaminate, ngram_join, chat, secrets, suffix_dedup, packing]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
