@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import chat, decontaminate, line_templates, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup
+from tessera.llm import chat, decontaminate, line_templates, mil, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup
 
-MODULES = [quality_rules, decontaminate, ngram_join, line_templates, chat, secrets, suffix_dedup, packing, pii]
+MODULES = [mil, quality_rules, decontaminate, ngram_join, line_templates, chat, secrets, suffix_dedup, packing, pii]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
