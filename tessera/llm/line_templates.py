@@ -146,8 +146,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     drops = stored(dropped_lines(own))
-    d, x = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).alias("d"), small(drops).alias("x")
-    joined = d.join(x, F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d._mark") == F.col("x.mark")), "left")
+    d, x = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).alias("d"), small(drops).alias("x")
+    joined = d.join(x, F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.__mark") == F.col("x.mark")), "left")
     parts = F.split(F.col("d.text").cast("string"), "\n")
     left = F.when(F.col("x.lines").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(parts, lambda p, i: ~F.array_contains("x.lines", i.cast("long"))), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

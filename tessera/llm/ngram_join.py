@@ -32,6 +32,8 @@ PERCENT = 75
 LOCAL = 3
 ORDERED = 1 << 17
 LOCAL_BLOCK = 4 << 20
+#: The filter of shingles that several texts share has 1 << BITS bits, 8 MB, at any size of the input.
+BITS = 26
 #: Ids of candidate documents are broadcast up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
 U = np.uint64
@@ -80,16 +82,25 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hash long, weight long")
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(hash, doc_id, n, pos, sig): the prefix of each set in the global order.
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A filter of fixed size: bit k is set if some ``hash`` has the leading bits k."""
+    k = F.shiftrightunsigned("hash", 64 - BITS)
+    words = hashes.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), U)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
+    return out
+
+
+def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], within: np.ndarray | None = None) -> DataFrame:
+    """(hash, doc_id, n, pos, sig): the prefix of each set in the global order; ``within`` leaves out what its bitmap lacks.
 
     ``sig`` holds, in 8 bytes, how many shingles behind ``pos`` fall into each eighth of the hash range
     (255 at most, which keeps differences lower bounds).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((*frequent, within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight = shared.value
+        heavy, weight, bits = shared.value
         for batch in batches:
             for ids, value, at in _sets(batch):
                 n = np.diff(at)
@@ -103,6 +114,9 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 pos = np.arange(len(value)) - np.repeat(at[:-1], n)
                 prefix = n - -(-n * PERCENT // 100) + 1
                 keep = pos < np.repeat(prefix, n)
+                if bits is not None:
+                    k = value >> U(64 - BITS)
+                    keep &= (bits[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1
                 sig = np.zeros(len(value), U)
                 part = (bytescan.mix(value + U(1)) >> U(61)).astype(np.int64)
                 for b in range(8):
@@ -128,17 +142,23 @@ _FILTERS = [
 
 
 def candidates(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    """(a, b), a < b: distinct pairs of documents whose postings meet and pass the filters."""
+    """(a, b, shared): distinct pairs of documents whose postings meet and pass the filters, and how many do."""
     both = left.alias("a").join(right.alias("b"), F.col("a.hash") == F.col("b.hash"))
     for f in [condition, *_FILTERS]:
         both = both.where(f)
-    return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    rows = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x")), "a").select("a", "b", "x", "y")
+    pairs = stored(pairs.select("a", "b"))
+
+    def side(name: str, values: str) -> DataFrame:
+        ids = pairs.select(F.col(name).alias("doc_id")).distinct()
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return sets.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(name), F.col("values").alias(values))
+
+    rows = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +202,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    all_postings = postings(docs.where("doc_id is not null"), frequent)
-    twice = all_postings.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    shared = stored(all_postings.join(twice, "hash"))
+    known = docs.where("doc_id is not null")
+    twice = stored(postings(known, frequent).select("hash").groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"))
+    shared = postings(known, frequent, bitmap(twice)).join(twice, "hash")
     own = stored(shared.join(reps, "doc_id", "left_semi"))  # copies are out: their representatives stand for them
     several = own.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
     own = stored(own.join(several, "hash", "left_semi").select("hash", "doc_id", "n", "pos", "sig"))
@@ -193,9 +213,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = None
     open_rows = own.withColumn("comp", F.col("doc_id"))
     for step in range(3):
-        if step < 2:  # each member against one centre of its shingle
+        if step < 2:  # each document against one of its shingles' centres, the one it shares most with
             centre = open_rows.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.xxhash64("doc_id", F.lit(step))).alias("c")).select("hash", "c.*")
-            pairs = candidates(open_rows, centre, "a.comp <> b.comp")
+            pairs = candidates(open_rows, centre, "a.comp <> b.comp").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
         else:  # all that is left between components
             pairs = candidates(open_rows, open_rows, "a.comp < b.comp")
         new = stored(verified(pairs, sets))

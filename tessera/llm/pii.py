@@ -163,8 +163,8 @@ def replace_pii(docs: DataFrame) -> DataFrame:
     named = each.join(given, ["kind", "canon"]).withColumn("with", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")))
     rows = stored(named.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "with"))).alias("e")))
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS and each.count() <= BROADCAST_ROWS else rows
-    d, e = docs.withColumn("_mark", F.xxhash64(text)).alias("d"), rows.alias("e")
-    joined = d.join(e, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d._mark") == F.col("e.mark")), "left")
+    d, e = docs.withColumn("__mark", F.xxhash64(text)).alias("d"), rows.alias("e")
+    joined = d.join(e, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.__mark") == F.col("e.mark")), "left")
     parts = F.split(F.col("d.text").cast("string"), PATTERN, -1)
     whole = F.array_join(F.flatten(F.zip_with(parts, F.transform("e.e", lambda x: x["with"]), lambda p, w: F.array(p, F.coalesce(w, F.lit(""))))), "")
     out = F.when(F.col("e.e").isNull(), F.col("d.text")).otherwise(whole)

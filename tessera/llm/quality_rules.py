@@ -34,15 +34,15 @@ RULES = {
 }
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with counts of words, characters, lines and repeats in the column ``q``.
+def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, q): ``row`` holds the columns ``keep`` of ``docs`` (all but the text), ``q`` counts of words, characters, lines and repeats.
 
     A null text has no words. Everything stays in the row: repeated 3-word windows are found by sorting
     their (hash, position) pairs, and only in texts whose windows are not all different.
     """
-    others = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(*[F.col(f"`{c}`") for c in others], t.alias("_t"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("row"), t.alias("_t"))
     own = own.withColumn("_w", F.array_remove(F.split("_t", f"[{SPACE}]+"), ""))
     own = own.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), x -> rlike(x, '[^{SPACE}]'))".replace("\\", "\\\\")))
     own = own.withColumn("_h", F.expr("case when size(_w) < 4 then cast(array() as array<bigint>) else transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) end"))
@@ -64,7 +64,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         count(r"!").alias("n_exclaims"),
         count(r"[0-9]").alias("n_digits"),
     )
-    return own.select(*[F.col(f"`{c}`") for c in others], q.alias("q"))
+    # a generator of one row: filters on q stay above it, else they would repeat all of this in their place
+    return own.select("row", F.explode(F.array(q)).alias("q"))
 
 
 def vote(rule: str) -> Column:
@@ -105,26 +106,37 @@ def estimate(patterns: list[tuple[tuple, int]], rounds: int = 60) -> tuple[float
     return odds, adds
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` but the text, with ``q`` (counts), ``base_failed``, ``p_good`` and ``kept``.
-
-    An empty table gives an empty result; empty and null texts fail the base rules.
-    """
-    f = stored(features(docs, text))
+def learn(counted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """``estimate`` over the votes on all rows of ``features``; the driver gets one row for each pattern of votes."""
     votes = [vote(r).alias(f"v{j}") for j, r in enumerate(RULES)]
-    seen = f.where(F.expr("q.n_words > 0")).select(*votes).groupBy(*[f"v{j}" for j in range(len(RULES))]).count().collect()
-    odds, adds = estimate([(tuple(r)[:-1], r["count"]) for r in sorted(seen, key=str)])
+    seen = counted.where(F.expr("q.n_words > 0")).select(*votes).groupBy(*[f"v{j}" for j in range(len(RULES))]).count().collect()
+    return estimate([(tuple(r)[:-1], r["count"]) for r in sorted(seen, key=str)])
+
+
+def judged(counted: DataFrame, learnt: tuple[float, list[tuple[float, float]]]) -> DataFrame:
+    """``features`` with base_failed, p_good and kept. Empty and null texts fail the base rules."""
+    odds, adds = learnt
     z = F.lit(odds)
     for r, (bad, good) in zip(RULES, adds, strict=True):
         v = vote(r)
         z = z + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(0.0)
-    p = 1 / (1 + F.exp(-z))
-    return f.withColumns({"base_failed": base_failed(), "p_good": p}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_AT))
+    out = counted.withColumns({"base_failed": base_failed(), "p_good": 1 / (1 + F.exp(-z))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_AT))
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep. An empty table gives an empty one.
+
+    Two passes over the texts, one to learn and one to filter, and nothing of them is shuffled or stored.
+    """
+    learnt = learn(features(docs, text, []))
+    return judged(features(docs, text, docs.columns), learnt).where("kept").select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good")
+    counted = stored(features(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return judged(counted, learn(counted)).select(
+        "row.doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good")
     )
 
 
