@@ -1,4 +1,6 @@
 """The record-linkage queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans.oracles import ORACLES
+from tessera.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
