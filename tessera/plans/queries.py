@@ -369,7 +369,7 @@ def _events(spark, sf):
     """Order lines as pairs with word events and a label, events being their codes."""
     line = _t(spark, sf, "lineitem")
     ev = lambda g, c: F.struct(F.lit(g).alias("g"), F.col(c).cast("string").alias("event"))
-    return line.select(F.col("l_orderkey").cast("string").alias("q_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("s1_id"), (F.col("l_quantity") > 25).cast("int").alias("label"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.array(ev("nop", "l_returnflag"), ev("aop", "l_linestatus"), ev("nins", "l_suppkey")).alias("events"))
+    return line.select(F.col("l_orderkey").cast("string").alias("q_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("s1_id"), (F.col("l_quantity") > 25).cast("int").alias("label"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.array(ev("nop", "l_returnflag"), ev("aop", "l_linestatus"), ev("nins", "l_suppkey")).alias("events"))
 
 
 @query
