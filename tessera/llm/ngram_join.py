@@ -142,11 +142,17 @@ _FILTERS = [
 
 
 def candidates(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    """(a, b, shared): distinct pairs of documents whose postings meet and pass the filters, and how many do."""
+    """(a, b, shared, na, nb): distinct pairs of documents whose postings meet and pass the filters, how many do, and the sets' sizes."""
     both = left.alias("a").join(right.alias("b"), F.col("a.hash") == F.col("b.hash"))
     for f in [condition, *_FILTERS]:
         both = both.where(f)
-    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"))
+    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
+
+
+#: With all shared prefix shingles counted: up to the smaller of both prefixes' last shingles all common ones
+#: are in both prefixes, and what is common beyond lies behind that prefix.
+_REST = " , ".join(f"ceil({PERCENT} * {n} / 100.0) - 1" for n in ("na", "nb"))
+_ENOUGH = f"shared + greatest({_REST}) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT}.0)"
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,11 +219,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = None
     open_rows = own.withColumn("comp", F.col("doc_id"))
     for step in range(3):
-        if step < 2:  # each document against one of its shingles' centres, the one it shares most with
+        if step < 2:  # each document against one of its shingles' centres, the one it shares most with, if that is much
             centre = open_rows.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.xxhash64("doc_id", F.lit(step))).alias("c")).select("hash", "c.*")
-            pairs = candidates(open_rows, centre, "a.comp <> b.comp").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+            pairs = candidates(open_rows, centre, "a.comp <> b.comp").where("20 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
         else:  # all that is left between components
-            pairs = candidates(open_rows, open_rows, "a.comp < b.comp")
+            pairs = candidates(open_rows, open_rows, "a.comp < b.comp").where(_ENOUGH)
         new = stored(verified(pairs, sets))
         links = new if links is None else stored(links.unionByName(new).distinct())
         comps = components(links)
