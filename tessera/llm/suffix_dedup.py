@@ -341,9 +341,12 @@ def sorted_repeats(rows: DataFrame, most: int = BLOCK) -> DataFrame:
             docs, starts = np.array([h[1] for h in held]), np.array([h[2] for h in held])
             return pa.RecordBatch.from_arrays([pa.array(docs[region[run_at]], I64), pa.array(starts[region[run_at]] + place[run_at], I64), pa.array(n, I64)], names=["doc_id", "start", "strings"])
 
-        held, size = [], 0
+        held, size, place = [], 0, None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] == place:  # a row of documents that is there twice
+                    continue
+                place = row[:3]
                 held.append(row)
                 size += len(row[4])
                 if size >= most:
