@@ -175,6 +175,16 @@ def _collapse(doc, start, count, key, prints, twice) -> tuple[list[np.ndarray],
     return [c[new] for c in cols], [c[again] for c in cols]
 
 
+def _merged(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Repeats with those that follow each other in a document as one."""
+    order = np.lexsort((cols[1], cols[0]))
+    doc, start, count = (c[order] for c in cols[:3])
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    at = np.flatnonzero(new)
+    return [doc[at], start[at], np.add.reduceat(count, at) if len(at) else count, *(c[order][at] for c in cols[3:])]
+
+
 _FIELDS = ["doc_id", "start", "strings", "key", "print", "twice", "state"]
 _SCHEMA = "doc_id long, start long, strings long, key long, print long, twice boolean, state int"
 #: state: 0 a first place still to be compared, 1 a repeat, 2 to be sorted in a shard
@@ -249,11 +259,11 @@ def places(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 if held.add(ids[at + text], s - offsets[text], count, key, prints, twice):
                     first, again = _collapse(*held.take())
                     yield _rows(first, FIRST)
-                    yield _rows(again, REPEAT)
+                    yield _rows(_merged(again), REPEAT)
         if held.size:
             first, again = _collapse(*held.take())
             yield _rows(first, FIRST)
-            yield _rows(again, REPEAT)
+            yield _rows(_merged(again), REPEAT)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
@@ -271,14 +281,16 @@ def compared(rows: DataFrame) -> DataFrame:
                 held.add(*[x[~again] for x in (c[0], c[1], c[2], c[3].astype(np.int64).view(U), c[4].astype(np.int64).view(U), c[5].astype(bool))])
         if held.size:
             first, again = _collapse(*held.take())
-            yield _rows(again, REPEAT)
+            yield _rows(_merged(again), REPEAT)
             key = first[3]
             near = np.zeros(len(key), bool)
             near[1:] = key[1:] == key[:-1]
             near[:-1] |= near[1:].copy()
             yield _rows([x[near | first[5]] for x in first], SORT)
 
-    return rows.repartition("key").mapInArrow(run, _SCHEMA)
+    # repeats are only carried along, so they go anywhere
+    dealt = F.when(F.col("state") == FIRST, F.col("key")).otherwise(F.xxhash64("doc_id", "start"))
+    return rows.repartition(dealt).mapInArrow(run, _SCHEMA)
 
 
 def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
