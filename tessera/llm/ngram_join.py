@@ -149,6 +149,17 @@ def candidates(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
     return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """``candidates`` between members of different components only: a shingle's components meet first, one row each, so a large component never meets itself."""
+    comps = rows.select("hash", "comp").distinct()
+    met = comps.alias("a").join(comps.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.comp") < F.col("b.comp"))).select("a.hash", F.col("a.comp").alias("comp"), F.col("b.comp").alias("other"))
+    left = met.join(rows, ["hash", "comp"]).select(F.struct("doc_id", "n", "pos", "sig").alias("a"), "hash", F.col("other").alias("comp"))
+    both = left.join(rows.select("hash", "comp", F.struct("doc_id", "n", "pos", "sig").alias("b")), ["hash", "comp"])
+    for f in _FILTERS:
+        both = both.where(f)
+    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
+
+
 #: With all shared prefix shingles counted: up to the smaller of both prefixes' last shingles all common ones
 #: are in both prefixes, and what is common beyond lies behind that prefix.
 _REST = " , ".join(f"ceil({PERCENT} * {n} / 100.0) - 1" for n in ("na", "nb"))
@@ -223,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             centre = open_rows.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.xxhash64("doc_id", F.lit(step))).alias("c")).select("hash", "c.*")
             pairs = candidates(open_rows, centre, "a.comp <> b.comp").where("20 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
         else:  # all that is left between components
-            pairs = candidates(open_rows, open_rows, "a.comp < b.comp").where(_ENOUGH)
+            pairs = across(open_rows).where(_ENOUGH)
         new = stored(verified(pairs, sets))
         links = new if links is None else stored(links.unionByName(new).distinct())
         comps = components(links)
