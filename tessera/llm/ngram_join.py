@@ -134,7 +134,10 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], within: n
 #: What two postings of one shingle must satisfy for their sets to be able to reach the threshold.
 _NEEDED = f"ceil({PERCENT} * (a.n + b.n) / {100 + PERCENT}.0)"
 _SUFFIX = " + ".join(f"abs((shiftrightunsigned(a.sig, {8 * k}) & 255) - (shiftrightunsigned(b.sig, {8 * k}) & 255))" for k in range(8))
+#: The shorter set, and either of equal ones, must meet in a shorter prefix: 2t / (1 + t) of it is common.
+_INDEX = f"{{x}}.n - ceil({2 * PERCENT} * {{x}}.n / {100 + PERCENT}.0) + 1"
 _FILTERS = [
+    f"(a.n > b.n or a.pos < {_INDEX.format(x='a')}) and (b.n > a.n or b.pos < {_INDEX.format(x='b')})",
     f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)",
     f"least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1 >= {_NEEDED}",
     f"least(a.pos, b.pos) + 1 + (a.n - a.pos - 1 + b.n - b.pos - 1 - ({_SUFFIX})) / 2 >= {_NEEDED}",
@@ -160,9 +163,9 @@ def across(rows: DataFrame) -> DataFrame:
     return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
 
 
-#: With all shared prefix shingles counted: up to the smaller of both prefixes' last shingles all common ones
-#: are in both prefixes, and what is common beyond lies behind that prefix.
-_REST = " , ".join(f"ceil({PERCENT} * {n} / 100.0) - 1" for n in ("na", "nb"))
+#: All meetings in these prefixes are counted: up to the smaller of both prefixes' last shingles every common one
+#: is among them, and what is common beyond lies behind that prefix.
+_REST = ", ".join(f"case when {n} <= {m} then ceil({2 * PERCENT} * {n} / {100 + PERCENT}.0) else ceil({PERCENT} * {n} / 100.0) end - 1" for n, m in (("na", "nb"), ("nb", "na")))
 _ENOUGH = f"shared + greatest({_REST}) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT}.0)"
 
 
@@ -226,13 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = own.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
     own = stored(own.join(several, "hash", "left_semi").select("hash", "doc_id", "n", "pos", "sig"))
     sets = stored(sets_of(docs, own.select("doc_id").distinct()))
+    # the text that others were made from has fewest shingles of its own, so most company for its size
+    company = own.join(own.groupBy("hash").agg(F.count("*").alias("c")), "hash").groupBy("doc_id").agg((F.sum("c") / F.max("n")).alias("company"))
+    own = stored(own.join(company, "doc_id"))
 
     links = None
     open_rows = own.withColumn("comp", F.col("doc_id"))
     for step in range(3):
         if step < 2:  # each document against one of its shingles' centres, the one it shares most with, if that is much
-            centre = open_rows.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.xxhash64("doc_id", F.lit(step))).alias("c")).select("hash", "c.*")
-            pairs = candidates(open_rows, centre, "a.comp <> b.comp").where("20 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+            centre = open_rows.groupBy("hash").agg(F.max_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.struct(F.col("company") if step == 0 else F.xxhash64("doc_id"), "doc_id")).alias("c")).select("hash", "c.*")
+            pairs = candidates(open_rows, centre, "a.comp <> b.comp").where("100 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
         else:  # all that is left between components
             pairs = across(open_rows).where(_ENOUGH)
         new = stored(verified(pairs, sets))
