@@ -4,8 +4,9 @@ A line goes down the tree by its number of tokens and its first LEAD tokens, tok
 wildcard. Below, its remaining tokens are cut into PARTS equal parts. A line's templates are the whole
 line, and the line with any one part as a wildcard, so a field that varies inside one part is generalised.
 A template recurs if it stands in documents of at least MIN_DOCS kinds, and in not too many documents of
-one kind: a document's kind is the least line hash it has, which copies and near copies share, so the lines
-of an often copied text stay. Lines with a recurring template are dropped.
+one kind: for a line, its document's kind is the least hash of the document's other lines, which copies and
+near copies share, so the lines of an often copied text stay. Lines of the line's own leaf are no other lines.
+Lines with a recurring template are dropped.
 
 All counts are aggregates with a map-side part; leaves that cannot recur are left out before templates are
 counted, since a template is no more frequent than its leaf.
@@ -29,6 +30,8 @@ PARTS = 4
 MIN_DOCS = 8
 #: Kinds over documents, at least.
 SPREAD = 0.25
+#: Other lines of a document that stand for it, at most.
+OTHERS = 1
 #: Rows that are broadcast at most (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 U = np.uint64
@@ -44,7 +47,10 @@ def _fold(values: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text) of all lines of MIN_TOKENS tokens or more."""
+    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text, others) of all lines of MIN_TOKENS tokens or more.
+
+    ``others`` is (values, how many by line): the least whole-line hashes, by token, of the text's other leaves, at most OTHERS.
+    """
     starts, ends, at = bytescan.words(data, offsets)
     low = bytescan.LOWER[data]
     h = bytescan.span_hash(bytescan.sums(low), starts, ends)
@@ -72,7 +78,31 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     keys = [_fold([leaf, *part], 2), *(_fold([leaf, *part[:k], *part[k + 1 :]], 3 + k) for k in range(PARTS))]
     kind = np.full(len(offsets) - 1, ~U(0))
     np.minimum.at(kind, text, keys[0])
-    return text, line, leaf, keys, kind
+    return text, line, leaf, keys, kind, others(text, leaf, keys[0], n, len(offsets) - 1)
+
+
+def others(text: np.ndarray, leaf: np.ndarray, whole: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, the OTHERS least lines of its text by hash over tokens, one of a leaf, none of its own leaf.
+
+    Long lines come first more often. A value is a hash with the number of tokens in its lowest 16 bits.
+    """
+    rank = whole // n.astype(U)
+    order = np.lexsort((rank, leaf, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (leaf[order][1:] != leaf[order][:-1]) | (text[order][1:] != text[order][:-1])
+    one = order[new]
+    one = one[np.lexsort((rank[one], text[one]))]
+    count = np.bincount(text[one], minlength=texts)
+    at = np.arange(len(one)) - (np.cumsum(count) - count)[text[one]]
+    one, at = one[at <= OTHERS], at[at <= OTHERS]
+    value, of = np.zeros((texts, OTHERS + 1), U), np.zeros((texts, OTHERS + 1), U)
+    value[text[one], at] = (whole[one] & ~U(0xFFFF)) | np.minimum(n[one], 0xFFFF).astype(U)
+    of[text[one], at] = leaf[one]
+    size = np.minimum(count[text] - 1, OTHERS)
+    own = (of[text] == leaf[:, None]) & (np.arange(OTHERS + 1) < count[text][:, None])
+    own[:, OTHERS] |= ~own.any(axis=1)
+    left = value[text][~(own & (np.cumsum(own, axis=1) == 1))].reshape(len(text), OTHERS)
+    return left[np.arange(OTHERS) < size[:, None]], size
 
 
 def _wide(x: np.ndarray) -> pa.Array:
@@ -80,39 +110,41 @@ def _wide(x: np.ndarray) -> pa.Array:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """(leaf, kind): once for each leaf of a text."""
+    """(leaf, kind): once for each leaf of a text; ``kind`` is a hash of its other lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in bytescan.blocks(b.column(0)):
-                text, _, leaf, _, kind = lines(data, offsets)
+                text, _, leaf, _, _, (value, size) = lines(data, offsets)
+                to = np.cumsum(size)
+                run_ = np.concatenate([[U(0)], np.cumsum(bytescan.mix(value + (np.arange(len(value)) - np.repeat(to - size, size)).astype(U)))])
+                kind = bytescan.mix(run_[to] - run_[to - size])
                 order = np.lexsort((leaf, text))
                 text, leaf = text[order], leaf[order]
                 new = np.ones(len(leaf), bool)
                 new[1:] = (leaf[1:] != leaf[:-1]) | (text[1:] != text[:-1])
-                yield pa.RecordBatch.from_arrays([_wide(leaf[new]), _wide(kind[text[new]])], names=["leaf", "kind"])
+                yield pa.RecordBatch.from_arrays([_wide(leaf[new]), _wide(kind[order][new])], names=["leaf", "kind"])
 
     return docs.select("text").mapInArrow(run, "leaf long, kind long")
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, line, leaf, keys, kind) of every line; ``mark`` is a hash of the text."""
-    kind_ = pa.list_(I64)
+    """(doc_id, mark, line, leaf, keys, others) of every line; ``mark`` is a hash of the text."""
+    nested = lambda size, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), _wide(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, data, offsets in bytescan.blocks(b.column(2)):
-                text, line, leaf, keys, kind = lines(data, offsets)
+                text, line, leaf, keys, _, (value, size) = lines(data, offsets)
                 rows = pa.array(text)
-                flat = np.stack(keys, axis=1).ravel().view(np.int64) if len(text) else np.zeros(0, np.int64)
-                nested = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * len(keys), pa.int32()), pa.array(flat, I64)).cast(kind_)
+                flat = nested(np.full(len(text), len(keys)), np.stack(keys, axis=1).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n).take(rows), b.column(1).slice(at, n).take(rows), _wide(line), _wide(leaf), nested, _wide(kind[text])],
-                    names=["doc_id", "mark", "line", "leaf", "keys", "kind"],
+                    [b.column(0).slice(at, n).take(rows), b.column(1).slice(at, n).take(rows), _wide(line), _wide(leaf), flat, nested(size, value)],
+                    names=["doc_id", "mark", "line", "leaf", "keys", "others"],
                 )
 
     kept = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, mark long, line long, leaf long, keys array<bigint>, kind long")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, mark long, line long, leaf long, keys array<bigint>, others array<bigint>")
 
 
 def recurring(rows: DataFrame, key: str) -> DataFrame:
@@ -132,7 +164,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = leaves(docs).groupBy("leaf", "kind").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("kinds"))
     frequent = stored(found.where(F.col("kinds") >= MIN_DOCS).select("leaf"))
     rows = stored(templates(docs).join(small(frequent), "leaf", "left_semi"))
-    each = rows.select("doc_id", "mark", "kind", F.explode("keys").alias("key"))
+    kind = F.coalesce(F.get("others", F.lit(0)), F.lit(0)).alias("kind")
+    each = rows.select("doc_id", "mark", kind, F.explode("keys").alias("key"))
     again = stored(recurring(each.distinct(), "key"))
     hit = rows.select("doc_id", "mark", "line", F.explode("keys").alias("key")).join(small(again), "key", "left_semi")
     return hit.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))

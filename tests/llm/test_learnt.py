@@ -117,3 +117,26 @@ def test_encoding_is_of_whole_texts():
     x, index = mil.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert index.tolist() == [0, 11] and np.isfinite(x).all()
     assert bytescan.BLOCK > len(text)
+
+
+def _dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: r["text"] for r in line_templates.dedup_lines(df).where("n_dropped > 0").collect()}
+
+
+def _prose(rng, n):
+    return " ".join("".join(rng.choice("abdefgiklmnoprstu") for _ in range(6)) for _ in range(n))
+
+
+def _whole(line):
+    b = np.frombuffer(line.encode(), np.uint8)
+    return int(line_templates.lines(b, np.array([0, len(b)]))[3][0][0])
+
+
+def test_line_that_is_the_least_of_all_its_documents_recurs(spark):
+    rng = random.Random(3)
+    own = [_prose(rng, 9) for _ in range(40)]
+    least = min((_prose(rng, 9) for _ in range(3000)), key=_whole)
+    assert _whole(least) < min(map(_whole, own))
+    got = _dropped(spark, [f"{x}\n{least}" for x in own])
+    assert got == {i: x for i, x in enumerate(own)}
