@@ -3,10 +3,11 @@
 A line goes down the tree by its number of tokens and its first LEAD tokens, tokens with a digit being the
 wildcard. Below, its remaining tokens are cut into PARTS equal parts. A line's templates are the whole
 line, and the line with any one part as a wildcard, so a field that varies inside one part is generalised.
-A template recurs if it stands in documents of at least MIN_DOCS kinds, and in not too many documents of
-one kind: for a line, its document's kind is the least hash of the document's other lines, which copies and
-near copies share, so the lines of an often copied text stay. Lines of the line's own leaf are no other lines.
-Lines with a recurring template are dropped.
+A template recurs if it stands in MIN_DOCS documents or more that differ. Documents with the same other lines
+are one, and so are near copies: of the OTHERS least other lines of a document (none of the line's own leaf),
+each is shared by so many documents with the template, and the line itself by all; those that fewest share,
+SPREAD of all by tokens, say how many documents this one is one of. A group of copies thus counts about once, whatever other documents
+hold the line, and the lines of an often copied text stay. Lines with a recurring template are dropped.
 
 All counts are aggregates with a map-side part; leaves that cannot recur are left out before templates are
 counted, since a template is no more frequent than its leaf.
@@ -28,10 +29,12 @@ MIN_TOKENS = 4
 LEAD = 3
 PARTS = 4
 MIN_DOCS = 8
-#: Kinds over documents, at least.
+#: Least part of a document's lines, by tokens, that its copies do not have.
 SPREAD = 0.25
 #: Other lines of a document that stand for it, at most.
-OTHERS = 1
+OTHERS = 8
+#: A line stands for itself by the least hash of so many consecutive tokens, which a changed word seldom touches.
+RUN = 4
 #: Rows that are broadcast at most (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 U = np.uint64
@@ -47,9 +50,9 @@ def _fold(values: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text, others) of all lines of MIN_TOKENS tokens or more.
+    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text, others, tokens) of all lines of MIN_TOKENS tokens or more.
 
-    ``others`` is (values, how many by line): the least whole-line hashes, by token, of the text's other leaves, at most OTHERS.
+    ``others`` is (values, how many by line): what stands for the text's other leaves, at most OTHERS.
     """
     starts, ends, at = bytescan.words(data, offsets)
     low = bytescan.LOWER[data]
@@ -63,7 +66,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (line_of[1:] != line_of[:-1]) | (text_of[1:] != text_of[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(h)))
-    keep = n >= MIN_TOKENS
+    every, each_n, keep = first, n, n >= MIN_TOKENS
     first, n = first[keep], n[keep]
     text = text_of[first]
     line = line_of[first] - np.searchsorted(breaks, offsets[:-1])[text]
@@ -72,31 +75,34 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     back = np.cumprod(np.concatenate([[U(1)], np.full(len(h), U(pow(int(_ROOT), -1, 1 << 64)))]))
     c = np.concatenate([[U(0)], np.cumsum(h * power[:-1])])
     run = lambda a, b: bytescan.mix((c[b] - c[a]) * back[a])
+    i = np.arange(len(h))
+    end = np.repeat(every + each_n, each_n)
+    least = np.where((i + RUN <= end) | (i == np.repeat(every, each_n)), run(i, np.minimum(i + RUN, end)), ~U(0))
+    least = np.minimum.reduceat(least, every)[keep] if len(every) else least
     leaf = _fold([run(first, first + LEAD), n.astype(U)], 1)
     cut = [first + LEAD + (n - LEAD) * k // PARTS for k in range(PARTS + 1)]
     part = [run(cut[k], cut[k + 1]) for k in range(PARTS)]
     keys = [_fold([leaf, *part], 2), *(_fold([leaf, *part[:k], *part[k + 1 :]], 3 + k) for k in range(PARTS))]
     kind = np.full(len(offsets) - 1, ~U(0))
     np.minimum.at(kind, text, keys[0])
-    return text, line, leaf, keys, kind, others(text, leaf, keys[0], n, len(offsets) - 1)
+    return text, line, leaf, keys, kind, others(text, leaf, least, n, len(offsets) - 1), n
 
 
-def others(text: np.ndarray, leaf: np.ndarray, whole: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, the OTHERS least lines of its text by hash over tokens, one of a leaf, none of its own leaf.
+def others(text: np.ndarray, leaf: np.ndarray, least: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, the OTHERS least lines of its text, one of a leaf, none of its own leaf.
 
     Long lines come first more often. A value is a hash with the number of tokens in its lowest 16 bits.
     """
-    rank = whole // n.astype(U)
-    order = np.lexsort((rank, leaf, text))
+    order = np.lexsort((least, leaf, text))
     new = np.ones(len(order), bool)
     new[1:] = (leaf[order][1:] != leaf[order][:-1]) | (text[order][1:] != text[order][:-1])
     one = order[new]
-    one = one[np.lexsort((rank[one], text[one]))]
+    one = one[np.lexsort((least[one], text[one]))]
     count = np.bincount(text[one], minlength=texts)
     at = np.arange(len(one)) - (np.cumsum(count) - count)[text[one]]
     one, at = one[at <= OTHERS], at[at <= OTHERS]
     value, of = np.zeros((texts, OTHERS + 1), U), np.zeros((texts, OTHERS + 1), U)
-    value[text[one], at] = (whole[one] & ~U(0xFFFF)) | np.minimum(n[one], 0xFFFF).astype(U)
+    value[text[one], at] = (bytescan.mix(least[one]) & ~U(0xFFFF)) | np.minimum(n[one], 0xFFFF).astype(U)
     of[text[one], at] = leaf[one]
     size = np.minimum(count[text] - 1, OTHERS)
     own = (of[text] == leaf[:, None]) & (np.arange(OTHERS + 1) < count[text][:, None])
@@ -115,7 +121,7 @@ def leaves(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in bytescan.blocks(b.column(0)):
-                text, _, leaf, _, _, (value, size) = lines(data, offsets)
+                text, _, leaf, _, _, (value, size), _ = lines(data, offsets)
                 to = np.cumsum(size)
                 run_ = np.concatenate([[U(0)], np.cumsum(bytescan.mix(value + (np.arange(len(value)) - np.repeat(to - size, size)).astype(U)))])
                 kind = bytescan.mix(run_[to] - run_[to - size])
@@ -129,29 +135,42 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, line, leaf, keys, others) of every line; ``mark`` is a hash of the text."""
+    """(doc_id, mark, line, leaf, keys, others, tokens) of every line; ``mark`` is a hash of the text."""
     nested = lambda size, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), _wide(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, data, offsets in bytescan.blocks(b.column(2)):
-                text, line, leaf, keys, _, (value, size) = lines(data, offsets)
+                text, line, leaf, keys, _, (value, size), n_tokens = lines(data, offsets)
                 rows = pa.array(text)
                 flat = nested(np.full(len(text), len(keys)), np.stack(keys, axis=1).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n).take(rows), b.column(1).slice(at, n).take(rows), _wide(line), _wide(leaf), flat, nested(size, value)],
-                    names=["doc_id", "mark", "line", "leaf", "keys", "others"],
+                    [b.column(0).slice(at, n).take(rows), b.column(1).slice(at, n).take(rows), _wide(line), _wide(leaf), flat, nested(size, value), _wide(n_tokens)],
+                    names=["doc_id", "mark", "line", "leaf", "keys", "others", "tokens"],
                 )
 
     kept = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, mark long, line long, leaf long, keys array<bigint>, others array<bigint>")
-
-
-def recurring(rows: DataFrame, key: str) -> DataFrame:
-    """The values of ``key`` in rows (key, kind), one for each document, that recur."""
-    by_kind = rows.groupBy(key, "kind").agg(F.count("*").alias("n"))
-    total = by_kind.groupBy(key).agg(F.count("*").alias("kinds"), F.sum("n").alias("docs"))
-    return total.where((F.col("kinds") >= MIN_DOCS) & (F.col("kinds") >= SPREAD * F.col("docs"))).select(key)
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, mark long, line long, leaf long, keys array<bigint>, others array<bigint>, tokens long")
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """The keys of rows (key, others, tokens of the line) that recur."""
+    rows = rows.distinct()
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_DOCS))
+    rows = stored(rows.join(small(often), "key"))
+    low = F.col("x").bitwiseAND(0xFFFF)
+    weight = F.coalesce(low, F.lit(0).cast("bigint"))
+    each = rows.withColumn("x", F.explode_outer("others")).withColumns({"w": weight, "x": F.col("x") - low})
+    shared = stored(each.groupBy("key", "x").agg(F.count("*").alias("n")).where("n > 1"))
+    met = each.join(small(shared), ["key", "x"], "left").select("key", "others", "tokens", "all", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "w").alias("s"))
+    by_doc = met.groupBy("key", "others", "tokens", "all").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    s = F.array_append("s", F.struct(F.col("all").alias("n"), F.col("tokens").alias("w")))
+    total = F.aggregate("s", F.col("tokens"), lambda t, x: t + x["w"])
+    # the first n at which the sum of tokens reaches the part
+    state = F.struct(F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, x: F.struct((a["t"] + x["w"]).alias("t"), F.when(a["t"] < SPREAD * total, x["n"]).otherwise(a["n"]).alias("n"))
+    counted = by_doc.select("key", F.aggregate(s, state, step)["n"].alias("n"))
+    return counted.groupBy("key").agg(F.round(F.sum(1 / F.col("n")), 6).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("key")
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -164,9 +183,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = leaves(docs).groupBy("leaf", "kind").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("kinds"))
     frequent = stored(found.where(F.col("kinds") >= MIN_DOCS).select("leaf"))
     rows = stored(templates(docs).join(small(frequent), "leaf", "left_semi"))
-    kind = F.coalesce(F.get("others", F.lit(0)), F.lit(0)).alias("kind")
-    each = rows.select("doc_id", "mark", kind, F.explode("keys").alias("key"))
-    again = stored(recurring(each.distinct(), "key"))
+    again = stored(recurring(rows.select("others", "tokens", F.explode("keys").alias("key"))))
     hit = rows.select("doc_id", "mark", "line", F.explode("keys").alias("key")).join(small(again), "key", "left_semi")
     return hit.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))
 

@@ -140,3 +140,38 @@ def test_line_that_is_the_least_of_all_its_documents_recurs(spark):
     assert _whole(least) < min(map(_whole, own))
     got = _dropped(spark, [f"{x}\n{least}" for x in own])
     assert got == {i: x for i, x in enumerate(own)}
+
+
+def test_copies_of_one_document_do_not_shield_a_line(spark):
+    rng = random.Random(4)
+    mine = "Published under the free license of the press"
+    own = [_prose(rng, 9) for _ in range(12)]
+    text = [_prose(rng, 9) for _ in range(10)]
+    near = ["\n".join([*text[: i % 10], _prose(rng, 9), *text[i % 10 + 1 :], mine]) for i in range(60)]
+    copies = ["\n".join([*text, mine])] * 100
+    got = _dropped(spark, [f"{x}\n{mine}" for x in own] + copies + near)
+    assert got == {i: t.removesuffix(f"\n{mine}") for i, t in enumerate([*own, *copies, *near])}
+
+
+def test_blocks_of_lines_recur_together(spark):
+    rng = random.Random(5)
+    block = [_prose(rng, 5) for _ in range(4)]
+    own = [_prose(rng, 12) for _ in range(30)]
+    assert _dropped(spark, ["\n".join([x, *block]) for x in own]) == dict(enumerate(own))
+
+
+def test_copies_with_a_line_added_keep_their_text(spark):
+    rng = random.Random(6)
+    text = _prose(rng, 60)
+    assert not _dropped(spark, [f"{text}\n{_prose(rng, 6)}" for _ in range(40)])
+
+
+def test_copies_with_words_changed_keep_their_lines(spark):
+    rng = random.Random(7)
+    text = [_prose(rng, 80).split() for _ in range(2)]
+    near = []
+    for i in range(40):
+        a, b = ([*x] for x in text)
+        (a if i % 2 else b)[rng.randrange(5, 75)] = "changed" + "abcdefgh"[i % 8] * (i + 1)
+        near.append("\n".join(map(" ".join, (a, b))))
+    assert not _dropped(spark, near)
