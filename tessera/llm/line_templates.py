@@ -3,6 +3,7 @@
 A line goes down the tree by its number of tokens and its first LEAD tokens, tokens with a digit being the
 wildcard. Below, its remaining tokens are cut into PARTS equal parts. A line's templates are the whole
 line, and the line with any one part as a wildcard, so a field that varies inside one part is generalised.
+A line of fewer than MIN_TOKENS tokens has one template, the whole line with its digits.
 A template recurs if it stands in MIN_DOCS documents or more that differ. Documents with the same other lines
 are one, and so are near copies: of the OTHERS least other lines of a document (none of the line's own leaf),
 each is shared by so many documents with the template, and the line itself by all; those that fewest share,
@@ -50,7 +51,7 @@ def _fold(values: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text, others, tokens) of all lines of MIN_TOKENS tokens or more.
+    """(text, line from 0, leaf, keys by 1 + PARTS, kind of text by text, others, tokens) of all lines with a token.
 
     ``others`` is (values, how many by line): what stands for the text's other leaves, at most OTHERS.
     """
@@ -58,6 +59,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     low = bytescan.LOWER[data]
     h = bytescan.span_hash(bytescan.sums(low), starts, ends)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    exact = h.copy()
     h[digits[ends] > digits[starts]] = U(1)
     text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     breaks = np.flatnonzero(data == 10)
@@ -66,8 +68,6 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (line_of[1:] != line_of[:-1]) | (text_of[1:] != text_of[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(h)))
-    every, each_n, keep = first, n, n >= MIN_TOKENS
-    first, n = first[keep], n[keep]
     text = text_of[first]
     line = line_of[first] - np.searchsorted(breaks, offsets[:-1])[text]
     # a position-weighted running sum gives the hash of any run of tokens
@@ -76,13 +76,19 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     c = np.concatenate([[U(0)], np.cumsum(h * power[:-1])])
     run = lambda a, b: bytescan.mix((c[b] - c[a]) * back[a])
     i = np.arange(len(h))
-    end = np.repeat(every + each_n, each_n)
-    least = np.where((i + RUN <= end) | (i == np.repeat(every, each_n)), run(i, np.minimum(i + RUN, end)), ~U(0))
-    least = np.minimum.reduceat(least, every)[keep] if len(every) else least
-    leaf = _fold([run(first, first + LEAD), n.astype(U)], 1)
-    cut = [first + LEAD + (n - LEAD) * k // PARTS for k in range(PARTS + 1)]
+    end = np.repeat(first + n, n)
+    least = np.where((i + RUN <= end) | (i == np.repeat(first, n)), run(i, np.minimum(i + RUN, end)), ~U(0))
+    least = np.minimum.reduceat(least, first) if len(first) else least
+    lead = np.minimum(LEAD, n)
+    leaf = _fold([run(first, first + lead), n.astype(U)], 1)
+    short = n < MIN_TOKENS
+    if len(first):
+        whole = _fold([np.where(k < n, exact[np.minimum(first + k, len(h) - 1)], U(0)) for k in range(MIN_TOKENS - 1)], 3 + PARTS)
+        leaf = np.where(short, whole, leaf)
+    cut = [first + lead + (n - lead) * k // PARTS for k in range(PARTS + 1)]
     part = [run(cut[k], cut[k + 1]) for k in range(PARTS)]
     keys = [_fold([leaf, *part], 2), *(_fold([leaf, *part[:k], *part[k + 1 :]], 3 + k) for k in range(PARTS))]
+    keys = [np.where(short, leaf, key) for key in keys]
     kind = np.full(len(offsets) - 1, ~U(0))
     np.minimum.at(kind, text, keys[0])
     return text, line, leaf, keys, kind, others(text, leaf, least, n, len(offsets) - 1), n
@@ -183,8 +189,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = leaves(docs).groupBy("leaf", "kind").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("kinds"))
     frequent = stored(found.where(F.col("kinds") >= MIN_DOCS).select("leaf"))
     rows = stored(templates(docs).join(small(frequent), "leaf", "left_semi"))
-    again = stored(recurring(rows.select("others", "tokens", F.explode("keys").alias("key"))))
-    hit = rows.select("doc_id", "mark", "line", F.explode("keys").alias("key")).join(small(again), "key", "left_semi")
+    again = stored(recurring(rows.select("others", "tokens", F.explode(F.array_distinct("keys")).alias("key"))))
+    hit = rows.select("doc_id", "mark", "line", F.explode(F.array_distinct("keys")).alias("key")).join(small(again), "key", "left_semi")
     return hit.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))
 
 

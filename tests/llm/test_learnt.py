@@ -175,3 +175,10 @@ def test_copies_with_words_changed_keep_their_lines(spark):
         (a if i % 2 else b)[rng.randrange(5, 75)] = "changed" + "abcdefgh"[i % 8] * (i + 1)
         near.append("\n".join(map(" ".join, (a, b))))
     assert not _dropped(spark, near)
+
+
+def test_short_lines_recur_as_they_are(spark):
+    rng = random.Random(8)
+    own = [_prose(rng, 9) for _ in range(12)]
+    got = _dropped(spark, [f"{x}\nAll rights reserved.\nPage {i}\nMenu" for i, x in enumerate(own)])
+    assert got == {i: f"{x}\nPage {i}" for i, x in enumerate(own)}
