@@ -534,7 +534,7 @@ def stage2_rows(spark, sf):
     from tessera.sources.stored import stored
 
     s, ref, q = (stored(f(spark, sf)) for f in (_party_scores, _reference, _queries))
-    return linkage.second_stage(s, ref, q, siblings=False).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
+    return linkage.second_stage(s, ref, q).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_max", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
 
 
 @query

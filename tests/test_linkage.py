@@ -140,3 +140,10 @@ def test_missing_features_reach_trees(spark):
     out = training.predict(training.fit_matcher(rows, spec, rounds=2, depth=2), rows, spec, keep=0.0)
     assert out.count() == 60 and {r["p"] > 0.5 for r in out.where("x = 1").collect()} == {True}
     assert feats.FeatureSpec(("e_a", "b")).drop("e_*").names == ("b",)
+
+
+def test_registered_stage_2_has_the_siblings(spark):
+    from tessera.plans.queries import QUERIES
+
+    got = QUERIES["stage2_rows"](spark, "/root/testdata/sf0.001")
+    assert {"sc_n", "sib_max", "n_events"} <= set(got.columns) and got.agg(F.count_if(F.col("sc_n") > 0)).first()[0] > 0
