@@ -2,6 +2,7 @@
 
 Entities are found by one pattern. Each has a canonical form (an address in lower case, a number's digits,
 a person's gender, script and surname), so every mention of it, however written, gets the same surrogate.
+A full name is an entity besides (kind "full", with the given name): its given name is another for each one of a surname.
 A surrogate is keyed: it comes from a hash of key, kind, canonical form and attempt, and has the entity's
 type: digits for digits in the mention's own layout, octets of as many digits, a name of the same gender and script.
 Attempts go on until no two entities share a surrogate and no surrogate is an entity of the corpus.
@@ -109,24 +110,24 @@ def surrogate(kind: Column, canon: Column, attempt: int) -> Column:
         for gender, ends in (("m", male), ("f", female)):
             name = F.concat(_pick(roots, h, 1), more, _pick(ends, h, 5))
             surname = F.when(canon.startswith(f"{gender}|{script}|"), F.concat(F.lit(f"{gender}|{script}|"), F.lower(name))).otherwise(surname)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", F.upper(iban)).when(kind == "person", surname).otherwise(number)
+    given = F.lit(None).cast("string")
+    for script, (male, female, roots, *_) in NAMES.items():
+        more = F.lower(F.concat(*[_pick(roots, h, 9 + 3 * k) for k in range(attempt - 2)])) if attempt > 2 else F.lit("")
+        for gender, names in (("m", male), ("f", female)):
+            given = F.when(canon.startswith(f"{gender}|{script}|"), F.lower(F.concat(_pick(names, h, 1), more))).otherwise(given)
+    full = F.concat(F.substring_index(canon, "|", 3), F.lit("|"), given)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", F.upper(iban)).when(kind == "person", surname).when(kind == "full", full).otherwise(number)
 
 
-def rendered(kind: Column, mention: Column, canon: Column) -> Column:
-    """A surrogate's canonical form in the layout of the mention it replaces."""
+def rendered(kind: Column, mention: Column, canon: Column, full: Column) -> Column:
+    """A surrogate's canonical form in the layout of the mention it replaces; ``full`` is that of a full name."""
     digits_before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9]", ""))
     one = lambda i: F.substring(mention, i, F.lit(1))
     laid = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(one(i).rlike("[0-9]"), F.substring(canon, digits_before(i), F.lit(1))).otherwise(one(i))), "")
     solid = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
     iban = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(one(i) == " ", F.lit(" ")).otherwise(F.substring(canon, solid(i), F.lit(1)))), "")
     words = F.split(mention, " ")
-    given = F.lit("")
-    h = _hash(F.lit("given"), F.lower(F.get(words, F.lit(1))))
-    for script, (male, female, *_) in NAMES.items():
-        for gender, names in (("m", male), ("f", female)):
-            # the next name of the list where the keyed one happens to be the person's own
-            own = F.lower(_pick(names, h, 1)) == F.lower(F.get(words, F.lit(1)))
-            given = F.when(canon.startswith(f"{gender}|{script}|"), F.when(own, _pick(names[1:] + names[:1], h, 1)).otherwise(_pick(names, h, 1))).otherwise(given)
+    given = F.initcap(F.substring_index(full, "|", -1))
     last = F.initcap(F.substring_index(canon, "|", -1))
     person = F.when(F.size(words) > 2, F.concat_ws(" ", F.get(words, F.lit(0)), given, last)).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), last))
     email = F.when(mention == F.upper(mention), F.upper(canon)).otherwise(canon)
@@ -159,8 +160,14 @@ def replace_pii(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("m")).where("size(m) > 0").distinct()
     each = found.select("doc_id", "mark", F.posexplode("m").alias("at", "mention"))
     each = stored(each.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
-    given = assignments(each.select("kind", "canon"))
-    named = each.join(given, ["kind", "canon"]).withColumn("with", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    words = F.split("mention", " ")
+    has = (F.col("kind") == "person") & (F.size(words) > 2)
+    # rows without a full name keep their own form, so that the join deals them out
+    each = each.withColumn("full", F.when(has, F.concat("canon", F.lit("|"), F.lower(F.get(words, F.lit(1))))).otherwise(F.col("canon")))
+    full = each.where(has).select(F.lit("full").alias("kind"), F.col("full").alias("canon"))
+    given = assignments(each.select("kind", "canon").unionByName(full))
+    fulls = given.where("kind = 'full'").select(F.col("canon").alias("full"), F.col("surrogate").alias("full_surrogate"))
+    named = each.join(given, ["kind", "canon"]).join(fulls, "full", "left").withColumn("with", rendered(F.col("kind"), F.col("mention"), F.col("surrogate"), F.col("full_surrogate")))
     rows = stored(named.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "with"))).alias("e")))
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS and each.count() <= BROADCAST_ROWS else rows
     d, e = docs.withColumn("__mark", F.xxhash64(text)).alias("d"), rows.alias("e")
