@@ -116,7 +116,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
 
 def distinct_sets(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct values in ascending order, and their index by text."""
-    order = np.lexsort((value, text))
+    order = np.argsort(value)  # equal values are the same, so only the texts need a stable sort, a radix sort if few
+    text, value = text[order], value[order]
+    order = np.argsort(text.astype(np.uint16) if n <= 1 << 16 else text, kind="stable")
     text, value = text[order], value[order]
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])

@@ -1,17 +1,17 @@
 """N-gram Jaccard join with rare-first prefix, length, positional and suffix filters.
 
-A text is its set of distinct 5-word shingles. Equal sets collapse into one class at once. All shingles
-have one global order, rare first; two sets that reach the threshold share a shingle in their prefixes, so
-only prefix postings are joined. Length, position and suffix filters then drop what cannot reach it, each
-remaining pair is verified once on the whole sets, and verified links give components.
-
-A shingle that many texts share is first joined to a few centres only. Pairs inside one component so found
-need no verification; what is left are pairs of different components, and these are all joined. So no link
-between components is lost, and a group of copies never becomes all its pairs.
-
-The order may be any: it decides the work, not the result. Frequent shingles are those that repeat within
-partitions (a shingle in more documents than LOCAL times the partitions must repeat so); the heaviest
-ORDERED of them, a fixed number, go last by weight, all others by hash.
+A text is its set of distinct 5-word shingles. Equal sets are one class, and one document stands for it.
+
+First, documents that can have no partner leave. In the order of hashes, two sets that reach the threshold share
+their first k common shingles within prefixes longer by k - 1 than usual, so a document without that many shingles
+that others have in such prefixes is out. What stays gets the one global order, rare first, by the frequency of
+every shingle among them; shingles that only one document has come first and need no posting.
+
+Only prefix postings are joined. Length, position and suffix filters drop what cannot reach the threshold, and each
+remaining pair is verified once on the whole sets; verified links give components. A shingle that many texts share
+is first joined to one centre. Pairs inside one component so found need no verification; what is left are pairs
+of different components, and these are all joined. So no link between components is lost, and a group of copies
+never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -24,18 +24,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan
-from tessera.llm.common import components, stored, table
+from tessera.llm.common import components, dropped, stored, table
 
 SIZE = 5
 #: Similarity threshold in hundredths.
 PERCENT = 75
-LOCAL = 3
-ORDERED = 1 << 17
-LOCAL_BLOCK = 4 << 20
-#: The filter of shingles that several texts share has 1 << BITS bits, 8 MB, at any size of the input.
-BITS = 26
-#: Ids of candidate documents are broadcast up to this many (8 bytes each), else joined by shuffle.
+#: Of every so many shingles one more must be shared in the hash-ordered prefix, which is longer by as many.
+EXTRA = 10
+#: The filter of shared shingles has 8 bits for each, at most 1 << BITS (32 MB); it only spares rows that a join drops.
+BITS = 28
+#: Ids of documents (16 bytes each with a print) are broadcast up to this many, else joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: A document in more pairs than this is joined in parts of this many.
+FAN = 2000
+#: Longs of the signature that suffix filters compare.
+SIGNATURE = 8
 U = np.uint64
 I64 = pa.int64()
 
@@ -44,141 +47,195 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), I64)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, values, index) of runs of rows: each row's distinct shingle hashes, ascending."""
-    for at, n, data, offsets in bytescan.blocks(batch.column(1)):
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, values, index, prints) of runs of rows (text, ...): each row's distinct shingle hashes, ascending, and 128 bits for each set."""
+    for at, n, data, offsets in bytescan.blocks(batch.column(0)):
         text, value = bytescan.shingles(data, offsets, SIZE)
-        yield batch.column(0).slice(at, n), *bytescan.distinct_sets(text, value, n)
+        value, index = bytescan.distinct_sets(text, value, n)
+        total = [np.concatenate([[U(0)], np.cumsum(bytescan.mix(value ^ U(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+        f1, f2 = (t[index[1:]] - t[index[:-1]] for t in total)
+        yield batch.slice(at, n), value, index, f1, f2
 
 
-def _frequent(values: list[np.ndarray]) -> pa.RecordBatch:
-    v, n = np.unique(np.concatenate(values), return_counts=True)
-    keep = n > LOCAL
-    v, n = v[keep], n[keep]
-    none = pa.nulls(len(v), I64)
-    return pa.RecordBatch.from_arrays([none, none, none, none, _longs(v), _longs(n)], names=["doc_id", "n", "f1", "f2", "hash", "weight"])
+def summaries(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text) its set's size and 128-bit print."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, _, index, f1, f2 in _sets(batch):
+                yield pa.RecordBatch.from_arrays([rows.column(1), _longs(np.diff(index)), _longs(f1), _longs(f2)], names=["doc_id", "n", "f1", "f2"])
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text) its set's size and 128-bit fingerprint; further rows (hash, weight) for frequent shingles."""
+    return docs.select("text", "doc_id").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, doc_id, f1) of the rows of ``docs`` with a (doc_id, f1) in ``ids``; a row of that doc_id with another text is told apart by its print later."""
+    ids = ids.select("doc_id", "f1")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id").select("text", "doc_id", "f1")
+
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """The least overlap that a set of n can have with a partner."""
+    return -(-n * PERCENT // 100)
+
+
+def prefix_hashes(docs: DataFrame) -> DataFrame:
+    """(hash): the shingles in the hash-ordered, longer prefixes of ``only``'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for ids, value, at in _sets(batch):
-                n = np.diff(at)
-                total = [np.concatenate([[U(0)], np.cumsum(bytescan.mix(value ^ U(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                prints = [t[at[1:]] - t[at[:-1]] for t in total]
-                none = pa.nulls(len(n), I64)
-                yield pa.RecordBatch.from_arrays([ids, _longs(n), _longs(prints[0]), _longs(prints[1]), none, none], names=["doc_id", "n", "f1", "f2", "hash", "weight"])
-                held.append(value)
-                size += len(value)
-                if size >= LOCAL_BLOCK:
-                    yield _frequent(held)
-                    held, size = [], 0
-        if held:
-            yield _frequent(held)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hash long, weight long")
-
-
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A filter of fixed size: bit k is set if some ``hash`` has the leading bits k."""
-    k = F.shiftrightunsigned("hash", 64 - BITS)
-    words = hashes.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), U)
+            for _, value, index, *_ in _sets(batch):
+                yield pa.RecordBatch.from_arrays([_longs(value[_in_prefix(index)])], names=["hash"])
+
+    return docs.mapInArrow(run, "hash long")
+
+
+def _in_prefix(index: np.ndarray) -> np.ndarray:
+    n = np.diff(index)
+    width = n - _least(n) + 1 + n // EXTRA
+    return np.arange(index[-1]) - np.repeat(index[:-1], n) < np.repeat(width, n)
+
+
+def bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the distinct ``hash``: bit k of 1 << bits is set if some hash has the leading bits k."""
+    bits = max(16, min(BITS, (8 * hashes.count()).bit_length()))
+    k = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")
+    words = hashes.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
-    return out
+    return out, bits
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], within: np.ndarray | None = None) -> DataFrame:
-    """(hash, doc_id, n, pos, sig): the prefix of each set in the global order; ``within`` leaves out what its bitmap lacks.
+def company(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id) of the rows of ``only`` that share enough of their longer prefixes (``shared``: hash) for a partner.
 
-    ``sig`` holds, in 8 bytes, how many shingles behind ``pos`` fall into each eighth of the hash range
-    (255 at most, which keeps differences lower bounds).
+    Two partners share the first k common shingles in both prefixes, k by the smaller of both sets.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((*frequent, within))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight, bits = shared.value
+        filled, bits = held.value
         for batch in batches:
-            for ids, value, at in _sets(batch):
-                n = np.diff(at)
+            for rows, value, index, *_ in _sets(batch):
+                n = np.diff(index)
+                needed = _least(n) // EXTRA + 1
+                k = value >> U(64 - bits)
+                hit = _in_prefix(index) & ((filled[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1)
+                c = np.concatenate([[0], np.cumsum(hit)])
                 text = np.repeat(np.arange(len(n)), n)
-                w = np.zeros(len(value), np.int64)
-                if len(heavy):
-                    k = np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)
-                    w = np.where(heavy[k] == value, weight[k], 0)
-                order = np.lexsort((value, w, text))
-                value = value[order]
-                pos = np.arange(len(value)) - np.repeat(at[:-1], n)
-                prefix = n - -(-n * PERCENT // 100) + 1
-                keep = pos < np.repeat(prefix, n)
-                if bits is not None:
-                    k = value >> U(64 - BITS)
-                    keep &= (bits[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1
-                sig = np.zeros(len(value), U)
-                part = (bytescan.mix(value + U(1)) >> U(61)).astype(np.int64)
-                for b in range(8):
-                    c = np.concatenate([[0], np.cumsum(part == b)])
-                    behind = np.repeat(c[at[1:]], n) - c[1:]
-                    sig |= np.minimum(behind, 255).astype(U) << U(8 * b)
-                yield pa.RecordBatch.from_arrays(
-                    [_longs(value[keep]), ids.take(pa.array(text[keep])), pa.array(np.repeat(n, n)[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), _longs(sig[keep])],
-                    names=["hash", "doc_id", "n", "pos", "sig"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, n int, pos int, sig long")
+                hit &= (c[index[1:]] - c[index[:-1]] >= needed)[text]
+                yield pa.RecordBatch.from_arrays([_longs(value[hit]), rows.column(1).take(pa.array(text[hit])), _longs(needed[text[hit]])], names=["hash", "doc_id", "needed"])
+
+    rows = docs.mapInArrow(run, "hash long, doc_id long, needed long")
+    counted = rows.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c"), F.max("needed").alias("needed"))
+    return counted.where("c >= needed").select("doc_id")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, values): the sets, 8 bytes a shingle, of ``only``'s rows, once for each doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, value, index, f1, _ in _sets(batch):
+                own = pa.array(rows.column(2).to_numpy() == f1.view(np.int64))
+                values = pa.array([value[s:e].tobytes() for s, e in zip(index[:-1], index[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(1), _longs(np.diff(index)), values], names=["doc_id", "n", "values"]).filter(own)
+
+    return docs.mapInArrow(run, "doc_id long, n long, values binary").dropDuplicates(["doc_id"])
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, index by row) of a column of sets."""
+    size = np.array([len(v.as_buffer()) // 8 for v in values], np.int64)
+    return np.frombuffer(b"".join(v.as_buffer() for v in values), U), np.concatenate([[0], np.cumsum(size)])
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, shared): each document's shingles that others have too, as (df, hash), for documents of which these are enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, index = _flat(batch.column(2))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(index)))
+            yield pa.RecordBatch.from_arrays([_longs(value), batch.column(0).take(rows), batch.column(1).take(rows)], names=["hash", "doc_id", "n"])
+
+    each = sets.mapInArrow(run, "hash long, doc_id long, n long")
+    df = each.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
+    rows = each.join(df, "hash").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "hash")).alias("shared"))
+    return rows.where(f"100 * size(shared) >= {PERCENT} * n")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, n, alone, pos) of the rare-first prefixes of ``shared_shingles``; ``alone`` shingles, which only this document has, come before all postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            size = np.diff(column.offsets.to_numpy())
+            items = column.flatten()
+            df, value = (items.field(k).to_numpy() for k in (0, 1))
+            text = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((value, df, text))
+            n = batch.column(1).to_numpy()
+            pos = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(n - size, size)
+            keep = pos < np.repeat(n - _least(n) + 1, size)
+            rows = pa.array(text[keep])
+            own = [c.take(rows) for c in (batch.column(0), batch.column(1), _longs(n - size))]
+            yield pa.RecordBatch.from_arrays([_longs(value[order][keep]), *own, _longs(pos[keep])], names=["hash", "doc_id", "n", "alone", "pos"])
+
+    return docs.select("doc_id", "n", "shared").mapInArrow(run, "hash long, doc_id long, n long, alone long, pos long")
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, s0, s1, ...): SIGNATURE longs, in which each shared shingle sets one bit."""
+    names = [f"s{k}" for k in range(SIGNATURE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            size = np.diff(column.offsets.to_numpy())
+            place = (bytescan.mix(column.flatten().field(1).to_numpy().view(U)) % U(64 * SIGNATURE)).astype(np.int64)
+            bits = np.zeros((len(size), SIGNATURE), U)
+            np.bitwise_or.at(bits, (np.repeat(np.arange(len(size)), size), place // 64), U(1) << (place % 64).astype(U))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_longs(np.ascontiguousarray(bits[:, k])) for k in range(SIGNATURE))], names=["doc_id", *names])
+
+    return docs.select("doc_id", "shared").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
 #: What two postings of one shingle must satisfy for their sets to be able to reach the threshold.
 _NEEDED = f"ceil({PERCENT} * (a.n + b.n) / {100 + PERCENT}.0)"
-_SUFFIX = " + ".join(f"abs((shiftrightunsigned(a.sig, {8 * k}) & 255) - (shiftrightunsigned(b.sig, {8 * k}) & 255))" for k in range(8))
 #: The shorter set, and either of equal ones, must meet in a shorter prefix: 2t / (1 + t) of it is common.
 _INDEX = f"{{x}}.n - ceil({2 * PERCENT} * {{x}}.n / {100 + PERCENT}.0) + 1"
 _FILTERS = [
     f"(a.n > b.n or a.pos < {_INDEX.format(x='a')}) and (b.n > a.n or b.pos < {_INDEX.format(x='b')})",
     f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)",
-    f"least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1 >= {_NEEDED}",
-    f"least(a.pos, b.pos) + 1 + (a.n - a.pos - 1 + b.n - b.pos - 1 - ({_SUFFIX})) / 2 >= {_NEEDED}",
+    f"least(a.pos - a.alone, b.pos - b.alone) + least(a.n - a.pos, b.n - b.pos) >= {_NEEDED}",
+]
+#: A bit that one signature has and the other lacks is a shingle that the other lacks, besides those it has alone.
+_SUFFIX = [
+    f"{x}.n - {x}.alone - ({' + '.join(f'bit_count({x}.s{k} & ~{y}.s{k})' for k in range(SIGNATURE))}) >= {_NEEDED}" for x, y in ("ab", "ba")
 ]
 
 
-def candidates(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    """(a, b, shared, na, nb): distinct pairs of documents whose postings meet and pass the filters, how many do, and the sets' sizes."""
+def candidates(left: DataFrame, right: DataFrame, conditions: list[str]) -> DataFrame:
+    """(a, b, shared, nb): distinct pairs of documents (a of ``right``) whose postings meet and pass the filters, and how many do."""
     both = left.alias("a").join(right.alias("b"), F.col("a.hash") == F.col("b.hash"))
-    for f in [condition, *_FILTERS]:
+    for f in [*conditions, *_FILTERS]:
         both = both.where(f)
-    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """``candidates`` between members of different components only: a shingle's components meet first, one row each, so a large component never meets itself."""
-    comps = rows.select("hash", "comp").distinct()
-    met = comps.alias("a").join(comps.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.comp") < F.col("b.comp"))).select("a.hash", F.col("a.comp").alias("comp"), F.col("b.comp").alias("other"))
-    left = met.join(rows, ["hash", "comp"]).select(F.struct("doc_id", "n", "pos", "sig").alias("a"), "hash", F.col("other").alias("comp"))
-    both = left.join(rows.select("hash", "comp", F.struct("doc_id", "n", "pos", "sig").alias("b")), ["hash", "comp"])
-    for f in _FILTERS:
-        both = both.where(f)
-    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("b.n").alias("na"), F.max("a.n").alias("nb"))
-
-
-#: All meetings in these prefixes are counted: up to the smaller of both prefixes' last shingles every common one
-#: is among them, and what is common beyond lies behind that prefix.
-_REST = ", ".join(f"case when {n} <= {m} then ceil({2 * PERCENT} * {n} / {100 + PERCENT}.0) else ceil({PERCENT} * {n} / 100.0) end - 1" for n, m in (("na", "nb"), ("nb", "na")))
-_ENOUGH = f"shared + greatest({_REST}) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT}.0)"
+    return both.groupBy(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max("a.n").alias("nb"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    pairs = stored(pairs.select("a", "b"))
-
-    def side(name: str, values: str) -> DataFrame:
-        ids = pairs.select(F.col(name).alias("doc_id")).distinct()
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return sets.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(name), F.col("values").alias(values))
-
-    rows = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+    """The pairs (a, b) whose whole sets reach the threshold. A document ``a`` in many pairs is dealt out with copies of its set."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")).where("parts > 1")
+    one = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("part"))
+    x = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi").join(hot, "a", "left")
+    x = x.select("a", "x", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
+    rows = dealt.join(x, ["a", "part"]).join(y, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,21 +245,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 common = int((x[at] == y).sum())
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, values): the sets, 8 bytes a shingle, of the documents in ``ids``."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, value, at in _sets(batch):
-                yield pa.RecordBatch.from_arrays([own, pa.array([value[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
+
+    return rows.mapInArrow(run, "a long, b long, linked boolean")
+
+
+def links(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, component) of the documents ``own`` (doc_id, f1) that have a link."""
+    known = only(docs, own)
+    often = stored(prefix_hashes(known).groupBy("hash").count().where("count > 1").select("hash"))
+    ids = stored(company(known, often))
+    sets = stored(sets_of(only(docs, own.join(ids, "doc_id", "left_semi"))))
+    dropped(often, ids)
+    shared = stored(shared_shingles(sets))
+    rows = postings(shared)
+    several = rows.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
+    rows = stored(rows.join(several, "hash"))
+    # the text that others were made from has fewest shingles of its own, so most company for its size
+    rows = stored(rows.drop("c").join(rows.groupBy("doc_id").agg((F.sum("c") / F.max("n")).alias("company")), "doc_id"))
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, values binary")
+    tried, open_rows = None, rows.withColumn("comp", F.col("doc_id"))
+    for first in (F.col("company"), F.xxhash64("doc_id"), None):
+        if first is not None:  # each document against one of its shingles' centres, the one it shares most with, if that is much
+            centre = open_rows.groupBy("hash").agg(F.max_by(F.struct("doc_id", "n", "alone", "pos", "comp"), F.struct(first, "doc_id")).alias("c")).select("hash", "c.*")
+            pairs = candidates(open_rows, centre, ["a.comp <> b.comp"]).where("100 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+        else:  # all that is left between components
+            marked = open_rows.join(signatures(shared), "doc_id")
+            pairs = candidates(marked, marked, ["a.comp < b.comp", *_SUFFIX])
+        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")) if first is None else pairs.select("b", "a")
+        if tried is not None:
+            seen = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            pairs = pairs.join(seen, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+        new = verified(stored(pairs), sets)
+        tried = stored(new if tried is None else tried.unionByName(new))
+        comps = stored(components(tried.where("linked")))
+        if first is not None:
+            joined = rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+            mixed = joined.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash")
+            open_rows = stored(joined.join(mixed, "hash", "left_semi"))
+            if open_rows.isEmpty():
+                break
+    dropped(sets, shared, rows)
+    return comps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,49 +294,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Links are shingle sets with 100 * intersection >= PERCENT * union; a component is named by its smallest
     doc_id. Texts without words (null, empty) have no shingles and are linked with nothing. A row without
-    doc_id has no component and links nothing. Rows that share a doc_id count as one document.
+    doc_id has no component and links nothing. Rows that share a doc_id are one document; if their texts
+    differ, the one with most shingles (ties: with the greatest print) is its text, and each row has its own size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(summaries(docs))
-    rows = found.where("n is not null").select("doc_id", "n", "f1", "f2")
-    top = found.where("hash is not null").groupBy("hash").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "hash").limit(ORDERED).toArrow()
-    heavy = top.column("hash").to_numpy().astype(np.int64).view(U)
-    order = np.argsort(heavy)
-    frequent = heavy[order], top.column("weight").to_numpy().astype(np.int64)[order]
-
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    known = docs.where("doc_id is not null")
-    twice = stored(postings(known, frequent).select("hash").groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"))
-    shared = postings(known, frequent, bitmap(twice)).join(twice, "hash")
-    own = stored(shared.join(reps, "doc_id", "left_semi"))  # copies are out: their representatives stand for them
-    several = own.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
-    own = stored(own.join(several, "hash", "left_semi").select("hash", "doc_id", "n", "pos", "sig"))
-    sets = stored(sets_of(docs, own.select("doc_id").distinct()))
-    # the text that others were made from has fewest shingles of its own, so most company for its size
-    company = own.join(own.groupBy("hash").agg(F.count("*").alias("c")), "hash").groupBy("doc_id").agg((F.sum("c") / F.max("n")).alias("company"))
-    own = stored(own.join(company, "doc_id"))
-
-    links = None
-    open_rows = own.withColumn("comp", F.col("doc_id"))
-    for step in range(3):
-        if step < 2:  # each document against one of its shingles' centres, the one it shares most with, if that is much
-            centre = open_rows.groupBy("hash").agg(F.max_by(F.struct("doc_id", "n", "pos", "sig", "comp"), F.struct(F.col("company") if step == 0 else F.xxhash64("doc_id"), "doc_id")).alias("c")).select("hash", "c.*")
-            pairs = candidates(open_rows, centre, "a.comp <> b.comp").where("100 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-        else:  # all that is left between components
-            pairs = across(open_rows).where(_ENOUGH)
-        new = stored(verified(pairs, sets))
-        links = new if links is None else stored(links.unionByName(new).distinct())
-        comps = components(links)
-        if step < 2:
-            joined = own.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-            mixed = joined.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash")
-            open_rows = stored(joined.join(mixed, "hash", "left_semi"))
-            if open_rows.isEmpty():
-                break
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("c"))
-    out = rows.alias("r").join(named.alias("k"), (F.col("r.f1") == F.col("k.f1")) & (F.col("r.f2") == F.col("k.f2")) & (F.col("r.n") == F.col("k.n")), "left")
-    return out.select("r.doc_id", F.col("r.n").alias("n_shingles"), F.when(F.col("r.doc_id").isNotNull(), F.coalesce("c", "r.doc_id")).alias("component_id"))
+    rows = stored(summaries(docs))
+    texts = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("t")).select("doc_id", "t.*")
+    classes = stored(texts.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    comps = links(docs, classes.select(F.col("rep").alias("doc_id"), "f1"))
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "copies", F.coalesce("component", "rep").alias("c"), "rep")
+    # a document that is alone in its class and component names itself and need not be joined
+    named = stored(named.where("copies > 1 or c <> rep").select("f1", "f2", "n", "c"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    moved = texts.join(named, ["f1", "f2", "n"]).select("doc_id", "c").where("c <> doc_id")
+    out = rows.join(moved, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
