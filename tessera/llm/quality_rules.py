@@ -1,16 +1,16 @@
 """Quality rules as weak supervision.
 
-Each rule reads a few counts of a text and votes 1 (good), 0 (bad) or null (abstains). Expectation
-maximisation estimates how often each rule votes either way on good and on bad documents, and a document
-is kept if its posterior probability of being good reaches ``KEEP_AT`` and the two base rules pass. All
-work on rows is native; the driver sees only the table of distinct vote patterns, which has at most
-3 ** len(RULES) rows at any input size.
+Each rule reads a few counts of a text and votes 1 (good), 0 (bad) or null (abstains). A kind of junk has several
+rules that look at it in different ways, by characters and by words. A document is good or junk of one kind;
+expectation maximisation estimates how common each class is and how often every rule votes bad on it, that is, its
+accuracy. A document is kept if its posterior probability of being good reaches ``KEEP_AT`` and the two base rules
+pass: a lone bad vote of a rule that errs is outvoted, agreeing ones are not. All work on rows is native; the driver
+sees only the table of distinct vote patterns, which has at most 3 ** len(RULES) rows at any input size.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +18,32 @@ from tessera.llm.common import SPACE, stored, table
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
-#: Rules abstain widely, so at least this share of a rule's bad votes counts as right. Without a floor two
-#: classes drift to whatever splits the corpus best, and a rare kind of junk joins the good class.
-LEAST_ACCURACY = 0.97
-#: name: (a ratio over the columns of features(), good up to, bad from); between the two a rule abstains.
+#: name: (kind of junk, a ratio over the columns of features(), good up to, bad from); between the two a rule abstains.
 RULES = {
-    "symbols": ("n_symbols / n_words", 0.05, 0.2),
-    "capitals": ("n_capitals / word_chars", 0.2, 0.4),
-    "exclaims": ("n_exclaims / n_words", 0.1, 0.3),
-    "dup_lines": ("n_dup_lines / n_lines", 0.1, 0.5),
-    "repeats": ("n_repeat_words / n_words", 0.2, 0.4),
-    "digits": ("n_digits / word_chars", 0.1, 0.3),
-    "long_words": ("word_chars / n_words", 9.0, 14.0),
-    "long_lines": ("n_words / n_lines / 100", 4.0, 20.0),
+    "symbols": ("symbols", "n_symbols / n_words", 0.02, 0.1),
+    "symbol_words": ("symbols", "n_symbol_words / n_words", 0.02, 0.1),
+    "capitals": ("capitals", "n_capitals / word_chars", 0.1, 0.25),
+    "capital_words": ("capitals", "n_capital_words / n_words", 0.05, 0.2),
+    "exclaims": ("capitals", "n_exclaims / n_words", 0.02, 0.1),
+    "dup_lines": ("repeats", "n_dup_lines / n_lines", 0.1, 0.3),
+    "repeats": ("repeats", "n_repeat_words / n_words", 0.1, 0.25),
+    "adjacent": ("repeats", "n_adjacent / n_words", 0.02, 0.1),
+    "same_words": ("repeats", "1 - n_distinct / n_words", 0.6, 0.8),
+    "digits": ("shape", "n_digits / word_chars", 0.05, 0.15),
+    "digit_words": ("shape", "n_digit_words / n_words", 0.1, 0.3),
+    "long_words": ("shape", "word_chars / n_words", 9.0, 14.0),
+    "long_lines": ("shape", "n_words / n_lines / 100", 4.0, 20.0),
 }
+CLASSES = ["good", *dict.fromkeys(r[0] for r in RULES.values())]
+#: How often a rule is thought to vote bad before any data: on good documents, on junk of its kind, on other junk ...
+THOUGHT = (0.02, 0.6, 0.1)
+#: ... with the weight of this share of all documents, for each class.
+WEIGHT = 0.02
+#: Patterns that begin at the beginning of a word and read it once, however long.
+_SYMBOL_WORD = rf"(?<![^{SPACE}])[^{SPACE}#*$%&|<>]*+[#*$%&|<>]"
+_CAPITAL_WORD = rf"(?<![^{SPACE}])(?=[^{SPACE}]*?\p{{Lu}})[^{SPACE}\p{{Ll}}]{{2,}}+(?![^{SPACE}])"
+_DIGIT_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9]"
+_ADJACENT = rf"(?<![^{SPACE}])([^{SPACE}]++)(?=[{SPACE}]++\1(?![^{SPACE}]))"
 
 
 def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -63,6 +75,11 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         count(r"\p{Lu}").alias("n_capitals"),
         count(r"!").alias("n_exclaims"),
         count(r"[0-9]").alias("n_digits"),
+        count(_SYMBOL_WORD).alias("n_symbol_words"),
+        count(_CAPITAL_WORD).alias("n_capital_words"),
+        count(_DIGIT_WORD).alias("n_digit_words"),
+        count(_ADJACENT).alias("n_adjacent"),
+        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
     )
     # a generator of one row: filters on q stay above it, else they would repeat all of this in their place
     return own.select("row", F.explode(F.array(q)).alias("q"))
@@ -70,8 +87,8 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 def vote(rule: str) -> Column:
     """1, 0 or null; a text without words gets null from every rule."""
-    ratio, good, bad = RULES[rule]
-    r = F.expr(ratio.replace("n_", "q.n_").replace("word_chars", "q.word_chars")) if ratio else None
+    _, ratio, good, bad = RULES[rule]
+    r = F.expr(ratio.replace("n_", "q.n_").replace("word_chars", "q.word_chars"))
     return F.when(F.expr("q.n_words") > 0, F.when(r <= good, 1).when(r >= bad, 0)).cast("int")
 
 
@@ -79,53 +96,55 @@ def base_failed() -> Column:
     return F.expr(f"q.n_words < {MIN_WORDS} or 100 * q.n_repeat_words > 50 * q.n_words")
 
 
-def estimate(patterns: list[tuple[tuple, int]], rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
-    """(log-odds of a good document, for each rule the log-odds that a bad and a good vote add).
+def estimate(patterns: list[tuple[tuple, int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each class, how often each rule votes bad on each class when it votes) from vote patterns and their counts.
 
-    Starts from "good if no rule votes bad". A vote's share of the votes a rule casts on a class is
-    smoothed by one count; a rule never counts against its own direction, and the accuracy of its bad
-    votes is at least LEAST_ACCURACY.
+    Starts from "junk of the kind of which most rules, and two at least, vote bad, else good", and is free to
+    leave that. The shares are smoothed by one document, the rules by THOUGHT with WEIGHT.
     """
-    q = [0.05 if 0 in p else 0.95 for p, _ in patterns]
-    odds, adds = 0.0, []
+    kinds = np.array([CLASSES.index(r[0]) for r in RULES.values()])
+    own = kinds[None, :] == np.arange(len(CLASSES))[:, None]
+    thought = np.where(own, THOUGHT[1], THOUGHT[2])
+    thought[0] = THOUGHT[0]
+    bad, good = (np.array([[x == v for x in p] for p, _ in patterns], float).reshape(-1, len(RULES)) for v in (0, 1))
+    count = np.array([n for _, n in patterns], float)
+    votes = bad @ own.T
+    first = np.where(votes.max(1, initial=0) >= 2, votes.argmax(1), 0)
+    q = np.where(first[:, None] == np.arange(len(CLASSES)), 0.95, 0.05 / (len(CLASSES) - 1))
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        good = sum(n * x for (_, n), x in zip(patterns, q, strict=True))
-        odds = math.log((good + 1) / (total - good + 1))
-        adds = []
-        for j in range(len(RULES)):
-            c = {(v, y): 1.0 for v in (0, 1) for y in (0, 1)}
-            for (p, n), x in zip(patterns, q, strict=True):
-                if p[j] is not None:
-                    c[p[j], 1] += n * x
-                    c[p[j], 0] += n * (1 - x)
-            share = lambda v, y: c[v, y] / (c[0, y] + c[1, y])  # noqa: B023, E731
-            right = max(LEAST_ACCURACY, c[0, 0] / (c[0, 0] + c[0, 1]))
-            adds.append((min(0.0, math.log((1 - right) / right) - odds), max(0.0, math.log(share(1, 1) / share(1, 0)))))
-        q = [1 / (1 + math.exp(-max(-60.0, min(60.0, odds + sum(a[v] for a, v in zip(adds, p, strict=True) if v is not None))))) for p, _ in patterns]
-    return odds, adds
-
-
-def learn(counted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+        w = (q * count[:, None]).T
+        share = (w.sum(1) + 1) / (count.sum() + len(CLASSES))
+        weight = WEIGHT * count.sum() + 1
+        theta = (w @ bad + thought * weight) / (w @ (bad + good) + weight)
+        z = np.log(share) + bad @ np.log(theta).T + good @ np.log(1 - theta).T
+        q = np.exp(z - z.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+    return share, theta
+
+
+def learn(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """``estimate`` over the votes on all rows of ``features``; the driver gets one row for each pattern of votes."""
     votes = [vote(r).alias(f"v{j}") for j, r in enumerate(RULES)]
     seen = counted.where(F.expr("q.n_words > 0")).select(*votes).groupBy(*[f"v{j}" for j in range(len(RULES))]).count().collect()
     return estimate([(tuple(r)[:-1], r["count"]) for r in sorted(seen, key=str)])
 
 
-def judged(counted: DataFrame, learnt: tuple[float, list[tuple[float, float]]]) -> DataFrame:
-    """``features`` with base_failed, p_good and kept. Empty and null texts fail the base rules."""
-    odds, adds = learnt
-    z = F.lit(odds)
-    for r, (bad, good) in zip(RULES, adds, strict=True):
+def judged(counted: DataFrame, learnt: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``features`` with base_failed, p_good and kept. Empty and null texts fail the base rules; repeated rows are judged alike."""
+    share, theta = learnt
+    # log-odds of each kind of junk against good
+    odds = [F.lit(float(x)) for x in np.log(share[1:] / share[0])]
+    for j, r in enumerate(RULES):
         v = vote(r)
-        z = z + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(0.0)
-    out = counted.withColumns({"base_failed": base_failed(), "p_good": 1 / (1 + F.exp(-z))})
+        for k in range(1, len(CLASSES)):
+            no, yes = (float(np.log(f(theta[k, j]) / f(theta[0, j]))) for f in (lambda x: x, lambda x: 1 - x))
+            odds[k - 1] = odds[k - 1] + F.when(v == 0, F.lit(no)).when(v == 1, F.lit(yes)).otherwise(0.0)
+    out = counted.withColumns({"base_failed": base_failed(), "p_good": 1 / (1 + sum((F.exp(F.least(z, F.lit(60.0))) for z in odds[1:]), F.exp(F.least(odds[0], F.lit(60.0)))))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_AT))
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep. An empty table gives an empty one.
+    """The rows of ``docs``, all columns whatever their names, that the rules keep. An empty table gives an empty one.
 
     Two passes over the texts, one to learn and one to filter, and nothing of them is shuffled or stored.
     """

@@ -1,6 +1,7 @@
 """Operators with one right answer, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import automaton, bytescan, chat, decontaminate, ngram_join, packing, quality_rules, secrets, suffix_dedup
 from tessera.llm.common import components
@@ -45,6 +47,78 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean}
 
 
+def test_word_counts_of_the_rules(spark):
+    rows = [(i, t) for i, t in enumerate(["AB cd| EF. É ß A1 #x x# # ÀÉ!", "la la la lala la\nla x x", "", None, "A" * 9000 + " b" * 3, "漢字 漢字 Ǆ ǅA"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["q"] for r in quality_rules.features(df).collect()}
+    small = re.compile(r"[a-zßà-öø-ÿ]")
+    for i, t in rows:
+        w = re.findall(WORD, t or "")
+        q = got[i]
+        assert q["n_symbol_words"] == sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w)
+        assert q["n_digit_words"] == sum(bool(re.search("[0-9]", x)) for x in w)
+        assert q["n_adjacent"] == sum(a == b for a, b in zip(w, w[1:], strict=False)) and q["n_distinct"] == len(set(w))
+        if i < 5:
+            assert q["n_capital_words"] == sum(len(x) > 1 and any(c.isupper() for c in x) and not small.search(x) for x in w)
+
+
+def brute_posterior(votes, rounds):
+    """Document by document and in plain sums: the same model as the operator's."""
+    rules, classes = [*quality_rules.RULES.values()], quality_rules.CLASSES
+    start = []
+    for v in votes:
+        by = Counter(r[0] for r, x in zip(rules, v, strict=True) if x == 0)
+        top = max(by.values(), default=0)
+        start.append(next(c for c in classes if by[c] == top) if top >= 2 else "good")
+    q = [{c: 0.95 if c == s else 0.05 / (len(classes) - 1) for c in classes} for s in start]
+    weight = quality_rules.WEIGHT * len(votes) + 1
+    for _ in range(rounds):
+        share = {c: (sum(x[c] for x in q) + 1) / (len(votes) + len(classes)) for c in classes}
+        theta = {}
+        for c in classes:
+            for j, r in enumerate(rules):
+                mean = quality_rules.THOUGHT[0 if c == "good" else 1 if c == r[0] else 2]
+                bad = sum(x[c] for x, v in zip(q, votes, strict=True) if v[j] == 0)
+                theta[c, j] = (bad + mean * weight) / (bad + sum(x[c] for x, v in zip(q, votes, strict=True) if v[j] == 1) + weight)
+        q = []
+        for v in votes:
+            p = {c: share[c] * math.prod(theta[c, j] if x == 0 else 1 - theta[c, j] for j, x in enumerate(v) if x is not None) for c in classes}
+            q.append({c: x / sum(p.values()) for c, x in p.items()})
+    return [x["good"] for x in q]
+
+
+def test_posterior_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    kind = [r[0] for r in quality_rules.RULES.values()]
+    votes = []
+    for _ in range(400):
+        junk = rng.choice(quality_rules.CLASSES, p=[0.8, 0.1, 0.05, 0.05, 0.0])
+        votes.append(tuple(None if rng.random() < 0.2 else int(rng.random() > (0.7 if k == junk else 0.02)) for k in kind))
+    learnt = quality_rules.estimate([*Counter(votes).items()], 30)
+    rows = [(i, [None if x is None else float(x) for x in v]) for i, v in enumerate(votes)]
+    q = "named_struct('n_words', 100L, 'n_repeat_words', 0L)"
+    df = spark.createDataFrame(rows, "i long, v array<double>").withColumn("q", F.expr(q))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "vote", lambda r: F.get("v", F.lit([*quality_rules.RULES].index(r))).cast("int"))
+        got = [r["p_good"] for r in quality_rules.judged(df, learnt).orderBy("i").collect()]
+    assert np.allclose(got, brute_posterior(votes, 30), atol=1e-6)
+
+
+def test_one_bad_vote_is_outvoted_and_two_are_not(spark):
+    rng = random.Random(2)
+    vocab = [a + b for a in "ba ke li mo nu par sto vel".split() for b in "da fer gin hol jat kul".split()]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n)) + "."
+    clean = [(i, "\n".join(line(12) for _ in range(15))) for i in range(300)]
+    twice = [(400 + i, "\n".join([*(line(12) for _ in range(12)), *["share this."] * 7])) for i in range(4)]
+    shout = [(500 + i, " ".join(rng.choice(vocab).upper() + "!!" for _ in range(150))) for i in range(25)]
+    df = spark.createDataFrame(clean + twice + shout, "doc_id long, text string")
+    f = quality_rules.features(df)
+    got = {r["row"]["doc_id"]: r for r in quality_rules.judged(f, quality_rules.learn(f)).collect()}
+    votes = {r["row"]["doc_id"]: [r[f"v{j}"] for j in range(len(quality_rules.RULES))] for r in f.select("row", *[quality_rules.vote(x).alias(f"v{j}") for j, x in enumerate(quality_rules.RULES)]).collect()}
+    assert all(votes[i].count(0) == 1 and got[i]["kept"] for i, _ in twice)
+    assert all(votes[i].count(0) >= 2 and not got[i]["kept"] for i, _ in shout) and all(got[i]["kept"] for i, _ in clean)
+
+
 def brute_hits(docs, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     win = defaultdict(set)
