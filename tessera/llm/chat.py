@@ -54,33 +54,59 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(_ROLES.get(m[1]) or bytes.fromhex(m[1][5:]).decode(), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+_SAME = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
+
+
+def rooted(own: DataFrame, up: DataFrame) -> DataFrame:
+    """(tree, node) of the nodes that a root can be reached from; ``up`` holds (tree, node, above) for nodes with a parent.
+
+    Each round doubles the distance: after round k all nodes less than 2 ** k below a root are known. A round
+    that finds none ends it, so cycles, and what hangs on them, cost no further round.
+    """
+    known = stored(own.select("tree", "node").alias("a").join(up.alias("b"), _SAME("a", "b") & F.col("a.node").eqNullSafe(F.col("b.node")), "left_anti"))
+    jump = up
+    while True:
+        new = stored(jump.alias("a").join(known.alias("b"), _SAME("a", "b") & (F.col("a.above") == F.col("b.node"))).select("a.tree", "a.node"))
+        if new.isEmpty():
+            return known
+        known = stored(known.unionByName(new))
+        rest = jump.alias("a").join(new.alias("b"), _SAME("a", "b") & (F.col("a.node") == F.col("b.node")), "left_anti")
+        jump = stored(rest.alias("a").join(jump.alias("b"), _SAME("a", "b") & (F.col("a.above") == F.col("b.node"))).select("a.tree", "a.node", "b.above"))
+
+
 def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, rank, turns) of the ``best`` branches of each tree.
 
-    ``nodes`` has tree, node, parent (null or unknown: a root), role, text, score. ``turns`` lists
-    (depth, role, text) from the root; a branch's score is the mean of its nodes' (null: 0), ties go to
-    the smaller leaf. Trees may be null. Nodes of a cycle have no root and are on no path.
+    ``nodes`` has tree, node, parent (null or unknown: a root), role, text, score; further columns are ignored.
+    ``turns`` lists (depth, role, text) from the root; a branch's score is the mean of its nodes' (null: 0), ties go to
+    the smaller leaf. Trees may be null. Rows that repeat a node are one node, the least by parent, role, text and
+    score. Nodes of a cycle have no root, so they and their descendants are on no path.
     """
+    fields = ["parent", "role", "text", "score"]
+    nodes = nodes.groupBy("tree", "node").agg(F.min(F.struct(*fields)).alias("n")).select("tree", "node", *[f"n.{f}" for f in fields])
     own = stored(nodes.select("tree", "node", "parent"))
-    same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
-    up = stored(own.alias("a").join(own.alias("b"), same("a", "b") & (F.col("a.parent") == F.col("b.node"))).select("a.tree", "a.node", F.col("b.node").alias("above")))
-    leaves = own.alias("a").join(up.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.above")), "left_anti")
+    up = stored(own.alias("a").join(own.alias("b"), _SAME("a", "b") & (F.col("a.parent") == F.col("b.node"))).select("a.tree", "a.node", F.col("b.node").alias("above")))
+    known = rooted(own, up)
+    in_tree = lambda d: d.alias("a").join(known.alias("k"), _SAME("a", "k") & F.col("a.node").eqNullSafe(F.col("k.node")), "left_semi")
+    up = stored(in_tree(up))
+    leaves = known.alias("a").join(up.alias("b"), _SAME("a", "b") & (F.col("a.node") == F.col("b.above")), "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
-    step, total = 1, own.count()
-    while step <= total and not up.isEmpty():
-        climbed = paths.alias("p").join(up.alias("u"), same("p", "u") & (F.col("p.node") == F.col("u.node")))
+    step = 1
+    while not up.isEmpty():
+        climbed = paths.alias("p").join(up.alias("u"), _SAME("p", "u") & (F.col("p.node") == F.col("u.node")))
         paths = stored(paths.unionByName(climbed.select("p.tree", "p.leaf", F.col("u.above").alias("node"), (F.col("p.height") + step).alias("height"))))
-        up = stored(up.alias("a").join(up.alias("b"), same("a", "b") & (F.col("a.above") == F.col("b.node"))).select("a.tree", "a.node", "b.above"))
+        up = stored(up.alias("a").join(up.alias("b"), _SAME("a", "b") & (F.col("a.above") == F.col("b.node"))).select("a.tree", "a.node", "b.above"))
         step *= 2
-    full = paths.alias("p").join(nodes.alias("n"), same("p", "n") & (F.col("p.node") == F.col("n.node"))).select("p.tree", "p.leaf", "p.height", "n.role", "n.text", F.coalesce("n.score", F.lit(0.0)).alias("score"))
+    full = paths.alias("p").join(nodes.alias("n"), _SAME("p", "n") & F.col("p.node").eqNullSafe(F.col("n.node")))
+    full = full.select("p.tree", "p.leaf", "p.height", "n.role", "n.text", F.coalesce("n.score", F.lit(0.0)).alias("score"))
     rows = full.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("depth"), "role", "text"))).alias("turns"))
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), "leaf")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
 
 
 def format_paths(paths: DataFrame) -> DataFrame:
-    """Columns of ``paths`` but ``turns``, with ``formatted`` and ``loss_spans``. A null role or text is empty."""
-    names = [c for c in paths.columns if c != "turns"]
+    """Columns of ``paths`` but ``turns``, with ``formatted`` and ``loss_spans``, which replace columns of those names. A null role or text is empty."""
+    names = [c for c in paths.columns if c not in ("turns", "formatted", "loss_spans")]
     kept = paths.select(*names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "formatted string, loss_spans array<struct<start: bigint, end: bigint>>"])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -95,7 +121,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame, key: str) -> DataFrame:
-    """What ``formatted`` and ``loss_spans`` hold, read back from them alone."""
+    """What ``formatted`` and ``loss_spans`` hold, read back from them alone; one row for each row, whatever its key, null or repeated."""
     import hashlib
 
     kind = formatted.select(key).schema[0].dataType.simpleString()
@@ -117,13 +143,17 @@ def digests(formatted: DataFrame, key: str) -> DataFrame:
 
 
 def as_nodes(conversations: DataFrame) -> DataFrame:
-    """A table of turns as trees without branches: each row replies to the one before it, by turn, role and text."""
+    """A table of turns as trees without branches, so that ranking has one path to choose: each row replies to the one before it.
+
+    Rows are in order of turn, role and text, nulls first; equal rows are as many turns. A null conv_id is a conversation of its own.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     own = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
     return own.select(F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one with control strings as its texts; a null text is empty, and so is a null role."""
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     nodes = as_nodes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     return digests(format_paths(reply_paths(nodes).withColumnRenamed("tree", "conv_id").select("conv_id", "turns")), "conv_id")

@@ -24,8 +24,6 @@ PASSAGE = 64
 HASHED = 96
 #: Labelled documents to learn from, half of each class as far as there are; the first by a hash of doc_id.
 SAMPLE = 6000
-#: Passages of one document that learning takes, evenly spread; scoring takes all.
-LEARNT_PASSAGES = 24
 HIDDEN, GATE, ROUNDS, RATE, DECAY = 24, 12, 250, 0.02, 1e-4
 PREDICT_AT = 0.7
 U = np.uint64
@@ -158,9 +156,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def encoded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passages, index, labels) of at most ``sample`` documents that are not held out."""
+    """(passages, index, labels) of at most ``sample`` labelled documents that are not held out, with all their passages.
+
+    Labels that say the same twice count once; a document labelled both ways is not learnt from.
+    """
     own = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    own = own.dropDuplicates(["doc_id"])
+    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     half = [own.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for v in (0, 1)]
     ids = half[0].unionByName(half[1])  # at most ``sample`` rows
 
@@ -168,10 +169,7 @@ def encoded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for b in batches:
             for at, n, data, offsets in bytescan.blocks(b.column(2)):
                 x, index = encode(data, offsets)
-                rows = []
-                for s, e in zip(index[:-1], index[1:], strict=True):
-                    take = np.unique(np.linspace(s, e - 1, min(e - s, LEARNT_PASSAGES)).astype(np.int64))
-                    rows.append(x[take].astype(np.float16).tobytes())
+                rows = [x[s:e].astype(np.float16).tobytes() for s, e in zip(index[:-1], index[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
@@ -189,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
 def classify(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """Columns of ``docs`` but the text, with score, n_passages and top_passage (the one of most attention, from 0).
 
-    Null and empty texts are one empty passage. Without a model (no labelled rows) every score is 0.5.
+    Null and empty texts are one empty passage; every row is scored by its whole text, whatever its doc_id. Without a model (no labelled rows) every score is 0.5.
     """
     names = [c for c in docs.columns if c not in ("text", "score", "n_passages", "top_passage")]
     kept = docs.select(*[F.col(f"`{c}`") for c in names])

@@ -299,20 +299,45 @@ def test_reply_trees(spark):
     assert chat.reply_paths(df.limit(0)).count() == 0
 
 
+def test_cycles_and_repeated_nodes(spark):
+    nodes = [("t", 1, 2, "a", "x", 1.0), ("t", 2, 1, "b", "y", 1.0), ("t", 3, 1, "c", "z", 9.0), ("t", 9, 9, "c", "self", 9.0), ("t", 4, None, "user", "q", 0.0), ("t", 5, 4, "d", "r", 0.0), ("t", 5, 4, "d", "r", 0.0), ("t", 5, 4, "d", "s", 0.0)]
+    nodes += [("big", i, i - 1, "u", str(i), 0.0) for i in range(70)] + [(f"o{k}", i, i - 1, "u", "", None) for k in range(40) for i in range(5)]
+    df = spark.createDataFrame([(*n, "k") for n in nodes], "tree string, node long, parent long, role string, text string, score double, leaf string")
+    got = {r["tree"]: (r["leaf"], [t["text"] for t in r["turns"]]) for r in chat.reply_paths(df, 5).collect()}
+    assert got["t"] == (5, ["q", "r"]) and got["big"] == (69, [str(i) for i in range(70)]) and len(got) == 42
+    again = chat.format_paths(chat.reply_paths(df, 5).withColumn("formatted", F.lit(1)))
+    assert again.columns.count("formatted") == 1 and dict(again.dtypes)["formatted"] == "string"
+
+
+def test_conversations_of_odd_rows(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x" * 100_000), (1, None, "assistant", "first"), (None, 0, "assistant", ""), (2, 0, "user", "[/INST]")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    paths = chat.reply_paths(chat.as_nodes(df)).withColumnRenamed("tree", "conv_id").select("conv_id", "turns")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_paths(paths), "conv_id").collect()}
+    turns = [("assistant", "first"), ("user", ""), ("user", ""), ("", "x" * 100_000)]
+    assert got[1]["n_turns"] == 4 and got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[1]["loss_chars"] == 5 and got[None]["n_turns"] == 1 and got[None]["loss_chars"] == 0 and got[2]["n_turns"] == 1
+    assert chat.reply_paths(chat.as_nodes(df.limit(0))).count() == 0
+
+
 def test_packing(spark, edge, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    df, rows = edge
-    rows = [*{(i, t) for i, t in rows if i is not None}]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string").repartition(2)
-    pieces = packing.digest(packing.pack(df, path)).collect()
-    for i, t in rows:
+    rows = [*edge[1], (8, "a<|endoftext|>b"), (9, "<|endoftext|>" * 3), (9, " <|endoftext|"), (None, "")]
+    df = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, start string, `row` int").repartition(2)
+    packed = packing.pack(df, path)
+    pieces = packed.withColumn("ids_crc32", F.crc32("ids")).collect()
+    assert Counter(packing.digest(packed).columns) == Counter("doc_id start length ids_crc32 doc_tokens sequence_id offset".split())
+    by_row = defaultdict(list)
+    for p in pieces:
+        by_row[p["row"]].append(p)
+    for k, (i, t) in enumerate(rows):
         ids, at = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4"), 0
-        for p in sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"]):
-            assert (p["start"], p["doc_tokens"]) == (at, len(ids)) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+        for p in sorted(by_row[k], key=lambda p: p["start"]):
+            assert (p["doc_id"], p["start"], p["doc_tokens"]) == (i, at, len(ids)) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
             at += p["length"]
         assert at == len(ids)
     seqs = defaultdict(list)

@@ -25,10 +25,29 @@ def test_classifier_learns_from_bags(spark, none):
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 303
     # attention finds the passage that makes a document bad
     assert np.mean([r["top_passage"] == 1 for r in held if r["doc_id"] % 3 == 0]) > 0.8
+    both = labels.unionByName(spark.createDataFrame([(r[0], 1 - r[2]) for r in rows], "doc_id long, quality int"))
+    assert mil.train(docs, both) is None  # every document is labelled both ways
+    x, index, y = mil.encoded_sample(docs, labels.unionByName(labels))
+    assert len(y) == sum(not r["held"] for r in got if r["doc_id"] is not None and r["doc_id"] < 300) and index[-1] == len(x)
     assert mil.train(docs, labels.limit(0)) is None and mil.classify(docs, None).where("score <> 0.5").count() == 0
     assert mil.classify(none, None).count() == 0
 
 
+def test_one_bad_passage_of_a_long_text_is_learnt_and_scored(spark):
+    rng = random.Random(8)
+    good = [a + b for a in "ba ke li mo nu par".split() for b in "da fer gin hol".split()]
+    words = lambda n: [rng.choice(good) for _ in range(n)]
+    texts = [words(64 * 40) for _ in range(160)]
+    for i in range(0, 160, 2):
+        k = rng.randrange(40)
+        texts[i][64 * k : 64 * k + 64] = [w + "###" for w in texts[i][64 * k : 64 * k + 64]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(3, " ".join(texts[3]))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    got = [r for r in mil.classify(docs, mil.train(docs, labels)).withColumn("held", mil.held_out(F.col("doc_id"))).collect()]
+    assert len(got) == 161 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["held"]]) > 0.9
+    assert {r["n_passages"] for r in got} == {40} and len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+
+
 def test_gradient_of_the_attention_model():
     rng = np.random.default_rng(0)
     x, index = rng.standard_normal((9, mil.WIDTH)), np.array([0, 2, 3, 9])
