@@ -37,6 +37,8 @@ BITS = 28
 BROADCAST_IDS = 1 << 20
 #: A document in more pairs than this is joined in parts of this many.
 FAN = 2000
+#: Shingles that a worker handles at a time.
+PART = 1 << 18
 #: Longs of the signature that suffix filters compare.
 SIGNATURE = 8
 U = np.uint64
@@ -146,10 +148,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, values binary").dropDuplicates(["doc_id"])
 
 
-def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, index by row) of a column of sets."""
-    size = np.array([len(v.as_buffer()) // 8 for v in values], np.int64)
-    return np.frombuffer(b"".join(v.as_buffer() for v in values), U), np.concatenate([[0], np.cumsum(size)])
+def _slices(batch: pa.RecordBatch, size: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of rows with PART items in all, or one longer row, and their rows' numbers of items."""
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(end, end[at] - size[at] + PART, side="right")))
+        yield batch.slice(at, to - at), size[at:to]
+        at = to
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
@@ -157,9 +162,10 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value, index = _flat(batch.column(2))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(index)))
-            yield pa.RecordBatch.from_arrays([_longs(value), batch.column(0).take(rows), batch.column(1).take(rows)], names=["hash", "doc_id", "n"])
+            for part, size in _slices(batch, batch.column(1).to_numpy()):
+                value = np.frombuffer(b"".join(v.as_buffer() for v in part.column(2)), U)
+                rows = pa.array(np.repeat(np.arange(len(size)), size))
+                yield pa.RecordBatch.from_arrays([_longs(value), part.column(0).take(rows), part.column(1).take(rows)], names=["hash", "doc_id", "n"])
 
     each = sets.mapInArrow(run, "hash long, doc_id long, n long")
     df = each.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
@@ -171,18 +177,16 @@ def postings(docs: DataFrame) -> DataFrame:
     """(hash, doc_id, n, alone, pos) of the rare-first prefixes of ``shared_shingles``; ``alone`` shingles, which only this document has, come before all postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(2)
-            size = np.diff(column.offsets.to_numpy())
-            items = column.flatten()
+        for part, size in (x for b in batches for x in _slices(b, np.diff(b.column(2).offsets.to_numpy()))):
+            items = part.column(2).flatten()
             df, value = (items.field(k).to_numpy() for k in (0, 1))
             text = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((value, df, text))
-            n = batch.column(1).to_numpy()
+            n = part.column(1).to_numpy()
             pos = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(n - size, size)
             keep = pos < np.repeat(n - _least(n) + 1, size)
             rows = pa.array(text[keep])
-            own = [c.take(rows) for c in (batch.column(0), batch.column(1), _longs(n - size))]
+            own = [c.take(rows) for c in (part.column(0), part.column(1), _longs(n - size))]
             yield pa.RecordBatch.from_arrays([_longs(value[order][keep]), *own, _longs(pos[keep])], names=["hash", "doc_id", "n", "alone", "pos"])
 
     return docs.select("doc_id", "n", "shared").mapInArrow(run, "hash long, doc_id long, n long, alone long, pos long")
@@ -193,13 +197,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     names = [f"s{k}" for k in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            size = np.diff(column.offsets.to_numpy())
-            place = (bytescan.mix(column.flatten().field(1).to_numpy().view(U)) % U(64 * SIGNATURE)).astype(np.int64)
+        for part, size in (x for b in batches for x in _slices(b, np.diff(b.column(1).offsets.to_numpy()))):
+            place = (bytescan.mix(part.column(1).flatten().field(1).to_numpy().view(U)) % U(64 * SIGNATURE)).astype(np.int64)
             bits = np.zeros((len(size), SIGNATURE), U)
             np.bitwise_or.at(bits, (np.repeat(np.arange(len(size)), size), place // 64), U(1) << (place % 64).astype(U))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_longs(np.ascontiguousarray(bits[:, k])) for k in range(SIGNATURE))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(_longs(np.ascontiguousarray(bits[:, k])) for k in range(SIGNATURE))], names=["doc_id", *names])
 
     return docs.select("doc_id", "shared").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
