@@ -10,6 +10,7 @@ falling length. Memory is bounded by the classes, whatever the number of documen
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,34 +25,36 @@ CAPACITY = 1024
 #: A rest of fewer tokens is not cut any more.
 LEAST = 64
 END = 0
-#: Characters that are tokenized at a time.
-BATCH_CHARS = 1 << 18
+#: How the byte-level vocabulary splits text before merging (a fixed value of that tokenizer).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str):
-    """Gives the ids of a list of texts under the tokenizers JSON file, added tokens in the texts included."""
-    import os
+    """Gives a text's ids under the tokenizers JSON file, as the tokenizers library does.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    A text with the string of an added token goes through that library. All others, which only the byte-level
+    merges concern, go through tiktoken with the same vocabulary: the same ids (tested) in a quarter of the CPU time.
+    """
+    import tiktoken
+
+    # the vocabulary writes byte b as a printable code point: itself if printable, else 256, 257, ... in order
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    added = [x["content"] for x in model.get("added_tokens", [])]
+    ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in added}
+    merges = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
 
+        return Tokenizer.from_file(path)
 
-def runs(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """The texts in order, in lists of ``most`` characters in all, or one longer text."""
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > most:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
+    return lambda text: library().encode(text, add_special_tokens=False).ids if any(x in text for x in added) else merges(text)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -126,14 +129,14 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
         for batch in batches:
             types = [batch.schema.field(j + 1).type for j in range(len(names))]
             others = zip(*(batch.column(j + 1).to_pylist() for j in range(len(names))), strict=True) if names else iter([()] * batch.num_rows)
-            for texts in runs([t or "" for t in batch.column(0).to_pylist()]):
-                for found, row in zip(encode(texts), others):  # the others go on from run to run
-                    found.append(end)
-                    ids = np.array(found, "<u4").tobytes()
-                    n, at = len(found), 0
-                    for length in cuts(n, capacity):
-                        held += bins.add(length, (row, at, ids[4 * at : 4 * (at + length)], n))
-                        at += length
+            for text, row in zip(batch.column(0), others, strict=True):
+                found = encode(text.as_py() or "")
+                found.append(end)
+                ids = np.array(found, "<u4").tobytes()
+                n, at = len(found), 0
+                for length in cuts(n, capacity):
+                    held += bins.add(length, (row, at, ids[4 * at : 4 * (at + length)], n))
+                    at += length
                 if len(held) >= 4096:
                     yield out(held)
                     held = []

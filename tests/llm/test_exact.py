@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import automaton, bytescan, chat, decontaminate, ngram_join, packing, quality_rules, secrets, suffix_dedup
@@ -352,6 +354,18 @@ def test_packing(spark, edge, none):
     assert packing.pack(none, path).count() == 0
 
 
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["'s", "'LL", " 12", "\u00a0", "\u2003 ", "\r\n\n", "\u0661", "<|endoftext|>", "e\u0301", "\u3000\u4e2d", "\ud7a3"])), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_those_of_the_tokenizers_library(parts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    test_ids_are_those_of_the_tokenizers_library.tok = tok = getattr(test_ids_are_those_of_the_tokenizers_library, "tok", None) or Tokenizer.from_file(path)
+    text = "".join(parts)
+    assert packing.encoder(path)(text) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_fill_their_classes():
     for n in range(1, 5000):
         c = packing.cuts(n)
