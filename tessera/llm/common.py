@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,26 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, BIG, BIG.lower()))
 
 
+def bitmap(hashes: DataFrame, column: str = "hash", most: int = 28) -> tuple[np.ndarray, int]:
+    """A filter of the distinct longs of ``column``: bit k of 1 << bits is set if one has the leading bits k.
+
+    It has 8 bits for each, but at most 1 << most (32 MB): beyond, it lets more pass. Whoever uses it drops those by a join.
+    """
+    bits = max(16, min(most, (8 * hashes.count()).bit_length()))
+    k = F.shiftrightunsigned(column, 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
+    words = hashes.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def in_bitmap(held: tuple[np.ndarray, int], values: np.ndarray) -> np.ndarray:
+    filled, bits = held
+    k = values >> np.uint64(64 - bits)
+    return (filled[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node that can be reached.
 

@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan
-from tessera.llm.common import components, dropped, stored, table
+from tessera.llm.common import bitmap, components, dropped, in_bitmap, stored, table
 
 SIZE = 5
 #: Similarity threshold in hundredths.
 PERCENT = 75
 #: Of every so many shingles one more must be shared in the hash-ordered prefix, which is longer by as many.
 EXTRA = 10
-#: The filter of shared shingles has 8 bits for each, at most 1 << BITS (32 MB); it only spares rows that a join drops.
-BITS = 28
 #: Ids of documents (16 bytes each with a print) are broadcast up to this many, else joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: A document in more pairs than this is joined in parts of this many.
@@ -99,17 +97,6 @@ def _in_prefix(index: np.ndarray) -> np.ndarray:
     return np.arange(index[-1]) - np.repeat(index[:-1], n) < np.repeat(width, n)
 
 
-def bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """A filter of the distinct ``hash``: bit k of 1 << bits is set if some hash has the leading bits k."""
-    bits = max(16, min(BITS, (8 * hashes.count()).bit_length()))
-    k = F.shiftrightunsigned("hash", 64 - bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")
-    words = hashes.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), U)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
-    return out, bits
-
-
 def company(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc_id) of the rows of ``only`` that share enough of their longer prefixes (``shared``: hash) for a partner.
 
@@ -118,13 +105,11 @@ def company(docs: DataFrame, shared: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, bits = held.value
         for batch in batches:
             for rows, value, index, *_ in _sets(batch):
                 n = np.diff(index)
                 needed = _least(n) // EXTRA + 1
-                k = value >> U(64 - bits)
-                hit = _in_prefix(index) & ((filled[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1)
+                hit = _in_prefix(index) & in_bitmap(held.value, value)
                 c = np.concatenate([[0], np.cumsum(hit)])
                 text = np.repeat(np.arange(len(n)), n)
                 hit &= (c[index[1:]] - c[index[:-1]] >= needed)[text]

@@ -69,32 +69,40 @@ def test_line_dedup_against_brute_force(spark, none):
     docs += [(100 + i, docs[0][1]) for i in range(30)] + [(200, None), (201, ""), (None, docs[1][1]), (202, "\n\n")]
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, `keys` string").repartition(3)
 
-    def found(t):
-        for n, x in enumerate((t or "").split("\n")):
-            w = ["*" if re.search("[0-9]", y) else y.lower() for y in re.findall(WORD, x)]
-            if len(w) >= line_templates.MIN_TOKENS:
-                c = [line_templates.LEAD + (len(w) - line_templates.LEAD) * k // 4 for k in range(5)]
-                p = [tuple(w[c[k] : c[k + 1]]) for k in range(4)]
-                leaf = (len(w), *w[:3])
-                yield n, [(leaf, "whole", *p), *((leaf, k, *p[:k], *p[k + 1 :]) for k in range(4))]
-
-    def kind(t):
-        b = np.frombuffer((t or "").encode(), np.uint8)
-        return int(line_templates.lines(b, np.array([0, len(b)]))[4][0])
+    def split(t):
+        """(line, leaf, tokens behind the lead) with None for tokens with a digit; short lines whole."""
+        for k, x in enumerate((t or "").split("\n")):
+            w = [y.lower() for y in re.findall(WORD, x)]
+            if w:
+                m = [None if re.search("[0-9]", y) else y for y in w]
+                yield (k, (len(w), *m[: line_templates.LEAD]), m[line_templates.LEAD :]) if len(w) >= line_templates.MIN_TOKENS else (k, tuple(w), [])
+
+    found = {j: [*split(t)] for j, (_, t) in enumerate(docs)}
+    # copies are exact here, and other documents share nothing but the lines in question
+    who = lambda j, leaf: tuple(sorted(str(x[1:]) for x in found[j] if x[1] != leaf and sum(x[1:] == y[1:] for v in found.values() for y in v) < 8 or x[1] != leaf and j >= 40))
+    seen = defaultdict(set)
+    for j, v in found.items():
+        for _, leaf, rest in v:
+            seen[leaf].add((tuple(rest), who(j, leaf)))
+
+    def keys(leaf, rest):
+        out = set()
+        for level in line_templates.LEVELS:
+            least = max(line_templates.MIN_DOCS, level * len(seen[leaf]))
+            kept = tuple(t if t is not None and sum(r[p] == t for r, _ in seen[leaf]) >= least else None for p, t in enumerate(rest))
+            if 2 * kept.count(None) <= len(kept):
+                out.add((leaf, kept))
+        return out
 
     holders = defaultdict(set)
-    for j, (_, t) in enumerate(docs):
-        for _, ks in found(t):
-            for k in ks:
-                holders[k].add(j)
-    again = set()
-    for k, v in holders.items():
-        kinds = {kind(docs[j][1]) for j in v}
-        if len(kinds) >= line_templates.MIN_DOCS and len(kinds) >= line_templates.SPREAD * len(v):
-            again.add(k)
+    for j, v in found.items():
+        for _, leaf, rest in v:
+            for k in keys(leaf, rest):
+                holders[k].add((tuple(rest), who(j, leaf)))
+    again = {k for k, v in holders.items() if len({w for _, w in v}) >= line_templates.MIN_DOCS}
     want = []
     for i, t in docs:
-        gone = {n for n, ks in found(t) if any(k in again for k in ks)}
+        gone = {n for n, leaf, rest in split(t) if keys(leaf, rest) & again}
         want.append((str(i), None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone), len(gone)))
     got = [(str(r["doc_id"]), r["text"], r["n_dropped"]) for r in line_templates.dedup_lines(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
@@ -149,7 +157,7 @@ def _prose(rng, n):
 
 def _whole(line):
     b = np.frombuffer(line.encode(), np.uint8)
-    return int(line_templates.lines(b, np.array([0, len(b)]))[3][0][0])
+    return int(line_templates.lines(b, np.array([0, len(b)]))[2][0])
 
 
 def test_line_that_is_the_least_of_all_its_documents_recurs(spark):
@@ -203,6 +211,43 @@ def test_short_lines_recur_as_they_are(spark):
     assert got == {i: f"{x}\nPage {i}" for i, x in enumerate(own)}
 
 
+def test_any_fields_behind_the_lead_are_generalised(spark):
+    rng = random.Random(10)
+    own = [_prose(rng, 30) for _ in range(100)]
+    got = _dropped(spark, [f"{x}\nPosted by user {_prose(rng, 1)} in section today under heading {_prose(rng, 1)} for you" for x in own])
+    assert got == dict(enumerate(own))
+    # fields of few values each, and a second template in the same leaf
+    names, towns = [_prose(rng, 1) for _ in range(9)], [_prose(rng, 1) for _ in range(9)]
+    line = lambda i: f"Posted by user {names[i % 9]} from the town of {towns[i // 9 % 9]} at noon" if i % 3 else f"Posted by user {names[i % 9]} who has now {_prose(rng, 1)} more old friends here"
+    assert _dropped(spark, [f"{x}\n{line(i)}" for i, x in enumerate(own)]) == dict(enumerate(own))
+
+
+def test_random_boilerplate_is_dropped_from_all_short_documents(spark):
+    rng = random.Random(12)
+    lines = [_prose(rng, 6) for _ in range(60)]
+    own = [_prose(rng, 24) for _ in range(600)]
+    got = _dropped(spark, [f"{x}\n{lines[i % 60]}" for i, x in enumerate(own)])
+    assert got == dict(enumerate(own))
+
+
+def test_prose_with_one_beginning_and_length_stays(spark):
+    rng = random.Random(13)
+    assert not _dropped(spark, [f"{_prose(rng, 20)}\nThe old man {_prose(rng, 9)}" for _ in range(200)])
+
+
+def test_line_dedup_of_repeats_nulls_and_long_texts(spark):
+    rng = random.Random(14)
+    rows = [(i, f"{_prose(rng, 12)}\nRead more of this on our pages") for i in range(10)]
+    rows += [rows[0], (None, rows[1][1]), (None, None), (50, ""), (51, "\n".join([_prose(rng, 40) for _ in range(800)] + ["Read more of this on our pages"]))]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, mark long, lines long")
+    got = line_templates.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "mark", "lines", "n_lines", "n_dropped"]
+    got = got.collect()
+    assert len(got) == len(rows) and all(r["mark"] == 1 and r["lines"] == 2 for r in got)
+    want = [t and t.replace("\nRead more of this on our pages", "") for _, t in rows]
+    assert sorted(str(r["text"]) for r in got) == sorted(map(str, want))
+
+
 def test_given_names_of_one_surname_stay_distinct(spark):
     names = "Adam Bruno Carl Dirk Emil Fritz Georg Hugo Ivo Jan Kurt Luis".split()
     df = spark.createDataFrame([(i, f"Mr {x} Smith and Mr Smith") for i, x in enumerate(names)], "doc_id long, text string")
