@@ -253,3 +253,55 @@ def test_given_names_of_one_surname_stay_distinct(spark):
     df = spark.createDataFrame([(i, f"Mr {x} Smith and Mr Smith") for i, x in enumerate(names)], "doc_id long, text string")
     got = [r["text"] for r in pii.replace_pii(df).collect()]
     assert len({t.split(" and ")[0] for t in got}) == len(names) and len({t.split(" and ")[1] for t in got}) == 1
+
+
+FOUND = [
+    ("Call John Smith or jane at Acme", ["person:John Smith"]),
+    ("Dr. Li Wei; Κύριος Παπάς Νίκος; 田中太郎さん", ["person:Dr. Li Wei", "person:Κύριος Παπάς Νίκος", "person:田中太郎さん"]),
+    ("from 2001:db8::1, std::vector, a::b, 10.1.2.3, version 1.2.3.4, v1.2.3.4", ["ipv6:2001:db8::1", "ip:10.1.2.3"]),
+    ("Frau Müller, Анна Петрова and Prof Adams; Johnny Cash; the Mary celeste", ["person:Frau Müller", "person:Анна Петрова", "person:Prof Adams"]),
+    ("a.b@c.de; 123-45-6789; 4111 1111 1111 1111; +49 30 1234567, (030) 123-4567", ["email:a.b@c.de", "ssn:123-45-6789", "card:4111 1111 1111 1111", "phone:+49 30 1234567", "phone:(030) 123-4567"]),
+    ("GB82 WEST 1234 5698 7654 32 and 1.2.3.4.5 and 99999 and x@y", ["iban:GB82 WEST 1234 5698 7654 32"]),
+]
+
+
+def test_what_is_personal(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FOUND)], "i long, t string")
+    m = F.explode(F.regexp_extract_all("t", F.lit(pii.PATTERN), F.lit(0)))
+    got = defaultdict(list)
+    for r in df.select("i", m.alias("m")).select("i", F.concat_ws(":", pii.kind_of(F.col("m")), "m").alias("x")).collect():
+        got[r["i"]].append(r["x"])
+    assert [got[i] for i in range(len(FOUND))] == [x for _, x in FOUND]
+
+
+def test_surrogates_keep_type_and_check_digits(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(FOUND)]
+    df = spark.createDataFrame([(i, t, "k", 5) for i, t in rows], "doc_id long, text string, entities string, __mark int")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, "another key").collect()}
+    assert re.fullmatch(r"Call \w+ \w+ or jane at Acme", got[0]) and "Smith" not in got[0] and got[0] != other[0]
+    a, b, c = got[1].split("; ")
+    assert re.fullmatch(r"Dr\. [A-Z]\w+ [A-Z]\w+", a) and re.fullmatch("Κύριος [Α-Ωά-ώ]\\w+ [Α-Ωά-ώ]\\w+", b) and re.fullmatch("[\u4e00-\u9fff]{2}さん", c) and "田中" not in c
+    assert re.fullmatch(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f], std::vector, a::b, \d\d\.\d\.\d\.\d, version 1\.2\.3\.4, v1\.2\.3\.4", got[2]) and "10.1.2.3" not in got[2]
+    card = re.search(r"; ([0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4});", got[4])[1].replace(" ", "")
+    assert sum(int(d) if k % 2 else sum(map(int, str(2 * int(d)))) for k, d in enumerate(card)) % 10 == 0 and card != "4" + "1" * 15
+    iban = re.match(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and 1\.2\.3\.4\.5", got[5])[1].replace(" ", "")
+    assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1 and "WEST" not in iban
+
+
+def test_surrogates_never_run_out(spark):
+    """All one-digit addresses and many numbers of few digits are entities themselves."""
+    ips = spark.range(6561).select(F.lit("ip").alias("kind"), F.concat_ws(".", *[((F.col("id") / 9**k).cast("long") % 9 + 1).cast("string") for k in range(4)]).alias("canon"))
+    phones = spark.range(1000).select(F.lit("phone").alias("kind"), F.format_string("5%03d", "id").alias("canon"))
+    got = pii.assignments(ips.unionByName(phones))
+    n = got.agg(F.count("*"), F.countDistinct("kind", "canon"), F.countDistinct("kind", "surrogate")).first()
+    assert tuple(n) == (7561, 7561, 7561)
+    assert got.join(ips.unionByName(phones).withColumnRenamed("canon", "surrogate"), ["kind", "surrogate"], "left_semi").isEmpty()
+
+
+def test_surrogates_of_long_and_repeated_texts(spark):
+    long = " ".join(["word"] * 60_000) + " me@here.org " + " ".join(["word"] * 60_000)
+    df = spark.createDataFrame([(1, long), (1, long), (2, "me@here.org"), (None, "me@here.org"), (None, None)], "doc_id long, text string")
+    got = pii.replace_pii(df).collect()
+    mails = {re.search(r"\S+@\S+", r["text"])[0] for r in got if r["text"]}
+    assert len(got) == 5 and len(mails) == 1 and "me@here.org" not in mails and [len(r["entities"]) for r in got if r["text"] is None] == [0]
