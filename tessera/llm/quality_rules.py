@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
 Each rule reads a few counts of a text and votes 1 (good), 0 (bad) or null (abstains). A kind of junk has several
-rules that look at it in different ways, by characters and by words. A document is good or junk of one kind;
+rules that look at it in different ways, by characters, by runs of them and by words. A document is good or junk of one kind;
 expectation maximisation estimates how common each class is and how often every rule votes bad on it, that is, its
 accuracy. A document is kept if its posterior probability of being good reaches ``KEEP_AT`` and the two base rules
 pass: a lone bad vote of a rule that errs is outvoted, agreeing ones are not. All work on rows is native; the driver
@@ -21,16 +21,16 @@ KEEP_AT = 0.5
 #: name: (kind of junk, a ratio over the columns of features(), good up to, bad from); between the two a rule abstains.
 RULES = {
     "symbols": ("symbols", "n_symbols / n_words", 0.02, 0.1),
-    "symbol_words": ("symbols", "n_symbol_words / n_words", 0.02, 0.1),
+    "symbol_runs": ("symbols", "n_symbol_runs / n_words", 0.02, 0.1),
     "capitals": ("capitals", "n_capitals / word_chars", 0.1, 0.25),
-    "capital_words": ("capitals", "n_capital_words / n_words", 0.05, 0.2),
+    "capital_runs": ("capitals", "n_capital_runs / n_words", 0.05, 0.2),
     "exclaims": ("capitals", "n_exclaims / n_words", 0.02, 0.1),
     "dup_lines": ("repeats", "n_dup_lines / n_lines", 0.1, 0.3),
     "repeats": ("repeats", "n_repeat_words / n_words", 0.1, 0.25),
-    "adjacent": ("repeats", "n_adjacent / n_words", 0.02, 0.1),
+    "stutters": ("repeats", "n_stutters / n_words", 0.02, 0.1),
     "same_words": ("repeats", "1 - n_distinct / n_words", 0.6, 0.8),
     "digits": ("shape", "n_digits / word_chars", 0.05, 0.15),
-    "digit_words": ("shape", "n_digit_words / n_words", 0.1, 0.3),
+    "digit_runs": ("shape", "n_digit_runs / n_words", 0.1, 0.3),
     "long_words": ("shape", "word_chars / n_words", 9.0, 14.0),
     "long_lines": ("shape", "n_words / n_lines / 100", 4.0, 20.0),
 }
@@ -39,12 +39,6 @@ CLASSES = ["good", *dict.fromkeys(r[0] for r in RULES.values())]
 THOUGHT = (0.02, 0.6, 0.1)
 #: ... with the weight of this share of all documents, for each class.
 WEIGHT = 0.02
-#: Patterns that begin at the beginning of a word and read it once, however long.
-_SYMBOL_WORD = rf"(?<![^{SPACE}])[^{SPACE}#*$%&|<>]*+[#*$%&|<>]"
-_CAPITAL_WORD = rf"(?<![^{SPACE}])(?=[^{SPACE}]*?\p{{Lu}})[^{SPACE}\p{{Ll}}]{{2,}}+(?![^{SPACE}])"
-_DIGIT_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9]"
-_ADJACENT = rf"(?<![^{SPACE}])([^{SPACE}]++)(?=[{SPACE}]++\1(?![^{SPACE}]))"
-
 
 def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, q): ``row`` holds the columns ``keep`` of ``docs`` (all but the text), ``q`` counts of words, characters, lines and repeats.
@@ -62,6 +56,7 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         "_s",
         F.expr("case when size(array_distinct(_h)) = size(_h) then cast(null as array<struct<h: bigint, i: int>>) else sort_array(transform(_h, (x, i) -> struct(x as h, i as i))) end"),
     )
+    own = own.withColumn("_e", F.expr("case when _s is null then 0 else size(filter(_h, (x, i) -> x <=> get(_h, i + 1))) end"))
     own = own.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h <=> get(_s, k - 1).h or x.h <=> get(_s, k + 1).h), x -> x.i))"))
     own = own.withColumn("_r", F.expr("coalesce(aggregate(transform(_p, (x, k) -> least(3, coalesce(get(_p, k + 1) - x, 3))), 0, (a, x) -> a + x), 0)"))
     count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("long")
@@ -75,10 +70,10 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         count(r"\p{Lu}").alias("n_capitals"),
         count(r"!").alias("n_exclaims"),
         count(r"[0-9]").alias("n_digits"),
-        count(_SYMBOL_WORD).alias("n_symbol_words"),
-        count(_CAPITAL_WORD).alias("n_capital_words"),
-        count(_DIGIT_WORD).alias("n_digit_words"),
-        count(_ADJACENT).alias("n_adjacent"),
+        count(r"[#*$%&|<>]++").alias("n_symbol_runs"),
+        count(r"\p{Lu}{2,}+").alias("n_capital_runs"),
+        count(r"[0-9]++").alias("n_digit_runs"),
+        F.col("_e").cast("long").alias("n_stutters"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
     )
     # a generator of one row: filters on q stay above it, else they would repeat all of this in their place
