@@ -1,9 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-For every benchmark phrase the rarest term over the whole corpus is found. The index stores the postings
-of those terms: (term, document, position, the words around it). Lists are intersected adjusted by offset,
-rarest term first: a posting and a phrase meet on the rarest term, then the second rarest must stand at its
-offset, then every other word. The same postings answer proximity searches.
+For every benchmark phrase its rarest terms over the whole corpus are found. The index stores the postings of
+those terms: (term, document, position). Lists are intersected adjusted by offset, rarest term first: a posting of
+the rarest gives a place where the phrase would start, and the other terms must have a posting at their offsets
+from it. What is left is compared word by word with the document. The same postings answer proximity searches.
 """
 
 from __future__ import annotations
@@ -11,14 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, stored, table
+from tessera.llm.common import dropped, lower_ascii, stored, table
 
 WINDOW = 10
-#: Terms are broadcast up to this many and these bytes in all; beyond, they are joined by shuffle.
-BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Posting lists that are intersected for a phrase.
+LISTS = 3
+#: Rows are broadcast up to so many bytes, counted; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Postings of a term that one part of it holds; the phrases that look it up are copied for every part.
+HOT = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def mark(text: str) -> Column:
+    """Tells apart rows that share a doc_id."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def words(text: str) -> Column:
     """A-Z in lower case, then maximal runs of a-z, 0-9 and characters beyond ASCII. Null has none."""
     return F.array_remove(F.split(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), NOT_WORD), "")
@@ -31,87 +40,117 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(size)).alias("words")).distinct()
 
 
-def only(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows whose ``term`` is in ``terms`` (distinct); a broadcast only after its size is checked."""
-    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    small = n <= BROADCAST_TERMS and size <= BROADCAST_BYTES
-    return rows.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+def small(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows``, to be broadcast if ``size``, summed over them, allows it."""
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of ``terms`` stands in all documents."""
-    return only(docs.select(F.explode(words("text")).alias("term")), terms).groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): how often each of ``terms`` stands in all documents, if it does."""
+    return docs.select(F.explode(words("text")).alias("term")).join(small(terms, F.octet_length("term") + 16), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> DataFrame:
-    """(term, doc_id, position from 0, near, at): ``near`` holds up to ``around`` words on both sides; the term is its item ``at`` from 0."""
-    rows = docs.select("doc_id", words("text").alias("w")).select("doc_id", "w", F.posexplode("w").alias("position", "term"))
-    rows = only(rows, terms)
-    first = F.greatest(F.lit(0), F.col("position") - around)
-    return rows.select("term", "doc_id", "position", F.slice("w", first + 1, F.col("position") - first + 1 + around).alias("near"), (F.col("position") - first).alias("at"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, mark, position from 0) of ``terms``."""
+    rows = docs.select("doc_id", mark("text").alias("mark"), F.posexplode(words("text")).alias("position", "term"))
+    return rows.join(small(terms, F.octet_length("term") + 16), "term", "left_semi").select("term", "doc_id", "mark", "position").distinct()
 
 
 def rarest_first(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """``phrases`` (words) with term and offset of the rarest word, and of the second rarest place (the same if there is one word)."""
-    each = phrases.select("words", F.posexplode("words").alias("o", "term")).join(counts, "term", "left")
-    ranked = each.groupBy("words").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
-    second = F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
-    return ranked.select("words", F.col("r")[0]["term"].alias("term"), F.col("r")[0]["o"].alias("offset"), second["term"].alias("term2"), second["o"].alias("offset2"), (F.col("r")[0]["n"] > 0).alias("found")).where("found").drop("found")
+    """(phrase, size, r): of ``phrases`` (phrase, words) that may stand somewhere, up to LISTS different words (n, o, term) with their places, rarest first."""
+    each = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("o", "term")).join(small(counts, F.octet_length("term") + 24), "term", "left")
+    first = each.groupBy("phrase", "size", "term").agg(F.min("o").alias("o"), F.max("n").alias("n"))
+    ranked = first.groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
+    return ranked.where(F.col("r")[0]["n"] > 0).withColumn("r", F.slice("r", 1, LISTS))
+
+
+def looked_up(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """(phrase, size, r, doc_id, mark, position): each posting of a phrase's rarest term. A term with many postings is dealt out in parts."""
+    by = plan.withColumn("term", F.col("r")[0]["term"])
+    parts = F.ceil(F.col("r")[0]["n"] / HOT).cast("int")
+    by = by.select("phrase", "size", "r", "term", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), parts.alias("parts"))
+    hot = stored(by.select("term", "parts").where("parts > 1").distinct())
+    dealt = index.join(small(hot, F.octet_length("term") + 24), "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "position"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(small(by.drop("parts"), 60 * F.size("r") + 60), ["term", "part"]).drop("term", "part")
+
+
+def phrase_places(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """(phrase, doc_id, mark, start): places where the listed terms of a phrase all stand at their offsets."""
+    found = looked_up(index, plan).withColumn("start", F.col("position") - F.col("r")[0]["o"]).where("start >= 0").drop("position")
+    same = F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.mark") == F.col("p.mark"))
+    for k in range(1, LISTS):
+        more, enough = found.where(F.size("r") > k), found.where(F.size("r") <= k)
+        f = more.withColumns({"term": F.col("r")[k]["term"], "at": F.col("start") + F.col("r")[k]["o"]}).alias("f")
+        there = same & (F.col("f.term") == F.col("p.term")) & (F.col("f.at") == F.col("p.position"))
+        found = f.join(index.alias("p"), there, "left_semi").drop("term", "at").unionByName(enough)
+    return found.select("phrase", "doc_id", "mark", "start").distinct()
+
+
+def near_places(index: DataFrame, plan: DataFrame, within: int = WINDOW - 1) -> DataFrame:
+    """(phrase, doc_id, mark): documents in which the two rarest words of a phrase stand at most ``within`` words apart.
+
+    Postings meet by stretches of ``within`` + 1 words, so a document in which both are frequent makes no pairs of all with all.
+    """
+    width = within + 1
+    one = looked_up(index, plan.where(F.size("r") > 1)).select("phrase", "doc_id", "mark", "position", F.col("r")[1]["term"].alias("term"))
+    stretch = (F.col("position") / width).cast("int")
+    one = one.select("*", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).alias("f")
+    two = index.withColumn("stretch", stretch).alias("p")
+    same = F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.mark") == F.col("p.mark")) & (F.col("f.term") == F.col("p.term")) & (F.col("f.stretch") == F.col("p.stretch"))
+    return one.join(two, same & (F.abs(F.col("f.position") - F.col("p.position")) <= within), "left_semi").select("phrase", "doc_id", "mark").distinct()
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc_id, start, words): every place of ``docs`` (doc_id, text) where a phrase of ``phrases`` (words, at most WINDOW) stands."""
-    phrases = stored(phrases.select("words").where("size(words) > 0").distinct())
+def search(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places that hold a phrase's rarest terms, documents that hold the two rarest near each other) for ``phrases`` (phrase, words)."""
     vocabulary = phrases.select(F.explode("words").alias("term")).distinct()
-    plan = stored(rarest_first(phrases, term_counts(docs, vocabulary)))
-    index = stored(postings(docs, plan.select("term").distinct()))
-    p, q = index.alias("p"), plan.alias("q")
-    first = F.col("p.at") - F.col("q.offset")
-    meets = (
-        (F.col("p.term") == F.col("q.term"))
-        & (first >= 0)
-        & F.get("p.near", first + F.col("q.offset2")).eqNullSafe(F.col("q.term2"))
-        & (F.slice("p.near", F.greatest(F.lit(0), first) + 1, F.size("q.words")) == F.col("q.words"))
-    )
-    return p.join(q, meets).select("p.doc_id", (F.col("p.position") - F.col("q.offset")).alias("start"), "q.words").distinct()
+    plan = stored(rarest_first(phrases, stored(term_counts(docs, vocabulary))))
+    index = stored(postings(docs, plan.select(F.explode("r.term").alias("term")).distinct()))
+    found = stored(phrase_places(index, plan)), stored(near_places(index, plan))
+    dropped(index)
+    return found
 
 
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = WINDOW - 1) -> DataFrame:
-    """(doc_id, position, a, b): places of the rarer of ``a`` and ``b`` with the other at most ``within`` words away."""
-    pairs = stored(pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    terms = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    n = term_counts(docs, terms)
-    sized = pairs.join(n.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
-    sized = stored(sized.withColumn("term", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))))
-    index = postings(docs, sized.select("term").distinct(), within)
-    p, q = index.alias("p"), sized.alias("q")
-    return p.join(q, (F.col("p.term") == F.col("q.term")) & F.array_contains("p.near", F.col("q.other"))).select("p.doc_id", "p.position", "q.a", "q.b")
+    """(doc_id, a, b): documents with the words ``a`` and ``b`` at most ``within`` words apart. A pair of one word, or with null, matches nothing."""
+    pairs = pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
+    pairs = stored(pairs.withColumn("phrase", F.xxhash64("a", "b")))
+    phrases = pairs.select("phrase", F.array("a", "b").alias("words"))
+    plan = stored(rarest_first(phrases, term_counts(docs, phrases.select(F.explode("words").alias("term")).distinct())).where(F.col("r")[F.size("r") - 1]["n"] > 0))
+    index = stored(postings(docs, plan.select(F.explode("r.term").alias("term")).distinct()))
+    return near_places(index, plan, within).join(pairs, "phrase").select("doc_id", "a", "b").distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, mark, n_words, n_hit, n_items, item_ids, contaminated, n_near.
 
-    A word is hit if it lies inside an occurrence of a window of any item. Null and empty texts have no
-    words; an empty benchmark hits nothing. Rows that share a doc_id share their hits; a null doc_id is
-    matched as itself.
+    A word is hit if it lies inside an occurrence of a window of any item. ``n_near`` counts the items of which some
+    window has its two rarest words in the text, at most WINDOW - 1 words apart. Null and empty texts have no words;
+    an empty benchmark hits nothing; items without words or text have no windows. Rows are judged by their own text:
+    neither a shared nor a null doc_id passes hits on.
     """
-    docs = docs.select("doc_id", "text")
-    wanted = stored(windows(benchmark))
-    found = stored(phrase_matches(docs, wanted))
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.size("words") - 1)))))
-    hits = found.groupBy("doc_id").agg(covered.cast("long").alias("n_hit"))
-    named = found.select("doc_id", "words").distinct().join(wanted, "words").select("doc_id", F.col("item_id").cast("string").alias("item_id")).distinct()
-    items = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    per_doc = hits.alias("h").join(items.alias("i"), F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")), "left").select("h.doc_id", "n_hit", "item_ids")
-    counted = docs.select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    rows = counted.alias("d").join(per_doc.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left")
-    n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("item_ids", F.array().cast("array<string>"))
-    return rows.select("d.doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    items = windows(benchmark).groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    phrases = stored(stored(items).withColumn("phrase", F.monotonically_increasing_id()))
+    places, near = search(docs, phrases.select("phrase", "words"))
+    width = F.size("words") * 24 + F.size("items") * 40 + 60
+    held = places.join(small(phrases, width), "phrase").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "words", "items")).alias("held"))
+    by_item = near.join(small(phrases.drop("words"), F.size("items") * 40 + 40), "phrase").groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("near"))
+    found = held.alias("a").join(by_item.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark")), "full")
+    found = stored(found.select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.mark", "b.mark").alias("mark"), "held", "near"))
+    found = small(found, F.coalesce(F.aggregate("held", F.lit(0), lambda a, x: a + 40 + 24 * F.size(x["words"]) + 40 * F.size(x["items"])), F.lit(0)) + F.coalesce(40 * F.size("near"), F.lit(0)) + 60)
+    d = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("w")).alias("d")
+    rows = d.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mark") == F.col("f.mark")), "left")
+    rows = rows.withColumn("hits", F.filter("held", lambda x: F.slice("w", x["start"] + 1, F.size(x["words"])) == x["words"]))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + F.size(x["words"]) - 1))))
+    n_hit = F.coalesce(F.size(covered), F.lit(0)).cast("long")
+    ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("hits.items")))), F.array().cast("array<string>"))
+    rows = rows.select("d.doc_id", "d.mark", F.size("w").cast("long").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"))
+    return rows.select("doc_id", "mark", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}
@@ -128,8 +167,15 @@ dg as (
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from dw, (select distinct n from win))),
 m as (select doc_id, s, n, item_id from dg join win using (n, p)),
 h as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(s, s + n)) as x from m) group by doc_id),
-i as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, cast(item_id as varchar) as i from m) group by doc_id)
+i as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, cast(item_id as varchar) as i from m) group by doc_id),
+dp as (select doc_id, unnest(w) as t, unnest(range(0, len(w))) as pos from dw),
+cnt as (select t, count(*) as c from dp group by t),
+tw as (select p, t, min(o) as o from (select p, unnest(string_split(p, ' ')) as t, unnest(range(0, n)) as o from (select distinct p, n from win)) group by p, t),
+rk as (select p, t, coalesce(c, 0) as c, row_number() over (partition by p order by coalesce(c, 0), o) as r from tw left join cnt using (t)),
+two as (select a.p, a.t as t1, b.t as t2 from rk a join rk b on a.p = b.p and a.r = 1 and b.r = 2 and a.c > 0),
+nr as (select distinct x.doc_id, p from two join dp x on x.t = t1 join dp y on y.t = t2 and y.doc_id = x.doc_id and abs(x.pos - y.pos) <= 9),
+ni as (select doc_id, count(distinct item_id) as n_near from nr join win using (p) group by doc_id)
 select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join h using (doc_id) left join i using (doc_id)"""
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from dw left join h using (doc_id) left join i using (doc_id) left join ni using (doc_id)"""
 }

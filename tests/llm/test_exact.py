@@ -142,8 +142,6 @@ def test_benchmark_hits(spark, edge, none):
     df, rows = edge
     text = dict(r for r in rows if r[0] is not None)
     items = [(1, " ".join(text[20].split()[30:70])), (2, text[31]), (10, "Changed"), (3, None), (4, "--"), (5, "no such words here at all")]
-    rows = [r for r in rows if r[0] is not None]
-    df = df.where("doc_id is not null")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r["n_words"], r["n_hit"], ",".join(r["item_ids"]), r["contaminated"]) for r in decontaminate.report(df, bench).collect())
     assert got == brute_hits(rows, items)
@@ -155,6 +153,23 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "beta alpha beta"), (4, None)], "doc_id long, text string")
     pairs = spark.createDataFrame([("alpha", "beta")], "a string, b string")
     assert {r["doc_id"] for r in decontaminate.proximity_matches(docs, pairs, 3).collect()} == {1, 3}
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    pairs = [("a", "b"), ("c", "h"), ("g", "e"), ("a", "zz"), ("d", "d"), (None, "a")]
+    got = {tuple(r) for r in decontaminate.proximity_matches(docs, spark.createDataFrame(pairs, "a string, b string"), 2).collect()}
+    near = lambda t, a, b: any(x == a and b in t[max(0, k - 2) : k + 3] for k, x in enumerate(t))
+    assert got == {(i, a, b) for i, t in enumerate([*texts, texts[0]]) for a, b in pairs if a != b and a and near(t.split(), a, b)}
+
+
+def test_a_hot_term_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT", 7)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(60))) for i in range(30)] + [(None, "a b a b a b a b a b")]
+    items = [(1, "a b a b b a"), (2, "b b b b b b b b b b b b"), (3, " ".join(rows[4][1].split()[10:24])), (4, "a")]
+    got = decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["n_words"], r["n_hit"], ",".join(r["item_ids"]), r["contaminated"]) for r in got) == brute_hits(rows, items)
 
 
 def brute_classes(rows):
