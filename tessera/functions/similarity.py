@@ -1,19 +1,26 @@
 """String kernels that Spark lacks, in one Arrow crossing: every kernel of a pair comes from one struct.
 
-ratio is 200 * LCS / (len1 + len2), by the bit-parallel longest common subsequence over Python integers.
-Two empty strings are equal (100; Jaro-Winkler 1), one empty string shares nothing (0).
+Kernels take whole batches of pairs. ratio is 200 * LCS / (len1 + len2); the longest common subsequences of a
+batch advance together, one character of the longer strings at a time, the shorter ones being the bits of a
+64-bit word each. Two empty strings are equal (100; Jaro-Winkler 1), one empty string shares nothing (0).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pairs that advance together, of similar lengths.
+BATCH = 2048
+WORD = 64
+
 
 def lcs(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
+    """One pair of any length, by an integer of as many bits as ``a`` has characters."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -25,71 +32,149 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def ratio(a: str, b: str) -> float:
-    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+def _lengths(x: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, x), np.int64, len(x))
 
 
-def token_sort(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def _padded(x: list[str], n: np.ndarray, width: int, pad: int) -> np.ndarray:
+    """Code points by row; ``pad`` (1 or 2) counts down from the largest number, which no text holds."""
+    data = np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(x), width), 2**32 - pad, np.uint32)
+    out[np.arange(width) < n[:, None]] = data
+    return out
 
 
-def token_set(a: str, b: str) -> float:
-    """The best ratio among the shared tokens and the shared with either rest."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 100.0 if a == b else 0.0
-    both = " ".join(sorted(x & y))
-    left, right = (" ".join(filter(None, [both, " ".join(sorted(r))])) for r in (x - y, y - x))
-    if both and both in (left, right):
-        return 100.0
-    return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else (0.0,)))
+def _narrow(a: np.ndarray, b: np.ndarray, ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    return (a.astype(np.uint8), b.astype(np.uint8)) if ascii_only else (a, b)
 
 
-def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any window of the longer, windows at the ends being shorter too."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
-    for i in range(1 - n, len(b)):
-        best = max(best, ratio(a, b[max(i, 0) : i + n]))
-        if best == 100.0:
-            break
-    return best
-
-
-def partial_token_set(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if x & y:
-        return 100.0
-    return partial(" ".join(sorted(x)), " ".join(sorted(y)))
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, first = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                first.append(c)
-                break
-    m = len(first)
-    if not m:
-        return 0.0
-    second = [c for c, u in zip(b, used, strict=True) if u]
-    moved = sum(x != y for x, y in zip(first, second, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+def _batches(a: list[str], b: list[str], by: np.ndarray):
+    order = np.argsort(by, kind="stable")
+    for at in range(0, len(order), BATCH):
+        rows = order[at : at + BATCH]
+        x, y = [a[i] for i in rows], [b[i] for i in rows]
+        yield rows, x, y, "".join(x).isascii() and "".join(y).isascii()
+
+
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    na, nb = _lengths(a), _lengths(b)
+    out = np.zeros(len(a), np.int64)
+    for i in np.flatnonzero(na > WORD):
+        out[i] = lcs(a[i], b[i])
+    some = np.flatnonzero((na > 0) & (na <= WORD))
+    for rows, x, y, ascii_only in _batches([a[i] for i in some], [b[i] for i in some], nb[some]):
+        n, m = na[some][rows], nb[some][rows]
+        width = -(-int(n.max()) // 8) * 8
+        left, right = _narrow(_padded(x, n, width, 1), _padded(y, m, int(m.max()), 2), ascii_only)
+        right = np.ascontiguousarray(right.T)
+        v = np.full(len(x), ~np.uint64(0))
+        word = np.zeros((len(x), 8), np.uint8)
+        for c in right:
+            word[:, : width // 8] = np.packbits(left == c[:, None], axis=1, bitorder="little")
+            u = v & word.view("<u8")[:, 0]
+            v = (v + u) | (v - u)
+        free = np.bitwise_count(v & (~np.uint64(0) >> (WORD - n).astype(np.uint64)))
+        out[some[rows]] = n - free
+    return out
+
 
+def ratio(a: list[str], b: list[str]) -> np.ndarray:
+    total = _lengths(a) + _lengths(b)
+    return np.where(total > 0, 200.0 * lcs_many(a, b) / np.maximum(total, 1), 100.0)
 
-KERNELS = {"ratio": ratio, "tsort": token_sort, "tset": token_set, "partial": partial, "ptset": partial_token_set, "jw": jaro_winkler}
+
+def _sorted(x: set[str] | list[str]) -> str:
+    return " ".join(sorted(x))
+
+
+def token_sort(a: list[str], b: list[str]) -> np.ndarray:
+    return ratio([_sorted(x.split()) for x in a], [_sorted(x.split()) for x in b])
+
+
+def token_set(a: list[str], b: list[str]) -> np.ndarray:
+    """The best ratio among the shared tokens and the shared with either rest."""
+    out = np.zeros(len(a))
+    at, left, right = [], [], []
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        x, y = set(s.split()), set(t.split())
+        both = x & y
+        if not x or not y:
+            out[i] = 100.0 if s == t else 0.0
+        elif both and (both == x or both == y):
+            out[i] = 100.0
+        else:
+            shared = _sorted(both)
+            one, two = (" ".join(filter(None, [shared, _sorted(r)])) for r in (x - y, y - x))
+            compared = [(one, two), (shared, one), (shared, two)] if both else [(one, two)]
+            at += [i] * len(compared)
+            left += [c[0] for c in compared]
+            right += [c[1] for c in compared]
+    np.maximum.at(out, at, ratio(left, right))
+    return out
+
+
+def partial(a: list[str], b: list[str]) -> np.ndarray:
+    """The best ratio of the shorter string with any window of the longer, windows at the ends being shorter too."""
+    out = np.zeros(len(a))
+    at, left, right = [], [], []
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        s, t = (s, t) if len(s) <= len(t) else (t, s)
+        if not s:
+            out[i] = 0.0 if t else 100.0
+        elif s in t:
+            out[i] = 100.0
+        else:
+            n = len(s)
+            windows = {t[max(k, 0) : k + n] for k in range(1 - n, len(t))}
+            at += [i] * len(windows)
+            left += [s] * len(windows)
+            right += windows
+    if at:
+        np.maximum.at(out, at, ratio(left, right))
+    return out
+
+
+def partial_token_set(a: list[str], b: list[str]) -> np.ndarray:
+    sets = [(set(s.split()), set(t.split())) for s, t in zip(a, b, strict=True)]
+    out = np.full(len(a), 100.0)
+    apart = [i for i, (x, y) in enumerate(sets) if not x & y]
+    if apart:
+        out[apart] = partial([_sorted(sets[i][0]) for i in apart], [_sorted(sets[i][1]) for i in apart])
+    return out
+
+
+def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
+    na, nb = _lengths(a), _lengths(b)
+    out = np.array([float(x == y) for x, y in zip(a, b, strict=True)])
+    some = np.flatnonzero((out == 0) & (na > 0) & (nb > 0))
+    for rows, x, y, ascii_only in _batches([a[i] for i in some], [b[i] for i in some], nb[some]):
+        n, m = na[some][rows], nb[some][rows]
+        left, right = _narrow(_padded(x, n, int(n.max()), 1), _padded(y, m, int(m.max()), 2), ascii_only)
+        reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+        place = np.arange(right.shape[1])
+        used, first = np.zeros(right.shape, bool), np.zeros(left.shape, bool)
+        for i in range(left.shape[1]):
+            here = (right == left[:, i : i + 1]) & ~used & (place >= (i - reach)[:, None]) & (place <= (i + reach)[:, None])
+            to = here.argmax(1)
+            hit = here[np.arange(len(x)), to]
+            used[np.flatnonzero(hit), to[hit]] = True
+            first[:, i] = hit
+        k = first.sum(1)
+        moved = np.bincount(np.repeat(np.arange(len(x)), k), weights=left[first] != right[used], minlength=len(x)) // 2
+        some_k = np.maximum(k, 1)
+        jaro = np.where(k > 0, (k / n + k / m + (k - moved) / some_k) / 3, 0.0)
+        head = min(4, left.shape[1], right.shape[1])
+        prefix = np.cumprod(left[:, :head] == right[:, :head], axis=1).sum(1)
+        out[some[rows]] = np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+    return out
+
+
+KERNELS: dict[str, Callable[[list[str], list[str]], np.ndarray]] = {
+    "ratio": ratio, "tsort": token_sort, "tset": token_set, "partial": partial, "ptset": partial_token_set, "jw": jaro_winkler
+}
 
 
 def kernels(a: Column, b: Column, *names: str) -> Column:
@@ -97,7 +182,7 @@ def kernels(a: Column, b: Column, *names: str) -> Column:
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        pairs = list(zip(x.fillna(""), y.fillna(""), strict=True))
-        return pd.DataFrame({n: [KERNELS[n](s, t) for s, t in pairs] for n in names}, columns=list(names))
+        left, right = x.fillna("").tolist(), y.fillna("").tolist()
+        return pd.DataFrame({n: KERNELS[n](left, right) for n in names}, columns=list(names))
 
     return run(a, b)

@@ -1,8 +1,8 @@
 """Text normalization as column expressions.
 
 Folding lower-cases first, then decomposes and drops marks. Characters that fold to one character or to
-none are one ``translate`` whose table comes from the Unicode data; a few letters fold to two. What is left
-(ligatures, compatibility forms, composed Indic letters) needs ``fold_exact``, an Arrow kernel.
+none are one ``translate`` whose table comes from the Unicode data; a few letters fold to two. Texts that hold
+others (ligatures, fractions, composed Indic letters, Hangul) are folded character by character through a map, also in the plan.
 """
 
 from __future__ import annotations
@@ -33,27 +33,59 @@ def _fold_char(c: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _single() -> tuple[str, str]:
-    """All characters of the basic plane that fold to another one, then those that fold to none."""
-    to_one, to_none = [], []
-    for k in range(0x80, 0x10000):
-        if 0xAC00 <= k <= 0xD7A3 or 0xD800 <= k <= 0xDFFF:
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to another one, then those that fold to none; what the first become; those that fold to several.
+
+    Lower-casing comes first, so capitals that have a small letter are left out. Hangul syllables are two or three letters each by rule.
+    """
+    to_one, to_none, to_many = [], [], {}
+    for k in [*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]:
+        c = chr(k)
+        if 0xAC00 <= k <= 0xD7A3 or c.lower() != c:
             continue
-        f = _fold_char(chr(k))
-        if len(f) == 1 and f != chr(k):
-            to_one.append((chr(k), f))
+        f = _fold_char(c)
+        if len(f) > 1 and c not in SPECIAL:
+            to_many[c] = f
         elif not f:
-            to_none.append(chr(k))
-    return "".join(a for a, _ in to_one) + "".join(to_none), "".join(b for _, b in to_one)
+            to_none.append(c)
+        elif len(f) == 1 and f != c:
+            to_one.append((c, f))
+    return "".join(a for a, _ in to_one) + "".join(to_none), "".join(b for _, b in to_one), to_many
+
+
+def _ranges(chars: list[str]) -> str:
+    """A character class of the given characters, as Java writes it."""
+    out, codes = [], sorted(map(ord, chars))
+    for k in codes:
+        if out and out[-1][1] == k - 1:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+def _hangul(c: Column) -> Column:
+    """A syllable as its two or three letters."""
+    k = F.ascii(c) - 0xAC00
+    one = lambda base, n: F.decode(F.unhex(F.lpad(F.hex(base + n), 4, "0")), "UTF-16BE")
+    return F.when(k.between(0, 11171), F.concat(one(0x1100, (k / 588).cast("int")), one(0x1161, (k % 588 / 28).cast("int")), F.when(k % 28 > 0, one(0x11A7, k % 28)).otherwise("")))
 
 
 def fold(x: Column) -> Column:
+    single, to, many = _tables()
     low = F.lower(x)
-    out = F.translate(low, *_single())
-    for a, b in SPECIAL.items():
-        if len(b) > 1:
+    letters = {a: b for a, b in SPECIAL.items() if len(b) > 1}
+
+    def plain(t: Column) -> Column:
+        out = F.translate(t, single, to)
+        for a, b in letters.items():
             out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(low.rlike(r"[^\x00-\x7F]"), out).otherwise(low)
+        return out
+
+    table = F.create_map(*[F.lit(v) for kv in many.items() for v in kv])
+    rare = _ranges([*many])[:-1] + "\\x{AC00}-\\x{D7A3}]"
+    each = F.transform(F.split(low, ""), lambda c: F.when(c.rlike(rare), F.coalesce(_hangul(c), F.try_element_at(table, c))).otherwise(c))
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(low.rlike(rare), plain(F.array_join(each, ""))).otherwise(plain(low))
 
 
 @F.pandas_udf(T.StringType())

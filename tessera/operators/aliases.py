@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.sources.stored import stored
 
 MOST_LEFT = 4
-#: An alias table this long or shorter becomes a literal map; a longer one is an error of the caller's thresholds.
-MOST_ALIASES = 50_000
+#: Aliases that are broadcast at most (some 100 bytes each); beyond, they are joined by shuffle.
+BROADCAST_ALIASES = 200_000
 
 
 def aligned_leftovers(a: Column, b: Column) -> Column:
@@ -31,24 +32,24 @@ def fit_aliases(pairs: DataFrame, least: int = 5, purity: float = 0.6) -> DataFr
     return best.where((F.col("total") >= least) & (F.col("purity") >= purity) & (F.col("q_tok") != F.col("s_tok")))
 
 
-def _map(rows: list[tuple[str, str]]) -> Column | None:
-    if len(rows) > MOST_ALIASES:
-        raise ValueError(f"{len(rows)} aliases; raise the thresholds of fit_aliases")
-    return F.create_map(*[F.lit(x) for q, s in sorted(rows) for x in (q, s)]) if rows else None
-
-
-def _rewritten(text: Column, mapping: Column | None) -> Column:
-    return text if mapping is None else F.array_join(F.transform(F.split(text, " "), lambda t: F.coalesce(F.try_element_at(mapping, t), t)), " ")
+def _rewritten(records: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """``records`` (with an id) with the tokens of ``column`` replaced by ``mapping`` (token, becomes); records without such a token are left alone."""
+    mapping = F.broadcast(mapping) if mapping.count() <= BROADCAST_ALIASES else mapping
+    each = records.select("id", F.posexplode(F.split(column, " ")).alias("at", "token")).join(mapping, "token", "left")
+    hit = each.groupBy("id").agg(F.count("becomes").alias("n"), F.sort_array(F.collect_list(F.struct("at", F.coalesce("becomes", "token").alias("t")))).alias("x")).where("n > 0")
+    texts = hit.select("id", F.array_join(F.transform("x", lambda x: x["t"]), " ").alias("_new"))
+    return records.join(texts, "id", "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def apply_aliases(records: DataFrame, table: DataFrame, mode: str = "native") -> DataFrame:
     """Rewrites tokens: ``native`` those in Indic script, ``native_addr`` also all of addresses, any other mode all. name_sq follows unless a domain."""
     native = X.is_native(F.col("q_tok"))
-    rows = table.select("field", "q_tok", "s_tok", native.alias("native")).collect()
-    wanted = {"n": lambda r: r["native"] or mode not in ("native", "native_addr"), "a": lambda r: r["native"] or mode != "native"}
-    maps = {f: _map([(r["q_tok"], r["s_tok"]) for r in rows if r["field"] == f and keep(r)]) for f, keep in wanted.items()}
-    out = records.withColumns({"name_n": _rewritten(F.col("name_n"), maps["n"]), "addr_n": _rewritten(F.col("addr_n"), maps["a"])})
-    return out.withColumn("name_sq", F.when(F.col("is_domain"), F.col("name_sq")).otherwise(X.squash(F.col("name_n"))))
+    wanted = {"n": native if mode in ("native", "native_addr") else F.lit(True), "a": native if mode == "native" else F.lit(True)}
+    out = records
+    for f, column in (("n", "name_n"), ("a", "addr_n")):
+        out = _rewritten(out, column, table.where((F.col("field") == f) & wanted[f]).select(F.col("q_tok").alias("token"), F.col("s_tok").alias("becomes")))
+    out = out.withColumn("name_sq", F.when(F.col("is_domain"), F.col("name_sq")).otherwise(X.squash(F.col("name_n"))))
+    return out.select(*records.columns)
 
 
 def native_flags(records: DataFrame) -> DataFrame:
@@ -61,29 +62,28 @@ def prepared(queries: DataFrame, table: DataFrame | None, mode: str = "native")
     return flagged if table is None else apply_aliases(flagged, table, mode)
 
 
-def alias_classes(spark: SparkSession, table: DataFrame, purity: float = 0.75, least: int = 10) -> DataFrame:
-    """(token, canonical) for tokens that change: classes of mutual aliases, named by the first alphabetic, shortest, smallest token."""
-    rows = table.where((F.col("purity") >= purity) & (F.col("total") >= least) & (F.length("q_tok") >= 2) & (F.length("s_tok") >= 2)).select("q_tok", "s_tok").distinct().limit(MOST_ALIASES + 1).collect()
-    if len(rows) > MOST_ALIASES:
-        raise ValueError("too many aliases for classes; raise the thresholds")
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def alias_classes(table: DataFrame, purity: float = 0.75, least: int = 10) -> DataFrame:
+    """(field, token, canonical) for tokens that change: classes of mutual aliases of a field, named by the first alphabetic, shortest, smallest token.
 
-    for q, s in rows:
-        parent[root(q)] = root(s)
-    classes: dict[str, list[str]] = {}
-    for x in parent:
-        classes.setdefault(root(x), []).append(x)
-    named = {x: min(c, key=lambda t: (not t.isalpha(), len(t), t)) for c in classes.values() for x in c}
-    return spark.createDataFrame([(x, y) for x, y in sorted(named.items()) if x != y], "token string, canonical string")
+    Every token takes the best name among its neighbours' until none changes; classes are small.
+    """
+    rank = lambda c: F.struct((~F.col(c).rlike(r"^\p{L}+$")).alias("odd"), F.length(c).alias("n"), F.col(c).alias("t"))
+    rows = table.where((F.col("purity") >= purity) & (F.col("total") >= least) & (F.length("q_tok") >= 2) & (F.length("s_tok") >= 2))
+    one = rows.select("field", F.col("q_tok").alias("a"), F.col("s_tok").alias("b"))
+    edges = stored(one.unionByName(one.select("field", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = stored(edges.select("field", F.col("a").alias("token")).distinct().withColumn("name", rank("token")))
+    while True:
+        near = edges.join(names.select("field", F.col("token").alias("b"), "name"), ["field", "b"]).select("field", F.col("a").alias("token"), "name")
+        best = names.unionByName(near).groupBy("field", "token").agg(F.min("name").alias("name"))
+        new = stored(best.select("field", "token", "name"))
+        if new.exceptAll(names).isEmpty():
+            return new.select("field", "token", F.col("name.t").alias("canonical")).where("token <> canonical")
+        names = new
 
 
 def canonical(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """Names and addresses rewritten by class; name_sq stays as it is."""
-    m = _map([(r["token"], r["canonical"]) for r in classes.collect()])
-    return records.withColumns({"name_n": _rewritten(F.col("name_n"), m), "addr_n": _rewritten(F.col("addr_n"), m)})
+    """Names and addresses rewritten by the classes of their field; name_sq stays as it is."""
+    out = records
+    for f, column in (("n", "name_n"), ("a", "addr_n")):
+        out = _rewritten(out, column, classes.where(F.col("field") == f).select("token", F.col("canonical").alias("becomes")))
+    return out.select(*records.columns)

@@ -8,20 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import aliases
 from tessera.operators import keys as K
+from tessera.sources.stored import stored
 
 FAMILIES = {"n": "k_name", "a": "k_addr", "b": "k_bigram", "q": "k_sq", "p": "k_pair", "h": "k_numpair", "x": "k_addrbag", "c": "k_cross"}
 
 
+#: Hot keys and an index are broadcast up to this many bytes, counted; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
 @dataclass
 class Index:
-    """Capped reference keys (id, country, fam, key, df), records by country (country, n1) and what the keys were made with."""
+    """Reference keys within their caps, as posting lists (country, fam, key, ids), records by country (country, n1) and what the keys were made with."""
 
-    keys: DataFrame
+    lists: DataFrame
     sizes: DataFrame
     vocab: DataFrame
     stop: DataFrame | None = None
     words: DataFrame | None = None
+    classes: DataFrame | None = None
+
+    @property
+    def keys(self) -> DataFrame:
+        """(id, country, fam, key, df)."""
+        return self.lists.select(F.explode("ids").alias("id"), "country", "fam", "key", F.size("ids").alias("df"))
 
 
 def _cap(fam: str, caps: dict) -> Column:
@@ -31,10 +43,21 @@ def _cap(fam: str, caps: dict) -> Column:
     return out
 
 
-def capped(keys: DataFrame, caps: dict) -> DataFrame:
-    """Keys with their df, those with more records than their family's cap left out: no probe meets more rows than that."""
-    df = keys.groupBy("country", "fam", "key").agg(F.count("*").alias("df"))
-    return keys.join(df.where(F.col("df") <= _cap("fam", caps)), ["country", "fam", "key"])
+def small(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows``, to be broadcast if ``size``, summed over them, allows it."""
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
+
+
+def posting_lists(keys: DataFrame, caps: dict) -> DataFrame:
+    """Posting lists of the keys (id, country, fam, key) that have no more records than their family's cap, stored.
+
+    Keys above their cap are found by a count with a map-side part and leave before any are brought
+    together, so no task gets the records of a hot key, and no list is longer than its cap.
+    """
+    keys = stored(keys.where(_cap("fam", caps) > 0))
+    hot = stored(keys.groupBy("country", "fam", "key").agg(F.count("*").alias("df")).where(F.col("df") > _cap("fam", caps)).select("country", "fam", "key"))
+    kept = keys.join(small(hot, F.length("key") + 40), ["country", "fam", "key"], "left_anti")
+    return stored(kept.groupBy("country", "fam", "key").agg(F.collect_list("id").alias("ids")))
 
 
 def _fam(keys: DataFrame) -> DataFrame:
@@ -42,15 +65,22 @@ def _fam(keys: DataFrame) -> DataFrame:
 
 
 def build_index(reference: DataFrame, cfg: K.KeyConfig = K.KeyConfig()) -> Index:
-    vocab = K.vocabulary(reference, X.split_words(F.col("addr_n")))
-    keys = capped(_fam(K.all_keys(reference, vocab, cfg.pair_words_reference, cfg)), cfg.caps)
-    return Index(keys, reference.groupBy("country").agg(F.count("*").alias("n1")), vocab)
+    vocab = stored(K.vocabulary(reference, X.split_words(F.col("addr_n"))))
+    lists = posting_lists(_fam(K.all_keys(reference, vocab, cfg.pair_words_reference, cfg)), cfg.caps)
+    return Index(lists, reference.groupBy("country").agg(F.count("*").alias("n1")), vocab)
 
 
 def _probe(index: Index, keys: DataFrame) -> DataFrame:
-    ref = index.keys.select(F.col("id").alias("s1_id"), "country", "fam", "key", "df").join(F.broadcast(index.sizes), "country")
-    rows = keys.select(F.col("id").alias("q_id"), "country", "key").join(ref, ["country", "key"])
-    return rows.withColumn("idf", F.log((F.col("n1") + 1) / F.col("df")))
+    """(q_id, s1_id, fam, idf) of all meetings, dealt out by query, which the sums and ranks that follow need.
+
+    A query key meets at most one posting list, so the join has no more rows than there are query keys; a list is
+    opened only behind it.
+    """
+    idf = F.log((F.col("n1") + 1) / F.size("ids")).alias("idf")
+    lists = index.lists.join(F.broadcast(index.sizes), "country").select("country", "key", "fam", "ids", idf)
+    lists = small(lists, 16 * F.size("ids") + F.length("key") + 60)
+    met = keys.select(F.col("id").alias("q_id"), "country", "key").join(lists, ["country", "key"])
+    return met.repartition("q_id").select("q_id", "fam", "idf", F.explode("ids").alias("s1_id"))
 
 
 def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
@@ -70,17 +100,21 @@ def generate_candidates(reference: DataFrame, queries: DataFrame, top_k: int = 3
     return query_candidates(build_index(reference, cfg), queries, top_k, cfg)
 
 
-def build_corruption_index(reference: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig()) -> Index:
-    names = K.vocabulary(reference, F.transform(X.split_words(F.col("name_n")), X.leet))
-    words = K.vocabulary(reference, F.filter(X.split_words(F.col("addr_n")), lambda t: ~t.rlike("^[0-9]+$")))
+def build_corruption_index(reference: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig(), alias_table: DataFrame | None = None) -> Index:
+    """With an alias table, names and addresses are first rewritten to their classes' spellings, as the queries are later."""
+    classes = None if alias_table is None else stored(aliases.alias_classes(alias_table))
+    reference = reference if classes is None else stored(aliases.canonical(reference, classes))
+    names = stored(K.vocabulary(reference, F.transform(X.split_words(F.col("name_n")), X.leet)))
+    words = stored(K.vocabulary(reference, F.filter(X.split_words(F.col("addr_n")), lambda t: ~K.has_digit(t))))
     sizes = reference.groupBy("country").agg(F.count("*").alias("n1"))
     # at most 1 / stop_share words a record can be that frequent on average: a short list
     stop = names.join(F.broadcast(sizes), "country").where(F.col("df") >= cfg.stop_share * F.col("n1")).groupBy("country").agg(F.sort_array(F.collect_set("t")).alias("stop"))
-    keys = capped(K.corruption_keys(reference, names, words, stop, True, cfg), cfg.caps)
-    return Index(keys, sizes, names, stop, words)
+    lists = posting_lists(K.corruption_keys(reference, names, words, stop, True, cfg), cfg.caps)
+    return Index(lists, sizes, names, stop, words, classes)
 
 
 def corruption_hits(index: Index, queries: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig()) -> DataFrame:
+    queries = queries if index.classes is None else aliases.canonical(queries, index.classes)
     hits = _probe(index, K.corruption_keys(queries, index.vocab, index.words, index.stop, False, cfg))
     counts = [F.count_if(F.col("fam") == f).alias(f"v2_k_{f}") for f in cfg.caps]
     return hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias("v2_score"), F.count("*").alias("v2_nkeys"), F.max("idf").alias("v2_max_idf"), *counts)
@@ -94,10 +128,11 @@ def union_candidates(first: DataFrame, hits: DataFrame, top_k: int = 15) -> Data
 
 
 def recall_report(candidates: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each country: true pairs, found pairs, recall, and candidates a query."""
+    """For each country: true pairs, found pairs, recall, candidates a query, and what is missed, with its recall, of native names, domains and blank addresses."""
     hit = truth.join(candidates.select(F.col("q_id").alias("other"), F.col("s1_id").alias("s1"), F.lit(1).alias("hit")).distinct(), ["s1", "other"], "left")
-    found = hit.join(queries.select(F.col("id").alias("other"), "country", F.expr("addr_n = ''").alias("blank")), "other").groupBy("country").agg(
-        F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.count_if(F.col("hit").isNull() & F.col("blank")).alias("missed_blank")
-    )
+    kinds = {"native": X.is_native(F.col("name_n")), "domain": F.col("is_domain"), "blank": F.col("addr_n") == ""}
+    missed, got = F.col("hit").isNull(), F.col("hit").isNotNull().cast("double")
+    aggs = [x for k in kinds for x in (F.count_if(missed & F.col(k)).alias(f"missed_{k}"), F.avg(F.when(F.col(k), got)).alias(f"recall_{k}"))]
+    found = hit.join(queries.select(F.col("id").alias("other"), "country", *[c.alias(k) for k, c in kinds.items()]), "other").groupBy("country").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), *aggs)
     per = queries.select(F.col("id").alias("q_id"), "country").join(candidates.groupBy("q_id").agg(F.count("*").alias("n")), "q_id", "left").groupBy("country").agg(F.avg(F.coalesce("n", F.lit(0))).alias("per_query"))
     return found.join(per, "country").withColumn("recall", F.col("n_found") / F.col("n_true"))

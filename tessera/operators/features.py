@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -19,7 +19,7 @@ class FeatureSpec:
     names: tuple[str, ...]
 
     @classmethod
-    def of(cls, df: DataFrame, leave: tuple[str, ...] = ("q_id", "s1_id", "label", "fold", "p", "n1", "a1", "n2", "a2")) -> FeatureSpec:
+    def of(cls, df: DataFrame, leave: tuple[str, ...] = ("q_id", "s1_id", "country", "label", "fold", "p", "n1", "a1", "n2", "a2")) -> FeatureSpec:
         return cls(tuple(c for c in df.columns if c not in leave))
 
     def drop(self, *patterns: str) -> FeatureSpec:
@@ -46,8 +46,10 @@ def whole_numbers(x: Column) -> Column:
 
 def s1_ambiguity(records: DataFrame) -> DataFrame:
     """How many reference records of the country share the name, and the address."""
-    same = lambda c: F.count("*").over(Window.partitionBy("country", c))
-    return records.withColumns({"s1_name_dup": same("name_n"), "s1_addr_dup": same("addr_n")})
+    # aggregates joined back, not windows: a window would hold all records without an address in one task
+    for c, name in (("name_n", "s1_name_dup"), ("addr_n", "s1_addr_dup")):
+        records = records.join(records.groupBy("country", c).agg(F.count("*").alias(name)), ["country", c])
+    return records
 
 
 def prepared_reference(records: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def prepared_reference(records: DataFrame) -> DataFrame:
 
 
 def with_texts(pairs: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
-    q = queries.select(F.col("id").alias("q_id"), F.col("name_n").alias("n2"), F.col("addr_n").alias("a2"), F.col("name_sq").alias("q2"), "is_domain")
+    q = queries.select(F.col("id").alias("q_id"), "country", F.col("name_n").alias("n2"), F.col("addr_n").alias("a2"), F.col("name_sq").alias("q2"), "is_domain")
     return pairs.join(prepared_reference(reference), "s1_id").join(q, "q_id")
 
 
@@ -72,7 +74,7 @@ def leftover_features(t: DataFrame) -> DataFrame:
 
 def rest_features(t: DataFrame) -> DataFrame:
     """Needs leftover_features."""
-    out = {f"{c}_rest_len{k}": F.length(f"{c}r{k}") for c in "na" for k in (1, 2)}
+    out = {f"{c}_rest_len{k}": F.length(f"{c}r{k}") for c in "nam" for k in (1, 2)}
     return t.withColumns(out | {"m_rest_dist": F.levenshtein("mr1", "mr2")})
 
 
@@ -106,19 +108,21 @@ def kernel_features(t: DataFrame) -> DataFrame:
         ("q1", "q2", "sq"): ("ratio", "partial"),
         ("nr1", "nr2", "n_rest"): ("ratio",),
         ("ar1", "ar2", "a_rest"): ("ratio",),
-        ("mr1", "mr2", "num"): ("ratio",),
+        ("mr1", "mr2", "m_rest"): ("ratio",),
+        ("_num1", "_num2", "num"): ("ratio",),
     }
+    t = t.withColumns({f"_num{k}": F.array_join(numbers(F.col(f"a{k}")), " ") for k in (1, 2)})
     for (x, y, _), names in wanted.items():
         t = t.withColumn(f"_{x}", kernels(F.col(x), F.col(y), *names))
     names = {"ptset": "partial"}
-    return t.withColumns({f"{out}_{names.get(n, n)}": F.col(f"_{x}.{n}").cast("float") for (x, _, out), ns in wanted.items() for n in ns}).drop(*[f"_{x}" for x, _, _ in wanted])
+    return t.withColumns({f"{out}_{names.get(n, n)}": F.col(f"_{x}.{n}").cast("float") for (x, _, out), ns in wanted.items() for n in ns}).drop("_num1", "_num2", *[f"_{x}" for x, _, _ in wanted])
 
 
 def pair_features(pairs: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
     t = leftover_features(with_texts(pairs, reference, queries))
     for f in (rest_features, token_features, number_features, flag_features, kernel_features):
         t = f(t)
-    return t.drop("nr1", "nr2", "ar1", "ar2", "mr1", "mr2", "q1", "q2", "is_domain")
+    return t.drop("nr1", "nr2", "ar1", "ar2", "mr1", "mr2", "q1", "q2", "is_domain", "country")
 
 
 def house_number_relations(t: DataFrame) -> DataFrame:
@@ -131,10 +135,10 @@ def house_number_relations(t: DataFrame) -> DataFrame:
 
 
 def vocab_features(t: DataFrame, reference: DataFrame) -> DataFrame:
-    """Of the query's name words that the reference name lacks: least and most ln(df + 1) in the reference, unknown and known words. Null without such words."""
-    df = reference.select(F.explode(F.array_distinct(X.split_words(F.col("name_n")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    """Of the query's name words that the reference name lacks: least and most ln(df + 1) in the country's reference, unknown and known words. Null without such words."""
+    df = reference.select("country", F.explode(F.array_distinct(X.split_words(F.col("name_n")))).alias("w")).groupBy("country", "w").agg(F.count("*").alias("df"))
     rest = F.array_except(X.split_words(F.col("n2")), X.split_words(F.col("n1")))
-    each = t.select("q_id", "s1_id", F.explode(rest).alias("w")).join(df, "w", "left")
+    each = t.select("q_id", "s1_id", "country", F.explode(rest).alias("w")).join(df, ["country", "w"], "left")
     log = F.log(F.coalesce("df", F.lit(0)) + 1)
     agg = each.groupBy("q_id", "s1_id").agg(F.min(log).alias("v_min"), F.max(log).alias("v_max"), F.count_if(F.col("df").isNull()).alias("v_unknown"), F.count("df").alias("v_known"))
     return t.join(agg, ["q_id", "s1_id"], "left")

@@ -43,7 +43,8 @@ def _pairs(xs: Column, ys: Column, sep: str = "_") -> Column:
 
 
 def has_digit(t: Column) -> Column:
-    return t.rlike("[0-9]")
+    """A number, or a word with a digit of any script; neither is a plain word."""
+    return t.rlike(r"(?U)\d")
 
 
 def token_keys(tag: str, words: Column) -> Column:
@@ -70,7 +71,7 @@ def number_word_keys(words: Column) -> Column:
 
 
 def cross_keys(names: Column, words: Column) -> Column:
-    return _tag("c", _pairs(F.array_distinct(names), F.array_distinct(F.filter(words, lambda t: ~t.rlike("^[0-9]+$")))))
+    return _tag("c", _pairs(F.array_distinct(names), F.array_distinct(F.filter(words, lambda t: ~has_digit(t)))))
 
 
 def vocabulary(records: DataFrame, words: Column) -> DataFrame:
@@ -156,7 +157,7 @@ def house_numbers(addr: Column) -> Column:
 
 def corruption_keys(records: DataFrame, names: DataFrame, words: DataFrame, stop: DataFrame, reference: bool, cfg: CorruptionConfig) -> DataFrame:
     """(id, country, fam, key): all families; ``names`` and ``words`` are vocabularies, ``stop`` is (country, stop)."""
-    plain_words = F.filter(X.split_words(F.col("addr_n")), lambda t: ~t.rlike("^[0-9]+$"))
+    plain_words = F.filter(X.split_words(F.col("addr_n")), lambda t: ~has_digit(t))
     leet_names = F.transform(X.split_words(F.col("name_n")), X.leet)
     w = rarest(records, plain_words, words, cfg.words_reference if reference else cfg.words, "w")
     r = rarest(records, leet_names, names, cfg.names, "r")

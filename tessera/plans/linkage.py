@@ -24,23 +24,23 @@ class PlanConfig:
     corruption: CorruptionConfig = field(default_factory=CorruptionConfig)
 
 
-def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
+def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: DataFrame | None = None) -> DataFrame:
     first = blocking.generate_candidates(reference, queries, cfg.top_k, cfg.keys)
     if cfg.blocking == "v1":
         return first
-    return blocking.union_candidates(first, blocking.corruption_hits(blocking.build_corruption_index(reference, cfg.corruption), queries, cfg.corruption))
+    return blocking.union_candidates(first, blocking.corruption_hits(blocking.build_corruption_index(reference, cfg.corruption, alias_table), queries, cfg.corruption))
 
 
 def pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """Training rows: candidates, features, label and fold."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
-    return training.labelled(feats.pair_features(candidates(reference, q, cfg), reference, q), truth)
+    return training.labelled(feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q), truth)
 
 
 def score(reference: DataFrame, queries: DataFrame, model: PipelineModel, spec: feats.FeatureSpec, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
     """(scored pairs, queries without one), lazily, for all countries."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
-    rows = feats.pair_features(candidates(reference, q, cfg), reference, q)
+    rows = feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q)
     scored = training.predict(model, rows, spec).select("q_id", "s1_id", "p")
     return scored, queries.select(F.col("id").alias("q_id")).join(scored, "q_id", "left_anti")
 

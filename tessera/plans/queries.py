@@ -234,7 +234,7 @@ def alias_apply(spark, sf):
 @query
 def alias_classes(spark, sf):
     table = spark.createDataFrame([("n", "small", "tiny", 20, 20, 1.0), ("n", "tiny", "little", 20, 20, 1.0), ("n", "bolt", "b0lt", 20, 20, 0.9), ("n", "red", "rot", 5, 5, 1.0)], "field string, q_tok string, s_tok string, cnt long, total long, purity double")
-    return aliases.canonical(parties(spark, sf), aliases.alias_classes(spark, table)).select("id", "name_n", "name_sq")
+    return aliases.canonical(parties(spark, sf), aliases.alias_classes(table)).select("id", "name_n", "name_sq")
 
 
 # features
@@ -348,7 +348,7 @@ def _party_scores(spark, sf):
 @query
 def sibling_features(spark, sf):
     t = feats.with_texts(context.query_context(_party_scores(spark, sf)), _reference(spark, sf), _queries(spark, sf))
-    return context.sibling_features(t, _reference(spark, sf)).select("q_id", "s1_id", *_long("sib_max", "sib_same", "sib_name"))
+    return context.sibling_features(t, _reference(spark, sf)).select("q_id", "s1_id", *_long("q_addr_rdiv", "sib_addr_shared", "sib_addr_shared_same", "q_name_rdiv", "sib_name_shared"))
 
 
 @query
@@ -534,7 +534,7 @@ def stage2_rows(spark, sf):
     from tessera.sources.stored import stored
 
     s, ref, q = (stored(f(spark, sf)) for f in (_party_scores, _reference, _queries))
-    return linkage.second_stage(s, ref, q).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_max", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
+    return linkage.second_stage(s, ref, q).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_addr_shared", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
 
 
 @query

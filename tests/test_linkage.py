@@ -146,4 +146,4 @@ def test_registered_stage_2_has_the_siblings(spark):
     from tessera.plans.queries import QUERIES
 
     got = QUERIES["stage2_rows"](spark, "/root/testdata/sf0.001")
-    assert {"sc_n", "sib_max", "n_events"} <= set(got.columns) and got.agg(F.count_if(F.col("sc_n") > 0)).first()[0] > 0
+    assert {"sc_n", "sib_addr_shared", "n_events"} <= set(got.columns) and got.agg(F.count_if(F.col("sc_n") > 0)).first()[0] > 0
