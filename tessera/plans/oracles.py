@@ -11,6 +11,10 @@ def _fold(x: str) -> str:
     return f"replace(replace(replace(replace(strip_accents(lower({x})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
 
 
+def _native(x: str) -> str:
+    return f"regexp_matches({x}, '[\\x{{0900}}-\\x{{0DFF}}]')"
+
+
 def _bucket(x: str, seed: int, k: int) -> str:
     return f"(('0x' || substr(md5({x} || ':{seed}'), 1, 8))::BIGINT % {k})"
 
@@ -38,11 +42,13 @@ own as (
     replace(lower((c_custkey % 977)::varchar || ' ' || c_mktsegment || ' ' || n_name), '_', ' ') as addr
   from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey cross join np join part on p_partkey = c_custkey % np.n),
 cp as (
-  select *, {_bucket("k", 3, 4)} = 0 as blank, {_bucket("k", 1, 5)} = 0 as lost1, {_bucket("k", 2, 5)} = 0 as lost2, array_to_string(w, ' ') as plain from own),
+  select *, {_bucket("k", 3, 4)} = 0 as blank, {_bucket("k", 1, 5)} = 0 as lost1, {_bucket("k", 2, 5)} = 0 as lost2, array_to_string(w, ' ') as plain,
+    list_transform(w, lambda t: case when t = 'gizmo' and {_bucket("k", 8, 2)} = 0 then 'कमल' else t end) as v,
+    array_to_string(list_transform(w, lambda t: case when t = 'medium' and {_bucket("k", 9, 2)} = 0 then 'med' else t end), ' ') as short, {_bucket("k", 10, 8)} = 0 as dom from own),
 rec0 as (
-  select 'S1-' || k as id, country, plain as name_n, addr as addr_n, 0 as role, 'S1-' || k as owner from cp
-  union all select 'S2-' || k, country, array_to_string(list_concat(list_concat(w[2:2], w[1:1]), w[3:22]), ' '), case when blank then '' when lost1 then '9' || addr else addr end, 1, case when not lost1 then 'S1-' || k end from cp
-  union all select 'S3-' || k, country, substr(plain, 1, greatest(length(plain) - 1, 1)), case when blank then '' when lost2 then '9' || addr else addr end, 2, case when not lost2 then 'S1-' || k end from cp),
+  select 'S1-' || k as id, country, plain as name_n, addr as addr_n, 0 as role, 'S1-' || k as owner, false as is_domain from cp
+  union all select 'S2-' || k, country, array_to_string(list_concat(list_concat(v[2:2], v[1:1]), v[3:22]), ' '), case when blank then '' when lost1 then '9' || addr else addr end, 1, case when not lost1 then 'S1-' || k end, false from cp
+  union all select 'S3-' || k, country, replace(substr(short, 1, greatest(length(short) - 1, 1)), case when dom then ' ' else '#' end, ''), case when blank then '' when lost2 then '9' || addr else addr end, 2, case when not lost2 then 'S1-' || k end, dom from cp),
 rec as (
   select *, replace(name_n, ' ', '') as name_sq, {_words("name_n")} as nt, {_words("addr_n")} as aw, string_split(name_n, ' ') as nr, string_split(addr_n, ' ') as ar from rec0),
 ref as (select * from rec where role = 0), qry as (select * from rec where role > 0)"""
@@ -50,7 +56,7 @@ ref as (select * from rec where role = 0), qry as (select * from rec where role
 _P = f"with recursive {_CUSTOMER}"
 _PAIRS = f"""{_P},
 pairs as (
-  select q.id as q_id, r.id as s1_id, r.name_n as n1, r.addr_n as a1, q.name_n as n2, q.addr_n as a2, r.nr as nr1, q.nr as nr2, r.ar as ar1, q.ar as ar2, r.nt as nt1, q.nt as nt2, r.aw as at1, q.aw as at2
+  select q.id as q_id, r.id as s1_id, r.name_n as n1, r.addr_n as a1, q.name_n as n2, q.addr_n as a2, r.nr as nr1, q.nr as nr2, r.ar as ar1, q.ar as ar2, r.nt as nt1, q.nt as nt2, r.aw as at1, q.aw as at2, q.country, q.is_domain
   from qry q join ref r on r.id = q.owner)"""
 
 _TOKDF = "tokdf as (select country, t, count(*) as df from (select country, unnest(list_distinct(aw)) as t from ref) group by all)"
@@ -91,7 +97,7 @@ cand as (select * exclude (r) from (select *, row_number() over (partition by q_
 _DOCS = f"""with d0 as (
   select doc_id, lang as country, regexp_extract(source, '([0-9]+)$', 1)::int % 3 as role, {_tokens(_fold("replace(text, '&', ' and ')"))} as w from documents),
 docs as (
-  select 'S' || (role + 1) || '-' || doc_id as id, country, role, array_to_string({_runs('w[1:6]')}, ' ') as name_n, array_to_string(list_transform(w[7:24], lambda t: {_unzero('t')}), ' ') as addr_n from d0)"""
+  select 'S' || (role + 1) || '-' || doc_id as id, country, role, array_to_string({_runs('w[1:6]')}, ' ') as name_n, array_to_string(list_transform(w[7:], lambda t: {_unzero('t')}), ' ') as addr_n from d0)"""
 
 
 def _subset_keys() -> str:
@@ -141,16 +147,71 @@ sc as (
 sc2 as (select * from sc union all select q_id, 'S1-' || (substr(s1_id, 4)::bigint + 1), p - 0.5 from sc where 'S1-' || (substr(s1_id, 4)::bigint + 1) in (select id from ref)),
 sr as (select *, row_number() over (partition by q_id order by p desc, s1_id) as r from sc2)"""
 _SIBCAND = f"""{_SIB},
-bag as (select id, substr(id, 2, 1) as src, 'b:' || array_to_string(list_sort(aw), ' ') as key from qry where len(aw) >= 3 and regexp_matches(addr_n, '[0-9]')),
-wd as (select id, substr(id, 2, 1) as src, unnest(list_distinct(list_filter(aw, lambda t: not regexp_matches(t, '^[0-9]+$')))) as t from qry),
-tp as (select id, src, t from (select id, src, t, row_number() over (partition by id order by df, t) as r from wd join (select t, count(*) as df from wd group by t) using (t)) where r <= 2),
+bag as (select id, country, substr(id, 2, 1) as src, 'b:' || array_to_string(list_sort(aw), ' ') as key from qry where len(aw) >= 3 and regexp_matches(addr_n, '[0-9]')),
+wd as (select id, country, substr(id, 2, 1) as src, unnest(list_distinct(list_filter(aw, lambda t: not regexp_matches(t, '[0-9]')))) as t from qry),
+tp as (select id, country, src, t from (select id, country, src, t, row_number() over (partition by id order by df, t) as r from wd join (select country, t, count(*) as df from wd group by all) using (country, t)) where r <= 2),
 hn as (select distinct id, h from (select id, regexp_replace(unnest(regexp_extract_all(addr_n, '[0-9]+')), '^0+', '') as h from qry) where length(h) >= 2),
-ks as (select id as q_id, src, key from bag union all select tp.id, src, 'h:' || h || '_' || t from tp join hn using (id)),
-k2 as (select * from ks where (src, key) in (select (src, key) from ks group by src, key having count(*) <= 20)),
-held as (select q_id as o_id, src, key, s1_id from k2 join (select q_id, s1_id from sr where r = 1 and p >= 0.9) using (q_id)),
-h2 as (select * from held where (src, key) in (select (src, key) from held group by src, key having count(distinct s1_id) <= 2)),
-pr as (select k2.q_id, s1_id, count(distinct o_id) as sc_n, count(distinct key) as sc_keys from k2 join h2 using (src, key) where k2.q_id <> o_id group by all),
+ks as (select id as q_id, country, src, key from bag union all select tp.id, country, src, 'h:' || h || '_' || t from tp join hn using (id)),
+k2 as (select * from ks where (country, src, key) in (select (country, src, key) from ks group by country, src, key having count(*) <= 20)),
+held as (select q_id as o_id, country, src, key, s1_id from k2 join (select q_id, s1_id from sr where r = 1 and p >= 0.9) using (q_id)),
+h2 as (select * from held where (country, src, key) in (select (country, src, key) from held group by country, src, key having count(distinct s1_id) <= 2)),
+pr as (select k2.q_id, s1_id, count(distinct o_id) as sc_n, count(distinct key) as sc_keys from k2 join h2 using (country, src, key) where k2.q_id <> o_id group by all),
 found as (select * exclude (r) from (select *, row_number() over (partition by q_id order by sc_n desc, sc_keys desc, s1_id) as r from pr) where r <= 3)"""
+_SHARED = """len(list_filter({a}, lambda t: list_contains({b}, t)))"""
+_SIBFEAT = f"""{_SIB},
+cn as (select country, t from (select country, unnest(list_distinct(nt)) as t from ref) group by all having count(*) > 50),
+ca as (select country, t from (select country, unnest(list_distinct(aw)) as t from ref) where not regexp_matches(t, '[0-9]') group by all having count(*) > 50),
+cl as (select c.country, coalesce((select list(t) from cn where cn.country = c.country), []) as cn, coalesce((select list(t) from ca where ca.country = c.country), []) as ca from (select distinct country from ref) c),
+dv as (
+  select sr.q_id, sr.s1_id, sr.p, sr.r, substr(sr.q_id, 2, 1) as src, list_distinct(list_filter(q.nt, lambda t: not list_contains(e.nt, t) and not list_contains(cl.cn, t))) as nd,
+    list_distinct(list_filter(q.aw, lambda t: not list_contains(e.aw, t) and not list_contains(cl.ca, t))) as ad
+  from sr join ref e on e.id = sr.s1_id join qry q on q.id = sr.q_id join cl on cl.country = q.country),
+sb as (
+  select x.q_id, x.s1_id, max({_SHARED.format(a='x.ad', b='y.ad')}) as ash, max({_SHARED.format(a='x.ad', b='y.ad')}) filter (where x.src = y.src) as asm, max({_SHARED.format(a='x.nd', b='y.nd')}) as nsh
+  from dv x join dv y on x.s1_id = y.s1_id and x.q_id <> y.q_id and y.r = 1 and y.p >= 0.9 group by all)"""
+
+_STOPS = """lv as (select country, t, count(*) as df from (select country, unnest(list_distinct(list_transform(nt, lambda t: {leet}))) as t from ref) group by all),
+n1 as (select country, count(*) as n1 from ref group by country),
+st as (select country, t from lv join n1 using (country) where df >= 0.004 * n1),
+wv as (select country, t, count(*) as df from (select country, unnest(list_distinct(list_filter(aw, lambda t: not regexp_matches(t, '[0-9]')))) as t from ref) group by all)""".replace("{leet}", _leet("t"))
+
+
+def _corruption_keys(source: str, name: str, words: int) -> str:
+    """(id, country, fam, key) of a record set, as common table expressions whose names end in ``name``."""
+    leet = _leet("t")
+    return f"""
+bg_{name} as (select id, country, name_sq, addr_n, list_sort(list_distinct(list_transform(nt, lambda t: {leet}))) as b from {source}),
+ij_{name} as (select *, unnest(range(i, n + 1)) as j from (select id, country, b, len(b) as n, unnest(range(0, len(b) + 1)) as i from bg_{name})),
+ct_{name} as (
+  select id, country, (i < n)::int + (j < n and j <> i)::int as d, least(case when n <= 7 then 2 else 1 end, n - 1) as most, list_filter(b, lambda t, k: k - 1 <> i and k - 1 <> j) as ws
+  from ij_{name} where i = n or i < j),
+se_{name} as (select id, c.country, d, ws from ct_{name} c left join st on st.country = c.country and len(ws) = 1 and st.t = ws[1] where d <= most and len(ws) > 0 and st.t is null),
+ty_{name} as (select id, x.country, x.t from (select id, country, unnest(b) as t from bg_{name}) x left join st on st.country = x.country and st.t = x.t where st.t is null and regexp_matches(x.t, '[a-z]')),
+w_{name} as (select id, t from (select id, t, row_number() over (partition by id order by df, t) as r from (select id, country, unnest(list_distinct(aw)) as t from {source}) join wv using (country, t)) where r <= {words}),
+r_{name} as (select id, t from (select id, t, row_number() over (partition by id order by df, t) as r from (select id, country, unnest(b) as t from bg_{name}) join lv using (country, t)) where r <= 2),
+h0_{name} as (select distinct id, t from (select id, unnest(list_filter(list_transform(regexp_extract_all(addr_n, '[0-9]+'), lambda x: regexp_replace(x, '^0+', '')), lambda x: x <> '')[1:3]) as t from {source})),
+h_{name} as (select id, t from h0_{name} union select id, substr(t, 1, i - 1) || substr(t, i + 1) from (select id, t, unnest(range(1, least(length(t), 8) + 1)) as i from h0_{name} where length(t) >= 3)),
+sq_{name} as (select id, substr({_leet('name_sq')}, 1, 10) as p from {source} where length(name_sq) >= 5),
+{name} as (
+  select distinct id, country, split_part(key, ':', 1) as fam, key from (
+    select id, country, 'nb:' || array_to_string(ws, ' ') as key from se_{name}
+    union all select id, country, 'ag:' || array_to_string(list_sort(string_split(array_to_string(ws, ''), '')), '') from se_{name} where d <= 1
+    union all select id, country, 'ty:' || t from ty_{name}
+    union all select id, country, 'ty:' || substr(t, 1, i - 1) || substr(t, i + 1) from (select *, unnest(range(1, length(t) + 1)) as i from ty_{name} where length(t) >= 5)
+    union all select h.id, country, 'hn:' || h.t || '_' || w.t from h_{name} h join w_{name} w using (id) join {source} using (id)
+    union all select r.id, country, 'cx:' || r.t || '_' || w.t from r_{name} r join w_{name} w using (id) join {source} using (id)
+    union all select s.id, country, 'sw:' || s.p || '_' || w.t from sq_{name} s join w_{name} w using (id) join {source} using (id)))"""
+
+
+def _hits(start: str, n1: str = "n1") -> str:
+    return f"""{start}, {_STOPS.replace("n1 as (", f"{n1} as (").replace("join n1 using", f"join {n1} using")}, {_corruption_keys('ref', 'r2', 4)}, {_corruption_keys('qry', 'q2', 3)},
+i2 as (select * from (select *, count(*) over (partition by country, key) as df from r2) where df <= case when fam = 'ty' then 60 else 200 end),
+hits as (
+  select q2.id as q_id, i2.id as s1_id, count(*) as v2_nkeys, round(sum(ln((n1 + 1) / df)), 6) as v2_score, round(max(ln((n1 + 1) / df)), 6) as v2_max_idf,
+    count(*) filter (where i2.fam = 'nb') as v2_k_nb, count(*) filter (where i2.fam = 'ag') as v2_k_ag, count(*) filter (where i2.fam = 'hn') as v2_k_hn,
+    count(*) filter (where i2.fam = 'cx') as v2_k_cx, count(*) filter (where i2.fam = 'sw') as v2_k_sw, count(*) filter (where i2.fam = 'ty') as v2_k_ty
+  from q2 join i2 using (country, key) join {n1} using (country) group by all)"""
+
 
 ORACLES = {
     "norm_names": f"""
@@ -166,7 +227,7 @@ select page_id, case when regexp_matches(h, '^[a-z0-9][a-z0-9\\-]*(?:\\.[a-z0-9\
   regexp_matches(h, '^[a-z0-9][a-z0-9\\-]*(?:\\.[a-z0-9\\-]+)*\\.(?:com|net|org|in|fr|co|biz|info|io|us)$') as is_domain
 from h""",
     "leet_tokens": "select p_partkey, 'b' || translate(p_partkey::varchar, '0123456789', 'olzeasgtbg') || 'r' as word, p_partkey::varchar as number, p_partkey || 'th' as ordinal from part",
-    "native_flags": f"{_P} select id, false as native_name, false as native_addr from rec",
+    "native_flags": f"{_P} select id, {_native('name_n')} as native_name, {_native('addr_n')} as native_addr from rec",
     "party_records": f"{_P} select id, country, name_n, addr_n, name_sq, role, owner from rec",
     "document_records": f"{_DOCS} select id, country, name_n, addr_n, replace(name_n, ' ', '') as name_sq, role from docs",
     "token_df": f"{_P}, {_TOKDF} select country, t, df from tokdf",
@@ -176,15 +237,10 @@ from h""",
     "keys_addrbag": f"{_P} select id, 'x:' || array_to_string(list_sort(aw), ' ') as key from rec where len(aw) >= 3",
     "keys_numword": f"""{_P} select a.id, 'h:' || d || '_' || w as key from (select id, unnest(list_distinct(aw)) as d from rec) a join (select id, unnest(list_distinct(aw)) as w from rec) b on a.id = b.id
 where regexp_matches(d, '[0-9]') and not regexp_matches(w, '[0-9]')""",
-    "keys_cross": f"""{_P} select a.id, 'c:' || n || '_' || w as key from (select id, unnest(list_distinct(nt)) as n from rec) a join (select id, unnest(list_distinct(aw)) as w from rec) b on a.id = b.id where not regexp_matches(w, '^[0-9]+$')""",
+    "keys_cross": f"""{_P} select a.id, 'c:' || n || '_' || w as key from (select id, unnest(list_distinct(nt)) as n from rec) a join (select id, unnest(list_distinct(aw)) as w from rec) b on a.id = b.id where not regexp_matches(w, '[0-9]')""",
     "keys_rarepair": f"{_P}, {_TOKDF} select id, key from ({_rare_pairs('qry', 5)})",
     "index_capped": f"{_CAND} select id, country, key, df from idx",
-    "candidates_topk": f"""{_DOCS},
-ks as (select distinct id, country, role, 'n:' || unnest(list_distinct({_words('name_n')})) as key from docs union select id, country, role, 'a:' || unnest(list_distinct({_words('addr_n')})) from docs),
-idx as (select id, country, key, df from (select *, count(*) over (partition by country, key) as df from ks where role = 0) where df <= 40),
-n1 as (select country, count(*) as n1 from docs where role = 0 group by country),
-ev as (select k.id as q_id, idx.id as s1_id, count(*) as n_keys, round(sum(ln((n1 + 1) / df)), 6) as score from ks k join idx using (country, key) join n1 using (country) where k.role > 0 group by all)
-select q_id, s1_id, n_keys, score from (select *, row_number() over (partition by q_id order by score desc, s1_id) as r from ev) where r <= 5""",
+    "candidates_topk": f"{_CAND.replace('where r <= 10)', 'where r <= 5)')} select q_id, s1_id, n_keys, score from cand",
     "candidates_all_keys": f"{_CAND} select * from cand",
     "v2_namebag_keys": f"{_subset_keys()} select distinct id, 'nb:' || array_to_string(ws, ' ') as key from sets",
     "v2_anagram_keys": f"{_subset_keys()} select distinct id, 'ag:' || array_to_string(list_sort(string_split(array_to_string(ws, ''), '')), '') as key from sets where d <= 1",
@@ -194,10 +250,19 @@ select id, 'ty:' || t as key from t union select id, 'ty:' || substr(t, 1, i - 1
     "v2_house_keys": f"""{_P},
 h as (select distinct id, t from (select id, unnest(list_filter(list_transform(regexp_extract_all(addr_n, '[0-9]+'), lambda x: regexp_replace(x, '^0+', '')), lambda x: x <> '')[1:3]) as t from rec))
 select id, t as key from h union select id, substr(t, 1, i - 1) || substr(t, i + 1) from (select id, t, unnest(range(1, least(length(t), 8) + 1)) as i from h where length(t) >= 3)""",
+    "v2_cross_keys": f"{_P}, {_STOPS}, {_corruption_keys('qry', 'q2', 3)} select id, key from q2 where fam in ('hn', 'cx', 'sw')",
+    "v2_hits": f"{_hits(_P)} select * from hits",
+    "candidates_union": f"""{_hits(_CAND, 'n1b')},
+t2 as (select * from (select *, row_number() over (partition by q_id order by v2_score desc, s1_id) as r from hits) where r <= 5)
+select q_id, s1_id, (c.s1_id is not null)::bigint as in_v1, (t2.s1_id is not null)::bigint as in_v2, coalesce(n_keys, 0) as n_keys, coalesce(h.v2_nkeys, 0) as v2_nkeys, coalesce(c.score, 0) as score, coalesce(h.v2_score, 0) as v2_score
+from (select q_id, s1_id from cand union select q_id, s1_id from t2) left join cand c using (q_id, s1_id) left join t2 using (q_id, s1_id) left join hits h using (q_id, s1_id)""",
     "blocking_recall": f"""{_CAND},
-hit as (select q.id, q.country, q.owner, q.addr_n, c.s1_id from qry q left join cand c on c.q_id = q.id and c.s1_id = q.owner where q.owner is not null),
+hit as (select q.id, q.country, q.addr_n = '' as blank, {_native('q.name_n')} as native, q.is_domain as dom, c.s1_id from qry q left join cand c on c.q_id = q.id and c.s1_id = q.owner where q.owner is not null),
 per as (select country, avg(coalesce(n, 0)) as per_query from qry left join (select q_id, count(*) as n from cand group by 1) c on c.q_id = qry.id group by country)
-select country, count(*) as n_true, count(s1_id) as n_found, count(*) filter (where s1_id is null and addr_n = '') as missed_blank, round(count(s1_id) / count(*), 6) as recall, round(any_value(per_query), 6) as per_query
+select country, count(*) as n_true, count(s1_id) as n_found, round(count(s1_id) / count(*), 6) as recall, round(any_value(per_query), 6) as per_query,
+  count(*) filter (where s1_id is null and blank) as missed_blank, count(*) filter (where s1_id is null and native) as missed_native, count(*) filter (where s1_id is null and dom) as missed_domain,
+  round(count(s1_id) filter (where blank) / nullif(count(*) filter (where blank), 0), 6) as recall_blank, round(count(s1_id) filter (where native) / nullif(count(*) filter (where native), 0), 6) as recall_native,
+  round(count(s1_id) filter (where dom) / nullif(count(*) filter (where dom), 0), 6) as recall_domain
 from hit join per using (country) group by country""",
     "alias_fit": f"""{_PAIRS},
 lo as (
@@ -209,7 +274,7 @@ b as (select *, sum(cnt) over (partition by field, q_tok)::bigint as total, row_
 select field, q_tok, s_tok, cnt, total, round(cnt / total, 6) as purity from b where r = 1 and total >= 2 and cnt / total >= 0.3 and q_tok <> s_tok""",
     "alias_apply": f"""{_P},
 x as (select id, array_to_string(list_transform(nr, lambda t: case t when 'small' then 'little' when 'ring' then 'band' else t end), ' ') as name_n, array_to_string(list_transform(ar, lambda t: case t when 'nation' then 'land' else t end), ' ') as addr_n from rec)
-select id, name_n, addr_n, replace(name_n, ' ', '') as name_sq from x""",
+select id, x.name_n, x.addr_n, case when is_domain then name_sq else replace(x.name_n, ' ', '') end as name_sq from x join rec using (id)""",
     "alias_classes": f"{_P} select id, array_to_string(list_transform(nr, lambda t: case t when 'small' then 'tiny' when 'little' then 'tiny' when 'b0lt' then 'bolt' else t end), ' ') as name_n, name_sq from rec",
     "s1_ambiguity": f"{_P} select id, count(*) over (partition by country, name_n) as s1_name_dup, count(*) over (partition by country, addr_n) as s1_addr_dup from ref",
 }
@@ -235,30 +300,49 @@ ORACLES |= {
     "leftover_tokens": f"""{_PAIRS} select q_id, s1_id, {_left('nr1', 'nr2')} as nr1, {_left('nr2', 'nr1')} as nr2, {_left('ar1', 'ar2')} as ar1, {_left('ar2', 'ar1')} as ar2,
 {_left(_WHOLE('a1'), _WHOLE('a2'))} as mr1, {_left(_WHOLE('a2'), _WHOLE('a1'))} as mr2 from pairs""",
     "levenshtein_rest": f"""{_PAIRS} select q_id, length({_left('nr1', 'nr2')}) as n_rest_len1, length({_left('nr2', 'nr1')}) as n_rest_len2, length({_left('ar1', 'ar2')}) as a_rest_len1, length({_left('ar2', 'ar1')}) as a_rest_len2,
+length({_left(_WHOLE('a1'), _WHOLE('a2'))}) as m_rest_len1, length({_left(_WHOLE('a2'), _WHOLE('a1'))}) as m_rest_len2,
 levenshtein({_left(_WHOLE('a1'), _WHOLE('a2'))}, {_left(_WHOLE('a2'), _WHOLE('a1'))}) as m_rest_dist from pairs""",
     "token_overlap": f"{_PAIRS} select q_id, {_INTER('nr1', 'nr2')} as n_shared_tok, {_INTER('ar1', 'ar2')} as a_shared_tok, len(nr1) as n1_ntok, len(nr2) as n2_ntok, len(ar1) as a1_ntok, len(ar2) as a2_ntok from pairs",
     "number_features": f"""{_PAIRS} select q_id, {_INTER(_NUM('a1'), _NUM('a2'))} as num_inter, len({_NUM('a1')}) as num1, len({_NUM('a2')}) as num2, (({_NUM('a1')})[1] = ({_NUM('a2')})[1])::bigint as num_first_eq from pairs""",
-    "flag_features": f"""{_PAIRS} select q_id, (q_id[2] = '3')::bigint as src3, 0::bigint as q_is_domain, (a2 = '')::bigint as q_addr_empty, (n1 = n2)::bigint as n_exact, (a1 = a2)::bigint as a_exact, length(n1) as n1_len, length(n2) as n2_len,
-length(a1) as a1_len, length(a2) as a2_len, 0::bigint as q_native_name, 0::bigint as q_native_addr, round(length(n1) / greatest(length(n2), 1), 6) as n_len_ratio, round(length(a1) / greatest(length(a2), 1), 6) as a_len_ratio from pairs""",
-    "jaro_winkler": f"{_PAIRS} select q_id, round(jaro_winkler_similarity(n1, n2), 6) as n_jw from pairs",
+    "flag_features": f"""{_PAIRS} select q_id, (q_id[2] = '3')::bigint as src3, is_domain::bigint as q_is_domain, (a2 = '')::bigint as q_addr_empty, (n1 = n2)::bigint as n_exact, (a1 = a2)::bigint as a_exact, length(n1) as n1_len, length(n2) as n2_len,
+length(a1) as a1_len, length(a2) as a2_len, {_native('n2')}::bigint as q_native_name, {_native('a2')}::bigint as q_native_addr, round(length(n1) / greatest(length(n2), 1), 6) as n_len_ratio, round(length(a1) / greatest(length(a2), 1), 6) as a_len_ratio from pairs""",
+    "jaro_winkler": f"{_PAIRS} select q_id, round(jaro_winkler_similarity(a1, a2), 6) as a_jw from pairs",
     "house_number_relations": f"""{_PAIRS},
 h as (select q_id, nullif(coalesce(({_WHOLE('a1')})[1], ''), '') as x, nullif(coalesce(({_WHOLE('a2')})[1], ''), '') as y from pairs)
 select q_id, round(ln(1 + abs(x::double - y::double)), 6) as hn_diff, round(abs(ln(1 + x::double) - ln(1 + y::double)), 6) as hn_logdiff, (starts_with(x, y) or starts_with(y, x))::bigint as hn_prefix, (ends_with(x, y) or ends_with(y, x))::bigint as hn_suffix, length(x) - length(y) as hn_lendiff from h""",
     "vocab_features": f"""{_PAIRS},
-df as (select w, count(*) as df from (select unnest(list_distinct(nt)) as w from ref) group by w),
-e as (select q_id, df from (select q_id, unnest(list_distinct(list_filter(nt2, lambda t: not list_contains(nt1, t)))) as w from pairs) left join df using (w)),
+df as (select country, w, count(*) as df from (select country, unnest(list_distinct(nt)) as w from ref) group by all),
+e as (select q_id, df from (select q_id, country, unnest(list_distinct(list_filter(nt2, lambda t: not list_contains(nt1, t)))) as w from pairs) left join df using (country, w)),
 g as (select q_id, round(min(ln(coalesce(df, 0) + 1)), 6) as v_min, round(max(ln(coalesce(df, 0) + 1)), 6) as v_max, count(*) filter (where df is null) as v_unknown, count(df) as v_known from e group by q_id)
 select pairs.q_id, v_min, v_max, v_unknown, v_known from pairs left join g using (q_id)""",
     "cross_encoder_texts": f"{_PAIRS} select q_id, n1 || ' | ' || a1 as text1, n2 || ' | ' || a2 as text2 from pairs",
     "top2": f"{_S} select * from best",
     "query_context": f"""{_S} select q_id, s1_id, r - 1 as q_rank, count(*) over (partition by q_id) as q_ncand, round(p, 6) as p, round(sum(p) over (partition by q_id), 6) as q_psum,
 round(coalesce(case when r = 1 then max(case when r = 2 then p end) over (partition by q_id) else max(p) over (partition by q_id) end, 0), 6) as q_pother from ranked""",
-    "entity_context": f"{_S}, {_ENTITY} select q_id, s1_id, e_strong, e_strong_s2, e_strong_s3, e_mid, e_n, e_all_n, src3, e_sum, round(e_max, 6) as e_max, e_all_sum from ec",
+    "entity_context": f"{_S}, {_ENTITY} select q_id, s1_id, e_strong, e_strong_s2, e_strong_s3, e_mid, e_n, e_all_n, case when src3 = 1 then e_strong_s3 else e_strong_s2 end as e_same_src_strong, src3, e_sum, round(e_max, 6) as e_max, e_all_sum from ec",
     "context_features": f"""with {_SCORED.replace('ranked as (select *,', 'ranked0 as (select *,').replace('from ranked where', 'from ranked0 where')},
 ranked as (select q_id, s1_id, p1 as p, 1 as r from best), {_ENTITY},
 lk as (select s1_id2 as s1_id, sum(p2) as leak from best where s1_id2 is not null group by 1)
 select ec.q_id, ec.s1_id, e_strong, e_mid, e_n, case when src3 = 1 then e_strong_s3 else e_strong_s2 end as n_src, e_sum, round(e_max, 6) as e_max, round(coalesce(leak, 0), 6) as leak, round(p1 - p2, 6) as gap
 from ec join best using (q_id) left join lk on lk.s1_id = ec.s1_id""",
+    "sibling_features": f"""{_SIBFEAT}
+select q_id, s1_id, len(ad) as q_addr_rdiv, coalesce(ash, 0) as sib_addr_shared, coalesce(asm, 0) as sib_addr_shared_same, len(nd) as q_name_rdiv, coalesce(nsh, 0) as sib_name_shared
+from dv left join sb using (q_id, s1_id)""",
+    "validate_lists": f"""{_S},
+ls as (select 'S1-' || s_suppkey as s1, s_suppkey as pos, coalesce(ids, '') as ids from supplier left join (select s1_id, string_agg(q_id, ',' order by q_id) as ids from best where p1 >= 0.95 group by 1) on s1_id = 'S1-' || s_suppkey),
+bad as (
+  select s1, case when pos % 7 = 0 then 'S2-1,S2-1,S1-5,X-2' else ids end as ids from ls where pos % 10 <> 3
+  union all select s1, ids from ls where pos % 10 = 4 union all select 'S1-none', ids from ls where pos = 1),
+ea as (select s1, unnest(string_split(ids, ',')) as id from bad where ids <> '')
+select 'duplicate_row' as rule, s1 as id from bad group by s1 having count(*) > 1
+union select 'duplicate_id', s1 from ea group by s1, id having count(*) > 1
+union select 'blank_id', s1 from ea where trim(id) = ''
+union select 'self_match', id from ea where starts_with(id, 'S1-')
+union select 'wrong_prefix', id from ea where trim(id) <> '' and not regexp_matches(id, '^S[123]-')
+union select 'missing_entity', s1 from ls where s1 not in (select s1 from bad)
+union select 'extra_entity', s1 from bad where s1 not in (select s1 from ls)
+union select 'quote', s1 from bad where contains(ids, '"')
+union select 'matched_twice', id from ea group by id having count(distinct s1) > 1""",
     "sibling_candidates": f"{_SIBCAND} select q_id, s1_id, sc_n, sc_keys from found",
     "sibling_pairs_added": f"""{_SIBCAND}
 select q_id, s1_id, round(p, 6) as p, coalesce(sc_n, 0) as sc_n, coalesce(sc_keys, 0) as sc_keys, 0::bigint as sc_new from sc2 left join found using (q_id, s1_id)

@@ -152,10 +152,8 @@ def index_capped(spark, sf):
 
 @query
 def candidates_topk(spark, sf):
-    """The flagship: the best five reference documents for every query document, by its words."""
-    d = documents(spark, sf)
-    cfg = K.KeyConfig(caps={"n": 40, "a": 40, "b": 0, "q": 0, "p": 0, "h": 0, "x": 0, "c": 0})
-    return blocking.generate_candidates(d.where("role = 0"), d.where("role > 0"), 5, cfg).select("q_id", "s1_id", *_long("n_keys"), *_round("score"))
+    """The flagship: the best five reference records for every noisy record, by all key families."""
+    return blocking.generate_candidates(_reference(spark, sf), _queries(spark, sf), 5).select("q_id", "s1_id", *_long("n_keys"), *_round("score"))
 
 
 def _candidates(spark, sf):
@@ -214,7 +212,7 @@ def candidates_union(spark, sf):
 
 @query
 def blocking_recall(spark, sf):
-    return blocking.recall_report(_candidates(spark, sf), _truth(spark, sf), _queries(spark, sf)).select("country", *_long("n_true", "n_found", "missed_blank"), *_round("recall", "per_query"))
+    return blocking.recall_report(_candidates(spark, sf), _truth(spark, sf), _queries(spark, sf)).select("country", *_long("n_true", "n_found", "missed_blank", "missed_native", "missed_domain"), *_round("recall", "recall_blank", "recall_native", "recall_domain", "per_query"))
 
 
 # aliases
@@ -253,7 +251,7 @@ def leftover_tokens(spark, sf):
 @query
 def levenshtein_rest(spark, sf):
     t = feats.rest_features(feats.leftover_features(_pairs(spark, sf)))
-    return t.select("q_id", *_long("n_rest_len1", "n_rest_len2", "a_rest_len1", "a_rest_len2", "m_rest_dist"))
+    return t.select("q_id", *_long("n_rest_len1", "n_rest_len2", "a_rest_len1", "a_rest_len2", "m_rest_len1", "m_rest_len2", "m_rest_dist"))
 
 
 @query
@@ -273,7 +271,7 @@ def flag_features(spark, sf):
 
 @query
 def jaro_winkler(spark, sf):
-    return _pairs(spark, sf).withColumn("k", kernels(F.col("n1"), F.col("n2"), "jw")).select("q_id", F.round("k.jw", 6).alias("n_jw"))
+    return _pairs(spark, sf).withColumn("k", kernels(F.col("a1"), F.col("a2"), "jw")).select("q_id", F.round("k.jw", 6).alias("a_jw"))
 
 
 @query
@@ -330,7 +328,7 @@ def query_context(spark, sf):
 
 @query
 def entity_context(spark, sf):
-    return context.entity_context(context.query_context(scored(spark, sf))).select("q_id", "s1_id", *_long("e_strong", "e_strong_s2", "e_strong_s3", "e_mid", "e_n", "e_all_n", "src3"), *_round("e_sum", "e_max", "e_all_sum"))
+    return context.entity_context(context.query_context(scored(spark, sf))).select("q_id", "s1_id", *_long("e_strong", "e_strong_s2", "e_strong_s3", "e_mid", "e_n", "e_all_n", "e_same_src_strong", "src3"), *_round("e_sum", "e_max", "e_all_sum"))
 
 
 @query

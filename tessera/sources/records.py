@@ -52,13 +52,12 @@ def write_lists(rows: DataFrame, path: str, order: str = "pos") -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: the first 6 words are the name, the next 18 the address, lang the country; role 0 (reference), 1 or 2 by source."""
+    """Documents as records: the first 6 words are the name, all others the address, lang the country; role 0 (reference), 1 or 2 by source."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # whole texts are folded nowhere: the record is what stands at their beginning
     words = X.tokens(X.fold(F.col("text")))
     own = d.select("doc_id", "lang", "source", words.alias("w"))
     name = F.array_join(X.without_runs(F.slice("w", 1, 6)), " ")
-    addr = F.array_join(F.transform(F.slice("w", 7, 18), X.without_zeros), " ")
+    addr = F.array_join(F.transform(F.slice("w", F.lit(7), F.size("w")), X.without_zeros), " ")
     role = (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 3).alias("role")
     return own.select(F.concat(F.lit("S"), (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("country"), name.alias("name_n"), addr.alias("addr_n"), F.lit(False).alias("is_domain"), X.squash(name).alias("name_sq"), role)
 
@@ -72,7 +71,8 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records (role 0) and corrupted copies of them (roles 1 and 2), with the owner of each copy.
 
     A copy's name has its first two words swapped (role 1) or its last letter gone (role 2); a fourth of
-    all copies lose their address, and a fifth get another number and have no owner.
+    all copies lose their address, and a fifth get another number and have no owner. Half of the copies of role 1 write
+    "gizmo" in another script, half of role 2 shorten "medium", and an eighth of role 2 are written as a domain.
     """
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     part = t("part").select((F.col("p_partkey")).alias("k"), F.lower(F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "[^A-Za-z0-9]", " "))).alias("p"))
@@ -85,15 +85,18 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("c_custkey", F.lower("r_name").alias("country"), X.tokens(F.col("p")).alias("w"), F.replace(F.lower(F.concat_ws(" ", (F.col("c_custkey") % 977).cast("string"), "c_mktsegment", "n_name")), F.lit("_"), F.lit(" ")).alias("addr"))
     )
     key = F.col("c_custkey").cast("string")
-    swapped = F.array_join(F.concat(F.slice("w", 2, 1), F.slice("w", 1, 1), F.slice("w", 3, 20)), " ")
+    other = lambda seed, word, becomes: F.transform("w", lambda t: F.when((t == word) & (bucket(key, seed, 2) == 0), becomes).otherwise(t))
+    native, short, domain = other(8, "gizmo", "कमल"), F.array_join(other(9, "medium", "med"), " "), bucket(key, 10, 8) == 0
+    swapped = F.array_join(F.concat(F.slice(native, 2, 1), F.slice(native, 1, 1), F.slice(native, 3, 20)), " ")
     plain = F.array_join("w", " ")
-    clipped = F.substring(plain, F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1)))
+    clipped = F.substring(short, F.lit(1), F.greatest(F.length(short) - 1, F.lit(1)))
+    clipped = F.when(domain, X.squash(clipped)).otherwise(clipped)
     blank = bucket(key, 3, 4) == 0
     lost = lambda role: bucket(key, role, 5) == 0
     number = lambda role: F.when(lost(role), F.concat(F.lit("9"), F.col("addr"))).otherwise(F.col("addr"))
 
     def record(role: int, name: Column, addr: Column, owner: Column) -> DataFrame:
-        return own.select(F.concat(F.lit(f"S{role + 1}-"), key).alias("id"), "country", name.alias("name_n"), addr.alias("addr_n"), F.lit(False).alias("is_domain"), X.squash(name).alias("name_sq"), F.lit(role).alias("role"), owner.alias("owner"))
+        return own.select(F.concat(F.lit(f"S{role + 1}-"), key).alias("id"), "country", name.alias("name_n"), addr.alias("addr_n"), (domain if role == 2 else F.lit(False)).alias("is_domain"), X.squash(name).alias("name_sq"), F.lit(role).alias("role"), owner.alias("owner"))
 
     copy = lambda role, name: record(role, name, F.when(blank, F.lit("")).otherwise(number(role)), F.when(~lost(role), F.concat(F.lit("S1-"), key)))
     return record(0, plain, F.col("addr"), F.concat(F.lit("S1-"), key)).unionByName(copy(1, swapped)).unionByName(copy(2, clipped))
