@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.records import bucket
+
 #: Most candidates of an entity, support of the Poisson part, least r.
 MOST, SUPPORT, LEAST_R = 10, 6, 0.02
 
@@ -68,7 +70,8 @@ def best_count(r: np.ndarray, mu: np.ndarray) -> np.ndarray:
 
 def expected_decode(rows: DataFrame, mass: DataFrame | None = None, mu0: float = 0.02) -> DataFrame:
     """(q_id, s1_id) accepted: of each entity's records by r, the first k of best expected F0.5."""
-    lists = rows.where(F.col("r") >= LEAST_R).groupBy("s1_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("r"), "q_id"))), 1, MOST).alias("x"))
+    first = rows.where(F.col("r") >= LEAST_R).withColumn("_k", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("r"), "q_id"))).where(F.col("_k") <= MOST)
+    lists = first.groupBy("s1_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("r"), "q_id"))).alias("x"))
     lists = lists.join(mass, "s1_id", "left") if mass is not None else lists.withColumn("mass", F.lit(0.0))
 
     @F.pandas_udf(T.IntegerType())
@@ -93,9 +96,12 @@ def entity_scores(entities: DataFrame, truth: DataFrame, predicted: DataFrame) -
     truth, predicted = truth.select("s1", "other").distinct(), predicted.select("s1", "other").distinct()
     n = lambda d, c: d.groupBy("s1").agg(F.count("*").alias(c))
     t = entities.join(n(truth, "n_true"), "s1", "left").join(n(predicted, "n_pred"), "s1", "left").join(n(truth.join(predicted, ["s1", "other"]), "tp"), "s1", "left").na.fill(0, ["n_true", "n_pred", "tp"])
+    return t.withColumn("f", _f05())
+
+
+def _f05() -> Column:
     precision, recall = F.col("tp") / F.col("n_pred"), F.col("tp") / F.col("n_true")
-    f = F.when(F.col("n_true") == 0, (F.col("n_pred") == 0).cast("double")).when(F.col("tp") == 0, 0.0).otherwise(1.25 * precision * recall / (0.25 * precision + recall))
-    return t.withColumn("f", f)
+    return F.when(F.col("n_true") == 0, (F.col("n_pred") == 0).cast("double")).when(F.col("tp") == 0, 0.0).otherwise(1.25 * precision * recall / (0.25 * precision + recall))
 
 
 def macro_f05(scores: DataFrame, *by: str) -> DataFrame:
@@ -120,6 +126,21 @@ def threshold_grid(best: DataFrame, truth: DataFrame, thresholds: list[float], g
     return agg.withColumns({"precision": F.when(F.col("n_pred") > 0, p), "recall": F.when(F.col("n_true") > 0, r)}).withColumn("f05", F.when(F.col("tp") > 0, 1.25 * F.col("precision") * F.col("recall") / (0.25 * F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def tuned(best: DataFrame, entities: DataFrame, truth: DataFrame, thresholds: list[float], gaps: list[float], guards: list[float]) -> DataFrame:
+    """(threshold, gap, guard, half, f05): macro F0.5 of every setting on both halves of the entities (s1), by hash; one pass over all settings.
+
+    A guard of 0 guards nothing; other guards ask for a threshold below them. Choose on half 0, report on half 1.
+    """
+    settings = [(t, g, u) for t in thresholds for g in gaps for u in guards if not u or u > t]
+    grid = best.sparkSession.createDataFrame(settings, "threshold double, gap double, guard double")
+    by = ["threshold", "gap", "guard", "s1"]
+    owner = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("owner"))
+    rows = best.join(owner, "q_id", "left").crossJoin(F.broadcast(grid)).where((F.col("p1") >= F.col("threshold")) & (F.col("p1") - F.col("p2") >= F.col("gap")))
+    got = rows.withColumnRenamed("s1_id", "s1").groupBy(*by).agg(F.count("*").alias("n_pred"), F.count_if(F.col("s1") == F.col("owner")).alias("tp"), F.max("p1").alias("top")).where(F.col("top") >= F.col("guard"))
+    own = entities.select("s1").join(truth.groupBy("s1").agg(F.countDistinct("other").alias("n_true")), "s1", "left").crossJoin(F.broadcast(grid)).join(got, by, "left").na.fill(0, ["n_true", "n_pred", "tp"])
+    return own.withColumns({"f": _f05(), "half": bucket(F.col("s1"), 99, 2)}).groupBy("threshold", "gap", "guard", "half").agg(F.avg("f").alias("f05"))
+
+
 def best_threshold(grid: DataFrame, least: float = 0.0) -> DataFrame:
     """The cell of best f05, if it beats ``least``."""
     return grid.agg(F.max_by(F.struct("threshold", "gap", "f05"), F.struct("f05", -F.col("threshold"), -F.col("gap"))).alias("x")).select("x.*").where(F.col("f05") > least)
@@ -135,7 +156,7 @@ def diagnostics(best: DataFrame, entities: DataFrame, threshold: float) -> DataF
 
 
 def violations(lists: DataFrame, entities: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None, column: str = "matched_entity_ids") -> DataFrame:
-    """(rule, id) of everything wrong with lists (source1_entity_id, ``column``) for entities (id)."""
+    """(rule, id) of everything wrong with lists (source1_entity_id, ``column``) for entities (id); if both have pos, of rows out of order too."""
     own = lists.select(F.col("source1_entity_id").alias("s1"), F.col(column).alias("ids"))
     each = own.where("ids <> ''").select("s1", F.explode(F.split("ids", ",")).alias("id"))
     rule = lambda name, df, c: df.select(F.lit(name).alias("rule"), F.col(c).alias("id"))
@@ -150,6 +171,9 @@ def violations(lists: DataFrame, entities: DataFrame, known: DataFrame | None =
         rule("quote", own.where(F.col("ids").contains('"')), "s1"),
         rule("matched_twice", each.groupBy("id").agg(F.countDistinct("s1").alias("n")).where("n > 1"), "id"),
     ]
+    if "pos" in lists.columns and "pos" in entities.columns:
+        placed = lists.select(F.col("source1_entity_id").alias("s1"), F.col("pos").alias("at")).join(entities.select("id", "pos"), F.col("s1") == F.col("id"))
+        found.append(rule("out_of_order", placed.where("at <> pos"), "s1"))
     if known is not None:
         found.append(rule("unknown_id", each.join(known.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti"), "id"))
     if candidates is not None:

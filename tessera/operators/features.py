@@ -19,8 +19,9 @@ class FeatureSpec:
     names: tuple[str, ...]
 
     @classmethod
-    def of(cls, df: DataFrame, leave: tuple[str, ...] = ("q_id", "s1_id", "country", "label", "fold", "p", "n1", "a1", "n2", "a2")) -> FeatureSpec:
-        return cls(tuple(c for c in df.columns if c not in leave))
+    def of(cls, df: DataFrame, leave: tuple[str, ...] = ("label", "fold", "p")) -> FeatureSpec:
+        """All columns but texts and those to ``leave``."""
+        return cls(tuple(c for c, t in df.dtypes if t != "string" and c not in leave))
 
     def drop(self, *patterns: str) -> FeatureSpec:
         """Without the names given, or with a given beginning (``e_*``)."""

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.features import FeatureSpec
@@ -38,9 +39,13 @@ def world_split(entities: DataFrame, records: DataFrame, orphans_per_entity: flo
     free = records.where("owner is null").select("id", "country", world(F.col("id")).alias("world"))
     size = own.groupBy("world", "country").agg(F.count("*").alias("n"))
     taken = owned.groupBy("world", "country").agg(F.count("*").alias("taken"))
-    order = Window.partitionBy("world", "country").orderBy(F.md5(F.concat("id", F.lit(":22")).cast("binary")), "id")
-    free = free.withColumn("r", F.row_number().over(order)).join(size, ["world", "country"]).join(taken, ["world", "country"], "left")
-    free = free.where(F.col("r") <= orphans_per_entity * F.col("n") - F.coalesce("taken", F.lit(0))).select("id", "country", "world", F.lit("orphan").alias("kind"))
+    room = size.join(taken, ["world", "country"], "left").withColumn("room", orphans_per_entity * F.col("n") - F.coalesce("taken", F.lit(0)))
+    # ranks within 256 stretches of the hash, behind the counts of the stretches before: no task ranks a whole world
+    h = F.md5(F.concat("id", F.lit(":22")).cast("binary"))
+    free = free.withColumns({"h": h, "part": F.substring(h, 1, 2)})
+    before = free.groupBy("world", "country", "part").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.partitionBy("world", "country").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    free = free.withColumn("r", F.row_number().over(Window.partitionBy("world", "country", "part").orderBy("h", "id"))).join(F.broadcast(before), ["world", "country", "part"]).join(F.broadcast(room), ["world", "country"])
+    free = free.where(F.col("before") + F.col("r") <= F.col("room")).select("id", "country", "world", F.lit("orphan").alias("kind"))
     return own.select("id", "country", "world", F.lit("entity").alias("kind")).unionByName(owned).unionByName(free)
 
 
@@ -58,6 +63,11 @@ def halves(rows: DataFrame) -> DataFrame:
     return out.withColumns({"half": bucket(F.col("grp"), 99, 2), "sub": bucket(F.col("grp"), 5, 4)}).drop("grp")
 
 
+def reader_rows(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """The rows that a reader of pairs learns from: a third of half 0. The second stage leaves them out, so none of its rows has a score fitted on its own label."""
+    return rows.where((bucket(F.col(group), 77, 3) == 0) & (bucket(F.col(group), 99, 2) == 0))
+
+
 def cache_path(root: str, country: str, n: int, seed: int, alias_mode: str, blocking: str) -> str:
     return str(PurePosixPath(root) / f"pairs_{country}_{n}_{seed}_{alias_mode}_{blocking}")
 
@@ -67,11 +77,31 @@ def filled(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
     return rows.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in spec.names} | {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in spec.names})
 
 
-def fit_matcher(rows: DataFrame, spec: FeatureSpec, rounds: int = 20, depth: int = 5, linear: bool = False) -> PipelineModel:
-    """Gradient-boosted trees (or a logistic baseline) on label; rows of fold 0 are for validation and not learnt."""
+def fit_matcher(rows: DataFrame, spec: FeatureSpec, rounds: int = 20, depth: int = 5, linear: bool = False, refit: bool = False) -> PipelineModel:
+    """Gradient-boosted trees (or a logistic baseline) on label. Rows of fold 0 are for validation: they are not learnt, and rounds end when they gain nothing.
+
+    ``refit`` learns again from all rows, with as many rounds as the first fit kept.
+    """
     names = [*spec.names, *(f"{c}__null" for c in spec.names)]
-    learner = LogisticRegression(maxIter=30) if linear else GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=1)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(filled(rows.where("fold <> 0"), spec).select("label", *names))
+    data = filled(rows, spec).select("label", (F.col("fold") == 0).alias("held"), *names)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    if linear:
+        return Pipeline(stages=[assembler, LogisticRegression(maxIter=30)]).fit(data if refit else data.where("not held"))
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=1)
+    stopped = trees.copy().setValidationIndicatorCol("held") if not data.where("held").isEmpty() else trees
+    model = Pipeline(stages=[assembler, stopped]).fit(data)
+    return Pipeline(stages=[assembler, trees.copy().setMaxIter(model.stages[-1].getNumTrees)]).fit(data) if refit else model
+
+
+def save_model(model: PipelineModel, spec: FeatureSpec, path: str) -> None:
+    """The model and, beside it, the columns it takes."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(spec.to_json(),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+
+
+def load_model(path: str) -> tuple[PipelineModel, FeatureSpec]:
+    spec = SparkSession.active().read.text(f"{path}/spec").first()[0]
+    return PipelineModel.load(f"{path}/model"), FeatureSpec(tuple(json.loads(spec)))
 
 
 def predict(model: PipelineModel, rows: DataFrame, spec: FeatureSpec, keep: float = KEEP_P) -> DataFrame:
@@ -85,19 +115,73 @@ def importances(model: PipelineModel, spec: FeatureSpec) -> list[tuple[str, floa
     return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
-def fit_calibrators(best: DataFrame) -> tuple:
-    """Monotone fits of "the best is the owner" on p1 - p2, and "the second is the owner" on p2 - p1 where there is one. Needs label, label2."""
-    fit = lambda d, x, y: IsotonicRegression(featuresCol="x", labelCol="y").fit(d.select(x.cast("double").alias("x"), y.cast("double").alias("y")))
-    gap = F.col("p1") - F.col("p2")
-    return fit(best, gap, F.col("label")), fit(best.where("s1_id2 is not null"), -gap, F.col("label2"))
+#: What the context model reads of a query's best pair (context.context_features).
+CONTEXT = FeatureSpec(("p1", "p2", "gap", "e_strong", "e_strong_s2", "e_strong_s3", "e_mid", "e_max", "e_sum", "leak", "n_src", "src3"))
+
+
+def fit_context_model(best: DataFrame, truth: DataFrame, rounds: int = 40) -> PipelineModel:
+    """Trees on a query's own evidence and its entity's context; the label is whether the best entity owns the query. truth: (s1, other)."""
+    owner = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("owner"))
+    rows = best.join(owner, "q_id", "left").withColumn("label", F.coalesce((F.col("s1_id") == F.col("owner")).cast("int"), F.lit(0)))
+    return fit_matcher(group_folds(rows.withColumn("grp", F.coalesce("owner", "q_id"))), CONTEXT, rounds)
+
+
+def apply_context_model(model: PipelineModel, best: DataFrame) -> DataFrame:
+    """``best`` with r: how likely its best entity owns the query."""
+    return predict(model, best, CONTEXT, 0.0).withColumnRenamed("p", "r")
+
+
+#: Cells of a calibration in each direction.
+CELLS = 32
 
 
-def apply_calibrators(models: tuple, best: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rising(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The nondecreasing sequence nearest to y by weighted squares (pooled neighbours)."""
+    blocks: list[list[float]] = []
+    for v, u in zip(y, w, strict=True):
+        blocks.append([v, u, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    return np.concatenate([np.full(int(k), v) for v, _, k in blocks])
+
+
+def monotone(y: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The table nearest to y that rises along axis 0 and falls along axis 1, by alternating projections with their corrections."""
+    x, p, q = y.copy(), np.zeros_like(y), np.zeros_like(y)
+    for _ in range(rounds):
+        z = np.stack([_rising(c, u) for c, u in zip((x + p).T, w.T, strict=True)], 1)
+        p += x - z
+        x = np.stack([_rising(c[::-1], u[::-1])[::-1] for c, u in zip(z + q, w, strict=True)])
+        q += z - x
+    return x
+
+
+def _cell(c: str) -> Column:
+    return F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1)).cast("int")
+
+
+def fit_calibrators(best: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How likely the best is the owner, by p1 and p2, rising in p1 and falling in p2; and the second, the other way round, where there is one. Needs label, label2.
+
+    The driver sees CELLS * CELLS counts.
+    """
+
+    def fit(d: DataFrame, up: str, down: str, label: str) -> np.ndarray:
+        n, hits = np.zeros((CELLS, CELLS)), np.zeros((CELLS, CELLS))
+        for i, j, c, s in d.groupBy(_cell(up), _cell(down)).agg(F.count("*"), F.sum(F.col(label).cast("double"))).collect():
+            n[i, j], hits[i, j] = c, s
+        w = n + 1e-3  # empty cells follow their neighbours
+        return np.clip(monotone(np.where(n > 0, hits / np.maximum(n, 1), hits.sum() / max(n.sum(), 1)), w), 0, 1)
+
+    return fit(best, "p1", "p2", "label"), fit(best.where("s1_id2 is not null"), "p2", "p1", "label2")
+
+
+def apply_calibrators(tables: tuple[np.ndarray, np.ndarray], best: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(q_id, s1_id, r) and (s1_id, mass): the runner-up mass of each entity."""
-    gap = F.col("p1") - F.col("p2")
-    score = lambda m, d, x: m.transform(d.withColumn("x", x.cast("double"))).withColumnRenamed("prediction", "r")
-    mass = score(models[1], best.where("s1_id2 is not null"), -gap).groupBy(F.col("s1_id2").alias("s1_id")).agg(F.sum("r").alias("mass"))
-    return score(models[0], best, gap).select("q_id", "s1_id", "r"), mass
+    look = lambda t, up, down: F.get(F.array(*[F.lit(float(v)) for v in t.ravel()]), _cell(up) * CELLS + _cell(down))
+    second = best.where("s1_id2 is not null").select(F.col("s1_id2").alias("s1_id"), look(tables[1], "p2", "p1").alias("r"))
+    return best.select("q_id", "s1_id", look(tables[0], "p1", "p2").alias("r")), second.groupBy("s1_id").agg(F.sum("r").alias("mass"))
 
 
 def pair_quality(scored: DataFrame, column: str = "p") -> dict[str, float]:
@@ -108,24 +192,23 @@ def pair_quality(scored: DataFrame, column: str = "p") -> dict[str, float]:
     return {"auc": auc, "log_loss": loss}
 
 
-class PairScorer:
-    """What a cross-encoder plugs in: ``score(texts1, texts2) -> probabilities`` on the executors. None ships here."""
-
-    def score(self, first: list[str], second: list[str]) -> list[float]:
-        raise NotImplementedError
+def _read(rows: DataFrame) -> DataFrame:
+    """``grams``: the trigrams and words of both texts (text1, text2), marked as shared, only left or only right."""
+    words = lambda c: F.split(F.lower(c), " ")
+    padded = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    trigrams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(padded(c), i, F.lit(3)))
+    every = lambda c: F.array_distinct(F.concat(words(c), trigrams(c)))
+    left, right = every(F.coalesce("text1", F.lit(""))), every(F.coalesce("text2", F.lit("")))
+    tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+    return rows.withColumn("grams", F.concat(tagged("=", F.array_intersect(left, right)), tagged("-", F.array_except(left, right)), tagged("+", F.array_except(right, left))))
 
 
-def score_pairs(rows: DataFrame, scorer: PairScorer, hard: float = 0.98) -> DataFrame:
-    """``ce`` for the pairs of p up to ``hard``, in batches ordered by length; the others keep p."""
-    import pandas as pd
-    from pyspark.sql import types as T
+def fit_reader(rows: DataFrame, width: int = 1 << 18) -> PipelineModel:
+    """A reader of hard pairs that sees both texts at once (text1, text2, label): a logistic model on what they share and what each has alone."""
+    return Pipeline(stages=[HashingTF(inputCol="grams", outputCol="features", numFeatures=width, binary=True), LogisticRegression(maxIter=40, regParam=0.001)]).fit(_read(rows).select("grams", "label"))
 
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        order = (a.str.len() + b.str.len()).argsort()
-        out = pd.Series(0.0, index=a.index)
-        out.iloc[order] = scorer.score(a.iloc[order].tolist(), b.iloc[order].tolist())
-        return out
 
-    tough = rows.where(F.col("p") <= hard).withColumn("ce", run("text1", "text2"))
-    return tough.unionByName(rows.where(F.col("p") > hard).withColumn("ce", F.col("p").cast("double")))
+def score_pairs(rows: DataFrame, reader: PipelineModel, hard: float = 0.98) -> DataFrame:
+    """``ce``, the reader's probability, for the pairs of p up to ``hard``; the others keep p."""
+    tough = reader.transform(_read(rows.where(F.col("p") <= hard))).withColumn("ce", vector_to_array(F.col("probability"))[1])
+    return tough.select(*rows.columns, "ce").unionByName(rows.where(F.col("p") > hard).withColumn("ce", F.col("p").cast("double")))

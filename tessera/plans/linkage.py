@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import aliases, blocking, channel, context, decode, training
 from tessera.operators import features as feats
 from tessera.operators.keys import CorruptionConfig, KeyConfig
+from tessera.sources.stored import cached, stored
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,27 @@ def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanC
     return blocking.union_candidates(first, blocking.corruption_hits(blocking.build_corruption_index(reference, cfg.corruption, alias_table), queries, cfg.corruption))
 
 
+def build_pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, n: int, seed: int = 7, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
+    """(pairs, meta) of a sample of n queries against the whole reference; meta has each query's owner, fold and country."""
+    q = stored(training.sample(queries, "id", n, seed))
+    t = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("true_s1"))
+    meta = q.select(F.col("id").alias("q_id"), "country").join(t, "q_id", "left")
+    meta = training.group_folds(meta.withColumn("grp", F.coalesce("true_s1", "q_id"))).drop("grp")
+    return pair_table(reference, q, truth, alias_table, cfg), meta
+
+
+def cached_pair_table(spark: SparkSession, root: str, reference: DataFrame, queries: DataFrame, truth: DataFrame, n: int, seed: int = 7, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> DataFrame:
+    """The pairs of ``build_pair_table``, kept below ``root`` under sample, seed and modes; the meta table lies beside them."""
+    path = training.cache_path(root, "all", n, seed, cfg.alias_mode, cfg.blocking)
+
+    def build() -> DataFrame:
+        rows, meta = build_pair_table(reference, queries, truth, n, seed, alias_table, cfg)
+        meta.write.mode("overwrite").parquet(path.replace("pairs_", "meta_"))
+        return rows
+
+    return cached(spark, path, build)
+
+
 def pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """Training rows: candidates, features, label and fold."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
@@ -49,14 +71,13 @@ def second_stage(scored: DataFrame, reference: DataFrame, queries: DataFrame, si
     """Rows of the second model: context, text and vocabulary features, house numbers, siblings, channel events."""
     if siblings:
         scored = context.add_sibling_candidates(scored, context.sibling_candidates(scored, queries))
-    base = context.entity_context(context.query_context(scored))
-    t = feats.leftover_features(feats.with_texts(base, reference, queries))
+    base = stored(feats.with_texts(context.entity_context(context.query_context(scored)), reference, queries))
+    t = feats.leftover_features(base)
     for f in (feats.rest_features, feats.token_features, feats.number_features, feats.flag_features, feats.kernel_features, feats.house_number_relations):
         t = f(t)
-    t = feats.vocab_features(t, reference)
-    if siblings:
-        t = t.join(context.sibling_features(t, reference), ["q_id", "s1_id"])
-    return channel.with_events(t)
+    t = channel.with_events(t)
+    t = t.join(feats.vocab_features(base, reference).select("q_id", "s1_id", "v_min", "v_max", "v_unknown", "v_known"), ["q_id", "s1_id"])
+    return t.join(context.sibling_features(base, reference), ["q_id", "s1_id"]) if siblings else t
 
 
 def submit(entities: DataFrame, accepted: DataFrame, path: str) -> DataFrame:

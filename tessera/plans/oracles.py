@@ -368,6 +368,17 @@ select 'S1-' || s_suppkey as source1_entity_id, coalesce(ids, '') as candidate_e
     "macro_f05": f"{_EF} select {_FM} from f",
     "macro_f05_by_country": f"{_EF} select country, {_FM} from f group by rollup (country)",
     "threshold_grid": f"{_GRID} select threshold, gap, n_pred, tp, n_true, precision, recall, f05 from scores",
+    "tuned_halves": f"""{_S}, {_TRUTH},
+grid as (select * from (values (0.5), (0.7), (0.9)) a(threshold), (values (0.0), (0.2)) b(gap), (values (0.0), (0.95)) c(guard)),
+acc as (select threshold, gap, guard, s1_id, q_id, p1 from best cross join grid where p1 >= threshold and p1 - p2 >= gap),
+ok as (select threshold, gap, guard, s1_id, count(*) as n_pred, count(*) filter (where (s1_id, q_id) in (select (s1, other) from truth)) as tp from acc group by all having max(p1) >= guard),
+en as (
+  select 'S1-' || s_suppkey as s1, coalesce(n, 0) as n_true, {_bucket("'S1-' || s_suppkey", 99, 2)} as half from supplier left join (select s1, count(*) as n from truth group by 1) t on t.s1 = 'S1-' || s_suppkey),
+sc as (
+  select g.threshold, g.gap, g.guard, half, case when n_true = 0 then (coalesce(n_pred, 0) = 0)::int::double when coalesce(tp, 0) = 0 then 0.0 else 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) end as f
+  from en cross join grid g left join ok on ok.s1_id = en.s1 and ok.threshold = g.threshold and ok.gap = g.gap and ok.guard = g.guard)
+select threshold::double as threshold, gap::double as gap, guard::double as guard, half, round(avg(f), 6) as f05 from sc group by all""",
+    "reader_rows": f"{_P} select id from rec where {_bucket('coalesce(owner, id)', 77, 3)} = 0 and {_bucket('coalesce(owner, id)', 99, 2)} = 0",
     "best_threshold": f"{_GRID} select threshold, gap, f05 from scores order by f05 desc, threshold, gap limit 1",
     "run_diagnostics": f"""{_S},
 e as (select 'S1-' || s_suppkey as s1_id, s_nationkey::varchar as country from supplier),

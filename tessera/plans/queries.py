@@ -469,6 +469,17 @@ def threshold_grid(spark, sf):
     return decode.threshold_grid(_best(spark, sf), _order_truth(spark, sf), *_GRID).select("threshold", "gap", *_long("n_pred", "tp", "n_true"), *_round("precision", "recall", "f05"))
 
 
+@query
+def tuned_halves(spark, sf):
+    e = _entities(spark, sf).select(F.col("id").alias("s1"))
+    return decode.tuned(_best(spark, sf), e, _order_truth(spark, sf), [0.5, 0.7, 0.9], [0.0, 0.2], [0.0, 0.95]).select("threshold", "gap", "guard", *_long("half"), *_round("f05"))
+
+
+@query
+def reader_rows(spark, sf):
+    return training.reader_rows(parties(spark, sf).select("id", F.coalesce("owner", "id").alias("grp"))).select("id")
+
+
 @query
 def best_threshold(spark, sf):
     return decode.best_threshold(decode.threshold_grid(_best(spark, sf), _order_truth(spark, sf), *_GRID)).select("threshold", "gap", *_round("f05"))

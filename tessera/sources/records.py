@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.sources.stored import cached
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -31,13 +34,14 @@ def normalized(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_normalized(spark: SparkSession, raw: DataFrame, cache: str, refresh: bool = False) -> DataFrame:
-    """Read-through Parquet cache, by country."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
-    if refresh or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        normalized(raw).write.mode("overwrite").option("compression", "zstd").partitionBy("country").parquet(cache)
-    return spark.read.parquet(cache)
+def load_normalized(spark: SparkSession, raw: Callable[[], DataFrame], cache: str, refresh: bool = False) -> DataFrame:
+    """Read-through Parquet cache, by country, of what ``raw`` gives."""
+    return cached(spark, cache, lambda: normalized(raw()), "country", refresh=refresh)
+
+
+def by_id() -> WindowSpec:
+    """The order of entities where a file gives none."""
+    return Window.orderBy("id")
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def truth_pairs(truth: DataFrame) -> DataFrame:
 
 def write_lists(rows: DataFrame, path: str, order: str = "pos") -> None:
     """One headed TSV file in the order of ``order``, never quoted, empty lists as empty bytes."""
-    out = rows.repartition(1).sortWithinPartitions(order).drop(order)
+    out = rows.orderBy(order).drop(order).coalesce(1)  # sorted by ranges; the one writer takes them one after the other
     out.write.mode("overwrite").options(**_TSV).csv(path)
 
 

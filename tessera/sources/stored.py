@@ -1,20 +1,35 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and caches that outlive a run."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (our own folder only where that is unset) and read back."""
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` (our own folder only where that is unset and all runs on this machine) and read back."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], *by: str, refresh: bool = False) -> DataFrame:
+    """The table at ``path``; built and written there, partitioned ``by``, if it is not there or to be refreshed."""
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    build().write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    return spark.read.parquet(path)

@@ -147,3 +147,160 @@ def test_registered_stage_2_has_the_siblings(spark):
 
     got = QUERIES["stage2_rows"](spark, "/root/testdata/sf0.001")
     assert {"sc_n", "sib_addr_shared", "n_events"} <= set(got.columns) and got.agg(F.count_if(F.col("sc_n") > 0)).first()[0] > 0
+
+
+def _pair_rows(spark, name):
+    from tessera.plans import queries as Q
+
+    return {r["q_id"]: r for r in Q._pairs(spark, "/root/testdata/sf0.001").collect()}, Q.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
+@pytest.mark.parametrize(("name", "cols"), [("indel_ratio", {"n_ratio": ("n1", "n2", "ratio"), "n_tsort": ("n1", "n2", "tsort")}), ("token_set_ratio", {"a_tset": ("a1", "a2", "tset"), "a_partial": ("a1", "a2", "ptset")}), ("partial_ratio", {"sq_partial": ("q1", "q2", "partial")})])
+def test_kernel_queries_against_loops(spark, name, cols):
+    from tests.test_text import NAIVE
+
+    pairs, got = _pair_rows(spark, name)
+    assert len(got) == len(pairs) > 100
+    for r in got:
+        for c, (x, y, kernel) in cols.items():
+            assert r[c] == pytest.approx(NAIVE[kernel](pairs[r["q_id"]][x], pairs[r["q_id"]][y]), abs=2e-6)
+
+
+def test_number_ratio_is_of_all_numbers_in_order(spark):
+    t = spark.createDataFrame([("x", "12 main 7", "x", "12 lane 9"), ("x", "7 a 12", "x", "12 a 7")], "n1 string, a1 string, n2 string, a2 string")
+    t = t.withColumns({"q1": F.col("n1"), "q2": F.col("n2")})
+    got = feats.kernel_features(feats.rest_features(feats.leftover_features(t))).collect()
+    assert got[0]["num_ratio"] == 75 and got[0]["m_rest_ratio"] == 0 and (got[0]["m_rest_len1"], got[0]["m_rest_len2"]) == (1, 1)
+    assert got[1]["num_ratio"] == 50 and got[1]["m_rest_ratio"] == 100
+
+
+def test_words_with_a_digit_are_no_plain_words(spark):
+    df = spark.createDataFrame([(["ann"], ["12a", "main", "9"])], "n array<string>, a array<string>")
+    assert df.select(K.cross_keys(F.col("n"), F.col("a"))).first()[0] == ["c:ann_main"]
+    q = recs(spark, ("S2-1", "x", "a b", "12a main 34"), ("S2-2", "y", "a b", "12a main 34"))
+    assert {r["key"] for r in context.sibling_keys(q).collect()} == {"b:12a 34 main", "h:12_main", "h:34_main"}
+
+
+def test_sibling_divergences_keep_to_themselves(spark):
+    ref = recs(spark, ("S1-1", "x", "acme tools", "4211 oak street"))
+    texts = {"S3-1": ("acme tools", "4210 oak street"), "S3-2": ("acme tools inc", "4210 oak street"), "S2-3": ("acme tools inc", "4210 elm street"), "S3-4": ("acme tools", "4211 oak street")}
+    q = recs(spark, *[(i, "x", n, a) for i, (n, a) in texts.items()])
+    s = spark.createDataFrame([("S3-1", "S1-1", 0.95), ("S3-2", "S1-1", 0.5), ("S2-3", "S1-1", 0.93), ("S3-4", "S1-1", 0.99)], "q_id string, s1_id string, p double")
+    got = {r["q_id"]: tuple(r)[2:] for r in context.sibling_features(feats.with_texts(context.query_context(s), ref, q), ref).collect()}
+    # (address divergences, most shared, of the same feed, name divergences, most shared)
+    assert got == {"S3-1": (1, 1, 0, 0, 0), "S3-2": (1, 1, 1, 1, 1), "S2-3": (2, 1, 0, 1, 0), "S3-4": (0, 0, 0, 0, 0)}
+
+
+def test_index_uses_one_spelling_of_an_alias_class(spark):
+    table = spark.createDataFrame([("n", "ltd", "limited", 20, 20, 1.0), ("a", "tx", "texas", 20, 20, 1.0), ("n", "ltee", "limited", 20, 20, 1.0)], "field string, q_tok string, s_tok string, cnt long, total long, purity double")
+    assert {tuple(r) for r in aliases.alias_classes(table).collect()} == {("n", "limited", "ltd"), ("n", "ltee", "ltd"), ("a", "texas", "tx")}
+    ref = recs(spark, ("S1-1", "x", "acme limited", "1 oak texas"), ("S1-2", "x", "texas limited", "2 elm"))
+    q = recs(spark, ("S2-1", "x", "ltee acme", "9 ash tx"))
+    cfg = K.CorruptionConfig(stop_share=2.0)
+    plain, same = (blocking.corruption_hits(blocking.build_corruption_index(ref, cfg, t), q, cfg).where("s1_id = 'S1-1'").first() for t in (None, table))
+    assert plain["v2_k_nb"] == 1 and same["v2_k_nb"] == 2 + 1 and same["v2_nkeys"] > plain["v2_nkeys"]
+
+
+def test_expected_decode_query_against_enumeration(spark):
+    from tessera.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    by = {}
+    for r in Q.scored(spark, sf).where("p >= 0.3").collect():
+        by.setdefault(r["s1_id"], []).append((-r["p"], r["q_id"]))
+    want = set()
+    for e, rows in by.items():
+        rows = sorted(rows)[: decode.MOST]
+        r = np.array([[-x for x, _ in rows] + [0.0] * (decode.MOST - len(rows))])
+        tail = [math.exp(-0.02) * 0.02**j / math.factorial(j) for j in range(decode.SUPPORT)]
+        tail[-1] += 1 - sum(tail)
+        p = r[0][: len(rows)]
+        hits = np.array(list(itertools.product((0, 1), repeat=len(p))))
+        w = np.prod(np.where(hits, p, 1 - p), axis=1)
+        score = []
+        for k in range(len(p) + 1):
+            tp = hits[:, :k].sum(1)
+            total = 0.0
+            for j, t in enumerate(tail):
+                true = hits.sum(1) + j
+                f = (true == 0).astype(float) if k == 0 else np.where(tp == 0, 0.0, 1.25 * tp / (0.25 * true + k))
+                total += t * (w * f).sum()
+            score.append(round(total, 12))
+        want |= {(e, q) for _, q in rows[: int(np.argmax(score))]}
+    assert {(r["s1_id"], r["q_id"]) for r in Q.QUERIES["expected_decode"](spark, sf).collect()} == want
+
+
+def test_channel_events_query_replays_its_scripts(spark):
+    pairs, got = _pair_rows(spark, "channel_events")
+    assert len(got) == len(pairs)
+    for r in got:
+        p = pairs[r["q_id"]]
+        ev = [e.split("=", 1) for e in r["events"].split(",")] if r["events"] else []
+        for g, x, y in (("n", p["n1"], p["n2"]), ("a", p["a1"], p["a2"])):
+            s, t = x.split(" "), y.split(" ")
+            words = lambda u: [f"#num{len(w)}" if w.isdigit() else w for w in u]
+            left, right = ([w for w in dict.fromkeys(u) if w and w not in v] for u, v in ((s, t), (t, s)))
+            ins, dele = ([e for k, e in ev if k == f"{g}{o}"] for o in ("ins", "del"))
+            assert set(ins) <= set(words(right)) and set(dele) <= set(words(left)) and len(left) - len(dele) == len(right) - len(ins)
+
+
+def test_calibration_is_monotone_and_close():
+    rng = np.random.default_rng(5)
+    w = rng.integers(1, 50, (8, 8)).astype(float)
+    y = np.add.outer(np.arange(8), -np.arange(8)) / 14 + 0.5 + rng.normal(0, 0.05, (8, 8))
+    got = training.monotone(y, w)
+    assert (np.diff(got, axis=0) >= -1e-6).all() and (np.diff(got, axis=1) <= 1e-6).all()
+    assert (w * (got - y) ** 2).sum() <= (w * (np.add.outer(np.arange(8), -np.arange(8)) / 14 + 0.5 - y) ** 2).sum()
+
+
+def test_context_model_and_calibrators_learn(spark):
+    rng = random.Random(7)
+    rows = [(f"S{2 + i % 2}-{i}", f"S1-{i % 40}", p := rng.random(), f"S1-{(i + 1) % 40}", rng.random() * p) for i in range(600)]
+    best = spark.createDataFrame(rows, "q_id string, s1_id string, p1 double, s1_id2 string, p2 double")
+    truth = spark.createDataFrame([(r[1] if r[2] > 0.5 else "S1-x", r[0]) for r in rows], "s1 string, other string")
+    ctx = context.context_features(best)
+    r = training.apply_context_model(training.fit_context_model(ctx, truth, 4), ctx)
+    assert r.count() == 600 and r.where("p1 > 0.6").agg(F.avg("r")).first()[0] > 0.8 > 0.3 > r.where("p1 < 0.4").agg(F.avg("r")).first()[0]
+    lab = best.withColumns({"label": (F.col("p1") > 0.5).cast("int"), "label2": (F.col("p2") > 0.5).cast("int")})
+    got, mass = training.apply_calibrators(training.fit_calibrators(lab), best)
+    assert got.join(best, "q_id").where("abs(r - if(p1 > 0.5, 1, 0)) > 0.2").count() < 60 and mass.count() == 40
+
+
+def test_reader_tells_hard_pairs_apart(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abdegiklmnorst") for _ in range(7))
+    rows = []
+    for i in range(400):
+        a, b = word(), word()
+        rows.append((f"{a} {b}", f"{a} {b} ltd" if i % 2 else f"{a} {word()}", i % 2, 0.5))
+    df = spark.createDataFrame(rows, "text1 string, text2 string, label int, p double")
+    got = training.score_pairs(df.unionByName(df.limit(1).withColumn("p", F.lit(0.99))), training.fit_reader(df, 1 << 12))
+    assert training.pair_quality(got.where("p < 0.9"), "ce")["auc"] > 0.95 and got.where("p > 0.9").first()["ce"] == 0.99
+
+
+def test_steps_run_from_files_to_files(spark, tmp_path):
+    from tessera import __main__ as cli
+    from tessera.plans import queries as Q
+
+    root, work = tmp_path / "data", str(tmp_path / "work")
+    (root / "train").mkdir(parents=True)
+    p = [r for r in Q.parties(spark, "/root/testdata/sf0.001").orderBy("id").collect()]
+    for k in (1, 2, 3):
+        rows = [f"{r['id']}\t{r['name_n']}\t{r['addr_n'] or 'N/A'}\t{r['country']}" for r in p if r["role"] == k - 1]
+        (root / "train" / f"train_source{k}.tsv").write_text("\n".join(["entity_id\tbusiness_name\tbusiness_address\tcountry", *rows]) + "\n")
+    own = {}
+    for r in p:
+        if r["role"] and r["owner"]:
+            own.setdefault(r["owner"], []).append(r["id"])
+    (root / "train" / "train_ground_truth.tsv").write_text("\n".join(["source1_entity_id\tmatched_entity_ids", *(f"{r['id']}\t{','.join(own.get(r['id'], []))}" for r in p if r["role"] == 0)]) + "\n")
+    run = lambda step, *more: cli.main([step, "--root", str(root), "--work", work, "--splits", "train", "--top-k", "4", "--rounds", "3", *more], spark)
+    for step in ("normalize", "fit_aliases", "train", "score", "tune", "submit"):
+        run(step)
+    out = next((tmp_path / "work" / "lists_train").glob("part-*"))
+    lists = dict(line.split("\t") for line in out.read_text().splitlines()[1:])
+    hits = sum(q in own.get(e, []) for e, x in lists.items() for q in x.split(",") if q)
+    assert len(lists) == sum(r["role"] == 0 for r in p) and hits > 0.7 * sum(map(len, own.values()))
+    for n in (1, 2):
+        run("snapshot", "--file", str(out), "--label", "First run!")
+    folders = sorted(x.name for x in (tmp_path / "work" / "snapshots").iterdir() if x.is_dir())
+    assert folders == ["01_first-run", "02_first-run"] and (tmp_path / "work" / "snapshots" / "LOG.md").read_text().count("| First run! |") == 2
