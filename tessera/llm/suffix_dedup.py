@@ -11,9 +11,10 @@ Larsson-Sadakane refinement (ranks doubled, only unresolved groups sorted again)
 Kasai's diagonals; runs with common prefixes of LENGTH bytes are equal strings, of which the first place
 stays. Blocks of one key are merged by binary search of a block's strings in the sorted strings before it.
 
-Keys that repeat often within partitions are hot: the heaviest HOT of them, a fixed number, are split into
-single strings keyed by their own hash, so that no task gets all regions around one frequent phrase.
-Keys and regions are compared by 64-bit hashes, strings inside a shard byte by byte.
+Keys with many regions are hot. They are found by a count over all partitions of one region in EVERY, chosen by its
+own hash, and split into single strings keyed by their own hash, so that no task gets all regions around one frequent
+phrase. A key is hot from LEAST counted regions on, in large corpora from one in HOT of all, so there are never more
+than HOT hot keys. The count only deals out work. Regions are compared by 128 bits, strings inside a shard byte by byte.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tessera.llm.common import stored, table
 
 LENGTH = 100
 GRAM = 32
-HOT, LOCAL = 1 << 16, 24
+EVERY, LEAST, HOT = 64, 64, 1 << 20
 #: Region rows that a task holds at once, and bytes of a suffix array's text.
 HELD, BLOCK = 2 << 20, 1 << 20
 #: Rows of documents' spans or ids that are broadcast at most; beyond, they are joined by shuffle.
@@ -209,41 +210,35 @@ def _split_hot(found, data, offsets, heavy: np.ndarray):
     n = count[hot]
     at = np.repeat(s[hot], n) + _ramp(n)
     own = bytescan.span_hash(bytescan.sums(data), at, at + LENGTH)
+    other = bytescan.span_hash(bytescan.sums(data ^ np.uint8(0x5A)), at, at + LENGTH)
     one = np.ones(len(at), np.int64)
-    new = (np.repeat(text[hot], n), at, one, bytescan.mix(own), own, one < 0)
+    new = (np.repeat(text[hot], n), at, one, bytescan.mix(other), own, one < 0)
     return tuple(np.concatenate([a[~hot], b]) for a, b in zip(found, new, strict=True))
 
 
-def hot_keys(docs: DataFrame, local_most: int = LOCAL) -> np.ndarray:
-    """The heaviest keys by their places in partitions that hold more than ``local_most`` distinct regions of them, sorted."""
+def hot_keys(docs: DataFrame, least: int = LEAST, every: int = EVERY) -> np.ndarray:
+    """The keys with many distinct regions, by those regions whose print is 0 modulo ``every``; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
-
-        def local() -> pa.RecordBatch:
-            key, prints = held.take()
-            k, n = np.unique(_distinct_first(key, prints), return_counts=True)
-            keep = n > local_most
-            return pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64), I64), pa.array(n[keep], I64)], names=["key", "n"])
-
         for batch in batches:
             for _, _, data, offsets in bytescan.blocks(batch.column(0)):
                 found = regions(data, offsets)
-                if held.add(found[3], found[4]):
-                    yield local()
-        if held.size:
-            yield local()
+                some = found[4] % U(every) == 0
+                key, prints = _distinct_first(found[3][some], found[4][some])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), I64) for x in (key, prints)], names=["key", "print"])
 
-    top = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toArrow()
-    return np.sort(top.column("key").to_numpy().astype(np.int64).view(U))
+    rows = docs.select("text").mapInArrow(run, "key long, print long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    counts = stored(rows.where(F.col("n") >= least))
+    most = max(least, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT))
+    return np.sort(counts.where(F.col("n") >= most).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(U))
 
 
-def _distinct_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distinct_first(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new]
+    return a[new], b[new]
 
 
 def places(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -370,10 +365,10 @@ def sorted_repeats(rows: DataFrame, most: int = BLOCK) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, "doc_id long, start long, strings long")
 
 
-def removed_spans(docs: DataFrame, block: int = BLOCK, local_most: int = LOCAL) -> DataFrame:
+def removed_spans(docs: DataFrame, block: int = BLOCK, least: int = LEAST, every: int = EVERY) -> DataFrame:
     """(doc_id, spans): the maximal byte runs to remove from each document that has any, as (start, end)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = stored(compared(places(docs, hot_keys(docs, local_most))))
+    rows = stored(compared(places(docs, hot_keys(docs, least, every))))
     near = sorted_repeats(with_text(docs, rows.where(f"state = {SORT}")), block)
     all_runs = rows.where(f"state = {REPEAT}").select("doc_id", "start", "strings").unionByName(near)
     per_doc = all_runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("r"))
@@ -395,13 +390,13 @@ def removed_spans(docs: DataFrame, block: int = BLOCK, local_most: int = LOCAL)
     return per_doc.mapInArrow(run, "doc_id long, spans array<struct<start: bigint, end: bigint>>")
 
 
-def with_spans(docs: DataFrame, block: int = BLOCK, local_most: int = LOCAL) -> DataFrame:
+def with_spans(docs: DataFrame, block: int = BLOCK, least: int = LEAST, every: int = EVERY) -> DataFrame:
     """``docs`` (doc_id, text) with ``spans`` (null where nothing goes).
 
     Texts are UTF-8 bytes, null texts empty. Rows without doc_id keep everything and are no earlier place
     for others. Rows that repeat a doc_id count as one document.
     """
-    spans = stored(removed_spans(docs, block, local_most))
+    spans = stored(removed_spans(docs, block, least, every))
     n, m = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     small = n <= BROADCAST_IDS and m <= BROADCAST_SPANS
     return docs.join(F.broadcast(spans) if small else spans, "doc_id", "left")

@@ -230,10 +230,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "local"), [(1 << 20, 24), (1500, 1)])
-def test_suffix_dedup(spark, edge, none, block, local):
+@pytest.mark.parametrize(("block", "least", "every"), [(1 << 20, 64, 64), (1500, 2, 1), (1500, 1 << 40, 1)])
+def test_suffix_dedup(spark, edge, none, block, least, every):
     df, rows = edge
-    got = suffix_dedup.digest(suffix_dedup.with_spans(df, block, local)).collect()
+    got = suffix_dedup.digest(suffix_dedup.with_spans(df, block, least, every)).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] is not None} == brute_removed(rows)
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
