@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-For every benchmark phrase its rarest terms over the whole corpus are found. The index stores the postings of
-those terms: (term, document, position). Lists are intersected adjusted by offset, rarest term first: a posting of
-the rarest gives a place where the phrase would start, and the other terms must have a posting at their offsets
-from it. What is left is compared word by word with the document. The same postings answer proximity searches.
+For every window of a benchmark item its two rarest terms over the whole corpus are found. The index stores the
+postings of these terms: (term, document, position). Lists are intersected adjusted by offset, rarest term first: a
+posting of the rarest says where the item would begin, and the second must have a posting at its offset from there.
+Windows of an item with the same two terms in the same places are looked up once. What is left is compared word by
+word with the document. The same lists, intersected by document, answer proximity searches.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import dropped, lower_ascii, stored, table
 
 WINDOW = 10
-#: Posting lists that are intersected for a phrase.
-LISTS = 3
 #: Rows are broadcast up to so many bytes, counted; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Postings of a term that one part of it holds; the phrases that look it up are copied for every part.
@@ -33,11 +32,10 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), NOT_WORD), "")
 
 
-def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, words): every ``size`` consecutive words of an item, or all of them if it has fewer but not none."""
-    w = items.select("item_id", words("text").alias("w")).where("size(w) > 0")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
-    return w.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(size)).alias("words")).distinct()
+def distinct_items(items: DataFrame) -> DataFrame:
+    """(item, w, items): the different word lists, numbered, and the ids (as strings) of the items that have them. Items without words are left out."""
+    w = items.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("w")).where("size(w) > 0")
+    return stored(stored(w.groupBy("w").agg(F.collect_set("item_id").alias("items"))).withColumn("item", F.monotonically_increasing_id()))
 
 
 def small(rows: DataFrame, size: Column) -> DataFrame:
@@ -53,71 +51,77 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, mark, position from 0) of ``terms``."""
     rows = docs.select("doc_id", mark("text").alias("mark"), F.posexplode(words("text")).alias("position", "term"))
-    return rows.join(small(terms, F.octet_length("term") + 16), "term", "left_semi").select("term", "doc_id", "mark", "position").distinct()
+    return rows.join(small(terms, F.octet_length("term") + 16), "term", "left_semi").select("term", "doc_id", "mark", "position")
 
 
-def rarest_first(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, size, r): of ``phrases`` (phrase, words) that may stand somewhere, up to LISTS different words (n, o, term) with their places, rarest first."""
-    each = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("o", "term")).join(small(counts, F.octet_length("term") + 24), "term", "left")
-    first = each.groupBy("phrase", "size", "term").agg(F.min("o").alias("o"), F.max("n").alias("n"))
-    ranked = first.groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
-    return ranked.where(F.col("r")[0]["n"] > 0).withColumn("r", F.slice("r", 1, LISTS))
+def lookups(items: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(id, item, t1, n1, o1, t2, n2, o2, starts) for items (item, w): the two rarest different terms of every window of ``size`` words
+    (all words, if there are fewer) and their offsets in the item, with the starts of all windows that have them there.
+
+    Ties go to the earlier word. A window of one different word has no t2; one with a word that stands nowhere is left out.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size))
+    each = items.select("item", "w", F.explode(starts).alias("s")).select("item", "s", F.posexplode(F.slice("w", F.col("s") + 1, F.lit(size))).alias("o", "t"))
+    first = each.groupBy("item", "s", "t").agg(F.min("o").alias("o")).join(small(counts, F.octet_length("term") + 24), F.col("t") == F.col("term"), "left")
+    ranked = first.groupBy("item", "s").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "t"))).alias("r"))
+    at = lambda k: [F.get("r", F.lit(k))["t"].alias(f"t{k + 1}"), F.get("r", F.lit(k))["n"].alias(f"n{k + 1}"), (F.get("r", F.lit(k))["o"] + F.col("s")).alias(f"o{k + 1}")]
+    two = ranked.select("item", "s", *at(0), *at(1)).where("n1 > 0")
+    return stored(stored(two.groupBy("item", "t1", "n1", "o1", "t2", "n2", "o2").agg(F.collect_list("s").alias("starts"))).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _same(*columns: str) -> Column:
+    out = F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.mark") == F.col("p.mark"))
+    for f, p in zip(columns[::2], columns[1::2], strict=True):
+        out = out & (F.col(f"f.{f}") == F.col(f"p.{p}"))
+    return out
 
 
 def looked_up(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """(phrase, size, r, doc_id, mark, position): each posting of a phrase's rarest term. A term with many postings is dealt out in parts."""
-    by = plan.withColumn("term", F.col("r")[0]["term"])
-    parts = F.ceil(F.col("r")[0]["n"] / HOT).cast("int")
-    by = by.select("phrase", "size", "r", "term", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), parts.alias("parts"))
-    hot = stored(by.select("term", "parts").where("parts > 1").distinct())
+    """``plan`` (t1, n1, ...) with the postings of t1. A term with many postings is dealt out in parts."""
+    parts = F.greatest(F.ceil(F.col("n1") / HOT), F.lit(1)).cast("int")
+    by = plan.withColumns({"parts": parts, "part": F.explode(F.sequence(F.lit(0), parts - 1))})
+    hot = by.select(F.col("t1").alias("term"), "parts").where("parts > 1").distinct()
     dealt = index.join(small(hot, F.octet_length("term") + 24), "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "position"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return dealt.join(small(by.drop("parts"), 60 * F.size("r") + 60), ["term", "part"]).drop("term", "part")
+    return dealt.withColumnRenamed("term", "t1").join(small(by.drop("parts"), F.lit(100)), ["t1", "part"]).drop("part")
 
 
-def phrase_places(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """(phrase, doc_id, mark, start): places where the listed terms of a phrase all stand at their offsets."""
-    found = looked_up(index, plan).withColumn("start", F.col("position") - F.col("r")[0]["o"]).where("start >= 0").drop("position")
-    same = F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.mark") == F.col("p.mark"))
-    for k in range(1, LISTS):
-        more, enough = found.where(F.size("r") > k), found.where(F.size("r") <= k)
-        f = more.withColumns({"term": F.col("r")[k]["term"], "at": F.col("start") + F.col("r")[k]["o"]}).alias("f")
-        there = same & (F.col("f.term") == F.col("p.term")) & (F.col("f.at") == F.col("p.position"))
-        found = f.join(index.alias("p"), there, "left_semi").drop("term", "at").unionByName(enough)
-    return found.select("phrase", "doc_id", "mark", "start").distinct()
+def aligned(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """(id, doc_id, mark, shift): where both terms of a lookup stand as in the item, which would begin at word ``shift`` (before the document, if negative)."""
+    found = looked_up(index, plan.select("id", "t1", "n1", "o1", "t2", "o2"))
+    found = found.select("id", "doc_id", "mark", "t2", (F.col("position") - F.col("o1")).alias("shift"), (F.col("position") - F.col("o1") + F.col("o2")).alias("at"))
+    both = found.where("t2 is not null").alias("f").join(index.alias("p"), _same("t2", "term", "at", "position"), "left_semi")
+    return both.unionByName(found.where("t2 is null")).select("id", "doc_id", "mark", "shift").distinct()
 
 
-def near_places(index: DataFrame, plan: DataFrame, within: int = WINDOW - 1) -> DataFrame:
-    """(phrase, doc_id, mark): documents in which the two rarest words of a phrase stand at most ``within`` words apart.
+def together(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(t1, t2, doc_id, mark): documents that hold both terms of a pair (t1, n1, t2)."""
+    held = index.select("term", "doc_id", "mark").distinct()
+    one = looked_up(held.withColumn("position", F.lit(0)), pairs).select("t1", "t2", "doc_id", "mark")
+    return one.alias("f").join(held.alias("p"), _same("t2", "term"), "left_semi")
 
-    Postings meet by stretches of ``within`` + 1 words, so a document in which both are frequent makes no pairs of all with all.
-    """
-    width = within + 1
-    one = looked_up(index, plan.where(F.size("r") > 1)).select("phrase", "doc_id", "mark", "position", F.col("r")[1]["term"].alias("term"))
-    stretch = (F.col("position") / width).cast("int")
-    one = one.select("*", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).alias("f")
-    two = index.withColumn("stretch", stretch).alias("p")
-    same = F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.mark") == F.col("p.mark")) & (F.col("f.term") == F.col("p.term")) & (F.col("f.stretch") == F.col("p.stretch"))
-    return one.join(two, same & (F.abs(F.col("f.position") - F.col("p.position")) <= within), "left_semi").select("phrase", "doc_id", "mark").distinct()
-
-
-def search(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(places that hold a phrase's rarest terms, documents that hold the two rarest near each other) for ``phrases`` (phrase, words)."""
-    vocabulary = phrases.select(F.explode("words").alias("term")).distinct()
-    plan = stored(rarest_first(phrases, stored(term_counts(docs, vocabulary))))
-    index = stored(postings(docs, plan.select(F.explode("r.term").alias("term")).distinct()))
-    found = stored(phrase_places(index, plan)), stored(near_places(index, plan))
-    dropped(index)
-    return found
+
+def near(w: Column, t1: Column, t2: Column, within: int = WINDOW - 1) -> Column:
+    """Whether two words stand at most ``within`` words apart."""
+    around = lambda i: F.slice(w, F.greatest(i - within, F.lit(0)) + 1, i - F.greatest(i - within, F.lit(0)) + within + 1)
+    return F.exists(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.get(w, i) == t1) & F.array_contains(around(i), t2))
+
+
+def _planned(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(lookups, index) of items (item, w) over ``docs``."""
+    counts = stored(term_counts(docs, items.select(F.explode("w").alias("term")).distinct()))
+    plan = lookups(items, counts, size)
+    terms = plan.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct()
+    return plan, stored(postings(docs, terms))
 
 
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = WINDOW - 1) -> DataFrame:
     """(doc_id, a, b): documents with the words ``a`` and ``b`` at most ``within`` words apart. A pair of one word, or with null, matches nothing."""
-    pairs = pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    pairs = stored(pairs.withColumn("phrase", F.xxhash64("a", "b")))
-    phrases = pairs.select("phrase", F.array("a", "b").alias("words"))
-    plan = stored(rarest_first(phrases, term_counts(docs, phrases.select(F.explode("words").alias("term")).distinct())).where(F.col("r")[F.size("r") - 1]["n"] > 0))
-    index = stored(postings(docs, plan.select(F.explode("r.term").alias("term")).distinct()))
-    return near_places(index, plan, within).join(pairs, "phrase").select("doc_id", "a", "b").distinct()
+    pairs = stored(pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct().withColumn("item", F.xxhash64("a", "b")))
+    plan, index = _planned(docs, pairs.select("item", F.array("a", "b").alias("w")))
+    found = together(index, plan.select("item", "t1", "n1", "t2").where("n2 > 0").drop("item").distinct()).alias("f")
+    rows = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("w")).alias("p").join(found, _same()).where(near(F.col("w"), F.col("t1"), F.col("t2"), within))
+    in_order = pairs.select("a", "b", F.array_sort(F.array("a", "b")).alias("two"))
+    return rows.select("p.doc_id", F.array_sort(F.array("t1", "t2")).alias("two")).distinct().join(in_order, "two").select("doc_id", "a", "b")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -129,22 +133,32 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     neither a shared nor a null doc_id passes hits on.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = windows(benchmark).groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    phrases = stored(stored(items).withColumn("phrase", F.monotonically_increasing_id()))
-    places, near = search(docs, phrases.select("phrase", "words"))
-    width = F.size("words") * 24 + F.size("items") * 40 + 60
-    held = places.join(small(phrases, width), "phrase").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "words", "items")).alias("held"))
-    by_item = near.join(small(phrases.drop("words"), F.size("items") * 40 + 40), "phrase").groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("near"))
-    found = held.alias("a").join(by_item.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark")), "full")
-    found = stored(found.select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.mark", "b.mark").alias("mark"), "held", "near"))
-    found = small(found, F.coalesce(F.aggregate("held", F.lit(0), lambda a, x: a + 40 + 24 * F.size(x["words"]) + 40 * F.size(x["items"])), F.lit(0)) + F.coalesce(40 * F.size("near"), F.lit(0)) + 60)
-    d = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("w")).alias("d")
-    rows = d.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mark") == F.col("f.mark")), "left")
-    rows = rows.withColumn("hits", F.filter("held", lambda x: F.slice("w", x["start"] + 1, F.size(x["words"])) == x["words"]))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + F.size(x["words"]) - 1))))
+    items = distinct_items(benchmark)
+    plan, index = _planned(docs, items.select("item", "w"))
+    full = plan.join(items, "item").select("id", "w", "starts", "items")
+    place = aligned(index, plan).join(small(full, 24 * F.size("w") + 8 * F.size("starts") + 40 * F.size("items")), "id")
+    exact = place.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("shift", "w", "starts", "items")).alias("held"))
+    pairs = stored(plan.where("t2 is not null").join(items, "item").groupBy("t1", "n1", "t2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
+    both = together(index, pairs.select("t1", "n1", "t2")).join(small(pairs.drop("n1"), 40 * F.size("items") + 60), ["t1", "t2"])
+    close = both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("t1", "t2", "items")).alias("pairs"))
+    found = exact.alias("f").join(close.alias("p"), _same(), "full")
+    found = stored(found.select(F.coalesce("f.doc_id", "p.doc_id").alias("doc_id"), F.coalesce("f.mark", "p.mark").alias("mark"), "held", "pairs"))
+    dropped(index)
+    weight = F.coalesce(F.aggregate("held", F.lit(0), lambda a, x: a + 60 + 24 * F.size(x["w"]) + 40 * F.size(x["items"])), F.lit(0)) + F.coalesce(F.aggregate("pairs", F.lit(0), lambda a, x: a + 60 + 40 * F.size(x["items"])), F.lit(0))
+    d = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("words")).alias("p")
+    rows = d.join(small(found, weight + 60).alias("f"), _same(), "left").select("p.doc_id", "p.mark", "words", "held", "pairs")
+
+    def hits(h: Column) -> Column:
+        size = F.least(F.lit(WINDOW), F.size(h["w"]))
+        stands = lambda s: (h["shift"] + s >= 0) & (F.slice("words", F.greatest(h["shift"] + s + 1, F.lit(1)), size) == F.slice(h["w"], s + 1, size))
+        return F.transform(F.filter(h["starts"], stands), lambda s: F.struct((h["shift"] + s).alias("start"), size.alias("size"), h["items"].alias("items")))
+
+    rows = rows.withColumn("hits", F.flatten(F.transform("held", hits)))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
     n_hit = F.coalesce(F.size(covered), F.lit(0)).cast("long")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("hits.items")))), F.array().cast("array<string>"))
-    rows = rows.select("d.doc_id", "d.mark", F.size("w").cast("long").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"))
+    n_near = F.size(F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda x: near(F.col("words"), x["t1"], x["t2"])), lambda x: x["items"]))))
+    rows = rows.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(n_near, F.lit(0)).cast("long").alias("n_near"))
     return rows.select("doc_id", "mark", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
