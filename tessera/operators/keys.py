@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
 
+#: A vocabulary is broadcast up to so many bytes, counted; beyond, its OFTEN most frequent words are.
+BROADCAST_BYTES = 16 << 20
+OFTEN = 100_000
+
+
 @dataclass(frozen=True)
 class KeyConfig:
     """Caps are the most reference records that a key may have."""
@@ -80,11 +85,20 @@ def vocabulary(records: DataFrame, words: Column) -> DataFrame:
 
 
 def rarest(records: DataFrame, words: Column, vocab: DataFrame, k: int, name: str) -> DataFrame:
-    """(id, ``name``): each record's ``k`` rarest words of the vocabulary, rarest first, ties by word."""
-    each = records.select("id", "country", F.explode(F.array_distinct(words)).alias("t")).join(vocab, ["country", "t"])
-    first = Window.partitionBy("id").orderBy("df", "t")
-    top = each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    return top.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias(name))
+    """(id, ``name``): each record's ``k`` rarest words of the vocabulary, rarest first, ties by word.
+
+    A vocabulary of checked size meets the words where they are; else its frequent words do, as a broadcast, and only
+    the rare ones are joined by shuffle, so no task gets all the records of a common word.
+    """
+    each = records.select("id", "country", F.explode(F.array_distinct(words)).alias("t"))
+    if (vocab.agg(F.sum(F.length("t") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
+        each = each.join(F.broadcast(vocab), ["country", "t"])
+    else:
+        often = F.broadcast(vocab.orderBy(F.desc("df"), "country", "t").limit(OFTEN))
+        rest = each.join(often, ["country", "t"], "left_anti").join(vocab, ["country", "t"])
+        each = each.join(often, ["country", "t"]).unionByName(rest)
+    first = F.slice(F.sort_array(F.collect_list(F.struct("df", "t"))), 1, k)
+    return each.groupBy("id").agg(F.transform(first, lambda x: x["t"]).alias(name))
 
 
 def rare_pair_keys(records: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
