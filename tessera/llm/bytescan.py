@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
