@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.keys import has_digit
+from tessera.sources.stored import stored
 
 STRONG, MID = 0.9, 0.5
 #: Sibling thresholds.
@@ -91,7 +92,7 @@ def sibling_features(t: DataFrame, reference: DataFrame) -> DataFrame:
     Records of an entity and feed with the same divergences are one variant, and only variants that share a word meet,
     so an entity with many records costs as much as its different divergences.
     """
-    d = divergences(t, reference).withColumn("sure", ((F.col("q_rank") == 0) & (F.col("p") >= SIB_P)).cast("int"))
+    d = stored(divergences(t, reference).withColumn("sure", ((F.col("q_rank") == 0) & (F.col("p") >= SIB_P)).cast("int")))
     out = d.withColumns({"q_addr_rdiv": F.size("ad"), "q_name_rdiv": F.size("nd")})
     for words, every, same in (("ad", "sib_addr_shared", "sib_addr_shared_same"), ("nd", "sib_name_shared", None)):
         kinds = d.where(F.size(words) > 0).groupBy("s1_id", "src3", words).agg(F.sum("sure").alias("n"))
