@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan
-from tessera.llm.common import bitmap, dropped, in_bitmap, stored, table
+from tessera.llm.common import bitmap, dropped, in_bitmap, small_batches, stored, table
 
 MIN_TOKENS = 4
 LEAD = 3
@@ -238,7 +238,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     and rows that repeat a text, with its doc_id or another, are treated alike and count as one document.
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    drops = dropped_lines(own)
+    with small_batches(docs.sparkSession):
+        drops = dropped_lines(own)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     text = F.col("row.text").cast("string")

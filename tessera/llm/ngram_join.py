@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan
-from tessera.llm.common import bitmap, components, dropped, in_bitmap, stored, table
+from tessera.llm.common import bitmap, components, dropped, in_bitmap, small_batches, stored, table
 
 SIZE = 5
 #: Similarity threshold in hundredths.
@@ -285,6 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     differ, the one with most shingles (ties: with the greatest print) is its text, and each row has its own size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(summaries(docs))
     texts = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("t")).select("doc_id", "t.*")
     classes = stored(texts.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan
-from tessera.llm.common import stored, table
+from tessera.llm.common import small_batches, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -396,7 +396,8 @@ def with_spans(docs: DataFrame, block: int = BLOCK, least: int = LEAST, every: i
     Texts are UTF-8 bytes, null texts empty. Rows without doc_id keep everything and are no earlier place
     for others. Rows that repeat a doc_id count as one document.
     """
-    spans = stored(removed_spans(docs, block, least, every))
+    with small_batches(docs.sparkSession):
+        spans = stored(removed_spans(docs, block, least, every))
     n, m = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     small = n <= BROADCAST_IDS and m <= BROADCAST_SPANS
     return docs.join(F.broadcast(spans) if small else spans, "doc_id", "left")
