@@ -145,8 +145,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = stored(found.select(F.coalesce("f.doc_id", "p.doc_id").alias("doc_id"), F.coalesce("f.mark", "p.mark").alias("mark"), "held", "pairs"))
     dropped(index)
     weight = F.coalesce(F.aggregate("held", F.lit(0), lambda a, x: a + 60 + 24 * F.size(x["w"]) + 40 * F.size(x["items"])), F.lit(0)) + F.coalesce(F.aggregate("pairs", F.lit(0), lambda a, x: a + 60 + 40 * F.size(x["items"])), F.lit(0))
-    d = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("words")).alias("p")
-    rows = d.join(small(found, weight + 60).alias("f"), _same(), "left").select("p.doc_id", "p.mark", "words", "held", "pairs")
+    # only documents with a candidate meet their candidates; of all others no text is shuffled
+    own = docs.select("doc_id", mark("text").alias("mark"), "text").alias("f").join(small(found.select("doc_id", "mark"), F.lit(16)).alias("p"), _same(), "left_semi")
+    rows = own.alias("p").join(small(found, weight + 60).alias("f"), _same()).select("p.doc_id", "p.mark", words("text").alias("words"), "held", "pairs")
 
     def hits(h: Column) -> Column:
         size = F.least(F.lit(WINDOW), F.size(h["w"]))
@@ -158,8 +159,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce(F.size(covered), F.lit(0)).cast("long")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("hits.items")))), F.array().cast("array<string>"))
     n_near = F.size(F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda x: near(F.col("words"), x["t1"], x["t2"])), lambda x: x["items"]))))
-    rows = rows.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(n_near, F.lit(0)).cast("long").alias("n_near"))
-    return rows.select("doc_id", "mark", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+    result = stored(rows.select("doc_id", "mark", n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(n_near, F.lit(0)).cast("long").alias("n_near")).where("n_hit > 0 or n_near > 0").dropDuplicates(["doc_id", "mark"]))
+    result = small(result, 40 * F.size("item_ids") + 60).alias("f")
+    every = docs.select("doc_id", mark("text").alias("mark"), F.size(words("text")).cast("long").alias("n_words")).alias("p").join(result, _same(), "left")
+    none = F.array().cast("array<string>")
+    every = every.select("p.doc_id", "p.mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return every.select("doc_id", "mark", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
