@@ -82,9 +82,11 @@ def fold(x: Column) -> Column:
             out = F.replace(out, F.lit(a), F.lit(b))
         return out
 
-    table = F.create_map(*[F.lit(v) for kv in many.items() for v in kv])
+    # the several characters of a rare one, by its place among the rare ones; both lists are one literal each
+    several = F.split(F.lit("\x1f".join(many.values())), "\x1f")
+    found = lambda c: F.get(several, F.instr(F.lit("".join(many)), c) - 1)
     rare = _ranges([*many])[:-1] + "\\x{AC00}-\\x{D7A3}]"
-    each = F.transform(F.split(low, ""), lambda c: F.when(c.rlike(rare), F.coalesce(_hangul(c), F.try_element_at(table, c))).otherwise(c))
+    each = F.transform(F.split(low, ""), lambda c: F.when(c.rlike(rare), F.coalesce(_hangul(c), found(c))).otherwise(c))
     return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(low.rlike(rare), plain(F.array_join(each, ""))).otherwise(plain(low))
 
 
