@@ -81,7 +81,7 @@ def looked_up(index: DataFrame, plan: DataFrame) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("n1") / HOT), F.lit(1)).cast("int")
     by = plan.withColumns({"parts": parts, "part": F.explode(F.sequence(F.lit(0), parts - 1))})
     hot = by.select(F.col("t1").alias("term"), "parts").where("parts > 1").distinct()
-    dealt = index.join(small(hot, F.octet_length("term") + 24), "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "position"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    dealt = index.join(small(hot, F.octet_length("term") + 24), "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "mark"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     return dealt.withColumnRenamed("term", "t1").join(small(by.drop("parts"), F.lit(100)), ["t1", "part"]).drop("part")
 
 
@@ -93,17 +93,12 @@ def aligned(index: DataFrame, plan: DataFrame) -> DataFrame:
     return both.unionByName(found.where("t2 is null")).select("id", "doc_id", "mark", "shift").distinct()
 
 
-def together(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(t1, t2, doc_id, mark): documents that hold both terms of a pair (t1, n1, t2)."""
-    held = index.select("term", "doc_id", "mark").distinct()
-    one = looked_up(held.withColumn("position", F.lit(0)), pairs).select("t1", "t2", "doc_id", "mark")
-    return one.alias("f").join(held.alias("p"), _same("t2", "term"), "left_semi")
-
-
-def near(w: Column, t1: Column, t2: Column, within: int = WINDOW - 1) -> Column:
-    """Whether two words stand at most ``within`` words apart."""
-    around = lambda i: F.slice(w, F.greatest(i - within, F.lit(0)) + 1, i - F.greatest(i - within, F.lit(0)) + within + 1)
-    return F.exists(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.get(w, i) == t1) & F.array_contains(around(i), t2))
+def together(index: DataFrame, pairs: DataFrame, within: int = WINDOW - 1) -> DataFrame:
+    """(t1, t2, doc_id, mark): documents that hold both terms of a pair (t1, n1, t2) at most ``within`` words apart, by their lists of positions."""
+    held = stored(index.groupBy("term", "doc_id", "mark").agg(F.sort_array(F.collect_set("position")).alias("position")))
+    one = looked_up(held, pairs).select("t1", "t2", "doc_id", "mark", "position")
+    close = F.exists("f.position", lambda a: F.exists("p.position", lambda b: F.abs(a - b) <= within))
+    return one.alias("f").join(held.alias("p"), _same("t2", "term") & close, "left_semi").select("t1", "t2", "doc_id", "mark")
 
 
 def _planned(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -118,10 +113,9 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = WINDOW -
     """(doc_id, a, b): documents with the words ``a`` and ``b`` at most ``within`` words apart. A pair of one word, or with null, matches nothing."""
     pairs = stored(pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct().withColumn("item", F.xxhash64("a", "b")))
     plan, index = _planned(docs, pairs.select("item", F.array("a", "b").alias("w")))
-    found = together(index, plan.select("item", "t1", "n1", "t2").where("n2 > 0").drop("item").distinct()).alias("f")
-    rows = docs.select("doc_id", mark("text").alias("mark"), words("text").alias("w")).alias("p").join(found, _same()).where(near(F.col("w"), F.col("t1"), F.col("t2"), within))
+    found = together(index, plan.where("n2 > 0").select("t1", "n1", "t2").distinct(), within)
     in_order = pairs.select("a", "b", F.array_sort(F.array("a", "b")).alias("two"))
-    return rows.select("p.doc_id", F.array_sort(F.array("t1", "t2")).alias("two")).distinct().join(in_order, "two").select("doc_id", "a", "b")
+    return found.select("doc_id", F.array_sort(F.array("t1", "t2")).alias("two")).distinct().join(in_order, "two").select("doc_id", "a", "b")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,14 +134,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     exact = place.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("shift", "w", "starts", "items")).alias("held"))
     pairs = stored(plan.where("t2 is not null").join(items, "item").groupBy("t1", "n1", "t2").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
     both = together(index, pairs.select("t1", "n1", "t2")).join(small(pairs.drop("n1"), 40 * F.size("items") + 60), ["t1", "t2"])
-    close = both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("t1", "t2", "items")).alias("pairs"))
-    found = exact.alias("f").join(close.alias("p"), _same(), "full")
-    found = stored(found.select(F.coalesce("f.doc_id", "p.doc_id").alias("doc_id"), F.coalesce("f.mark", "p.mark").alias("mark"), "held", "pairs"))
+    close = both.groupBy("doc_id", "mark").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
+    exact, close = stored(exact), stored(close)
     dropped(index)
-    weight = F.coalesce(F.aggregate("held", F.lit(0), lambda a, x: a + 60 + 24 * F.size(x["w"]) + 40 * F.size(x["items"])), F.lit(0)) + F.coalesce(F.aggregate("pairs", F.lit(0), lambda a, x: a + 60 + 40 * F.size(x["items"])), F.lit(0))
     # only documents with a candidate meet their candidates; of all others no text is shuffled
-    own = docs.select("doc_id", mark("text").alias("mark"), "text").alias("f").join(small(found.select("doc_id", "mark"), F.lit(16)).alias("p"), _same(), "left_semi")
-    rows = own.alias("p").join(small(found, weight + 60).alias("f"), _same()).select("p.doc_id", "p.mark", words("text").alias("words"), "held", "pairs")
+    weight = F.aggregate("held", F.lit(60), lambda a, x: a + 60 + 24 * F.size(x["w"]) + 40 * F.size(x["items"]))
+    own = docs.select("doc_id", mark("text").alias("mark"), "text").alias("f").join(small(exact.select("doc_id", "mark"), F.lit(16)).alias("p"), _same(), "left_semi")
+    rows = own.alias("p").join(small(exact, weight).alias("f"), _same()).select("p.doc_id", "p.mark", words("text").alias("words"), "held")
 
     def hits(h: Column) -> Column:
         size = F.least(F.lit(WINDOW), F.size(h["w"]))
@@ -158,12 +151,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
     n_hit = F.coalesce(F.size(covered), F.lit(0)).cast("long")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("hits.items")))), F.array().cast("array<string>"))
-    n_near = F.size(F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda x: near(F.col("words"), x["t1"], x["t2"])), lambda x: x["items"]))))
-    result = stored(rows.select("doc_id", "mark", n_hit.alias("n_hit"), ids.alias("item_ids"), F.coalesce(n_near, F.lit(0)).cast("long").alias("n_near")).where("n_hit > 0 or n_near > 0").dropDuplicates(["doc_id", "mark"]))
-    result = small(result, 40 * F.size("item_ids") + 60).alias("f")
-    every = docs.select("doc_id", mark("text").alias("mark"), F.size(words("text")).cast("long").alias("n_words")).alias("p").join(result, _same(), "left")
+    hit = rows.select("doc_id", "mark", n_hit.alias("n_hit"), ids.alias("item_ids")).where("n_hit > 0").dropDuplicates(["doc_id", "mark"])
+    result = hit.alias("f").join(close.alias("p"), _same(), "full")
     none = F.array().cast("array<string>")
-    every = every.select("p.doc_id", "p.mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    result = stored(result.select(F.coalesce("f.doc_id", "p.doc_id").alias("doc_id"), F.coalesce("f.mark", "p.mark").alias("mark"), "n_hit", F.coalesce("item_ids", none).alias("item_ids"), "n_near"))
+    every = docs.select("doc_id", mark("text").alias("mark"), F.size(words("text")).cast("long").alias("n_words")).alias("p").join(small(result, 40 * F.size("item_ids") + 60).alias("f"), _same(), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    every = every.select("p.doc_id", "p.mark", "n_words", zero("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), zero("n_near"))
     return every.select("doc_id", "mark", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
