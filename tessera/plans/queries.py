@@ -12,6 +12,7 @@ from tessera.operators import features as feats
 from tessera.operators import keys as K
 from tessera.plans import linkage
 from tessera.sources.records import bucket, documents, parties, scored
+from tessera.sources.stored import stored
 
 QUERIES: dict = {}
 
@@ -41,6 +42,12 @@ def _queries(spark, sf):
     return parties(spark, sf).where("role > 0")
 
 
+def _sides(spark, sf):
+    """(reference, queries), stored once for plans that read them again and again."""
+    p = stored(parties(spark, sf))
+    return p.where("role = 0"), p.where("role > 0")
+
+
 def _truth(spark, sf):
     return _queries(spark, sf).where("owner is not null").select(F.col("owner").alias("s1"), F.col("id").alias("other"))
 
@@ -153,11 +160,11 @@ def index_capped(spark, sf):
 @query
 def candidates_topk(spark, sf):
     """The flagship: the best five reference records for every noisy record, by all key families."""
-    return blocking.generate_candidates(_reference(spark, sf), _queries(spark, sf), 5).select("q_id", "s1_id", *_long("n_keys"), *_round("score"))
+    return blocking.generate_candidates(*_sides(spark, sf), 5).select("q_id", "s1_id", *_long("n_keys"), *_round("score"))
 
 
 def _candidates(spark, sf):
-    return blocking.generate_candidates(_reference(spark, sf), _queries(spark, sf), 10)
+    return blocking.generate_candidates(*_sides(spark, sf), 10)
 
 
 @query
@@ -198,11 +205,14 @@ def v2_cross_keys(spark, sf):
 
 @query
 def v2_hits(spark, sf):
-    return blocking.corruption_hits(_corruption(spark, sf)[0], _queries(spark, sf)).select("q_id", "s1_id", *_long("v2_nkeys", "v2_k_nb", "v2_k_ag", "v2_k_hn", "v2_k_cx", "v2_k_sw", "v2_k_ty"), *_round("v2_score", "v2_max_idf"))
+    ref, q = _sides(spark, sf)
+    return blocking.corruption_hits(blocking.build_corruption_index(ref), q).select("q_id", "s1_id", *_long("v2_nkeys", "v2_k_nb", "v2_k_ag", "v2_k_hn", "v2_k_cx", "v2_k_sw", "v2_k_ty"), *_round("v2_score", "v2_max_idf"))
 
 
 def _union(spark, sf):
-    return blocking.union_candidates(_candidates(spark, sf), blocking.corruption_hits(blocking.build_corruption_index(_reference(spark, sf)), _queries(spark, sf)), 5)
+    ref, q = _sides(spark, sf)
+    hits = stored(blocking.corruption_hits(blocking.build_corruption_index(ref), q))
+    return blocking.union_candidates(blocking.generate_candidates(ref, q, 10), hits, 5)
 
 
 @query
@@ -294,8 +304,8 @@ def partial_ratio(spark, sf):
 
 @query
 def pair_features(spark, sf):
-    p = blocking.generate_candidates(_reference(spark, sf), _queries(spark, sf), 3).select("q_id", "s1_id", "n_keys", "score")
-    return feats.pair_features(p, _reference(spark, sf), _queries(spark, sf)).drop("n1", "n2", "a1", "a2")
+    ref, q = _sides(spark, sf)
+    return feats.pair_features(blocking.generate_candidates(ref, q, 3).select("q_id", "s1_id", "n_keys", "score"), ref, q).drop("n1", "n2", "a1", "a2")
 
 
 @query
@@ -529,10 +539,8 @@ def training_halves(spark, sf):
 def matcher_scores(spark, sf):
     """Trees on the training folds of party pairs, applied to the validation fold."""
     cfg = linkage.PlanConfig(top_k=5)
-    rows = linkage.pair_table(_reference(spark, sf), _queries(spark, sf), _truth(spark, sf), None, cfg).drop("true_s1")
+    rows = linkage.pair_table(*_sides(spark, sf), _truth(spark, sf), None, cfg).drop("true_s1")
     spec = feats.FeatureSpec(("n_ratio", "n_jw", "a_ratio", "n_shared_tok", "a_shared_tok", "num_first_eq", "score", "n_keys", "q_addr_empty"))
-    from tessera.sources.stored import stored
-
     rows = stored(rows.select("q_id", "s1_id", "label", "fold", *spec.names))
     model = training.fit_matcher(rows, spec, rounds=5, depth=4)
     return training.predict(model, rows.where("fold = 0"), spec).select("q_id", "s1_id", "label", F.round(F.col("p").cast("double"), 4).alias("p"))
@@ -540,8 +548,6 @@ def matcher_scores(spark, sf):
 
 @query
 def stage2_rows(spark, sf):
-    from tessera.sources.stored import stored
-
     s, ref, q = (stored(f(spark, sf)) for f in (_party_scores, _reference, _queries))
     return linkage.second_stage(s, ref, q).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_addr_shared", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
 
