@@ -56,7 +56,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns of ``docs`` but the text, with ``secrets``: array of (kind, start, end), ends exclusive.
 
-    A null or empty text has none. Rows are independent: nothing is shuffled.
+    A null or empty text has none. Rows are independent: nothing is shuffled, and rows that repeat a text, with whatever
+    doc_id, get the same spans. Spans that begin at one place are in the order of the rules. A column ``secrets`` is replaced.
     """
     names = [c for c in docs.columns if c not in (text, "secrets")]
     kept = docs.select(*[F.col(f"`{c}`") for c in names])

@@ -285,6 +285,16 @@ def test_further_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_long_and_repeated_texts_and_ties(spark):
+    long = "word " * 40_000 + "token=0123456789abcdef " + "é" * 50_000 + " AKIA" + "A1" * 9_000
+    tie = "AKIA" + "0123456789" * 3  # an access key whose digits are a hexadecimal number too
+    df = spark.createDataFrame([(1, long), (1, long), (None, long), (2, tie), (3, "")], "doc_id long, text string")
+    got = [(r["doc_id"], [tuple(x) for x in r["secrets"]]) for r in secrets.scan(df).collect()]
+    base = lambda spans: [x for x in spans if x[0] in secrets.BASE]
+    assert sorted(len(base(x)) for _, x in got) == [0, 2, 3, 3, 3]
+    assert all(base(x) == brute_secrets({1: long, None: long, 2: tie, 3: ""}[i]) for i, x in got)
+
+
 def test_automaton_against_re():
     rng = random.Random(8)
     for p in ["a(b|cd)*e", "[a-c]{2,4}d?", "x[^yz]+y", "(ab){2}|c+"]:
