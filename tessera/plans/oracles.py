@@ -328,6 +328,20 @@ from ec join best using (q_id) left join lk on lk.s1_id = ec.s1_id""",
     "sibling_features": f"""{_SIBFEAT}
 select q_id, s1_id, len(ad) as q_addr_rdiv, coalesce(ash, 0) as sib_addr_shared, coalesce(asm, 0) as sib_addr_shared_same, len(nd) as q_name_rdiv, coalesce(nsh, 0) as sib_name_shared
 from dv left join sb using (q_id, s1_id)""",
+    "stage2_context": f"""{_SIBCAND},
+ranked as (
+  select *, row_number() over (partition by q_id order by p desc, s1_id) as r
+  from (select q_id, s1_id, p, 0 as sc_new from sc2 union all select q_id, s1_id, 0.0, 1 from found where (q_id, s1_id) not in (select (q_id, s1_id) from sc2))),
+{_ENTITY},
+{_SIBFEAT.split(_SIB + ",")[1].replace("from sr join", "from ranked sr join")},
+vd as (select country, t, count(*) as df from (select country, unnest(list_distinct(nt)) as t from ref) group by all),
+vu as (
+  select q_id, s1_id, count(*) filter (where df is null) as v_unknown
+  from (select x.q_id, x.s1_id, q.country, unnest(list_distinct(list_filter(q.nt, lambda t: not list_contains(e.nt, t)))) as t from ranked x join qry q on q.id = x.q_id join ref e on e.id = x.s1_id) left join vd using (country, t) group by all)
+select ec.q_id, ec.s1_id, ranked.r - 1 as q_rank, e_n, e_strong, case when src3 = 1 then e_strong_s3 else e_strong_s2 end as e_same_src_strong, coalesce(sc_n, 0) as sc_n, sc_new,
+  len(ad) as q_addr_rdiv, coalesce(ash, 0) as sib_addr_shared, coalesce(nsh, 0) as sib_name_shared, {_INTER(_NUM('e.addr_n'), _NUM('q.addr_n'))} as num_inter, v_unknown
+from ec join ranked using (q_id, s1_id) join dv using (q_id, s1_id) join qry q on q.id = ec.q_id join ref e on e.id = ec.s1_id
+  left join found using (q_id, s1_id) left join sb using (q_id, s1_id) left join vu using (q_id, s1_id)""",
     "validate_lists": f"""{_S},
 ls as (select 'S1-' || s_suppkey as s1, s_suppkey as pos, coalesce(ids, '') as ids from supplier left join (select s1_id, string_agg(q_id, ',' order by q_id) as ids from best where p1 >= 0.95 group by 1) on s1_id = 'S1-' || s_suppkey),
 bad as (

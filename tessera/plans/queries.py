@@ -546,10 +546,19 @@ def matcher_scores(spark, sf):
     return training.predict(model, rows.where("fold = 0"), spec).select("q_id", "s1_id", "label", F.round(F.col("p").cast("double"), 4).alias("p"))
 
 
+def _stage2(spark, sf):
+    return linkage.second_stage(stored(_party_scores(spark, sf)), *_sides(spark, sf))
+
+
+@query
+def stage2_context(spark, sf):
+    """The columns of ``stage2_rows`` that SQL can express."""
+    return _stage2(spark, sf).select("q_id", "s1_id", *_long("q_rank", "e_n", "e_strong", "e_same_src_strong", "sc_n", "sc_new", "q_addr_rdiv", "sib_addr_shared", "sib_name_shared", "num_inter", "v_unknown"))
+
+
 @query
 def stage2_rows(spark, sf):
-    s, ref, q = (stored(f(spark, sf)) for f in (_party_scores, _reference, _queries))
-    return linkage.second_stage(s, ref, q).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_addr_shared", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
+    return _stage2(spark, sf).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_addr_shared", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
 
 
 @query

@@ -304,3 +304,28 @@ def test_steps_run_from_files_to_files(spark, tmp_path):
         run("snapshot", "--file", str(out), "--label", "First run!")
     folders = sorted(x.name for x in (tmp_path / "work" / "snapshots").iterdir() if x.is_dir())
     assert folders == ["01_first-run", "02_first-run"] and (tmp_path / "work" / "snapshots" / "LOG.md").read_text().count("| First run! |") == 2
+
+
+def test_pair_features_query_against_loops(spark):
+    from tessera.plans import queries as Q
+    from tests.test_text import NAIVE
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["id"]: r for r in Q.parties(spark, sf).collect()}
+    rows = Q.QUERIES["pair_features"](spark, sf).collect()
+    assert len(rows) == len({(r["q_id"], r["s1_id"]) for r in rows}) > 500
+    digits = lambda x: "".join(c if c.isdigit() else " " for c in x).split()
+    left = lambda a, b: " ".join(sorted({w for w in a if w not in b}))
+    for r in rows[::7]:
+        a, b = texts[r["s1_id"]], texts[r["q_id"]]
+        n, m, q = (a["name_n"], b["name_n"]), (a["addr_n"], b["addr_n"]), (a["name_sq"], b["name_sq"])
+        w, v, d = (tuple(x.split(" ") for x in y) for y in (n, m, tuple(" ".join(digits(x)) for x in m)))
+        want = {
+            "n_ratio": NAIVE["ratio"](*n), "n_tsort": NAIVE["tsort"](*n), "n_tset": NAIVE["tset"](*n), "n_jw": NAIVE["jw"](*n), "a_ratio": NAIVE["ratio"](*m), "a_tset": NAIVE["tset"](*m),
+            "a_partial": NAIVE["ptset"](*m), "a_jw": NAIVE["jw"](*m), "sq_ratio": NAIVE["ratio"](*q), "sq_partial": NAIVE["partial"](*q), "num_ratio": NAIVE["ratio"](*(" ".join(digits(x)) for x in m)),
+            "n_rest_ratio": NAIVE["ratio"](left(w[0], w[1]), left(w[1], w[0])), "a_rest_ratio": NAIVE["ratio"](left(v[0], v[1]), left(v[1], v[0])),
+            "n_rest_len1": len(left(w[0], w[1])), "a_rest_len2": len(left(v[1], v[0])), "m_rest_len1": len(left(digits(m[0]), digits(m[1]))), "n_shared_tok": len(set(w[0]) & set(w[1])), "n1_len": len(n[0]), "n_exact": int(n[0] == n[1]),
+            "num_inter": len(set(digits(m[0])) & set(digits(m[1]))), "q_addr_empty": int(m[1] == ""), "q_is_domain": int(b["is_domain"]), "n_len_ratio": len(n[0]) / max(len(n[1]), 1),
+        }
+        for c, x in want.items():
+            assert r[c] == pytest.approx(x, rel=1e-5, abs=1e-5), (c, n, m)
