@@ -252,7 +252,7 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     rows = stored(rows.drop("c").join(rows.groupBy("doc_id").agg((F.sum("c") / F.max("n")).alias("company")), "doc_id"))
 
     tried, open_rows = None, rows.withColumn("comp", F.col("doc_id"))
-    for first in (F.col("company"), F.xxhash64("doc_id"), None):
+    for first in (F.col("company"), None):
         if first is not None:  # each document against one of its shingles' centres, the one it shares most with, if that is much
             centre = open_rows.groupBy("hash").agg(F.max_by(F.struct("doc_id", "n", "alone", "pos", "comp"), F.struct(first, "doc_id")).alias("c")).select("hash", "c.*")
             pairs = candidates(open_rows, centre, ["a.comp <> b.comp"]).where("100 * shared >= nb").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
