@@ -134,9 +134,9 @@ def tuned(best: DataFrame, entities: DataFrame, truth: DataFrame, thresholds: li
     settings = [(t, g, u) for t in thresholds for g in gaps for u in guards if not u or u > t]
     grid = best.sparkSession.createDataFrame(settings, "threshold double, gap double, guard double")
     by = ["threshold", "gap", "guard", "s1"]
-    owner = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("owner"))
-    rows = best.join(owner, "q_id", "left").crossJoin(F.broadcast(grid)).where((F.col("p1") >= F.col("threshold")) & (F.col("p1") - F.col("p2") >= F.col("gap")))
-    got = rows.withColumnRenamed("s1_id", "s1").groupBy(*by).agg(F.count("*").alias("n_pred"), F.count_if(F.col("s1") == F.col("owner")).alias("tp"), F.max("p1").alias("top")).where(F.col("top") >= F.col("guard"))
+    owner = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("s1_id"), F.lit(1).alias("hit")).distinct()
+    rows = best.join(owner, ["q_id", "s1_id"], "left").crossJoin(F.broadcast(grid)).where((F.col("p1") >= F.col("threshold")) & (F.col("p1") - F.col("p2") >= F.col("gap")))
+    got = rows.withColumnRenamed("s1_id", "s1").groupBy(*by).agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"), F.max("p1").alias("top")).where(F.col("top") >= F.col("guard"))
     own = entities.select("s1").join(truth.groupBy("s1").agg(F.countDistinct("other").alias("n_true")), "s1", "left").crossJoin(F.broadcast(grid)).join(got, by, "left").na.fill(0, ["n_true", "n_pred", "tp"])
     return own.withColumns({"f": _f05(), "half": bucket(F.col("s1"), 99, 2)}).groupBy("threshold", "gap", "guard", "half").agg(F.avg("f").alias("f05"))
 
