@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Ids of a block, and blocks that are coded together, at most.
-BLOCK = 4096
+BLOCK = 2048
 LANES = 4096
 #: Contexts of orders 1 and 2 are hashed to so many bits.
-CONTEXT_BITS = 12
+CONTEXT_BITS = 10
 #: Symbols of order 0: places for frequent ids, the last one for all other ids.
 PLACES = 256
 OTHER = PLACES - 1

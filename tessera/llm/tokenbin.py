@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import idcoder
+from tessera.llm.bytescan import LOWER
 from tessera.llm.common import shared_dir, small_batches, table
 
 END = 2
@@ -38,16 +39,41 @@ FILE_BYTES = 24 << 20
 #: A small file has blocks of fewer ids, so that it is still coded many at a time; blocks have so many ids at least.
 LEAST_BLOCK, LEAST_LANES = 1024, 512
 #: Words of a task whose ids are remembered.
-WORDS = 1 << 19
+WORDS = 1 << 18
 HEADER = struct.Struct("<4sIIQIIII")
 ROW = np.dtype([("none", "u1"), ("doc_id", "<i8"), ("n", "<u8")])
 
 
+LETTER, BREAK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+BREAK[[ord(c) for c in ".,;:!?"]] = True
+#: A text on which words, and words and punctuation, must have the same ids apart as together.
+PROBE = "Word another, word. AND, more: words; yes! no? O'Neil isn't 42nd"
+
+
+def loosened(texts: pa.Array) -> pa.Array:
+    """A space between a letter and punctuation, capitals before ASCII in lower case, line feeds as spaces."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return texts
+    after = np.append(data[1:], np.uint8(32))
+    low = np.where(after < 128, LOWER[data], data)
+    low[data == 10] = 32
+    gap = np.flatnonzero(LETTER[data] & BREAK[after]) + 1
+    inner = gap[~np.isin(gap, offsets)]
+    out = np.insert(low, inner, np.uint8(32))
+    moved = offsets + np.searchsorted(inner, offsets)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(out))
+
+
 class Tokenizer:
-    """Ids of a batch of texts, equal to the tokenizers library's, for a tokenizer that drops white space.
+    """Ids of a batch of texts, equal to the tokenizers library's, for a tokenizer that lowers case and drops white space.
 
-    Such a tokenizer never looks across a space, so each different word between spaces is encoded once. Texts that may
-    hold an added token go through the library whole.
+    Such a tokenizer never looks across a space, nor from a letter to punctuation, so each different word is encoded once.
+    Texts that may hold an added token go through the library whole; so do all texts for another tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,12 +81,16 @@ class Tokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.marks = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
-        # whether a space is dropped can be seen: alone it has no ids, and a word beside it has the same
-        self.by_word = not self.encode([" ", "  \n "])[0].ids and self.encode(["a b"])[0].ids == [i for e in self.encode(["a", "b"]) for i in e.ids]
-        self.known: dict[str, np.ndarray] = {}
+        apart = [i for e in self.encode(loosened(pa.array([PROBE]))[0].as_py().split(" ")) for i in e.ids]
+        self.by_word = not self.encode([" \n "])[0].ids and self.encode([PROBE])[0].ids == apart
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list:
-        return self.library.encode_batch(texts, add_special_tokens=False)
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after those of each text, and how many each text has. Null is empty."""
@@ -71,23 +101,24 @@ class Tokenizer:
         special = np.zeros(len(texts), bool)
         for mark in self.marks:
             special |= np.asarray(pc.match_substring(texts, mark))
-        plain = pc.if_else(pa.array(special), "", texts)
-        words = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        words = pc.split_pattern(loosened(plain), " ")
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(words).dictionary_encode()
         values = coded.dictionary.to_pylist()
+        if len(self.known) + len(values) > WORDS:
+            self.forget()
         new = [w for w in values if w not in self.known]
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = values
-        self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, self.encode(new), strict=True))
-        parts = [self.known[w] for w in values]
-        size = np.array([len(p) for p in parts], np.int64)
-        flat, first = np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum(size) - size
+        if new:
+            found = [e.ids for e in self.encode(new)]
+            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.size = np.append(self.size, np.array([len(f) for f in found], np.int64))
+            self.flat = np.append(self.flat, np.array([i for f in found for i in f], np.uint32))
         # words in order, and one more word of the id ``end`` behind those of each text
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        code = np.insert(code, np.cumsum(per_text), len(size))
-        size, first, flat = np.append(size, 1), np.append(first, len(flat)), np.append(flat, np.uint32(end))
+        index = np.array([*map(self.known.__getitem__, values), len(self.size)], np.int64)
+        size, flat = np.append(self.size, 1), np.append(self.flat, np.uint32(end))
+        first = np.cumsum(size) - size
+        code = index[np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(per_text), len(values))]
         n = size[code]
         ends = np.cumsum(n)
         out = flat[np.arange(ends[-1]) + np.repeat(first[code] - ends + n, n)]
