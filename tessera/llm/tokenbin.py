@@ -110,7 +110,8 @@ class Tokenizer:
             self.forget()
         new = [w for w in values if w not in self.known]
         if new:
-            found = [e.ids for e in self.encode(new)]
+            # an encoding takes a kilobyte, so few words at a time
+            found = [e.ids for i in range(0, len(new), 4096) for e in self.encode(new[i : i + 4096])]
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             self.size = np.append(self.size, np.array([len(f) for f in found], np.int64))
             self.flat = np.append(self.flat, np.array([i for f in found for i in f], np.uint32))
