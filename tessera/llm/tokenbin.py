@@ -35,7 +35,7 @@ from tessera.llm.common import shared_dir, small_batches, table
 
 END = 2
 #: Bytes of text that a file is made of, more or less. Ranges of doc_id that hold more go to more tasks.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 16 << 20
 #: A small file has blocks of fewer ids, so that it is still coded many at a time; blocks have so many ids at least.
 LEAST_BLOCK, LEAST_LANES = 1024, 512
 #: Words of a task whose ids are remembered.
@@ -81,7 +81,8 @@ class Tokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.marks = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
-        apart = [i for e in self.encode(loosened(pa.array([PROBE]))[0].as_py().split(" ")) for i in e.ids]
+        self.model = self.library.model
+        apart = [i for w in self.words(loosened(pa.array([PROBE]))[0].as_py().split(" ")) for i in w]
         self.by_word = not self.encode([" \n "])[0].ids and self.encode([PROBE])[0].ids == apart
         self.forget()
 
@@ -89,6 +90,19 @@ class Tokenizer:
         self.known: dict[str, int] = {}
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def word(self, word: str) -> list[int] | None:
+        """The ids of a word of small ASCII letters, which no normalization concerns, by the merges alone; None for others."""
+        return [t.id for t in self.model.tokenize(word)] if word.isascii() and word.isalpha() and word.islower() else None
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        found = [self.word(w) for w in words]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for at in range(0, len(rest), 4096):  # an encoding takes a kilobyte, so few at a time
+            part = rest[at : at + 4096]
+            for i, e in zip(part, self.encode([words[i] for i in part]), strict=True):
+                found[i] = e.ids
+        return found
+
     def encode(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
@@ -110,8 +124,7 @@ class Tokenizer:
             self.forget()
         new = [w for w in values if w not in self.known]
         if new:
-            # an encoding takes a kilobyte, so few words at a time
-            found = [e.ids for i in range(0, len(new), 4096) for e in self.encode(new[i : i + 4096])]
+            found = self.words(new)
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             self.size = np.append(self.size, np.array([len(f) for f in found], np.int64))
             self.flat = np.append(self.flat, np.array([i for f in found for i in f], np.uint32))
@@ -192,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> No
             yield from flush()
 
     sort = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 2 << 20):
         # Spark's text writer passes bytes on as they are, to any file system and by its commit protocol
         sort.mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.option("compression", "none").text(path)
 
