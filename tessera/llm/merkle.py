@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, table
 
 FANOUT, DEPTH = 3, 6
-SPAN = FANOUT**DEPTH
 #: Digits have so many bits; buckets of more rows than ``BUCKET`` are split.
 DIGIT, BUCKET = 12, 4096
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -41,10 +40,10 @@ def up(level: list[bytes]) -> list[bytes]:
     return [sha256(b"".join(level[i : i + FANOUT])).hexdigest().encode() for i in range(0, len(level), FANOUT)]
 
 
-def subtree(level: list[bytes], n: int) -> list[list[bytes]]:
-    """All levels of a subtree of a tree of n nodes, from ``level`` to its root: ``DEPTH`` more, or fewer if the tree ends."""
+def subtree(level: list[bytes], n: int, depth: int) -> list[list[bytes]]:
+    """All levels of a subtree of a tree of n nodes, from ``level`` to its root: ``depth`` more, or fewer if the tree ends."""
     out = [level]
-    for _ in range(DEPTH):
+    for _ in range(depth):
         if n == 1:
             break
         out.append(up(out[-1]))
@@ -99,36 +98,36 @@ def ranked(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.withColumn("rank", F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0))).drop("base")
 
 
-def packed(nodes: DataFrame, members: list[str]) -> DataFrame:
+def packed(nodes: DataFrame, members: list[str], depth: int) -> DataFrame:
     """Subtrees (grp, prefix, total, members, node) of the nodes (grp, rank, total, leaf) that share their leading digits of the rank."""
     per = F.sort_array(F.collect_list(F.struct("rank", "leaf", *members))).alias("members")
-    groups = nodes.groupBy("grp", F.expr(f"rank div {SPAN}").alias("prefix"), "total").agg(per)
+    groups = nodes.groupBy("grp", F.expr(f"rank div {FANOUT**depth}").alias("prefix"), "total").agg(per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for held, n in zip(batch.column("members"), batch.column("total").to_pylist(), strict=True):
                 level = held.values.field("leaf").to_pylist()
-                found.append(subtree([x.encode() for x in level], n)[-1][0].decode())
+                found.append(subtree([x.encode() for x in level], n, depth)[-1][0].decode())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "node"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema)
     return stored(groups.mapInArrow(run, f"{kinds}, node string"))
 
 
-def climb(nodes: DataFrame, members: list[str]) -> list[DataFrame]:
+def climb(nodes: DataFrame, members: list[str], depth: int) -> list[DataFrame]:
     """Rounds of subtrees, from the nodes to one root for each grp."""
-    rounds = []
+    rounds, span = [], FANOUT**depth
     while True:
-        packs = packed(nodes, members)
+        packs = packed(nodes, members, depth)
         rounds.append(packs)
-        more = F.ceil(F.col("total") / SPAN).cast("long")
-        nodes, members = packs.where(F.col("total") > SPAN).select("grp", F.col("prefix").alias("rank"), more.alias("total"), F.col("node").alias("leaf")), []
+        more = F.ceil(F.col("total") / span).cast("long")
+        nodes, members = packs.where(F.col("total") > span).select("grp", F.col("prefix").alias("rank"), more.alias("total"), F.col("node").alias("leaf")), []
         if nodes.isEmpty():
             return rounds
 
 
-def within(packs: DataFrame, schema: str, result: Callable[[dict, list[list[bytes]], int, list], tuple]) -> DataFrame:
+def within(packs: DataFrame, depth: int, schema: str, result: Callable[[dict, list[list[bytes]], int, list], tuple]) -> DataFrame:
     """For each member of the subtrees (with the columns ``above`` and others) a row: ``result(pack, levels, i, above)``."""
     names = [c.split(":")[0].strip() for c in _fields(schema)]
 
@@ -136,7 +135,7 @@ def within(packs: DataFrame, schema: str, result: Callable[[dict, list[list[byte
         for batch in batches:
             for pack in batch.to_pylist():
                 above = [(a["left"], a["right"]) for a in pack["above"]]
-                levels = subtree([m["leaf"].encode() for m in pack["members"]], pack["total"])
+                levels = subtree([m["leaf"].encode() for m in pack["members"]], pack["total"], depth)
                 rows = [result(pack, levels, i, above) for i in range(len(pack["members"]))]
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -159,18 +158,18 @@ def _path(levels: list[list[bytes]], i: int, above: list) -> list[dict]:
     return [{"left": a, "right": b} for a, b in [*siblings(levels, i), *above]]
 
 
-def paths(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+def paths(rounds: list[DataFrame], tops: DataFrame, depth: int) -> DataFrame:
     """The first round's subtrees with ``above``, the path from each subtree's root on. ``tops``: (grp, above, ...) of the trees' roots."""
     extra = [c for c in tops.columns if c not in ("grp", "above")]
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in tops.schema if f.name in extra)
-    found = None
+    found, span = None, FANOUT**depth
     for k in range(len(rounds) - 1, -1, -1):
-        last = rounds[k].where(F.col("total") <= SPAN).join(tops, "grp")
+        last = rounds[k].where(F.col("total") <= span).join(tops, "grp")
         if found is not None:
-            last = last.unionByName(rounds[k].where(F.col("total") > SPAN).join(found, ["grp", "prefix"]).select(last.columns))
+            last = last.unionByName(rounds[k].where(F.col("total") > span).join(found, ["grp", "prefix"]).select(last.columns))
         if k:
             schema = f"grp string, prefix long, above {LEVELS}{kinds}"
-            found = stored(within(last, schema, lambda p, levels, i, above: (p["grp"], p["members"][i]["rank"], _path(levels, i, above), *[p[c] for c in extra])))
+            found = stored(within(last, depth, schema, lambda p, levels, i, above: (p["grp"], p["members"][i]["rank"], _path(levels, i, above), *[p[c] for c in extra])))
     return last
 
 
@@ -181,13 +180,14 @@ class Manifest:
     root: str | None
     subroots: DataFrame
     packs: DataFrame
+    depth: int
 
     def proofs(self) -> DataFrame:
         """(doc_id, leaf, path) of every row: ``fold`` of leaf and path is the root."""
-        return within(self.packs, f"doc_id long, leaf string, path {LEVELS}", lambda p, levels, i, above: (p["members"][i]["doc_id"], p["members"][i]["leaf"], _path(levels, i, above)))
+        return within(self.packs, self.depth, f"doc_id long, leaf string, path {LEVELS}", lambda p, levels, i, above: (p["members"][i]["doc_id"], p["members"][i]["leaf"], _path(levels, i, above)))
 
 
-def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "source", bucket: int = BUCKET, **members: Column) -> Manifest:
+def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "source", bucket: int = BUCKET, depth: int = DEPTH, **members: Column) -> Manifest:
     """The manifest of all rows of ``docs``; other columns than ``columns`` are not part of it.
 
     Rows ascend by doc_id, those without one first; rows that repeat a doc_id follow by their leaf, and equal rows all count. A null
@@ -198,12 +198,12 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     rows = stored(rows.groupBy("grp", "doc_id", "leaf").agg(F.count("*").alias("n"), *[F.first(m).alias(m) for m in members]))
     placed = ranked(rows, bucket)
     each = placed.withColumn("rank", F.explode(F.sequence("rank", F.col("rank") + F.col("n") - 1))).drop("n")
-    rounds = climb(each, ["doc_id", *members])
+    rounds = climb(each, ["doc_id", *members], depth)
     trees = rounds[0]
     for r in rounds[1:]:
         trees = trees.select("grp", "prefix", "total", "node").unionByName(r.select("grp", "prefix", "total", "node"))
     # groups in order: each range of them counts its own, and the ranges' counts (one for each task) say where it starts
-    groups = stored(trees.where(F.col("total") <= SPAN).select("grp", F.col("node").alias("subroot")))
+    groups = stored(trees.where(F.col("total") <= FANOUT**depth).select("grp", F.col("node").alias("subroot")))
     placed = stored(groups.repartitionByRange("grp").sortWithinPartitions("grp").withColumn("at", F.monotonically_increasing_id()))
     part, before, starts = F.shiftright("at", 33), 0, [F.lit(-1), F.lit(0)]
     for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):
@@ -211,15 +211,15 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
         before += n
     rank = F.element_at(F.create_map(*starts), part).cast("long") + F.col("at").bitwiseAND((1 << 33) - 1)
     nodes = placed.select("grp", "subroot", rank.alias("rank"))
-    whole = climb(nodes.select(F.lit("").alias("grp"), "rank", F.col("subroot").alias("leaf"), F.lit(before).cast("long").alias("total"), F.col("grp").alias("own")), ["own"])
-    top = whole[-1].where(F.col("total") <= SPAN).select("node").first()
+    whole = climb(nodes.select(F.lit("").alias("grp"), "rank", F.col("subroot").alias("leaf"), F.lit(before).cast("long").alias("total"), F.col("grp").alias("own")), ["own"], depth)
+    top = whole[-1].where(F.col("total") <= FANOUT**depth).select("node").first()
     root = top[0] if top else None
     session = docs.sparkSession
     start = session.createDataFrame([("", [])], f"grp string, above {LEVELS}")
-    over = paths(whole, start)
-    tops = within(over, f"grp string, above {LEVELS}, subroot string", lambda p, levels, i, above: (p["members"][i]["own"], _path(levels, i, above), p["members"][i]["leaf"]))
+    over = paths(whole, start, depth)
+    tops = within(over, depth, f"grp string, above {LEVELS}, subroot string", lambda p, levels, i, above: (p["members"][i]["own"], _path(levels, i, above), p["members"][i]["leaf"]))
     subroots = groups.select(F.when(F.col("grp") != "", F.expr("substring(grp, 2)")).alias(group), "subroot")
-    return Manifest(root, subroots, paths(rounds, stored(tops)))
+    return Manifest(root, subroots, paths(rounds, stored(tops), depth), depth)
 
 
 def audit(made: Manifest, claimed: str) -> DataFrame:
@@ -231,7 +231,7 @@ def audit(made: Manifest, claimed: str) -> DataFrame:
         folded = fold(m[claimed].encode(), path).decode()
         return m["doc_id"], m["leaf"], p["subroot"], root, sha256(b"".join(a + b for a, b in path)).hexdigest(), folded, folded == root
 
-    return within(made.packs, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", result)
+    return within(made.packs, made.depth, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", result)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,8 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the anchors among ``rows`` (id, label, v of longs).
 
     An anchor's positives are its first ``positives`` rows of the same label and another id; a positive's negatives its first
-    ``negatives`` rows of another label with low * positive_score <= 100 * score <= high * positive_score, for scores below 2**56. Scores are
-    inner products, higher ones come first, and ties go to the smaller id. Rows that repeat an id all count, as
+    ``negatives`` rows of another label with low * positive_score <= 100 * score <= high * positive_score. Scores are
+    inner products (as longs, which wrap), higher ones come first, and ties go to the smaller id. Rows that repeat an id all count, as
     anchors too. Vectors of fewer components end in zeros. A positive without such rows, or with a negative score, has no result.
     """
     rows = stored(rows.select("id", "label", "v"))
@@ -218,8 +218,9 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
         near = select(tiled, blocks, wide, positives, kind, width)
         near = stored(near.select("block", (F.col("slot") + F.col("rank")).alias("slot"), "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")))
         score = F.col("positive_score")
-        # where there are results both bounds are at least 0, so div, which cuts, rounds down
-        bounds = {"lo": F.expr(f"({low} * positive_score + 99) div 100"), "hi": F.expr(f"{high} * positive_score div 100"), "other": F.lit(1), **ids}
+        # of scores from 0 on, by hundreds and the rest of them so that nothing overflows; div rounds down
+        part = lambda p, up: F.expr(f"{p} * (positive_score div 100) + ({p} * (positive_score % 100) + {up}) div 100")
+        bounds = {"lo": part(low, 99), "hi": part(high, 0), "other": F.lit(1), **ids}
         found = select(tiled, blocks, near.where(score >= 0).withColumns(bounds), negatives, kind, width)
         found = stored(found.select("block", "slot", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")))
     return near.join(found, ["block", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

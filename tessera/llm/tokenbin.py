@@ -35,7 +35,7 @@ from tessera.llm.common import shared_dir, small_batches, table
 
 END = 2
 #: Bytes of text that a file is made of, more or less. Ranges of doc_id that hold more go to more tasks.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 #: A small file has blocks of fewer ids, so that it is still coded many at a time; blocks have so many ids at least.
 LEAST_BLOCK, LEAST_LANES = 1024, 512
 #: Words of a task whose ids are remembered.
