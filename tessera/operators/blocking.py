@@ -83,6 +83,24 @@ def _probe(index: Index, keys: DataFrame) -> DataFrame:
     return met.repartition("q_id").select("q_id", "fam", "idf", F.explode("ids").alias("s1_id"))
 
 
+#: Bits of a family's count in a packed sum: a pair shares fewer keys of a family than 2**21.
+COUNT_BITS = 21
+
+
+def _evidence(hits: DataFrame, families: dict[str, str], n_keys: str, score: str, most: str) -> DataFrame:
+    """(q_id, s1_id, sum and maximum of idf, number of keys, and of each family): counts of three families are one sum."""
+    names, packs = [*families], []
+    for at in range(0, len(names), 3):
+        shift = F.lit(0).cast("long")
+        for k, f in enumerate(names[at : at + 3]):
+            shift = F.when(F.col("fam") == f, F.lit(1 << (COUNT_BITS * k)).cast("long")).otherwise(shift)
+        packs.append(F.sum(shift).alias(f"_c{at // 3}"))
+    sums = hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias(score), F.max("idf").alias(most), *packs)
+    counts = {c: F.shiftright(f"_c{k // 3}", COUNT_BITS * (k % 3)).bitwiseAND((1 << COUNT_BITS) - 1) for k, c in enumerate(families.values())}
+    out = sums.withColumns(counts)
+    return out.withColumn(n_keys, sum((F.col(c) for c in counts), F.lit(0).cast("long"))).drop(*[c for c in out.columns if c.startswith("_c")])
+
+
 def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
     """Ranked by score rounded to 6 places, ties by s1_id, so that the order of additions cannot matter."""
     order = Window.partitionBy("q_id").orderBy(F.round(score, 6).desc(), "s1_id")
@@ -91,9 +109,7 @@ def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
 
 def query_candidates(index: Index, queries: DataFrame, top_k: int = 30, cfg: K.KeyConfig = K.KeyConfig()) -> DataFrame:
     hits = _probe(index, K.all_keys(queries, index.vocab, cfg.pair_words, cfg))
-    counts = [F.count_if(F.col("fam") == f).alias(c) for f, c in FAMILIES.items()]
-    pairs = hits.groupBy("q_id", "s1_id").agg(F.count("*").alias("n_keys"), F.sum("idf").alias("score"), F.max("idf").alias("max_idf"), *counts)
-    return top_per_query(pairs, "score", top_k)
+    return top_per_query(_evidence(hits, FAMILIES, "n_keys", "score", "max_idf"), "score", top_k)
 
 
 def generate_candidates(reference: DataFrame, queries: DataFrame, top_k: int = 30, cfg: K.KeyConfig = K.KeyConfig()) -> DataFrame:
@@ -116,8 +132,7 @@ def build_corruption_index(reference: DataFrame, cfg: K.CorruptionConfig = K.Cor
 def corruption_hits(index: Index, queries: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig()) -> DataFrame:
     queries = queries if index.classes is None else aliases.canonical(queries, index.classes)
     hits = _probe(index, K.corruption_keys(queries, index.vocab, index.words, index.stop, False, cfg))
-    counts = [F.count_if(F.col("fam") == f).alias(f"v2_k_{f}") for f in cfg.caps]
-    return hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias("v2_score"), F.count("*").alias("v2_nkeys"), F.max("idf").alias("v2_max_idf"), *counts)
+    return _evidence(hits, {f: f"v2_k_{f}" for f in cfg.caps}, "v2_nkeys", "v2_score", "v2_max_idf")
 
 
 def union_candidates(first: DataFrame, hits: DataFrame, top_k: int = 15) -> DataFrame:

@@ -220,7 +220,7 @@ def best_split(sums: np.ndarray, s: Settings, signs: np.ndarray, low: float, hig
     Missing values (bin 0) are tried on both sides. None if nothing is gained.
     """
     every = sums[allowed[0]].sum(0)
-    value = lambda g, h: np.clip(-g / (h + s.l2), low, high)
+    value = lambda g, h: np.clip(-g / np.maximum(h + s.l2, 1e-12), low, high)
     score = lambda g, h, v: -(2 * g * v + (h + s.l2) * v * v)
     parent = float(score(every[0], every[1], value(every[0], every[1])))
     best = None
@@ -247,7 +247,7 @@ def _grow(sums_of, s: Settings, signs: np.ndarray, width: int, allowed: np.ndarr
     """The tree that best-first growth from ``root`` gives; ``sums_of(tree, targets)`` makes a pass."""
     tree, hist, split, bounds = Tree(), {0: root}, {}, {0: (-np.inf, np.inf)}
     total = root[allowed[0]].sum(0)
-    tree.add(float(-total[0] / (total[1] + s.l2)), int(total[2]))
+    tree.add(float(-total[0] / max(total[1] + s.l2, 1e-12)), int(total[2]))
     split[0] = best_split(root, s, signs, *bounds[0], allowed)
     while True:
         leaves, missing = [0], []

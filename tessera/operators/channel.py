@@ -7,10 +7,12 @@ Edit scripts are read from the end and prefer replacing, then deleting, then ins
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.stored import stored
+
 GROUPS = ["nop", "nins", "ndel", "aop", "ains", "adel"]
 MOST_REST = 6
 SIMILAR = 0.5
@@ -113,6 +115,20 @@ def _llr(events: DataFrame, least: int, whole: bool) -> DataFrame:
 def channel_features(events: DataFrame, table: DataFrame) -> DataFrame:
     """(q_id, s1_id, and for each group sum, min, count, unknown): ``table`` is (g, event, llr); min is null if no event is known."""
     each = events.select("q_id", "s1_id", F.explode("events").alias("x")).select("q_id", "s1_id", "x.*").join(table.select("g", "event", "llr"), ["g", "event"], "left")
+    return _by_group(events, each)
+
+
+def cross_fitted(events: DataFrame, fit: Column, least: int = 5) -> DataFrame:
+    """``channel_features`` by tables that have not seen the row: rows (with label and fold ``sub``) that ``fit`` holds for use the table of
+    all such rows but their own fold's, the others that of all such rows.
+    """
+    tables = stored(fold_tables(events.where(fit).withColumn("fold", F.col("sub")), least).select(F.coalesce("fold", F.lit(-1)).alias("_t"), "g", "event", "llr"))
+    own = events.withColumn("_t", F.when(fit, F.col("sub")).otherwise(-1).cast("int"))
+    each = own.select("q_id", "s1_id", "_t", F.explode("events").alias("x")).select("q_id", "s1_id", "_t", "x.*").join(tables, ["_t", "g", "event"], "left")
+    return _by_group(events, each)
+
+
+def _by_group(events: DataFrame, each: DataFrame) -> DataFrame:
     aggs = []
     for g in GROUPS:
         here = F.col("g") == g

@@ -32,6 +32,14 @@ def decide(rows: DataFrame, tau: float, unseen_tau: float | None = None, seen: D
     return best.join(F.broadcast(known), "country", "left").where(F.col("r") >= F.when(F.col("_seen"), tau).otherwise(unseen_tau)).drop("_seen")
 
 
+def discounted(rows: DataFrame, seen: DataFrame, factor: float, column: str = "r") -> DataFrame:
+    """``column`` times ``factor`` where country is not in ``seen`` (country)."""
+    if factor == 1.0:
+        return rows
+    known = seen.select("country", F.lit(True).alias("_seen")).distinct()
+    return rows.join(F.broadcast(known), "country", "left").withColumn(column, F.when(F.col("_seen"), F.col(column)).otherwise(F.col(column) * factor)).drop("_seen")
+
+
 def best_count(r: np.ndarray, mu: np.ndarray) -> np.ndarray:
     """For each row of r (descending, 0: none) and expected unseen matches mu, the k in 0..MOST with the best expected F0.5, the smaller of equals.
 

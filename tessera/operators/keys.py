@@ -5,8 +5,11 @@ Families whose keys need the rarest words of a record join a vocabulary first (`
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +154,52 @@ def bag_subset_keys(name: Column, stop: Column, deletions: int) -> Column:
     return F.array_distinct(F.concat(bags, grams))
 
 
+def name_keys(name: str, stop: set[str], deletions: int) -> list[str]:
+    """``bag_subset_keys`` and ``typo_keys`` of one name. ``stop``: words that make no key alone."""
+    bag = sorted({leet(t) for t in name.split(" ") if t})
+    n, out = len(bag), {}
+    for d in range(min(deletions if n <= 7 else min(deletions, 1), n - 1) + 1):
+        for words in combinations(bag, n - d):
+            if n - d == 1 and words[0] in stop:
+                continue
+            out["nb:" + " ".join(words)] = None
+            if d <= 1:
+                out["ag:" + "".join(sorted("".join(words)))] = None
+    for t in bag:
+        if t not in stop and _SMALL.search(t):
+            out["ty:" + t] = None
+            if len(t) >= 5:
+                out.update(dict.fromkeys(f"ty:{t[:i]}{t[i + 1 :]}" for i in range(len(t))))
+    return [*out]
+
+
+_SMALL, _ORDINAL, _DIGIT = re.compile("[a-z]"), re.compile("^[0-9]+(st|nd|rd|th)$"), re.compile("[0-9]")
+_LEET = str.maketrans("0123456789", "olzeasgtbg")
+
+
+def leet(t: str) -> str:
+    """``text.leet`` of one word."""
+    return t.translate(_LEET) if _DIGIT.search(t) and _SMALL.search(t) and not _ORDINAL.match(t) else t
+
+
+def distinct_name_keys(records: DataFrame, stop: DataFrame, deletions: int) -> DataFrame:
+    """(country, name_n, keys): the name families' keys, made once for each name of a country."""
+
+    @F.pandas_udf("array<string>")
+    def run(names: pd.Series, stops: pd.Series) -> pd.Series:
+        sets: dict[bytes, set[str]] = {}  # of a few countries
+        out = []
+        for name, words in zip(names, stops, strict=True):
+            mark = "\n".join(words)
+            if mark not in sets:
+                sets[mark] = {*words}
+            out.append(name_keys(name, sets[mark], deletions))
+        return pd.Series(out)
+
+    names = records.groupBy("country", "name_n").agg(F.count("*").alias("n")).join(F.broadcast(stop), "country", "left")
+    return names.select("country", "name_n", run(F.coalesce("name_n", F.lit("")), F.coalesce("stop", F.array().cast("array<string>"))).alias("name_keys"))
+
+
 def _deletions(t: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
 
@@ -175,14 +224,15 @@ def corruption_keys(records: DataFrame, names: DataFrame, words: DataFrame, stop
     leet_names = F.transform(X.split_words(F.col("name_n")), X.leet)
     w = rarest(records, plain_words, words, cfg.words_reference if reference else cfg.words, "w")
     r = rarest(records, leet_names, names, cfg.names, "r")
-    own = records.join(w, "id", "left").join(r, "id", "left").join(F.broadcast(stop), "country", "left")
+    own = records.join(w, "id", "left").join(r, "id", "left")
     none = F.array().cast("array<string>")
-    w, r, stop_words = (F.coalesce(c, none) for c in ("w", "r", "stop"))
+    w, r = (F.coalesce(c, none) for c in ("w", "r"))
     glued = X.leet(F.col("name_sq"))
     sw = F.when(F.length(glued) >= 5, F.array(F.substring(glued, 1, 10))).otherwise(none)
+    # a name that many records have is one row of the names; AQE deals out its records
+    own = own.join(distinct_name_keys(records, stop, cfg.deletions), ["country", "name_n"], "left")
     keys = F.concat(
-        bag_subset_keys(F.col("name_n"), stop_words, cfg.deletions),
-        typo_keys(F.col("name_n"), stop_words),
+        F.coalesce("name_keys", none),
         _tag("hn", _pairs(house_numbers(F.col("addr_n")), w)),
         _tag("cx", _pairs(r, w)),
         _tag("sw", _pairs(sw, w)),

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+from dataclasses import replace
 from pathlib import PurePosixPath
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import boosting
+from tessera.operators.boosting import Boosted, Settings
 from tessera.operators.features import FeatureSpec
 from tessera.sources.records import bucket
 
@@ -68,120 +70,70 @@ def reader_rows(rows: DataFrame, group: str = "grp") -> DataFrame:
     return rows.where((bucket(F.col(group), 77, 3) == 0) & (bucket(F.col(group), 99, 2) == 0))
 
 
-def cache_path(root: str, country: str, n: int, seed: int, alias_mode: str, blocking: str) -> str:
-    return str(PurePosixPath(root) / f"pairs_{country}_{n}_{seed}_{alias_mode}_{blocking}")
+def cache_path(root: str, country: str, n: int, seed: int, alias_mode: str, blocking: str, settings: str = "") -> str:
+    """Where a pair table is kept; ``settings`` says what else it depends on and goes in as a hash."""
+    mark = hashlib.sha256(settings.encode()).hexdigest()[:12]
+    return str(PurePosixPath(root) / f"pairs_{country}_{n}_{seed}_{alias_mode}_{blocking}_{mark}")
 
 
-def filled(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Nulls as -1 with an indicator column, since trees here reject missing values."""
-    return rows.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in spec.names} | {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in spec.names})
+#: Of the matcher, the context model, the calibrators and the second stage.
+MATCHER = Settings(rounds=400, leaves=255, rate=0.08, least_rows=200, row_share=0.8, feature_share=0.8, patience=30)
+CONTEXT_TREES = Settings(rounds=300, leaves=63, rate=0.05, least_rows=300, l2=0.0, feature_share=0.9, patience=300)
+CALIBRATOR = Settings(rounds=200, leaves=15, rate=0.05, least_rows=500, l2=0.0)
+SECOND = Settings(rounds=2000, leaves=255, rate=0.05, least_rows=200, row_share=0.8, feature_share=0.7, patience=50)
 
 
-def fit_matcher(rows: DataFrame, spec: FeatureSpec, rounds: int = 20, depth: int = 5, linear: bool = False, refit: bool = False) -> PipelineModel:
-    """Gradient-boosted trees (or a logistic baseline) on label. Rows of fold 0 are for validation: they are not learnt, and rounds end when they gain nothing.
+def fit_matcher(rows: DataFrame, spec: FeatureSpec, settings: Settings = MATCHER, held: str = "fold = 0", refit: bool = False) -> Boosted:
+    """Gradient-boosted trees on label. Rows where ``held`` is true are for validation: they are not learnt, and rounds end when they gain nothing.
 
     ``refit`` learns again from all rows, with as many rounds as the first fit kept.
     """
-    names = [*spec.names, *(f"{c}__null" for c in spec.names)]
-    data = filled(rows, spec).select("label", (F.col("fold") == 0).alias("held"), *names)
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    if linear:
-        return Pipeline(stages=[assembler, LogisticRegression(maxIter=30)]).fit(data if refit else data.where("not held"))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=1)
-    stopped = trees.copy().setValidationIndicatorCol("held") if not data.where("held").isEmpty() else trees
-    model = Pipeline(stages=[assembler, stopped]).fit(data)
-    return Pipeline(stages=[assembler, trees.copy().setMaxIter(model.stages[-1].getNumTrees)]).fit(data) if refit else model
+    rows = rows.withColumn("_held", F.expr(held))
+    model = boosting.fit(rows, spec.names, settings, held="_held")
+    return boosting.fit(rows, spec.names, replace(settings, rounds=len(model.trees))) if refit else model
 
 
-def save_model(model: PipelineModel, spec: FeatureSpec, path: str) -> None:
-    """The model and, beside it, the columns it takes."""
-    model.write().overwrite().save(f"{path}/model")
-    SparkSession.active().createDataFrame([(spec.to_json(),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+def save_model(model: Boosted, path: str) -> None:
+    """The model as one row of text; it holds the columns it takes, in order."""
+    SparkSession.active().createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(path: str) -> tuple[PipelineModel, FeatureSpec]:
-    spec = SparkSession.active().read.text(f"{path}/spec").first()[0]
-    return PipelineModel.load(f"{path}/model"), FeatureSpec(tuple(json.loads(spec)))
+def load_model(path: str) -> Boosted:
+    return Boosted.from_json(SparkSession.active().read.parquet(path).first()[0])
 
 
-def predict(model: PipelineModel, rows: DataFrame, spec: FeatureSpec, keep: float = KEEP_P) -> DataFrame:
+def predict(model: Boosted, rows: DataFrame, keep: float = KEEP_P) -> DataFrame:
     """Rows with p (float), those of at least ``keep``."""
-    p = vector_to_array(F.col("probability"))[1].cast("float")
-    return model.transform(filled(rows, spec)).withColumn("p", p).where(F.col("p") >= F.lit(keep).cast("float")).select(*[c for c in rows.columns if c != "p"], "p")
-
-
-def importances(model: PipelineModel, spec: FeatureSpec) -> list[tuple[str, float]]:
-    names = [*spec.names, *(f"{c}__null" for c in spec.names)]
-    return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    out = model.transform(rows.drop("p") if "p" not in model.names else rows, "_p").withColumn("_p", F.col("_p").cast("float"))
+    return out.where(F.col("_p") >= F.lit(keep).cast("float")).select(*[c for c in rows.columns if c != "p"], F.col("_p").alias("p"))
 
 
 #: What the context model reads of a query's best pair (context.context_features).
 CONTEXT = FeatureSpec(("p1", "p2", "gap", "e_strong", "e_strong_s2", "e_strong_s3", "e_mid", "e_max", "e_sum", "leak", "n_src", "src3"))
 
 
-def fit_context_model(best: DataFrame, truth: DataFrame, rounds: int = 40) -> PipelineModel:
+def fit_context_model(best: DataFrame, truth: DataFrame, settings: Settings = CONTEXT_TREES) -> Boosted:
     """Trees on a query's own evidence and its entity's context; the label is whether the best entity owns the query. truth: (s1, other)."""
     owner = truth.select(F.col("other").alias("q_id"), F.col("s1").alias("owner"))
     rows = best.join(owner, "q_id", "left").withColumn("label", F.coalesce((F.col("s1_id") == F.col("owner")).cast("int"), F.lit(0)))
-    return fit_matcher(group_folds(rows.withColumn("grp", F.coalesce("owner", "q_id"))), CONTEXT, rounds)
+    return boosting.fit(rows, CONTEXT.names, settings)
 
 
-def apply_context_model(model: PipelineModel, best: DataFrame) -> DataFrame:
+def apply_context_model(model: Boosted, best: DataFrame) -> DataFrame:
     """``best`` with r: how likely its best entity owns the query."""
-    return predict(model, best, CONTEXT, 0.0).withColumnRenamed("p", "r")
-
-
-#: Cells of a calibration in each direction.
-CELLS = 32
-
-
-def _rising(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The nondecreasing sequence nearest to y by weighted squares (pooled neighbours)."""
-    blocks: list[list[float]] = []
-    for v, u in zip(y, w, strict=True):
-        blocks.append([v, u, 1])
-        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-            b, a = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    return np.concatenate([np.full(int(k), v) for v, _, k in blocks])
-
-
-def monotone(y: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The table nearest to y that rises along axis 0 and falls along axis 1, by alternating projections with their corrections."""
-    x, p, q = y.copy(), np.zeros_like(y), np.zeros_like(y)
-    for _ in range(rounds):
-        z = np.stack([_rising(c, u) for c, u in zip((x + p).T, w.T, strict=True)], 1)
-        p += x - z
-        x = np.stack([_rising(c[::-1], u[::-1])[::-1] for c, u in zip(z + q, w, strict=True)])
-        q += z - x
-    return x
+    return model.transform(best, "r")
 
 
-def _cell(c: str) -> Column:
-    return F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1)).cast("int")
+def fit_calibrators(best: DataFrame, settings: Settings = CALIBRATOR) -> tuple[Boosted, Boosted]:
+    """How likely the best is the owner, by p1 and p2, rising in p1 and falling in p2; and the second, the other way round, where there is one. Needs label, label2."""
+    first = boosting.fit(best, ("p1", "p2"), replace(settings, monotone={"p1": 1, "p2": -1}))
+    return first, boosting.fit(best.where("s1_id2 is not null"), ("p1", "p2"), replace(settings, monotone={"p1": -1, "p2": 1}), label="label2")
 
 
-def fit_calibrators(best: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How likely the best is the owner, by p1 and p2, rising in p1 and falling in p2; and the second, the other way round, where there is one. Needs label, label2.
-
-    The driver sees CELLS * CELLS counts.
-    """
-
-    def fit(d: DataFrame, up: str, down: str, label: str) -> np.ndarray:
-        n, hits = np.zeros((CELLS, CELLS)), np.zeros((CELLS, CELLS))
-        for i, j, c, s in d.groupBy(_cell(up), _cell(down)).agg(F.count("*"), F.sum(F.col(label).cast("double"))).collect():
-            n[i, j], hits[i, j] = c, s
-        w = n + 1e-3  # empty cells follow their neighbours
-        return np.clip(monotone(np.where(n > 0, hits / np.maximum(n, 1), hits.sum() / max(n.sum(), 1)), w), 0, 1)
-
-    return fit(best, "p1", "p2", "label"), fit(best.where("s1_id2 is not null"), "p2", "p1", "label2")
-
-
-def apply_calibrators(tables: tuple[np.ndarray, np.ndarray], best: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_calibrators(models: tuple[Boosted, Boosted], best: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(q_id, s1_id, r) and (s1_id, mass): the runner-up mass of each entity."""
-    look = lambda t, up, down: F.get(F.array(*[F.lit(float(v)) for v in t.ravel()]), _cell(up) * CELLS + _cell(down))
-    second = best.where("s1_id2 is not null").select(F.col("s1_id2").alias("s1_id"), look(tables[1], "p2", "p1").alias("r"))
-    return best.select("q_id", "s1_id", look(tables[0], "p1", "p2").alias("r")), second.groupBy("s1_id").agg(F.sum("r").alias("mass"))
+    second = models[1].transform(best.where("s1_id2 is not null"), "r").groupBy(F.col("s1_id2").alias("s1_id")).agg(F.sum("r").alias("mass"))
+    return models[0].transform(best, "r").select("q_id", "s1_id", "r"), second
 
 
 def pair_quality(scored: DataFrame, column: str = "p") -> dict[str, float]:
@@ -192,6 +144,13 @@ def pair_quality(scored: DataFrame, column: str = "p") -> dict[str, float]:
     return {"auc": auc, "log_loss": loss}
 
 
+def summed_logits(scored: DataFrame, *columns: str) -> DataFrame:
+    """``combined``: the probability at the sum of the columns' logits, as if they were independent."""
+    clipped = [F.greatest(F.least(F.col(c).cast("double"), F.lit(1 - 1e-6)), F.lit(1e-6)) for c in columns]
+    total = sum((F.log(p / (1 - p)) for p in clipped), F.lit(0.0))
+    return scored.withColumn("combined", 1 / (1 + F.exp(-total)))
+
+
 def _read(rows: DataFrame) -> DataFrame:
     """``grams``: the trigrams and words of both texts (text1, text2), marked as shared, only left or only right."""
     words = lambda c: F.split(F.lower(c), " ")

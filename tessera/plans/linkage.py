@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import aliases, blocking, channel, context, decode, training
 from tessera.operators import features as feats
+from tessera.operators.boosting import Boosted
 from tessera.operators.keys import CorruptionConfig, KeyConfig
 from tessera.sources.stored import cached, stored
 
@@ -41,9 +41,13 @@ def build_pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame,
     return pair_table(reference, q, truth, alias_table, cfg), meta
 
 
+def _cache(root: str, n: int, seed: int, cfg: PlanConfig) -> str:
+    return training.cache_path(root, "all", n, seed, cfg.alias_mode, cfg.blocking, repr(cfg))
+
+
 def cached_pair_table(spark: SparkSession, root: str, reference: DataFrame, queries: DataFrame, truth: DataFrame, n: int, seed: int = 7, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> DataFrame:
-    """The pairs of ``build_pair_table``, kept below ``root`` under sample, seed and modes; the meta table lies beside them."""
-    path = training.cache_path(root, "all", n, seed, cfg.alias_mode, cfg.blocking)
+    """The pairs of ``build_pair_table``, kept below ``root`` under sample, seed and configuration; the meta table lies beside them."""
+    path = _cache(root, n, seed, cfg)
 
     def build() -> DataFrame:
         rows, meta = build_pair_table(reference, queries, truth, n, seed, alias_table, cfg)
@@ -53,17 +57,22 @@ def cached_pair_table(spark: SparkSession, root: str, reference: DataFrame, quer
     return cached(spark, path, build)
 
 
+def meta_table(spark: SparkSession, root: str, n: int, seed: int = 7, cfg: PlanConfig = PlanConfig()) -> DataFrame:
+    """Owner, fold and country of the queries of ``cached_pair_table``."""
+    return spark.read.parquet(_cache(root, n, seed, cfg).replace("pairs_", "meta_"))
+
+
 def pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """Training rows: candidates, features, label and fold."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
     return training.labelled(feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q), truth)
 
 
-def score(reference: DataFrame, queries: DataFrame, model: PipelineModel, spec: feats.FeatureSpec, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
+def score(reference: DataFrame, queries: DataFrame, model: Boosted, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
     """(scored pairs, queries without one), lazily, for all countries."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
     rows = feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q)
-    scored = training.predict(model, rows, spec).select("q_id", "s1_id", "p")
+    scored = training.predict(model, rows).select("q_id", "s1_id", "p")
     return scored, queries.select(F.col("id").alias("q_id")).join(scored, "q_id", "left_anti")
 
 
@@ -80,10 +89,12 @@ def second_stage(scored: DataFrame, reference: DataFrame, queries: DataFrame, si
     return t.join(context.sibling_features(base, reference), ["q_id", "s1_id"]) if siblings else t
 
 
-def submit(entities: DataFrame, accepted: DataFrame, path: str) -> DataFrame:
-    """Writes the lists; returns what is wrong with them."""
+def submit(entities: DataFrame, accepted: DataFrame, path: str, candidates: DataFrame | None = None, candidate_path: str = "") -> DataFrame:
+    """Writes the lists, and those of the candidates (q_id, s1_id) if given; returns what is wrong with them."""
     from tessera.sources.records import write_lists
 
     lists = decode.assemble(entities, accepted)
     write_lists(lists, path)
-    return decode.violations(lists, entities)
+    if candidates is not None:
+        write_lists(decode.assemble(entities, candidates, "candidate_entity_ids"), candidate_path)
+    return decode.violations(lists, entities, candidates=candidates)

@@ -367,6 +367,18 @@ l as (select g, event, ln((pos + 1) / (ap + 1)) - ln((neg + 1) / (an + 1)) as ll
 select q_id, s1_id, round(coalesce(sum(llr) filter (where g = 'nop'), 0), 6) as nop_sum, round(min(llr) filter (where g = 'nop'), 6) as nop_min, round(coalesce(sum(llr) filter (where g = 'nins'), 0), 6) as nins_sum, round(min(llr) filter (where g = 'nins'), 6) as nins_min,
   count(*) filter (where g = 'nop') as nop_n, count(*) filter (where g = 'nins') as nins_n, count(*) filter (where g = 'nins' and llr is null) as nins_unknown, 0::bigint as adel_n
 from ev left join l using (g, event) group by q_id, s1_id""",
+    "stage2_model_rows": f"""with {_EVENTS},
+x as (select *, {_bucket("q_id", 99, 2)} as half, {_bucket("q_id", 5, 4)} as sub from ev),
+u as (select distinct g, event, q_id, s1_id, label, sub from x where half = 0),
+pr as (select distinct q_id, s1_id, half, sub from x),
+np as (select sub, count(*) filter (where l_quantity > 25) as kp, count(*) filter (where l_quantity <= 25) as kn from (select l_quantity, {_bucket("l_orderkey::varchar", 5, 4)} as sub, {_bucket("l_orderkey::varchar", 99, 2)} as half from lineitem) where half = 0 group by sub),
+ks as (select unnest([-1, 0, 1, 2, 3]) as k),
+ps as (select k, sum(kp) as ap, sum(kn) as an from ks join np on sub <> k group by k),
+c as (select k, g, event, sum(label) as pos, sum(1 - label) as neg from ks join u on sub <> k group by all having count(*) >= 5),
+l as (select k, g, event, ln((pos + 1) / (ap + 1)) - ln((neg + 1) / (an + 1)) as llr from c join ps using (k)),
+j as (select x.*, llr from x left join l on l.g = x.g and l.event = x.event and k = case when half = 0 then sub else -1 end)
+select pr.q_id, pr.s1_id, pr.half, pr.sub, {", ".join(f"round(coalesce(sum(llr) filter (where g = '{g}'), 0), 6) as {g}_sum, round(min(llr) filter (where g = '{g}'), 6) as {g}_min, count(*) filter (where g = '{g}') as {g}_n, count(*) filter (where g = '{g}' and llr is null) as {g}_unknown" for g in ("nop", "nins", "ndel", "aop", "ains", "adel"))}
+from pr join j using (q_id, s1_id) group by pr.q_id, pr.s1_id, pr.half, pr.sub""",
     "channel_fold_tables": f"""with {_EVENTS},
 u as (select distinct g, event, q_id, s1_id, label, fold from ev),
 fs as (select null::bigint as fold union all select distinct fold::bigint from u),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.similarity import kernels
-from tessera.operators import aliases, blocking, channel, context, decode, training
+from tessera.operators import aliases, blocking, boosting, channel, context, decode, training
 from tessera.operators import features as feats
 from tessera.operators import keys as K
-from tessera.plans import linkage
+from tessera.plans import linkage, rerank
 from tessera.sources.records import bucket, documents, parties, scored
 from tessera.sources.stored import stored
 
@@ -535,15 +535,16 @@ def training_halves(spark, sf):
     return training.halves(s).select("q_id", "s1_id", *_long("half", "sub"))
 
 
+#: Small trees, so that the query is quick to hold against others; the steps use training.MATCHER.
+_FEW = boosting.Settings(rounds=12, leaves=15, rate=0.3, least_rows=20)
+
+
 @query
 def matcher_scores(spark, sf):
-    """Trees on the training folds of party pairs, applied to the validation fold."""
-    cfg = linkage.PlanConfig(top_k=5)
-    rows = linkage.pair_table(*_sides(spark, sf), _truth(spark, sf), None, cfg).drop("true_s1")
-    spec = feats.FeatureSpec(("n_ratio", "n_jw", "a_ratio", "n_shared_tok", "a_shared_tok", "num_first_eq", "score", "n_keys", "q_addr_empty"))
-    rows = stored(rows.select("q_id", "s1_id", "label", "fold", *spec.names))
-    model = training.fit_matcher(rows, spec, rounds=5, depth=4)
-    return training.predict(model, rows.where("fold = 0"), spec).select("q_id", "s1_id", "label", F.round(F.col("p").cast("double"), 4).alias("p"))
+    """Trees on the training folds of party pairs, on all features, applied to the validation fold."""
+    rows = stored(linkage.pair_table(*_sides(spark, sf), _truth(spark, sf), None, linkage.PlanConfig(top_k=5)).drop("true_s1"))
+    model = training.fit_matcher(rows, feats.FeatureSpec.of(rows), _FEW)
+    return training.predict(model, rows.where("fold = 0")).select("q_id", "s1_id", "label", F.round(F.col("p").cast("double"), 4).alias("p"))
 
 
 def _stage2(spark, sf):
@@ -561,6 +562,23 @@ def stage2_rows(spark, sf):
     return _stage2(spark, sf).select("q_id", "s1_id", "q_rank", "e_n", "e_strong", "sc_n", "sib_addr_shared", F.size("events").alias("n_events"), F.round("n_ratio", 4).alias("n_ratio"))
 
 
+@query
+def stage2_model_rows(spark, sf):
+    """Cross-fitted channel columns: order lines as pairs, halved and folded by their order; half 0 learns."""
+    ev = _events(spark, sf).withColumns({"half": bucket(F.col("q_id"), 99, 2), "sub": bucket(F.col("q_id"), 5, 4)})
+    got = channel.cross_fitted(ev, F.col("half") == 0).join(ev.select("q_id", "s1_id", "half", "sub"), ["q_id", "s1_id"])
+    each = [(f"{g}_{c}") for g in channel.GROUPS for c in ("sum", "min")]
+    return got.select("q_id", "s1_id", *_long("half", "sub", *(f"{g}_{c}" for g in channel.GROUPS for c in ("n", "unknown"))), *_round(*each))
+
+
+@query
+def stage2_scores(spark, sf):
+    """The second stage of party pairs: learnt on half of the entities, the scores of the other half's pairs."""
+    rows = stored(rerank.with_channel(rerank.labelled(stored(_stage2(spark, sf)), _truth(spark, sf))))
+    model = training.fit_matcher(rows.where("half = 0"), rerank.spec_of(rows), _FEW, held=f"sub = {rerank.HELD}")
+    return model.transform(rows.where("half = 1"), "r").select("q_id", "s1_id", "label", F.round("r", 4).alias("r"))
+
+
 @query
 def event_windows(spark, sf):
     from tessera.streaming.stream import event_counts

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
-from tessera.sources.stored import cached
+from tessera.sources.stored import cached, stored
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -39,9 +39,13 @@ def load_normalized(spark: SparkSession, raw: Callable[[], DataFrame], cache: st
     return cached(spark, cache, lambda: normalized(raw()), "country", refresh=refresh)
 
 
-def by_id() -> WindowSpec:
-    """The order of entities where a file gives none."""
-    return Window.orderBy("id")
+def placed(entities: DataFrame) -> DataFrame:
+    """Entities with ``pos``, their place by id: a running number within ranges of ids, behind the counts of the ranges before."""
+    ranges = stored(entities.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    n = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = n.alias("a").join(n.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    return ranges.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:

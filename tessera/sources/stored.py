@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,12 +23,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has finished ``path``: a folder that a crash left behind has no ``_SUCCESS``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark))
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], *by: str, refresh: bool = False) -> DataFrame:
-    """The table at ``path``; built and written there, partitioned ``by``, if it is not there or to be refreshed."""
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    """The table at ``path``; built and written there, partitioned ``by``, if it is not there as a whole or to be refreshed."""
+    if refresh or not complete(spark, path):
+        build().write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.parquet(path)

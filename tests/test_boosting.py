@@ -108,3 +108,20 @@ def test_nothing_to_learn(spark):
     assert none.probability(np.array([[1.0, np.nan]]))[0] == 0.5
     empty = boosting.fit(df.withColumn("a", F.lit(None).cast("double")), ("a", "c"), Settings(rounds=2, least_rows=2))
     assert all(f == 1 for t in empty.trees for f in t.feature if f >= 0)
+
+
+def test_ranks_pairs_at_least_as_well_as_depth_wise_trees(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    df, _, _, _ = table(spark, 4000, 12)
+    learn, test = df.where("not held"), df.where("held")
+    auc = lambda d, c: BinaryClassificationEvaluator(rawPredictionCol=c).evaluate(d.withColumn("label", F.col("label").cast("double")))
+    model = boosting.fit(df, ("a", "b", "c"), Settings(rounds=12, leaves=15, rate=0.3, least_rows=10), held="held")
+    ours = auc(model.transform(test), "p")
+    filled = lambda d: d.withColumns({f"{c}_null": F.col(c).isNull().cast("double") for c in "abc"}).na.fill(-1.0)
+    stages = [VectorAssembler(inputCols=["a", "b", "c", "a_null", "b_null", "c_null"], outputCol="x"), GBTClassifier(featuresCol="x", maxIter=12, maxDepth=4, stepSize=0.3, seed=1)]
+    theirs = auc(Pipeline(stages=stages).fit(filled(learn)).transform(filled(test)), "rawPrediction")
+    assert ours >= theirs - 0.003, (ours, theirs)
