@@ -75,9 +75,10 @@ class Run:
 
     def score(self) -> None:
         model = training.load_model(f"{self.args.work}/matcher" + ("" if self.args.split == "train" else "_final"))
-        scored, alone = linkage.score(self.feed(self.args.split, 1), self.feed(self.args.split, 2, 3), model, self.alias_table(), self.cfg)
-        self.save(scored, f"scored_{self.args.split}")
-        self.save(alone, f"alone_{self.args.split}")
+        work, split = self.args.work, self.args.split
+        scored, alone = linkage.score_in_chunks(self.feed(split, 1), self.feed(split, 2, 3), model, f"{work}/chunks_{split}", self.args.chunks, self.alias_table(), self.cfg, f"{work}/index_{split}")
+        self.save(scored, f"scored_{split}")
+        self.save(alone, f"alone_{split}")
 
     def unseen_scores(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(best pairs of the queries that the matcher has not learnt, entities of fold 0, their truth): whose queries it has not learnt either."""
@@ -171,7 +172,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("step", choices=STEPS)
     for name, default in (("root", "data"), ("work", "work"), ("split", "train"), ("splits", "train,test"), ("blocking", "v1"), ("alias-mode", "native"), ("file", ""), ("label", "run"), ("params", ""), ("estimate", "n/a"), ("notes", ""), ("drop", ""), ("decoder", "threshold")):
         p.add_argument(f"--{name}", default=default)
-    for name, default in (("top-k", 30), ("sample", 300_000), ("seed", 7), ("rounds", 0), ("leaves", 0), ("least-rows", 0), ("alias-sample", 1_500_000)):
+    for name, default in (("top-k", 30), ("sample", 300_000), ("seed", 7), ("rounds", 0), ("leaves", 0), ("least-rows", 0), ("alias-sample", 1_500_000), ("chunks", 4)):
         p.add_argument(f"--{name}", type=int, default=default)
     for name, default in (("rate", 0.0), ("tau", 0.0), ("unseen-tau", 0.0), ("unseen-discount", 1.0)):
         p.add_argument(f"--{name}", type=float, default=default)

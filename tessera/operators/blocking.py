@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import aliases
 from tessera.operators import keys as K
-from tessera.sources.stored import stored
+from tessera.sources.records import placed
+from tessera.sources.stored import complete, stored
 
 FAMILIES = {"n": "k_name", "a": "k_addr", "b": "k_bigram", "q": "k_sq", "p": "k_pair", "h": "k_numpair", "x": "k_addrbag", "c": "k_cross"}
 
@@ -21,19 +24,84 @@ BROADCAST_BYTES = 32 << 20
 
 @dataclass
 class Index:
-    """Reference keys within their caps, as posting lists (country, fam, key, ids), records by country (country, n1) and what the keys were made with."""
+    """Reference keys within their caps, as posting lists (country, fam, key, ids), records by country (country, n1) and what the keys were made with.
+
+    Inside, records are numbers in the order of their ids; ``names`` (num, id) has their ids.
+    """
 
     lists: DataFrame
     sizes: DataFrame
     vocab: DataFrame
+    names: DataFrame
     stop: DataFrame | None = None
     words: DataFrame | None = None
     classes: DataFrame | None = None
+    #: Bytes of the lists, where they are known.
+    bytes: int | None = None
 
     @property
     def keys(self) -> DataFrame:
         """(id, country, fam, key, df)."""
-        return self.lists.select(F.explode("ids").alias("id"), "country", "fam", "key", F.size("ids").alias("df"))
+        each = self.lists.select(F.explode("ids").alias("num"), "country", "fam", "key", F.size("ids").alias("df"))
+        return each.join(self.names, "num").select("id", "country", "fam", "key", "df")
+
+
+#: Bytes of posting lists in a bucket of a kept index.
+BUCKET_BYTES = 64 << 20
+_PARTS = ("sizes", "vocab", "names", "stop", "words", "classes")
+
+
+def _table(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The bucketed lists below ``path``: a table of the session's catalogue, whose files stay where they are."""
+    name = f"tessera_lists_{hashlib.md5(path.encode()).hexdigest()}"
+    spark.sql(f"create table if not exists {name} (country string, fam string, key string, ids array<bigint>) using parquet clustered by (country, key) sorted by (country, key) into {buckets} buckets location '{path}/lists'")
+    return spark.table(name)
+
+
+def keep_index(index: Index, path: str, about: str) -> Index:
+    """Writes an index below ``path`` and gives it as ``kept_index`` does. The manifest comes last, so an index with one is whole.
+
+    Lists are bucketed by their keys: a probe deals out query keys alone and leaves the lists where they are.
+    """
+    spark = index.lists.sparkSession
+    size = int(index.lists.agg(F.sum(_list_bytes())).first()[0] or 0)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    name = f"tessera_new_{hashlib.md5(path.encode()).hexdigest()}"
+    spark.sql(f"drop table if exists {name}")
+    index.lists.repartition(buckets, "country", "key").write.mode("overwrite").bucketBy(buckets, "country", "key").sortBy("country", "key").option("path", f"{path}/lists").saveAsTable(name)
+    spark.sql(f"drop table {name}")
+    parts = [p for p in _PARTS if getattr(index, p) is not None]
+    for p in parts:
+        getattr(index, p).write.mode("overwrite").parquet(f"{path}/{p}")
+    manifest = json.dumps({"about": about, "buckets": buckets, "bytes": size, "parts": parts})
+    spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return kept_index(spark, path, about)
+
+
+def kept_index(spark: SparkSession, path: str, about: str) -> Index | None:
+    """The index below ``path`` if it is whole and ``about`` the same, else None."""
+    if not complete(spark, f"{path}/manifest"):
+        return None
+    m = json.loads(spark.read.parquet(f"{path}/manifest").first()[0])
+    if m["about"] != about:
+        return None
+    return Index(lists=_table(spark, path, m["buckets"]), bytes=m["bytes"], **{p: spark.read.parquet(f"{path}/{p}") for p in m["parts"]})
+
+
+def fingerprint(records: DataFrame) -> str:
+    """Of the rows of a table, in any order."""
+    n, total = records.agg(F.count("*"), F.sum(F.xxhash64(*sorted(records.columns)).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
+def _list_bytes() -> Column:
+    return 8 * F.size("ids") + F.length("key") + 60
+
+
+def _numbered(records: DataFrame, ordered: bool) -> tuple[DataFrame, DataFrame]:
+    """(records whose id is a number, (num, id)). ``ordered``: numbers follow the ids."""
+    rows = stored(placed(records).withColumnRenamed("pos", "num")) if ordered else stored(records.withColumn("num", F.monotonically_increasing_id()))
+    return rows.drop("id").withColumnRenamed("num", "id"), rows.select("num", "id")
 
 
 def _cap(fam: str, caps: dict) -> Column:
@@ -65,9 +133,10 @@ def _fam(keys: DataFrame) -> DataFrame:
 
 
 def build_index(reference: DataFrame, cfg: K.KeyConfig = K.KeyConfig()) -> Index:
+    reference, names = _numbered(reference, True)
     vocab = stored(K.vocabulary(reference, X.split_words(F.col("addr_n"))))
     lists = posting_lists(_fam(K.all_keys(reference, vocab, cfg.pair_words_reference, cfg)), cfg.caps)
-    return Index(lists, reference.groupBy("country").agg(F.count("*").alias("n1")), vocab)
+    return Index(lists, reference.groupBy("country").agg(F.count("*").alias("n1")), vocab, names)
 
 
 def _probe(index: Index, keys: DataFrame) -> DataFrame:
@@ -78,7 +147,7 @@ def _probe(index: Index, keys: DataFrame) -> DataFrame:
     """
     idf = F.log((F.col("n1") + 1) / F.size("ids")).alias("idf")
     lists = index.lists.join(F.broadcast(index.sizes), "country").select("country", "key", "fam", "ids", idf)
-    lists = small(lists, 16 * F.size("ids") + F.length("key") + 60)
+    lists = small(lists, _list_bytes()) if index.bytes is None else F.broadcast(lists) if index.bytes <= BROADCAST_BYTES else lists
     met = keys.select(F.col("id").alias("q_id"), "country", "key").join(lists, ["country", "key"])
     return met.repartition("q_id").select("q_id", "fam", "idf", F.explode("ids").alias("s1_id"))
 
@@ -108,8 +177,9 @@ def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
 
 
 def query_candidates(index: Index, queries: DataFrame, top_k: int = 30, cfg: K.KeyConfig = K.KeyConfig()) -> DataFrame:
+    queries, names = _numbered(queries, False)
     hits = _probe(index, K.all_keys(queries, index.vocab, cfg.pair_words, cfg))
-    return top_per_query(_evidence(hits, FAMILIES, "n_keys", "score", "max_idf"), "score", top_k)
+    return _named(top_per_query(_evidence(hits, FAMILIES, "n_keys", "score", "max_idf"), "score", top_k), index.names, names)
 
 
 def generate_candidates(reference: DataFrame, queries: DataFrame, top_k: int = 30, cfg: K.KeyConfig = K.KeyConfig()) -> DataFrame:
@@ -119,20 +189,29 @@ def generate_candidates(reference: DataFrame, queries: DataFrame, top_k: int = 3
 def build_corruption_index(reference: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig(), alias_table: DataFrame | None = None) -> Index:
     """With an alias table, names and addresses are first rewritten to their classes' spellings, as the queries are later."""
     classes = None if alias_table is None else stored(aliases.alias_classes(alias_table))
-    reference = reference if classes is None else stored(aliases.canonical(reference, classes))
+    reference, ids = _numbered(reference if classes is None else aliases.canonical(reference, classes), True)
     names = stored(K.vocabulary(reference, F.transform(X.split_words(F.col("name_n")), X.leet)))
     words = stored(K.vocabulary(reference, F.filter(X.split_words(F.col("addr_n")), lambda t: ~K.has_digit(t))))
     sizes = reference.groupBy("country").agg(F.count("*").alias("n1"))
     # at most 1 / stop_share words a record can be that frequent on average: a short list
     stop = names.join(F.broadcast(sizes), "country").where(F.col("df") >= cfg.stop_share * F.col("n1")).groupBy("country").agg(F.sort_array(F.collect_set("t")).alias("stop"))
     lists = posting_lists(K.corruption_keys(reference, names, words, stop, True, cfg), cfg.caps)
-    return Index(lists, sizes, names, stop, words, classes)
+    return Index(lists, sizes, names, ids, stop, words, classes)
 
 
 def corruption_hits(index: Index, queries: DataFrame, cfg: K.CorruptionConfig = K.CorruptionConfig()) -> DataFrame:
     queries = queries if index.classes is None else aliases.canonical(queries, index.classes)
+    queries, names = _numbered(queries, False)
     hits = _probe(index, K.corruption_keys(queries, index.vocab, index.words, index.stop, False, cfg))
-    return _evidence(hits, {f: f"v2_k_{f}" for f in cfg.caps}, "v2_nkeys", "v2_score", "v2_max_idf")
+    return _named(_evidence(hits, {f: f"v2_k_{f}" for f in cfg.caps}, "v2_nkeys", "v2_score", "v2_max_idf"), index.names, names)
+
+
+def _named(pairs: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of numbers with the ids instead."""
+    q = small(queries.select(F.col("num").alias("q_id"), F.col("id").alias("_q")), F.length("_q") + 24)
+    s = small(reference.select(F.col("num").alias("s1_id"), F.col("id").alias("_s")), F.length("_s") + 24)
+    rest = [c for c in pairs.columns if c not in ("q_id", "s1_id")]
+    return pairs.join(q, "q_id").join(s, "s1_id").select(F.col("_q").alias("q_id"), F.col("_s").alias("s1_id"), *rest)
 
 
 def union_candidates(first: DataFrame, hits: DataFrame, top_k: int = 15) -> DataFrame:

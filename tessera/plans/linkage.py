@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tessera.operators import aliases, blocking, channel, context, decode, train
 from tessera.operators import features as feats
 from tessera.operators.boosting import Boosted
 from tessera.operators.keys import CorruptionConfig, KeyConfig
-from tessera.sources.stored import cached, stored
+from tessera.sources.records import bucket
+from tessera.sources.stored import cached, complete, stored
 
 
 @dataclass(frozen=True)
@@ -25,11 +27,32 @@ class PlanConfig:
     corruption: CorruptionConfig = field(default_factory=CorruptionConfig)
 
 
-def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: DataFrame | None = None) -> DataFrame:
-    first = blocking.generate_candidates(reference, queries, cfg.top_k, cfg.keys)
-    if cfg.blocking == "v1":
-        return first
-    return blocking.union_candidates(first, blocking.corruption_hits(blocking.build_corruption_index(reference, cfg.corruption, alias_table), queries, cfg.corruption))
+@dataclass
+class Indexes:
+    """What queries are blocked against; ``second`` only for blocking v2."""
+
+    first: blocking.Index
+    second: blocking.Index | None = None
+
+
+def indexes(reference: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: DataFrame | None = None, keep: str | None = None) -> Indexes:
+    """Builds the indexes of a reference. With ``keep``, a folder, they outlive the run: the same reference and configuration find them there."""
+    tables = alias_table if cfg.blocking == "v2" else None
+
+    def one(name: str, build) -> blocking.Index:
+        if keep is None:
+            return build()
+        about = f"{name} {blocking.fingerprint(reference)} {cfg.keys if name == 'first' else cfg.corruption} {'' if tables is None else blocking.fingerprint(tables)}"
+        return blocking.kept_index(reference.sparkSession, f"{keep}/{name}", about) or blocking.keep_index(build(), f"{keep}/{name}", about)
+
+    first = one("first", lambda: blocking.build_index(reference, cfg.keys))
+    return Indexes(first, one("second", lambda: blocking.build_corruption_index(reference, cfg.corruption, alias_table)) if cfg.blocking == "v2" else None)
+
+
+def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: DataFrame | None = None, index: Indexes | None = None) -> DataFrame:
+    index = index or indexes(reference, cfg, alias_table)
+    first = blocking.query_candidates(index.first, queries, cfg.top_k, cfg.keys)
+    return first if index.second is None else blocking.union_candidates(first, stored(blocking.corruption_hits(index.second, queries, cfg.corruption)))
 
 
 def build_pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, n: int, seed: int = 7, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
@@ -68,12 +91,31 @@ def pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, alias
     return training.labelled(feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q), truth)
 
 
-def score(reference: DataFrame, queries: DataFrame, model: Boosted, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:
-    """(scored pairs, queries without one), lazily, for all countries."""
+def score(reference: DataFrame, queries: DataFrame, model: Boosted, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig(), index: Indexes | None = None) -> DataFrame:
+    """Scored pairs (q_id, s1_id, p), lazily, for all countries."""
     q = aliases.prepared(queries, alias_table, cfg.alias_mode)
-    rows = feats.pair_features(candidates(reference, q, cfg, alias_table), reference, q)
-    scored = training.predict(model, rows).select("q_id", "s1_id", "p")
-    return scored, queries.select(F.col("id").alias("q_id")).join(scored, "q_id", "left_anti")
+    rows = feats.pair_features(candidates(reference, q, cfg, alias_table, index), reference, q)
+    return training.predict(model, rows).select("q_id", "s1_id", "p")
+
+
+def score_in_chunks(reference: DataFrame, queries: DataFrame, model: Boosted, path: str, chunks: int, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig(), keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored pairs, queries without one), in ``chunks`` parts of the queries that are written one after the other below ``path``.
+
+    Parts that are there as a whole stay, so a run that was killed goes on where it was. What the scores depend on is part of their place.
+    """
+    spark = reference.sparkSession
+    about = [blocking.fingerprint(reference), blocking.fingerprint(queries), model.to_json(), repr(cfg), "" if alias_table is None else blocking.fingerprint(alias_table), str(chunks)]
+    at = f"{path}/{hashlib.sha256(chr(10).join(about).encode()).hexdigest()[:16]}"
+    index = None
+    for k in range(chunks):
+        pairs, alone = f"{at}/pairs/chunk={k}", f"{at}/alone/chunk={k}"
+        own = queries.where(bucket(F.col("id"), 31, chunks) == k)
+        if not complete(spark, pairs):
+            index = index or indexes(reference, cfg, alias_table, keep)
+            score(reference, own, model, alias_table, cfg, index).write.mode("overwrite").parquet(pairs)
+        if not complete(spark, alone):
+            own.select(F.col("id").alias("q_id")).join(spark.read.parquet(pairs), "q_id", "left_anti").write.mode("overwrite").parquet(alone)
+    return spark.read.parquet(f"{at}/pairs").drop("chunk"), spark.read.parquet(f"{at}/alone").drop("chunk")
 
 
 def second_stage(scored: DataFrame, reference: DataFrame, queries: DataFrame, siblings: bool = True) -> DataFrame:

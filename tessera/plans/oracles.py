@@ -92,7 +92,7 @@ ev as (
     count(*) filter (where key[1:2] = 'n:') as k_name, count(*) filter (where key[1:2] = 'a:') as k_addr, count(*) filter (where key[1:2] = 'b:') as k_bigram, count(*) filter (where key[1:2] = 'q:') as k_sq,
     count(*) filter (where key[1:2] = 'p:') as k_pair, count(*) filter (where key[1:2] = 'h:') as k_numpair, count(*) filter (where key[1:2] = 'x:') as k_addrbag, count(*) filter (where key[1:2] = 'c:') as k_cross
   from qk join idx using (country, key) join n1 using (country) group by all),
-cand as (select * exclude (r) from (select *, row_number() over (partition by q_id order by score desc, s1_id) as r from ev) where r <= 10)"""
+cand as materialized (select * exclude (r) from (select *, row_number() over (partition by q_id order by score desc, s1_id) as r from ev) where r <= 10)"""
 
 _DOCS = f"""with d0 as (
   select doc_id, lang as country, regexp_extract(source, '([0-9]+)$', 1)::int % 3 as role, {_tokens(_fold("replace(text, '&', ' and ')"))} as w from documents),
@@ -192,7 +192,7 @@ r_{name} as (select id, t from (select id, t, row_number() over (partition by id
 h0_{name} as (select distinct id, t from (select id, unnest(list_filter(list_transform(regexp_extract_all(addr_n, '[0-9]+'), lambda x: regexp_replace(x, '^0+', '')), lambda x: x <> '')[1:3]) as t from {source})),
 h_{name} as (select id, t from h0_{name} union select id, substr(t, 1, i - 1) || substr(t, i + 1) from (select id, t, unnest(range(1, least(length(t), 8) + 1)) as i from h0_{name} where length(t) >= 3)),
 sq_{name} as (select id, substr({_leet('name_sq')}, 1, 10) as p from {source} where length(name_sq) >= 5),
-{name} as (
+{name} as materialized (
   select distinct id, country, split_part(key, ':', 1) as fam, key from (
     select id, country, 'nb:' || array_to_string(ws, ' ') as key from se_{name}
     union all select id, country, 'ag:' || array_to_string(list_sort(string_split(array_to_string(ws, ''), '')), '') from se_{name} where d <= 1
@@ -205,8 +205,8 @@ sq_{name} as (select id, substr({_leet('name_sq')}, 1, 10) as p from {source} wh
 
 def _hits(start: str, n1: str = "n1") -> str:
     return f"""{start}, {_STOPS.replace("n1 as (", f"{n1} as (").replace("join n1 using", f"join {n1} using")}, {_corruption_keys('ref', 'r2', 4)}, {_corruption_keys('qry', 'q2', 3)},
-i2 as (select * from (select *, count(*) over (partition by country, key) as df from r2) where df <= case when fam = 'ty' then 60 else 200 end),
-hits as (
+i2 as materialized (select * from (select *, count(*) over (partition by country, key) as df from r2) where df <= case when fam = 'ty' then 60 else 200 end),
+hits as materialized (
   select q2.id as q_id, i2.id as s1_id, count(*) as v2_nkeys, round(sum(ln((n1 + 1) / df)), 6) as v2_score, round(max(ln((n1 + 1) / df)), 6) as v2_max_idf,
     count(*) filter (where i2.fam = 'nb') as v2_k_nb, count(*) filter (where i2.fam = 'ag') as v2_k_ag, count(*) filter (where i2.fam = 'hn') as v2_k_hn,
     count(*) filter (where i2.fam = 'cx') as v2_k_cx, count(*) filter (where i2.fam = 'sw') as v2_k_sw, count(*) filter (where i2.fam = 'ty') as v2_k_ty

@@ -12,7 +12,7 @@ from tessera.operators import keys as K
 from tessera.operators.boosting import Settings
 from tessera.sources import gate
 from tessera.sources import records as R
-from tessera.sources.stored import cached
+from tessera.sources.stored import cached, stored
 
 REC = "id string, country string, name_n string, addr_n string, name_sq string, is_domain boolean"
 
@@ -408,3 +408,47 @@ def test_summed_logits(spark):
     df = spark.createDataFrame([(0.5, 0.9), (0.9, 0.9), (0.0, 1.0)], "p double, ce double")
     got = [r["combined"] for r in training.summed_logits(df, "p", "ce").collect()]
     assert got == pytest.approx([0.9, 81 / 82, 0.5])
+
+
+def test_an_index_outlives_its_run_and_scoring_goes_on(spark, tmp_path, monkeypatch):
+    from tessera.operators import boosting
+    from tessera.plans import linkage
+    from tessera.plans import queries as Q
+
+    ref, q = Q._sides(spark, "/root/testdata/sf0.001")
+    cfg = linkage.PlanConfig(blocking="v2", top_k=4)
+    monkeypatch.setattr(blocking, "BUCKET_BYTES", 20_000)
+    at = str(tmp_path / "index")
+    kept = linkage.indexes(ref, cfg, keep=at)
+    rows = lambda d: sorted(tuple(r) for r in d.select(sorted(d.columns)).collect())
+    want = rows(linkage.candidates(ref, q, cfg))
+    assert rows(linkage.candidates(ref, q, cfg, index=kept)) == want
+    # a second run, in a session of its own, builds nothing
+    for name in ("build_index", "build_corruption_index"):
+        monkeypatch.setattr(blocking, name, None)
+    other = spark.newSession()
+    there = lambda d: other.read.schema(d.schema).parquet(*d.inputFiles()).where("role = 0" if d is ref else "role > 0")
+    again = linkage.indexes(there(ref), cfg, keep=at)
+    assert rows(linkage.candidates(there(ref), there(q), cfg, index=again)) == want
+    # beyond the bound of a broadcast, query keys are dealt to the lists and the lists stay in their buckets
+    monkeypatch.setattr(blocking, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = K.all_keys(q.withColumn("id", F.monotonically_increasing_id()), kept.first.vocab, 5, K.KeyConfig())
+        plan = blocking._probe(kept.first, stored(keys))._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount" in plan and plan.count("Exchange hashpartitioning(country") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    # another reference is another index
+    assert blocking.kept_index(spark, f"{at}/first", "other") is None
+    # a killed run goes on: whole parts stay, and a part without its mark is made again
+    model = boosting.Boosted(("score",), [np.array([5.0])], 0.0, [])
+    run = lambda: linkage.score_in_chunks(ref, q, model, str(tmp_path / "chunks"), 3, None, linkage.PlanConfig(top_k=4), str(tmp_path / "i"))
+    pairs, alone = (rows(d) for d in run())
+    assert {r[0] for r in alone}.isdisjoint({r[1] for r in pairs}) and len({r[1] for r in pairs}) + len(alone) == q.count()
+    part = next((tmp_path / "chunks").glob("*/pairs/chunk=1"))
+    (part / "_SUCCESS").unlink()
+    done, score = [], linkage.score
+    monkeypatch.setattr(linkage, "score", lambda *a: done.append(1) or score(*a))
+    assert [rows(d) for d in run()] == [pairs, alone] and len(done) == 1
