@@ -6,6 +6,9 @@ Edit scripts are read from the end and prefer replacing, then deleting, then ins
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from tessera.sources.stored import stored
 GROUPS = ["nop", "nins", "ndel", "aop", "ains", "adel"]
 MOST_REST = 6
 SIMILAR = 0.5
+#: Cells of the tables that are held at a time.
+TABLE_CELLS = 1 << 22
 _EVENTS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("event", T.StringType())]))
 
 
@@ -23,31 +28,72 @@ def char_class(c: str) -> str:
     return "$" if not c else "D" if c.isdigit() else "V" if c in "aeiou" else "C" if "a" <= c <= "z" else "N"
 
 
-def edit_script(s: str, q: str) -> list[tuple[str, str, int]]:
-    """(from, to, place in s) of the edits of one shortest script, '' for nothing."""
-    d = [[i + j if not i * j else 0 for j in range(len(q) + 1)] for i in range(len(s) + 1)]
-    for i, a in enumerate(s, 1):
-        for j, b in enumerate(q, 1):
-            d[i][j] = min(d[i - 1][j - 1] + (a != b), d[i - 1][j] + 1, d[i][j - 1] + 1)
-    i, j, out = len(s), len(q), []
-    while i or j:
-        if i and j and d[i][j] == d[i - 1][j - 1] + (s[i - 1] != q[j - 1]):
-            i, j = i - 1, j - 1
-            if s[i] != q[j]:
-                out.append((s[i], q[j], i))
-        elif i and d[i][j] == d[i - 1][j] + 1:
-            i -= 1
-            out.append((s[i], "", i))
-        else:
-            j -= 1
-            out.append(("", q[j], i))
-    return out[::-1]
-
-
-def token_events(s: str, q: str) -> list[str]:
-    """Each edit as itself and as a change of character classes with its place: start, middle or end."""
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Characters of words as numbers, 0 behind the end."""
+    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
+
+
+def _alike(pairs: list[tuple[str, str]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(which, left and right characters) of pairs of about the same lengths, so that padding is little."""
+    by: dict[tuple[int, int], list[int]] = {}
+    for k, (s, q) in enumerate(pairs):
+        by.setdefault((len(s) + 3 & ~3 or 4, len(q) + 3 & ~3 or 4), []).append(k)
+    for (w1, w2), every in by.items():
+        most = max(1, TABLE_CELLS // ((w1 + 1) * (w2 + 1)))
+        for at in range(0, len(every), most):
+            ks = every[at : at + most]
+            yield ks, _codes([pairs[k][0] for k in ks], w1), _codes([pairs[k][1] for k in ks], w2)
+
+
+def _rows(s: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of all pairs' tables of edit distances between beginnings, one after the other."""
+    step = np.arange(q.shape[1] + 1)
+    row = np.tile(step, (len(s), 1))
+    yield row
+    for i in range(s.shape[1]):
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + (s[:, i : i + 1] != q), out=new[:, 1:])
+        row = np.minimum.accumulate(new - step, 1) + step  # insertions run along the row
+        yield row
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The edit distance of every pair of words."""
+    out = np.zeros(len(pairs), np.int64)
+    for ks, s, q in _alike(pairs):
+        n1, n2 = (np.array([len(pairs[k][j]) for k in ks]) for j in (0, 1))
+        for i, row in enumerate(_rows(s, q)):
+            at = np.flatnonzero(n1 == i)
+            out[np.array(ks)[at]] = row[at, n2[at]]
+    return out
+
+
+def edit_scripts(pairs: list[tuple[str, str]]) -> list[list[tuple[str, str, int]]]:
+    """For every pair of words (from, to, place in the first) of the edits of one shortest script, '' for nothing."""
+    out: list[list[tuple[str, str, int]]] = [[] for _ in pairs]
+    for ks, s, q in _alike(pairs):
+        d = np.stack([*_rows(s, q)], 1)
+        i, j = (np.array([len(pairs[k][c]) for k in ks]) for c in (0, 1))
+        at = np.arange(len(ks))
+        while len(at := at[(i[at] > 0) | (j[at] > 0)]):
+            x, y = i[at], j[at]
+            here, both = d[at, x, y], (x > 0) & (y > 0)
+            differ = s[at, x - 1] != q[at, y - 1]
+            same = both & (here == d[at, x - 1, y - 1] + differ)
+            gone = ~same & (x > 0) & (here == d[at, x - 1, y] + 1)
+            i[at] -= same | gone
+            j[at] -= ~gone
+            edit = np.flatnonzero(~same | differ)
+            for k, g, c in zip(at[edit].tolist(), gone[edit].tolist(), same[edit].tolist(), strict=True):
+                a, b = pairs[ks[k]]
+                out[ks[k]].append((a[i[k]] if g or c else "", "" if g else b[j[k]], int(i[k])))
+    return [x[::-1] for x in out]
+
+
+def script_events(s: str, script: list[tuple[str, str, int]]) -> list[str]:
+    """Each edit of ``s`` as itself and as a change of character classes with its place: start, middle or end."""
     out = []
-    for a, b, at in edit_script(s, q):
+    for a, b, at in script:
         place = "S" if at == 0 else "E" if at >= len(s) - 1 else "M"
         out += [f"{a}>{b}", f"{char_class(a)}>{char_class(b)}@{place}"]
     return out
@@ -57,20 +103,40 @@ def _word(t: str) -> str:
     return f"#num{len(t)}" if t.isdigit() else t
 
 
-def field_events(s: list[str], q: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """(edits, inserted words, deleted words) between the words either side lacks, in order and distinct."""
-    a, b = ([*dict.fromkeys(t for t in x if t and t not in y)] for x, y in ((s, set(q)), (q, set(s))))
-    if len(a) > MOST_REST or len(b) > MOST_REST:
-        return ["#many"], [], []
-    ops, ins, free = [], [], a[:]
-    for t in b:
-        scored = [(1 - len(edit_script(x, t)) / max(len(x), len(t)), -k) for k, x in enumerate(free)]
-        top = max(scored, default=(0.0, 0))
-        if scored and top[0] >= SIMILAR:
-            ops += token_events(free.pop(-top[1]), t)
-        else:
-            ins.append(_word(t))
-    return ops, ins, [_word(t) for t in free]
+def _rest(s: str, q: str) -> tuple[list[str], list[str]]:
+    """The words either side lacks, in order and distinct."""
+    x, y = s.split(" "), q.split(" ")
+    return [*dict.fromkeys(t for t in x if t and t not in y)], [*dict.fromkeys(t for t in y if t and t not in x)]
+
+
+def field_events(fields: list[tuple[str, str]]) -> list[tuple[list[str], list[str], list[str]]]:
+    """(edits, inserted words, deleted words) of every pair of texts: a word goes with the most similar free word, if they are similar at all.
+
+    Each pair of words is compared once in a batch, all of them in the same tables, and so are the scripts of those that go together.
+    """
+    rests = [_rest(s, q) for s, q in fields]
+    many = [max(len(a), len(b)) > MOST_REST for a, b in rests]
+    words = [*dict.fromkeys((x, t) for (a, b), m in zip(rests, many, strict=True) if not m for t in b for x in a)]
+    far = dict(zip(words, distances(words).tolist(), strict=True))
+    linked: list[list[tuple[str, str]]] = []
+    out: list[tuple[list[str], list[str], list[str]]] = []
+    for (a, b), m in zip(rests, many, strict=True):
+        free, ins, met = a[:], [], []
+        for t in b if not m else []:
+            scored = [(1 - far[x, t] / max(len(x), len(t)), -k) for k, x in enumerate(free)]
+            top = max(scored, default=(0.0, 0))
+            if scored and top[0] >= SIMILAR:
+                met.append((free.pop(-top[1]), t))
+            else:
+                ins.append(_word(t))
+        linked.append(met)
+        out.append((["#many"], [], []) if m else ([], ins, [_word(t) for t in free]))
+    each = [*dict.fromkeys(p for met in linked for p in met)]
+    events = {p: script_events(p[0], x) for p, x in zip(each, edit_scripts(each), strict=True)}
+    for met, (ops, _, _) in zip(linked, out, strict=True):
+        for p in met:
+            ops += events[p]
+    return out
 
 
 def with_events(t: DataFrame) -> DataFrame:
@@ -78,11 +144,10 @@ def with_events(t: DataFrame) -> DataFrame:
 
     @F.pandas_udf(_EVENTS)
     def run(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(n1.fillna(""), n2.fillna(""), a1.fillna(""), a2.fillna(""), strict=True):
-            parts = [*field_events(row[0].split(" "), row[1].split(" ")), *field_events(row[2].split(" "), row[3].split(" "))]
-            out.append([{"g": g, "event": e} for g, es in zip(GROUPS, parts, strict=True) for e in es])
-        return pd.Series(out)
+        n1, n2, a1, a2 = (x.fillna("").tolist() for x in (n1, n2, a1, a2))
+        found = field_events([*zip(n1, n2, strict=True), *zip(a1, a2, strict=True)])
+        names, addresses = found[: len(n1)], found[len(n1) :]
+        return pd.Series([[{"g": g, "event": e} for g, es in zip(GROUPS, (*n, *a), strict=True) for e in es] for n, a in zip(names, addresses, strict=True)])
 
     return t.withColumn("events", run("n1", "n2", "a1", "a2"))
 

@@ -124,10 +124,60 @@ def test_raw_records_are_read_as_they_are(spark, tmp_path):
     assert got["name_n"] == "a and b" and got["addr_n"] == ""
 
 
+def plain_script(s: str, q: str) -> list[tuple[str, str, int]]:
+    """(from, to, place in s) of the edits of one shortest script, '' for nothing."""
+    d = [[i + j if not i * j else 0 for j in range(len(q) + 1)] for i in range(len(s) + 1)]
+    for i, a in enumerate(s, 1):
+        for j, b in enumerate(q, 1):
+            d[i][j] = min(d[i - 1][j - 1] + (a != b), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    i, j, out = len(s), len(q), []
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (s[i - 1] != q[j - 1]):
+            i, j = i - 1, j - 1
+            if s[i] != q[j]:
+                out.append((s[i], q[j], i))
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            out.append((s[i], "", i))
+        else:
+            j -= 1
+            out.append(("", q[j], i))
+    return out[::-1]
+
+
+def plain_field(s, q):
+    a, b = ([*dict.fromkeys(t for t in x if t and t not in y)] for x, y in ((s.split(" "), q.split(" ")), (q.split(" "), s.split(" "))))
+    if len(a) > channel.MOST_REST or len(b) > channel.MOST_REST:
+        return ["#many"], [], []
+    word = lambda t: f"#num{len(t)}" if t.isdigit() else t
+    ops, ins = [], []
+    for t in b:
+        scored = [(1 - len(plain_script(x, t)) / max(len(x), len(t)), -k) for k, x in enumerate(a)]
+        if scored and max(scored)[0] >= channel.SIMILAR:
+            x = a.pop(-max(scored)[1])
+            ops += channel.script_events(x, plain_script(x, t))
+        else:
+            ins.append(word(t))
+    return ops, ins, [word(t) for t in a]
+
+
+def test_batched_scripts_are_those_of_single_tables(monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé1२") for _ in range(n))
+    pairs = [(word(rng.randint(0, 9)), word(rng.randint(0, 14))) for _ in range(700)] + [("", ""), ("a", ""), ("", "abc"), ("same", "same"), (word(300), word(280))]
+    monkeypatch.setattr(channel, "TABLE_CELLS", 500)
+    assert channel.edit_scripts(pairs) == [plain_script(*p) for p in pairs]
+    assert channel.distances(pairs).tolist() == [len(plain_script(*p)) for p in pairs]
+    text = lambda: " ".join(word(rng.randint(1, 6)) for _ in range(rng.randint(0, 9)))
+    fields = [(text(), text()) for _ in range(300)]
+    assert channel.field_events(fields) == [plain_field(*f) for f in fields]
+    assert channel.field_events([]) == [] and channel.edit_scripts([]) == []
+
+
 def test_edit_events():
-    assert channel.edit_script("abc", "abd") == [("c", "d", 2)]
-    assert channel.field_events("main street 12".split(), "main stret 13".split())[0][0] == "e>"
-    assert channel.field_events(list("abcdefg"), ["z"]) == (["#many"], [], [])
+    assert channel.edit_scripts([("abc", "abd")]) == [[("c", "d", 2)]]
+    got = channel.field_events([("main street 12", "main stret 13"), ("a b c d e f g", "z")])
+    assert got[0][0][0] == "e>" and got[1] == (["#many"], [], [])
 
 
 def test_channel_tables_leave_their_fold_out(spark):
