@@ -367,6 +367,26 @@ l as (select g, event, ln((pos + 1) / (ap + 1)) - ln((neg + 1) / (an + 1)) as ll
 select q_id, s1_id, round(coalesce(sum(llr) filter (where g = 'nop'), 0), 6) as nop_sum, round(min(llr) filter (where g = 'nop'), 6) as nop_min, round(coalesce(sum(llr) filter (where g = 'nins'), 0), 6) as nins_sum, round(min(llr) filter (where g = 'nins'), 6) as nins_min,
   count(*) filter (where g = 'nop') as nop_n, count(*) filter (where g = 'nins') as nins_n, count(*) filter (where g = 'nins' and llr is null) as nins_unknown, 0::bigint as adel_n
 from ev left join l using (g, event) group by q_id, s1_id""",
+    "validate_lines": """
+with raw as (
+  select s_suppkey as k, 'S1-' || s_suppkey || case when s_suppkey % 11 = 0 then ' ' else chr(9) end || case when s_suppkey % 7 = 0 then 'S2-1,S2-1,S1-5,X-2' when s_suppkey % 5 = 0 then '' else 'S3-' || s_suppkey || ',S2-' || s_suppkey end as value
+  from supplier where s_suppkey % 10 <> 3
+  union all select s_suppkey, 'S1-' || s_suppkey || chr(9) from supplier where s_suppkey % 10 = 4
+  union all select s_suppkey, '' from supplier where s_suppkey % 25 = 0
+  union all select s_suppkey, 'S1-none' || chr(9) || 'S2-9' from supplier where s_suppkey = 1),
+ln as (select value, row_number() over (order by k, value) + 1 as line from raw),
+rw as (select line, split_part(value, chr(9), 1) as s1, case when trim(split_part(value, chr(9), 2)) = '' then []::varchar[] else string_split(split_part(value, chr(9), 2), ',') end as ids from ln where contains(value, chr(9))),
+each as (select distinct line, unnest(ids) as id from rw),
+ent as (select 'S1-' || s_suppkey as id from supplier),
+known as (select 'S2-' || s_suppkey as id from supplier where s_suppkey % 13 <> 0 union all select 'S3-' || s_suppkey from supplier)
+select 'malformed_row' as rule, line, value as id from ln where not contains(value, chr(9)) and trim(value) <> ''
+union all select 'duplicate_row', line, s1 from (select *, min(line) over (partition by s1) as f from rw) where line > f
+union all select 'duplicate_id', line, s1 from rw where len(ids) > len(list_distinct(ids))
+union all select 'self_match', line, id from each where id[1:3] = 'S1-'
+union all select 'wrong_prefix', line, id from each where id[1:3] not in ('S1-', 'S2-', 'S3-')
+union all select 'extra_entity', line, s1 from rw where s1 not in (select id from ent)
+union all select 'missing_entity', -1, id from ent where id not in (select s1 from rw)
+union all select 'unknown_id', line, id from each where id[1:3] in ('S2-', 'S3-') and id not in (select id from known)""",
     "stage2_model_rows": f"""with {_EVENTS},
 x as (select *, {_bucket("q_id", 99, 2)} as half, {_bucket("q_id", 5, 4)} as sub from ev),
 u as (select distinct g, event, q_id, s1_id, label, sub from x where half = 0),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.similarity import kernels
-from tessera.operators import aliases, blocking, boosting, channel, context, decode, training
+from tessera.operators import aliases, blocking, boosting, channel, context, decode, rawcheck, training
 from tessera.operators import features as feats
 from tessera.operators import keys as K
 from tessera.plans import linkage, rerank
 from tessera.sources.records import bucket, documents, parties, scored
-from tessera.sources.stored import stored
+from tessera.sources.stored import shared_dir, stored
 
 QUERIES: dict = {}
 
@@ -510,6 +510,22 @@ def validate_lists(spark, sf):
     return decode.violations(bad, _entities(spark, sf)).distinct()
 
 
+@query
+def validate_lines(spark, sf):
+    """A list file of the suppliers with planted faults, written as text and checked line by line; each line with its number."""
+    own = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    key, tab = F.col("k").cast("string"), F.lit("\t")
+    ids = F.when(F.col("k") % 7 == 0, F.lit("S2-1,S2-1,S1-5,X-2")).when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("S3-"), key, F.lit(",S2-"), key))
+    row = F.concat(F.lit("S1-"), key, F.when(F.col("k") % 11 == 0, F.lit(" ")).otherwise(tab), ids)
+    lines = own.where("k % 10 <> 3").select("k", row.alias("value")).unionByName(own.where("k % 10 = 4").select(F.col("k"), F.concat(F.lit("S1-"), key, tab).alias("value")))
+    lines = lines.unionByName(own.where("k % 25 = 0").select("k", F.lit("").alias("value"))).unionByName(own.where("k = 1").select("k", F.lit("S1-none\tS2-9").alias("value")))
+    at = shared_dir(spark)
+    head = spark.createDataFrame([(-1, "source1_entity_id\tmatched_entity_ids")], "k long, value string")
+    head.unionByName(lines).orderBy("k", "value").coalesce(1).select("value").write.text(at)
+    known = own.where("k % 13 <> 0").select(F.concat(F.lit("S2-"), key).alias("id")).unionByName(own.select(F.concat(F.lit("S3-"), key).alias("id")))
+    return rawcheck.violations(rawcheck.numbered_lines(spark, at), own.select(F.concat(F.lit("S1-"), key).alias("id")), known).select("rule", F.coalesce("line", F.lit(-1)).alias("line"), "id")
+
+
 # training
 
 

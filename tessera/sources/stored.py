@@ -9,16 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (our own folder only where that is unset and all runs on this machine) and read back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir`` (our own folder only where that is unset and all runs on this machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in a shared folder and read back: lineage ends, lost executors cost nothing."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

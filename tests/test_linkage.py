@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import aliases, blocking, channel, context, decode, training
+from tessera.operators import aliases, blocking, channel, context, decode, rawcheck, training
 from tessera.operators import features as feats
 from tessera.operators import keys as K
 from tessera.operators.boosting import Settings
@@ -502,3 +502,35 @@ def test_an_index_outlives_its_run_and_scoring_goes_on(spark, tmp_path, monkeypa
     done, score = [], linkage.score
     monkeypatch.setattr(linkage, "score", lambda *a: done.append(1) or score(*a))
     assert [rows(d) for d in run()] == [pairs, alone] and len(done) == 1
+
+
+def test_raw_files_are_checked_line_by_line(spark, tmp_path):
+    ents = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "id string")
+    known = spark.createDataFrame([("S2-1",), ("S3-1",)], "id string")
+
+    def faults(text, cand=None, **more):
+        (tmp_path / "m.tsv").write_text(text)
+        if cand:
+            (tmp_path / "c.tsv").write_text(cand)
+            more["candidates"] = rawcheck.numbered_lines(spark, str(tmp_path / "c.tsv"))
+        got = rawcheck.violations(rawcheck.numbered_lines(spark, str(tmp_path / "m.tsv")), ents, **more).collect()
+        return sorted((r["rule"], r["line"] or 0, r["id"] or "") for r in got)
+
+    head = "source1_entity_id\tmatched_entity_ids\n"
+    assert faults(head + "S1-1\t\nS1-2\tS2-1,S3-1\nS1-3\t\n", known=known) == []
+    assert faults("") == [("empty_file", 0, "")]
+    assert faults("source1_entity_id,matched_entity_ids\nS1-1,\n") == [("comma_header", 1, "source1_entity_id,matched_entity_ids")]
+    assert [r[0] for r in faults("a\tb\nS1-1\tX\n")] == ["wrong_header"] == [r[0] for r in faults("\n" + head)]
+    assert faults(" Source1_Entity_Id \tMATCHED_entity_ids\nS1-1\t\nS1-2\t\nS1-3\t\n") == []
+    got = faults(head + "S1-1\tS2-1,S2-1\nS1-1\t \n\nS1-2 S2-1\nS1-9\tS1-1,,S2-7\nS1-3\tS3-1\n", head.replace("matched", "candidate") + "S1-3\tS3-1\nS1-1\tS2-1\n", known=known)
+    assert got == [("duplicate_id", 2, "S1-1"), ("duplicate_row", 3, "S1-1"), ("extra_entity", 6, "S1-9"), ("malformed_row", 5, "S1-2 S2-1"), ("missing_entity", 0, "S1-2"), ("self_match", 6, "S1-1"), ("unknown_id", 6, "S2-7"),
+                   ("warning_not_a_candidate", 6, ""), ("warning_not_a_candidate", 6, "S1-1"), ("warning_not_a_candidate", 6, "S2-7"), ("wrong_prefix", 6, "")]
+    # line numbers hold across the stretches that tasks read
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        many = head + "".join(f"S1-{i}\t\n" for i in range(200)) + "broken\n"
+        (tmp_path / "m.tsv").write_text(many)
+        lines = rawcheck.numbered_lines(spark, str(tmp_path / "m.tsv"))
+        assert [r["value"] for r in lines.orderBy("line").collect()] == many.splitlines() and lines.agg(F.max("line")).first()[0] == 202
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
