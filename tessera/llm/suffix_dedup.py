@@ -394,13 +394,27 @@ def with_spans(docs: DataFrame, block: int = BLOCK, least: int = LEAST, every: i
     """``docs`` (doc_id, text) with ``spans`` (null where nothing goes).
 
     Texts are UTF-8 bytes, null texts empty. Rows without doc_id keep everything and are no earlier place
-    for others. Rows that repeat a doc_id count as one document.
+    for others. Rows that repeat a doc_id with the same text count as one document; those with different texts are
+    documents of their own, one after the other in the order of a hash of their texts.
     """
+    mark = F.xxhash64("text")
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
+        return _joined(docs, docs.select("doc_id", "text"), "doc_id", block, least, every)
+    # numbers that ascend by doc_id and hash, one for each text of a doc_id
+    texts = known.select("doc_id", mark.alias("_mark")).distinct()
+    numbers = stored(texts.repartitionByRange("doc_id", "_mark").sortWithinPartitions("doc_id", "_mark").withColumn("_number", F.monotonically_increasing_id()))
+    own = stored(docs.withColumn("_mark", mark).join(numbers, ["doc_id", "_mark"], "left").select(*docs.columns, "_number"))
+    return _joined(own, own.select(F.col("_number").alias("doc_id"), "text"), "_number", block, least, every).drop("_number")
+
+
+def _joined(docs: DataFrame, texts: DataFrame, by: str, block: int, least: int, every: int) -> DataFrame:
     with small_batches(docs.sparkSession):
-        spans = stored(removed_spans(docs, block, least, every))
+        spans = stored(removed_spans(texts, block, least, every))
     n, m = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     small = n <= BROADCAST_IDS and m <= BROADCAST_SPANS
-    return docs.join(F.broadcast(spans) if small else spans, "doc_id", "left")
+    spans = spans.withColumnRenamed("doc_id", by)
+    return docs.join(F.broadcast(spans) if small else spans, by, "left")
 
 
 def digest(rows: DataFrame) -> DataFrame:

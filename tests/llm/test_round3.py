@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import idcoder, merkle, negatives, tokenbin
+from tessera.llm import idcoder, merkle, negatives, suffix_dedup, tokenbin
 
 
 def brute_negatives(rows, is_anchor, positives=5, negatives_=10, low=30, high=90):
@@ -210,3 +210,14 @@ def test_manifest_of_one_row_and_of_none(spark):
     assert one.root == sha256(b"1:1----").hexdigest() and one.proofs().first()["path"] == []
     none = merkle.manifest(spark.createDataFrame([], schema))
     assert none.root is None and none.proofs().collect() == [] and none.subroots.collect() == []
+
+
+def test_texts_of_one_doc_id_are_cut_apart(spark):
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    x, unique = some(400), some(400)
+    rows = [(1, x), (2, x), (2, unique), (2, x), (3, unique[100:300] + some(50)), (None, x), (4, None), (4, "short")]
+    got = suffix_dedup.with_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    gone = {(r["doc_id"], r["text"]): [tuple(s) for s in r["spans"] or []] for r in got}
+    assert len(got) == len(rows) and gone[2, unique] == [] == gone[1, x] == gone[None, x] == gone[4, None] == gone[4, "short"]
+    assert gone[2, x] == [(0, 400)] and gone[3, rows[4][1]] == [(0, 200)]
