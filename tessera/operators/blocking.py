@@ -139,35 +139,45 @@ def build_index(reference: DataFrame, cfg: K.KeyConfig = K.KeyConfig()) -> Index
     return Index(lists, reference.groupBy("country").agg(F.count("*").alias("n1")), vocab, names)
 
 
-def _probe(index: Index, keys: DataFrame) -> DataFrame:
-    """(q_id, s1_id, fam, idf) of all meetings, dealt out by query, which the sums and ranks that follow need.
-
-    A query key meets at most one posting list, so the join has no more rows than there are query keys; a list is
-    opened only behind it.
-    """
+def _met(index: Index, keys: DataFrame) -> DataFrame:
+    """(q_id, fam, idf, ids): the posting list that a query key meets, at most one."""
     idf = F.log((F.col("n1") + 1) / F.size("ids")).alias("idf")
     lists = index.lists.join(F.broadcast(index.sizes), "country").select("country", "key", "fam", "ids", idf)
     lists = small(lists, _list_bytes()) if index.bytes is None else F.broadcast(lists) if index.bytes <= BROADCAST_BYTES else lists
-    met = keys.select(F.col("id").alias("q_id"), "country", "key").join(lists, ["country", "key"])
-    return met.repartition("q_id").select("q_id", "fam", "idf", F.explode("ids").alias("s1_id"))
+    return keys.select(F.col("id").alias("q_id"), "country", "key").join(lists, ["country", "key"]).select("q_id", "fam", "idf", "ids")
+
+
+def _probe(index: Index, keys: DataFrame) -> DataFrame:
+    """(q_id, s1_id, fam, idf) of all meetings, dealt out by query, which the sums and ranks that follow need. Lists are opened only then."""
+    return _met(index, keys).repartition("q_id").select("q_id", "fam", "idf", F.explode("ids").alias("s1_id"))
 
 
 #: Bits of a family's count in a packed sum: a pair shares fewer keys of a family than 2**21.
 COUNT_BITS = 21
 
 
-def _evidence(hits: DataFrame, families: dict[str, str], n_keys: str, score: str, most: str) -> DataFrame:
-    """(q_id, s1_id, sum and maximum of idf, number of keys, and of each family): counts of three families are one sum."""
-    names, packs = [*families], []
+def _packs(families: dict[str, str]) -> list[Column]:
+    """A meeting's family as 1 in its place of a packed count; a long has the counts of three families."""
+    names, out = [*families], []
     for at in range(0, len(names), 3):
-        shift = F.lit(0).cast("long")
+        pack = F.lit(0).cast("long")
         for k, f in enumerate(names[at : at + 3]):
-            shift = F.when(F.col("fam") == f, F.lit(1 << (COUNT_BITS * k)).cast("long")).otherwise(shift)
-        packs.append(F.sum(shift).alias(f"_c{at // 3}"))
-    sums = hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias(score), F.max("idf").alias(most), *packs)
-    counts = {c: F.shiftright(f"_c{k // 3}", COUNT_BITS * (k % 3)).bitwiseAND((1 << COUNT_BITS) - 1) for k, c in enumerate(families.values())}
-    out = sums.withColumns(counts)
-    return out.withColumn(n_keys, sum((F.col(c) for c in counts), F.lit(0).cast("long"))).drop(*[c for c in out.columns if c.startswith("_c")])
+            pack = F.when(F.col("fam") == f, F.lit(1 << (COUNT_BITS * k)).cast("long")).otherwise(pack)
+        out.append(pack)
+    return out
+
+
+def _unpacked(pairs: DataFrame, families: dict[str, str], tag: str, n_keys: str) -> DataFrame:
+    """Packed counts ``tag``0, ``tag``1, ... as one column for each family, and all of them as ``n_keys``."""
+    counts = {c: F.shiftright(f"{tag}{k // 3}", COUNT_BITS * (k % 3)).bitwiseAND((1 << COUNT_BITS) - 1) for k, c in enumerate(families.values())}
+    out = pairs.withColumns(counts)
+    return out.withColumn(n_keys, sum((F.col(c) for c in counts), F.lit(0).cast("long"))).drop(*[f"{tag}{k}" for k in range(-(-len(families) // 3))])
+
+
+def _evidence(hits: DataFrame, families: dict[str, str], n_keys: str, score: str, most: str) -> DataFrame:
+    """(q_id, s1_id, sum and maximum of idf, number of keys, and of each family)."""
+    packs = [F.sum(p).alias(f"_c{k}") for k, p in enumerate(_packs(families))]
+    return _unpacked(hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias(score), F.max("idf").alias(most), *packs), families, "_c", n_keys)
 
 
 def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
@@ -203,7 +213,36 @@ def corruption_hits(index: Index, queries: DataFrame, cfg: K.CorruptionConfig =
     queries = queries if index.classes is None else aliases.canonical(queries, index.classes)
     queries, names = _numbered(queries, False)
     hits = _probe(index, K.corruption_keys(queries, index.vocab, index.words, index.stop, False, cfg))
-    return _named(_evidence(hits, {f: f"v2_k_{f}" for f in cfg.caps}, "v2_nkeys", "v2_score", "v2_max_idf"), index.names, names)
+    return _named(_evidence(hits, _second(cfg), "v2_nkeys", "v2_score", "v2_max_idf"), index.names, names)
+
+
+def _second(cfg: K.CorruptionConfig) -> dict[str, str]:
+    return {f: f"v2_k_{f}" for f in cfg.caps}
+
+
+def query_union(first: Index, second: Index, queries: DataFrame, top_k: int = 30, second_k: int = 15, cfg: K.KeyConfig = K.KeyConfig(), corruption: K.CorruptionConfig = K.CorruptionConfig()) -> DataFrame:
+    """``union_candidates`` of the ``top_k`` of one index and the ``second_k`` of the other, both of the same reference.
+
+    The pairs of the first retrieval are dealt out with the meetings of the second, so one sum by pair has the evidence of
+    both, and the ranks follow where it is.
+    """
+    queries, names = _numbered(queries, False)
+    hits = _probe(first, K.all_keys(queries, first.vocab, cfg.pair_words, cfg))
+    packs = _packs(FAMILIES)
+    tags = [f"_f{k}" for k in range(len(packs))]
+    own = hits.groupBy("q_id", "s1_id").agg(F.sum("idf").alias("score"), F.max("idf").alias("max_idf"), *[F.sum(p).alias(t) for p, t in zip(packs, tags, strict=True)])
+    own = top_per_query(own, "score", top_k).select("q_id", F.array("s1_id").alias("ids"), "score", "max_idf", *tags)
+    changed = queries if second.classes is None else aliases.canonical(queries, second.classes)
+    met = _met(second, K.corruption_keys(changed, second.vocab, second.words, second.stop, False, corruption))
+    each = met.unionByName(own, allowMissingColumns=True).repartition("q_id")
+    each = each.select("q_id", F.explode("ids").alias("s1_id"), "fam", "idf", "score", "max_idf", *tags)
+    evidence = [F.sum("idf").alias("v2_score"), F.max("idf").alias("v2_max_idf"), *[F.sum(p).alias(f"_c{k}") for k, p in enumerate(_packs(_second(corruption)))]]
+    pairs = each.groupBy("q_id", "s1_id").agg(*evidence, *[F.max(c).alias(c) for c in ("score", "max_idf", *tags)])
+    order = Window.partitionBy("q_id").orderBy(F.round("v2_score", 6).desc_nulls_last(), "s1_id")
+    ranked = pairs.withColumns({"in_v1": F.col("score").isNotNull().cast("int"), "_r": F.row_number().over(order)})
+    kept = ranked.withColumn("in_v2", ((F.col("_r") <= second_k) & F.col("v2_score").isNotNull()).cast("int")).where("in_v1 = 1 or in_v2 = 1").drop("_r").na.fill(0)
+    kept = _unpacked(_unpacked(kept, FAMILIES, "_f", "n_keys"), _second(corruption), "_c", "v2_nkeys")
+    return _named(kept, first.names, names)
 
 
 def _named(pairs: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def indexes(reference: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: D
 
 def candidates(reference: DataFrame, queries: DataFrame, cfg: PlanConfig = PlanConfig(), alias_table: DataFrame | None = None, index: Indexes | None = None) -> DataFrame:
     index = index or indexes(reference, cfg, alias_table)
-    first = blocking.query_candidates(index.first, queries, cfg.top_k, cfg.keys)
-    return first if index.second is None else blocking.union_candidates(first, stored(blocking.corruption_hits(index.second, queries, cfg.corruption)))
+    if index.second is None:
+        return blocking.query_candidates(index.first, queries, cfg.top_k, cfg.keys)
+    return blocking.query_union(index.first, index.second, queries, cfg.top_k, cfg=cfg.keys, corruption=cfg.corruption)
 
 
 def build_pair_table(reference: DataFrame, queries: DataFrame, truth: DataFrame, n: int, seed: int = 7, alias_table: DataFrame | None = None, cfg: PlanConfig = PlanConfig()) -> tuple[DataFrame, DataFrame]:

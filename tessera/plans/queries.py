@@ -211,8 +211,7 @@ def v2_hits(spark, sf):
 
 def _union(spark, sf):
     ref, q = _sides(spark, sf)
-    hits = stored(blocking.corruption_hits(blocking.build_corruption_index(ref), q))
-    return blocking.union_candidates(blocking.generate_candidates(ref, q, 10), hits, 5)
+    return blocking.query_union(blocking.build_index(ref), blocking.build_corruption_index(ref), q, 10, 5)
 
 
 @query

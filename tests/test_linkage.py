@@ -54,6 +54,17 @@ def test_candidates_of_both_retrievals(spark):
     assert len(both) == 1 and both[0]["in_v1"] == both[0]["in_v2"] == 1 and both[0]["v2_k_nb"] > 0
 
 
+def test_one_sum_for_both_retrievals_is_their_union(spark):
+    from tessera.plans import queries as Q
+
+    ref, q = Q._sides(spark, "/root/testdata/sf0.001")
+    first, second = blocking.build_index(ref), blocking.build_corruption_index(ref)
+    want = blocking.union_candidates(blocking.query_candidates(first, q, 3), blocking.corruption_hits(second, q), 2)
+    got = blocking.query_union(first, second, q, 3, 2)
+    rows = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.select(sorted(want.columns)).collect())
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want) and {r["in_v1"] + r["in_v2"] for r in want.collect()} == {1, 2}
+
+
 def test_aliases(spark):
     p = spark.createDataFrame([("red shop", "1 a", "rot shop", "1 a")] * 6, "n1 string, a1 string, n2 string, a2 string")
     t = aliases.fit_aliases(p)
