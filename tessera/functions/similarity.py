@@ -7,6 +7,7 @@ batch advance together, one character of the longer strings at a time, the short
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -116,10 +117,29 @@ def token_set(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _bounded(s: str, t: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, bound) of the windows of ``t`` as long as ``s``, the best bound first: no subsequence is longer than the characters in common are many."""
+    n = len(s)
+    count = Counter(s)
+    text = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.frombuffer("".join(count).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros((len(own), len(t) + 1), np.int32)
+    np.cumsum(text == own[:, None], 1, out=seen[:, 1:])
+    start = np.arange(1 - n, len(t))
+    low, high = np.maximum(start, 0), np.minimum(start + n, len(t))
+    common = np.minimum(seen[:, high] - seen[:, low], np.array([*count.values()])[:, None]).sum(0)
+    bound = 200.0 * common / (n + high - low)
+    order = np.argsort(-bound, kind="stable")
+    return start[order], bound[order]
+
+
 def partial(a: list[str], b: list[str]) -> np.ndarray:
-    """The best ratio of the shorter string with any window of the longer, windows at the ends being shorter too."""
+    """The best ratio of the shorter string with any window of the longer, windows at the ends being shorter too.
+
+    Windows are compared in rounds, the most promising first; those whose bound is no better than what a pair has are never made.
+    """
     out = np.zeros(len(a))
-    at, left, right = [], [], []
+    open_: list[tuple[int, str, str, np.ndarray, np.ndarray]] = []
     for i, (s, t) in enumerate(zip(a, b, strict=True)):
         s, t = (s, t) if len(s) <= len(t) else (t, s)
         if not s:
@@ -127,13 +147,21 @@ def partial(a: list[str], b: list[str]) -> np.ndarray:
         elif s in t:
             out[i] = 100.0
         else:
-            n = len(s)
-            windows = {t[max(k, 0) : k + n] for k in range(1 - n, len(t))}
-            at += [i] * len(windows)
-            left += [s] * len(windows)
-            right += windows
-    if at:
-        np.maximum.at(out, at, ratio(left, right))
+            open_.append((i, s, t, *_bounded(s, t)))
+    at, step = 0, 1
+    while open_:
+        pairs, left, right = [], [], []
+        for i, s, t, start, bound in open_:
+            for k, most in zip(start[at : at + step].tolist(), bound[at : at + step].tolist(), strict=True):
+                if most <= out[i]:
+                    break
+                pairs.append(i)
+                left.append(s)
+                right.append(t[max(k, 0) : k + len(s)])
+        if pairs:
+            np.maximum.at(out, pairs, ratio(left, right))
+        at, step = at + step, min(2 * step, 16)
+        open_ = [x for x in open_ if at < len(x[3]) and x[4][at] > out[x[0]]]
     return out
 
 

@@ -84,12 +84,10 @@ def expected_decode(rows: DataFrame, mass: DataFrame | None = None, mu0: float =
 
     @F.pandas_udf(T.IntegerType())
     def count(r: pd.Series, mu: pd.Series) -> pd.Series:
-        m = np.zeros((len(r), MOST))
-        for i, x in enumerate(r):
-            m[i, : len(x)] = -np.asarray(x)
-        return pd.Series(best_count(m, mu.to_numpy()).astype(np.int32))
+        return pd.Series(best_count(np.stack(r) if len(r) else np.zeros((0, MOST)), mu.to_numpy()).astype(np.int32))
 
-    k = count(F.col("x.r"), F.coalesce("mass", F.lit(0.0)) + F.lit(mu0))
+    padded = F.slice(F.concat(F.transform("x.r", lambda r: -r), F.array_repeat(F.lit(0.0), MOST)), 1, MOST)
+    k = count(padded, F.coalesce("mass", F.lit(0.0)) + F.lit(mu0))
     return lists.withColumn("k", k).where("k > 0").select("s1_id", F.explode(F.slice("x.q_id", F.lit(1), F.col("k"))).alias("q_id"))
 
 

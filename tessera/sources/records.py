@@ -54,9 +54,39 @@ def truth_pairs(truth: DataFrame) -> DataFrame:
 
 
 def write_lists(rows: DataFrame, path: str, order: str = "pos") -> None:
-    """One headed TSV file in the order of ``order``, never quoted, empty lists as empty bytes."""
-    out = rows.orderBy(order).drop(order).coalesce(1)  # sorted by ranges; the one writer takes them one after the other
-    out.write.mode("overwrite").options(**_TSV).csv(path)
+    """One headed TSV file in the order of ``order``, never quoted, empty lists as empty bytes.
+
+    Ranges of rows are written side by side; the file system puts their files behind one another.
+    """
+    spark = rows.sparkSession
+    parts = f"{path.rstrip('/')}_parts"
+    out = rows.orderBy(order).drop(order)
+    out.write.mode("overwrite").options(**_TSV | {"header": False}).csv(parts)
+    _joined(spark, parts, f"{path.rstrip('/')}/part-00000.tsv", "\t".join(out.columns) + "\n")
+
+
+def _joined(spark: SparkSession, parts: str, target: str, head: str) -> None:
+    """``head`` and the files of ``parts`` in the order of their names as one file. HDFS moves their blocks; elsewhere bytes are copied in small pieces."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    folder, to = path(parts), path(target)
+    fs = folder.getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda f: f.getName())
+    fs.delete(to.getParent(), True)
+    out = fs.create(to, True)
+    out.write(bytearray(head.encode()))
+    if fs.getScheme() != "hdfs":
+        for f in files:
+            source = fs.open(f)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    out.close()
+    if fs.getScheme() == "hdfs" and files:
+        array = spark.sparkContext._gateway.new_array(path, len(files))
+        for k, f in enumerate(files):
+            array[k] = f
+        fs.concat(to, array)
+    fs.delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
