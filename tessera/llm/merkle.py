@@ -129,7 +129,11 @@ def climb(nodes: DataFrame, members: list[str], depth: int) -> list[DataFrame]:
 
 def within(packs: DataFrame, depth: int, schema: str, result: Callable[[dict, list[list[bytes]], int, list], tuple]) -> DataFrame:
     """For each member of the subtrees (with the columns ``above`` and others) a row: ``result(pack, levels, i, above)``."""
-    names = [c.split(":")[0].strip() for c in _fields(schema)]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    types = list(to_arrow_schema(kind).types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,22 +142,11 @@ def within(packs: DataFrame, depth: int, schema: str, result: Callable[[dict, li
                 levels = subtree([m["leaf"].encode() for m in pack["members"]], pack["total"], depth)
                 rows = [result(pack, levels, i, above) for i in range(len(pack["members"]))]
                 cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], kind.names)
 
-    kind = StructType.fromDDL(schema)
-    types = list(to_arrow_schema(kind).types)
     return packs.mapInArrow(run, kind)
 
 
-def _fields(schema: str) -> list[str]:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).names
-
-
 def _path(levels: list[list[bytes]], i: int, above: list) -> list[dict]:
     return [{"left": a, "right": b} for a, b in [*siblings(levels, i), *above]]
 

@@ -39,7 +39,7 @@ FILE_BYTES = 8 << 20
 #: A small file has blocks of fewer ids, so that it is still coded many at a time; blocks have so many ids at least.
 LEAST_BLOCK, LEAST_LANES = 1024, 512
 #: Words of a task whose ids are remembered.
-WORDS = 1 << 18
+WORDS = 1 << 17
 HEADER = struct.Struct("<4sIIQIIII")
 ROW = np.dtype([("none", "u1"), ("doc_id", "<i8"), ("n", "<u8")])
 
@@ -203,6 +203,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> No
                     yield from flush()
         if held:
             yield from flush()
+        # a worker goes on with other tasks and keeps no words for them
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
     sort = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     with small_batches(docs.sparkSession, 2 << 20):
