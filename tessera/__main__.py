@@ -6,6 +6,7 @@ import argparse
 import json
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,10 +113,29 @@ class Run:
     def dropped(self) -> tuple[str, ...]:
         return tuple(x for x in self.args.drop.split(",") if x)
 
+    def second_rows(self, split: str) -> DataFrame:
+        """Rows of the second stage, with the reader's scores if asked for."""
+        rows = self.stored(f"s2_{split}")
+        return rows.join(self.stored(f"read_{split}"), ["q_id", "s1_id"], "left") if self.args.reader else rows
+
+    def learning_rows(self) -> DataFrame:
+        """Labelled rows of the training split. What a reader has learnt from is left out, so that none of its scores was fitted on its own label."""
+        rows = rerank.labelled(self.second_rows("train"), self.truth())
+        return rows.where("not reads") if self.args.reader else rows
+
+    def reader_train(self) -> None:
+        """A reader of hard pairs, from its third of half 0."""
+        rows = rerank.labelled(self.stored("s2_train"), self.truth()).where("reads").where(F.col("p") <= self.args.hard)
+        training.fit_reader(feats.pair_texts(rows).select("text1", "text2", "label")).write().overwrite().save(f"{self.args.work}/reader")
+
+    def reader_score(self) -> None:
+        rows = feats.pair_texts(self.stored(f"s2_{self.args.split}")).select("q_id", "s1_id", "p", "text1", "text2")
+        read = training.score_pairs(rows, PipelineModel.load(f"{self.args.work}/reader"), self.args.hard)
+        self.save(training.summed_logits(read, "p", "ce").select("q_id", "s1_id", "ce", F.col("combined").alias("ce_sum")), f"read_{self.args.split}")
+
     def stage2_train(self) -> None:
         """Fits on half of the entities and reports macro F0.5 on the others."""
-        rows = rerank.labelled(self.stored("s2_train"), self.truth())
-        e = rerank.evaluate(rows, self.feed("train", 1), self.truth(), self.settings(training.SECOND), self.dropped())
+        e = rerank.evaluate(self.learning_rows(), self.feed("train", 1), self.truth(), self.settings(training.SECOND), self.dropped())
         self.note("s2_eval", {"tau": e.best[0], "f05": e.best[1], "rounds": len(e.model.trees), "scores": e.scores})
 
     def gate(self) -> bool:
@@ -126,13 +146,12 @@ class Run:
         return won
 
     def stage2_final(self) -> None:
-        rows = rerank.labelled(self.stored("s2_train"), self.truth())
-        model, table = rerank.final(rows, max(1, self.noted("s2_eval")["rounds"]), self.settings(training.SECOND), self.dropped())
+        model, table = rerank.final(self.learning_rows(), max(1, self.noted("s2_eval")["rounds"]), self.settings(training.SECOND), self.dropped())
         training.save_model(model, f"{self.args.work}/s2_model")
         self.save(table, "s2_channel")
 
     def stage2_apply(self) -> None:
-        self.save(rerank.scored(self.stored(f"s2_{self.args.split}"), training.load_model(f"{self.args.work}/s2_model"), self.stored("s2_channel")).select("q_id", "s1_id", "country", "r"), f"s2_scored_{self.args.split}")
+        self.save(rerank.scored(self.second_rows(self.args.split), training.load_model(f"{self.args.work}/s2_model"), self.stored("s2_channel")).select("q_id", "s1_id", "country", "r"), f"s2_scored_{self.args.split}")
 
     def accepted(self) -> DataFrame:
         """(q_id, s1_id) by the decoder asked for; countries that training has not seen are held to more."""
@@ -164,7 +183,7 @@ class Run:
         print(snapshot(self.args.file, f"{self.args.work}/snapshots", self.args.label, self.args.params, self.args.estimate, self.args.notes))
 
 
-STEPS = ("normalize", "fit_aliases", "train", "score", "tune", "calibrate", "stage2_build", "stage2_train", "gate", "stage2_final", "stage2_apply", "submit", "snapshot")
+STEPS = ("normalize", "fit_aliases", "train", "score", "tune", "calibrate", "stage2_build", "reader_train", "reader_score", "stage2_train", "gate", "stage2_final", "stage2_apply", "submit", "snapshot")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -174,8 +193,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", default=default)
     for name, default in (("top-k", 30), ("sample", 300_000), ("seed", 7), ("rounds", 0), ("leaves", 0), ("least-rows", 0), ("alias-sample", 1_500_000), ("chunks", 4)):
         p.add_argument(f"--{name}", type=int, default=default)
-    for name, default in (("rate", 0.0), ("tau", 0.0), ("unseen-tau", 0.0), ("unseen-discount", 1.0)):
+    for name, default in (("rate", 0.0), ("tau", 0.0), ("unseen-tau", 0.0), ("unseen-discount", 1.0), ("hard", 0.98)):
         p.add_argument(f"--{name}", type=float, default=default)
+    p.add_argument("--reader", action="store_true")
     return p
 
 

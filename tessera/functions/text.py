@@ -86,7 +86,8 @@ def fold(x: Column) -> Column:
     several = F.split(F.lit("\x1f".join(many.values())), "\x1f")
     found = lambda c: F.get(several, F.instr(F.lit("".join(many)), c) - 1)
     rare = _ranges([*many])[:-1] + "\\x{AC00}-\\x{D7A3}]"
-    each = F.transform(F.split(low, ""), lambda c: F.when(c.rlike(rare), F.coalesce(_hangul(c), found(c))).otherwise(c))
+    # cut around the rare ones: what lies between them stays in one piece
+    each = F.transform(F.split(low, f"(?={rare})|(?<={rare})"), lambda c: F.when((F.length(c) == 1) & c.rlike(rare), F.coalesce(_hangul(c), found(c))).otherwise(c))
     return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(low.rlike(rare), plain(F.array_join(each, ""))).otherwise(plain(low))
 
 

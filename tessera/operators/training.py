@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import boosting
@@ -59,15 +59,19 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def halves(rows: DataFrame) -> DataFrame:
-    """half 0 or 1 and sub 0..3 by owner, else by the query's best candidate. Needs q_rank and true_s1."""
+    """half 0 or 1 and sub 0..3 by owner, else by the query's best candidate; reads: whether a reader of pairs learns from it. Needs q_rank and true_s1."""
     first = F.first(F.when(F.col("q_rank") == 0, F.col("s1_id")), ignorenulls=True).over(Window.partitionBy("q_id"))
     out = rows.withColumn("grp", F.coalesce("true_s1", first))
-    return out.withColumns({"half": bucket(F.col("grp"), 99, 2), "sub": bucket(F.col("grp"), 5, 4)}).drop("grp")
+    return out.withColumns({"half": bucket(F.col("grp"), 99, 2), "sub": bucket(F.col("grp"), 5, 4), "reads": _reads("grp")}).drop("grp")
 
 
 def reader_rows(rows: DataFrame, group: str = "grp") -> DataFrame:
     """The rows that a reader of pairs learns from: a third of half 0. The second stage leaves them out, so none of its rows has a score fitted on its own label."""
-    return rows.where((bucket(F.col(group), 77, 3) == 0) & (bucket(F.col(group), 99, 2) == 0))
+    return rows.where(_reads(group))
+
+
+def _reads(group: str) -> Column:
+    return (bucket(F.col(group), 77, 3) == 0) & (bucket(F.col(group), 99, 2) == 0)
 
 
 def cache_path(root: str, country: str, n: int, seed: int, alias_mode: str, blocking: str, settings: str = "") -> str:

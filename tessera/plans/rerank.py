@@ -20,7 +20,7 @@ from tessera.sources.records import bucket
 from tessera.sources.stored import stored
 
 #: No features: keys, texts, labels and how rows are dealt.
-OTHERS = {"q_id", "s1_id", "country", "label", "true_s1", "half", "sub", "events", "r"}
+OTHERS = {"q_id", "s1_id", "country", "label", "true_s1", "half", "sub", "reads", "events", "r"}
 HELD = 3
 TAUS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9)
 

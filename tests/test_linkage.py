@@ -373,7 +373,16 @@ def test_steps_run_from_files_to_files(spark, tmp_path):
     assert report["f05"] > next(f for t, f in report["scores"] if t is None)
     made = cli.Run(spark, cli.parser().parse_args(["gate", "--work", work]))
     assert not made.gate() and made.noted("s2_eval")["f05"] == gate.best(spark, f"{work}/best")[1]["score"]
-    out = f05("stage2")[1]
+    # with a reader in the chain, whose own rows the second stage leaves out
+    for step in ("reader_train", "reader_score"):
+        run(step)
+    for step in ("stage2_train", "stage2_final", "stage2_apply"):
+        run(step, "--reader")
+    read = made.stored("read_train")
+    assert read.count() == made.stored("s2_train").count() and set(read.columns) == {"q_id", "s1_id", "ce", "ce_sum"}
+    assert {"ce", "ce_sum"} <= {*training.load_model(f"{work}/s2_model").names}
+    third, out = f05("stage2")
+    assert third > 0.85, third
     for n in (1, 2):
         run("snapshot", "--file", str(out), "--label", "First run!")
     folders = sorted(x.name for x in (tmp_path / "work" / "snapshots").iterdir() if x.is_dir())
