@@ -137,7 +137,8 @@ def within(packs: DataFrame, depth: int, schema: str, result: Callable[[dict, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack in batch.to_pylist():
+            for at in range(batch.num_rows):
+                pack = batch.slice(at, 1).to_pylist()[0]  # one at a time: as Python objects a batch would be many times its size
                 above = [(a["left"], a["right"]) for a in pack["above"]]
                 levels = subtree([m["leaf"].encode() for m in pack["members"]], pack["total"], depth)
                 rows = [result(pack, levels, i, above) for i in range(len(pack["members"]))]
