@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,9 @@ def placed(entities: DataFrame) -> DataFrame:
     """Entities with ``pos``, their place by id: a running number within ranges of ids, behind the counts of the ranges before."""
     ranges = stored(entities.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
+    # one row for each range
     n = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    before = n.alias("a").join(n.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    before = n.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranges.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
 
 
