@@ -177,10 +177,15 @@ def _llr(events: DataFrame, least: int, whole: bool) -> DataFrame:
     return full.where(F.col("pos") + F.col("neg") >= least).withColumn("llr", llr).drop("ap", "an")
 
 
+#: Rows of a task that sums their events; a table of events is broadcast up to so many bytes, counted, beyond, its OFTEN most frequent events are.
+ROWS_A_TASK = 500_000
+BROADCAST_BYTES = 32 << 20
+OFTEN = 100_000
+
+
 def channel_features(events: DataFrame, table: DataFrame) -> DataFrame:
     """(q_id, s1_id, and for each group sum, min, count, unknown): ``table`` is (g, event, llr); min is null if no event is known."""
-    each = events.select("q_id", "s1_id", F.explode("events").alias("x")).select("q_id", "s1_id", "x.*").join(table.select("g", "event", "llr"), ["g", "event"], "left")
-    return _by_group(events, each)
+    return _by_group(events, stored(table.select("g", "event", "llr")), ["g", "event"])
 
 
 def cross_fitted(events: DataFrame, fit: Column, least: int = 5) -> DataFrame:
@@ -188,19 +193,29 @@ def cross_fitted(events: DataFrame, fit: Column, least: int = 5) -> DataFrame:
     all such rows but their own fold's, the others that of all such rows.
     """
     tables = stored(fold_tables(events.where(fit).withColumn("fold", F.col("sub")), least).select(F.coalesce("fold", F.lit(-1)).alias("_t"), "g", "event", "llr"))
-    own = events.withColumn("_t", F.when(fit, F.col("sub")).otherwise(-1).cast("int"))
-    each = own.select("q_id", "s1_id", "_t", F.explode("events").alias("x")).select("q_id", "s1_id", "_t", "x.*").join(tables, ["_t", "g", "event"], "left")
-    return _by_group(events, each)
-
-
-def _by_group(events: DataFrame, each: DataFrame) -> DataFrame:
+    return _by_group(events.withColumn("_t", F.when(fit, F.col("sub")).otherwise(-1).cast("int")), tables, ["_t", "g", "event"])
+
+
+def _by_group(events: DataFrame, tables: DataFrame, by: list[str]) -> DataFrame:
+    """Rows are dealt out by pair before their events are opened, in tasks of counted rows: no task gets all the rows of a frequent event."""
+    tasks = max(1, -(-events.count() // ROWS_A_TASK))
+    own = events.select("q_id", "s1_id", *by[:-2], "events").repartition(tasks, "q_id", "s1_id")
+    each = own.select("q_id", "s1_id", *by[:-2], F.posexplode_outer("events").alias("_at", "x")).select("q_id", "s1_id", *by[:-2], "_at", "x.*")
+    if (tables.agg(F.sum(F.length("event") + 60)).first()[0] or 0) <= BROADCAST_BYTES:
+        each = each.join(F.broadcast(tables), by, "left")
+    else:
+        many = each.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *by).limit(OFTEN)
+        often = F.broadcast(stored(many.join(tables, by, "left").select(*by, "llr", F.lit(True).alias("_often"))))
+        met = each.join(often, by, "left")
+        rest = met.where("_often is null").drop("llr", "_often").join(tables, by, "left")
+        each = met.where("_often").drop("_often").unionByName(rest).repartition(tasks, "q_id", "s1_id")
     aggs = []
     for g in GROUPS:
         here = F.col("g") == g
         aggs += [F.coalesce(F.sum(F.when(here, F.col("llr"))), F.lit(0.0)).alias(f"{g}_sum"), F.min(F.when(here, F.col("llr"))).alias(f"{g}_min"), F.count_if(here).alias(f"{g}_n"), F.count_if(here & F.col("llr").isNull()).alias(f"{g}_unknown")]
-    got = each.groupBy("q_id", "s1_id").agg(*aggs)
-    fill = {f"{g}_{c}": 0 for g in GROUPS for c in ("sum", "n", "unknown")}
-    return events.select("q_id", "s1_id").join(got, ["q_id", "s1_id"], "left").na.fill(fill)
+    # a row's first event, or its lack of any, stands for the row: a pair that has several rows is one row for each
+    got = each.groupBy("q_id", "s1_id").agg(*aggs, F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("_rows"))
+    return got.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_rows", "_row")
 
 
 def first_owner(scored: DataFrame) -> DataFrame:

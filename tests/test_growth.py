@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import blocking, channel
 from tessera.operators import keys as K
 from tessera.plans import queries as Q
 
@@ -26,3 +27,36 @@ def test_keys_of_addresses_make_none_of_names(spark):
     """Before, the whole index was built, and keys of names were made in Python, to be dropped."""
     got = plan(Q.v2_cross_keys(spark, SMALL))
     assert "name_keys" not in got and "Python" not in got
+
+
+def rows(df):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+def test_events_are_summed_in_tasks_of_counted_rows(spark, monkeypatch):
+    """Before, all the rows of a frequent event met in one task. A pair with several rows, and rows without events, stay rows."""
+    ev = [("nop", "a"), ("nop", "b"), ("nins", "c")]
+    data = [(f"q{k}", f"s{k % 7}", k % 2, k % 3, [{"g": g, "event": e} for g, e in ev[: k % 4]]) for k in range(40)]
+    df = spark.createDataFrame([*data, data[3]], "q_id string, s1_id string, label int, fold int, events array<struct<g string, event string>>")
+    table = spark.createDataFrame([("nop", "a", 0.5), ("nins", "c", -1.0)], "g string, event string, llr double")
+    want = rows(channel.channel_features(df, table))
+    assert len(want) == 41 and want.count(next(r for r in want if r[0] == "q3")) == 2
+    for settings in ({"ROWS_A_TASK": 5}, {"ROWS_A_TASK": 5, "BROADCAST_BYTES": 0, "OFTEN": 1}):
+        for k, v in settings.items():
+            monkeypatch.setattr(channel, k, v)
+        got = channel.channel_features(df, table)
+        assert rows(got) == want and "RepartitionByExpression [q_id#" in plan(got) and "], 9" in plan(got)
+
+
+def test_evidence_is_summed_in_tasks_of_counted_queries(spark, monkeypatch):
+    """Before, a task summed all pairs of however many queries AQE dealt to it in one map."""
+    ref, q = Q._sides(spark, SMALL)
+    index = blocking.build_index(ref)
+    want = blocking.query_candidates(index, q, 3)
+    monkeypatch.setattr(blocking, "QUERIES_A_TASK", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = blocking.query_candidates(index, q, 3)
+        assert rows(got) == rows(want) and "], 8" in plan(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
