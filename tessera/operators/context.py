@@ -125,9 +125,9 @@ def sibling_keys(queries: DataFrame) -> DataFrame:
 def sibling_candidates(scored: DataFrame, queries: DataFrame) -> DataFrame:
     """(q_id, s1_id, sc_n, sc_keys): entities of sure records of the same country and feed that share a rare enough key; the best SC_TOP of a query."""
     by = ["country", "src", "key"]
-    keys = sibling_keys(queries)
+    keys = stored(sibling_keys(queries))
     rare = keys.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") <= SC_RECORDS)
-    keys = keys.join(rare, by)
+    keys = stored(keys.join(rare, by).drop("n"))
     placed = scored.withColumn("r", F.row_number().over(_ranked())).where((F.col("r") == 1) & (F.col("p") >= SC_P)).select(F.col("q_id").alias("o_id"), "s1_id")
     held = keys.select(F.col("q_id").alias("o_id"), *by).join(placed, "o_id")
     few = held.groupBy(*by).agg(F.countDistinct("s1_id").alias("e")).where(F.col("e") <= SC_ENTITIES).select(*by)

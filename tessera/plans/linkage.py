@@ -120,10 +120,14 @@ def score_in_chunks(reference: DataFrame, queries: DataFrame, model: Boosted, pa
 
 
 def second_stage(scored: DataFrame, reference: DataFrame, queries: DataFrame, siblings: bool = True) -> DataFrame:
-    """Rows of the second model: context, text and vocabulary features, house numbers, siblings, channel events."""
+    """Rows of the second model: context, text and vocabulary features, house numbers, siblings, channel events.
+
+    What later steps read several times is stored, since a plan would make it anew for each of them.
+    """
     if siblings:
-        scored = context.add_sibling_candidates(scored, context.sibling_candidates(scored, queries))
-    base = stored(feats.with_texts(context.entity_context(context.query_context(scored)), reference, queries))
+        scored = context.add_sibling_candidates(scored, stored(context.sibling_candidates(scored, queries)))
+    ranked = stored(context.query_context(scored))
+    base = stored(feats.with_texts(context.entity_context(ranked), reference, queries))
     t = feats.leftover_features(base)
     for f in (feats.rest_features, feats.token_features, feats.number_features, feats.flag_features, feats.kernel_features, feats.house_number_relations):
         t = f(t)

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, channel
+from tessera.operators import blocking, channel, context
 from tessera.operators import keys as K
+from tessera.plans import linkage
 from tessera.plans import queries as Q
+from tessera.sources.stored import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +62,18 @@ def test_evidence_is_summed_in_tasks_of_counted_queries(spark, monkeypatch):
         assert rows(got) == rows(want) and "], 8" in plan(got)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_second_stage_makes_siblings_and_ranks_once(spark, monkeypatch):
+    """Before, the table of texts held the plans of sibling candidates and of ranks once for each step that reads them."""
+    written = []
+
+    def recorded(df):
+        written.append(plan(df))
+        return stored(df)
+
+    monkeypatch.setattr(linkage, "stored", recorded)
+    monkeypatch.setattr(context, "stored", recorded)
+    pairs = stored(Q._party_scores(spark, SMALL))
+    linkage.second_stage(pairs, *Q._sides(spark, SMALL))
+    assert len(written) >= 6 and max(p.count("row_number()") for p in written) < 10  # before: 95 mentions in one plan
