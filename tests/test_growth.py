@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import blocking, channel, context
 from tessera.operators import keys as K
 from tessera.plans import linkage
@@ -77,3 +78,18 @@ def test_second_stage_makes_siblings_and_ranks_once(spark, monkeypatch):
     pairs = stored(Q._party_scores(spark, SMALL))
     linkage.second_stage(pairs, *Q._sides(spark, SMALL))
     assert len(written) >= 6 and max(p.count("row_number()") for p in written) < 10  # before: 95 mentions in one plan
+
+
+def test_documents_words_are_made_in_one_pass(spark):
+    """Before, each word of a text was matched and joined as an object of its own. Every character reads as by the expressions; so do zeros."""
+    df = spark.range(0x30000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    texts = df.select(F.concat(F.lit("Ab"), "c", F.lit("dE 007 "), "c", "c").alias("t"))
+    odd = ["", " & ", "0", "00 000", "007 0x0 00&00 090", "a 00", "ΟΔΟΣ ΟΔΟΣ.", "İI ½&ﬁ\u2028x", "क़ख ㎏", "a\tb\nc\u00a0d", None]
+    texts = texts.unionByName(spark.createDataFrame([(x,) for x in odd], "t string"))
+    # beyond the 16-bit characters the definition is Python's, character by character
+    words = X.tokens(F.when(F.col("t").rlike(r"[\x{10000}-\x{10FFFF}]"), X.fold_exact("t")).otherwise(X.fold(F.col("t"))))
+    for first in (1, 2, 6):
+        want = F.struct(F.array_join(F.slice(words, 1, first), " ").alias("head"), F.array_join(F.transform(F.slice(words, F.lit(first + 1), F.size(words)), X.without_zeros), " ").alias("rest"))
+        both = texts.repartition(8).select("t", want.alias("w"), X.head_and_rest(F.col("t"), first).alias("g"))
+        assert both.where(~F.col("g.head").eqNullSafe(F.col("w.head")) | ~F.col("g.rest").eqNullSafe(F.col("w.rest"))).take(3) == []
+    assert plan(Q.document_records(spark, SMALL)).count("RLIKE") == 0
