@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Pairs that advance together, of similar lengths.
 BATCH = 2048
 WORD = 64
+#: Different characters of a batch, up to which the windows of its pairs slide together.
+ALPHABET = 512
 
 
 def lcs(a: str, b: str) -> int:
@@ -133,13 +135,47 @@ def _bounded(s: str, t: str) -> tuple[np.ndarray, np.ndarray]:
     return start[order], bound[order]
 
 
+def _bounded_many(a: list[str], b: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``_bounded`` of pairs of which the first is the shorter and not empty: the windows of a batch slide together, a character comes and one goes."""
+    out: list = [None] * len(a)
+    by = _lengths(b)
+    for rows, x, y, _ in _batches(a, b, by):
+        n, m = _lengths(x), _lengths(y)
+        codes, both = np.unique(np.concatenate([_padded(x, n, int(n.max()), 1).ravel(), _padded(y, m, int(m.max()), 2).ravel()]), return_inverse=True)
+        if len(codes) > ALPHABET:
+            for i, s, t in zip(rows, x, y, strict=True):
+                out[i] = _bounded(s, t)
+            continue
+        s, t = both[: len(x) * n.max()].reshape(len(x), -1), both[len(x) * n.max() :].reshape(len(x), -1)
+        every, width = np.arange(len(x)), len(codes)
+        free = np.bincount((every[:, None] * width + s).ravel(), minlength=len(x) * width)  # of each character, how many the window lacks
+        common, steps = np.zeros(len(x), np.int64), int((n + m).max()) - 1
+        bound = np.full((len(x), steps), -np.inf)
+        for w in range(steps):
+            if w < t.shape[1]:
+                at = (every * width + t[:, w])[w < m]
+                common[w < m] += free[at] > 0
+                free[at] -= 1
+            k = np.flatnonzero((w >= n) & (w - n < m))
+            at = k * width + t[k, w - n[k]]
+            free[at] += 1
+            common[k] -= free[at] > 0
+            size = n + np.minimum(w + 1, m) - np.maximum(w + 1 - n, 0)
+            np.divide(200.0 * common, size, out=bound[:, w], where=w < n + m - 1)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        for j, i in enumerate(rows):
+            o = order[j, : n[j] + m[j] - 1]
+            out[i] = (o + 1 - n[j], bound[j, o])
+    return out
+
+
 def partial(a: list[str], b: list[str]) -> np.ndarray:
     """The best ratio of the shorter string with any window of the longer, windows at the ends being shorter too.
 
     Windows are compared in rounds, the most promising first; those whose bound is no better than what a pair has are never made.
     """
     out = np.zeros(len(a))
-    open_: list[tuple[int, str, str, np.ndarray, np.ndarray]] = []
+    open_: list[tuple] = []
     for i, (s, t) in enumerate(zip(a, b, strict=True)):
         s, t = (s, t) if len(s) <= len(t) else (t, s)
         if not s:
@@ -147,7 +183,8 @@ def partial(a: list[str], b: list[str]) -> np.ndarray:
         elif s in t:
             out[i] = 100.0
         else:
-            open_.append((i, s, t, *_bounded(s, t)))
+            open_.append((i, s, t))
+    open_ = [(*x, *w) for x, w in zip(open_, _bounded_many([x[1] for x in open_], [x[2] for x in open_]), strict=True)]
     at, step = 0, 1
     while open_:
         pairs, left, right = [], [], []

@@ -33,7 +33,11 @@ def labelled(rows: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def with_channel(rows: DataFrame, whole: bool = False) -> DataFrame:
-    """``labelled`` rows with the cross-fitted channel columns; ``whole``: all rows learn, not half 0 alone."""
+    """``labelled`` rows with the cross-fitted channel columns; ``whole``: all rows learn, not half 0 alone.
+
+    The rows are stored first: their labels and halves are shuffles that four steps here would make again.
+    """
+    rows = stored(rows)
     fit = F.lit(True) if whole else F.col("half") == 0
     return rows.join(channel.cross_fitted(rows.select("q_id", "s1_id", "label", "half", "sub", "events"), fit), ["q_id", "s1_id"])
 

@@ -1,11 +1,15 @@
 """What must not grow with the input: repeated work of a row, one task's groups, bytes of a shuffle."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import similarity
 from tessera.functions import text as X
 from tessera.operators import blocking, channel, context
 from tessera.operators import keys as K
-from tessera.plans import linkage
+from tessera.plans import linkage, rerank
 from tessera.plans import queries as Q
 from tessera.sources.stored import stored
 
@@ -93,3 +97,23 @@ def test_documents_words_are_made_in_one_pass(spark):
         both = texts.repartition(8).select("t", want.alias("w"), X.head_and_rest(F.col("t"), first).alias("g"))
         assert both.where(~F.col("g.head").eqNullSafe(F.col("w.head")) | ~F.col("g.rest").eqNullSafe(F.col("w.rest"))).take(3) == []
     assert plan(Q.document_records(spark, SMALL)).count("RLIKE") == 0
+
+
+def test_channel_columns_read_stored_labels(spark):
+    """Before, each step of the cross-fitted columns shuffled and labelled all rows again."""
+    data = [(f"S2-{k}", f"S1-{k % 7}", 0.5, k % 2, [("nop", "a")]) for k in range(40)]
+    df = spark.createDataFrame(data, "q_id string, s1_id string, p double, q_rank int, events array<struct<g string, event string>>")
+    truth = spark.createDataFrame([(f"S2-{k}", f"S1-{k % 7}") for k in range(0, 40, 3)], "other string, s1 string")
+    got = rerank.with_channel(rerank.labelled(df, truth))
+    assert got.count() == 40 and "true_s1#" in plan(got) and "other#" not in plan(got) and "Window" not in plan(got)
+
+
+def test_windows_of_a_batch_slide_together():
+    """Before, each pair counted the characters of its windows alone. Bounds and their order are the same."""
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcdefgh 0", "कमलab", "abcé😀"])
+        pairs.append(sorted(("".join(rng.choices(letters, k=rng.randint(1, 80))) for _ in range(2)), key=len))
+    for (s, t), got in zip(pairs, similarity._bounded_many([p[0] for p in pairs], [p[1] for p in pairs]), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(got, similarity._bounded(s, t), strict=True))
