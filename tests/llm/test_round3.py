@@ -150,6 +150,29 @@ def test_damaged_files_are_found():
         tokenbin.decoded(memoryview(data[:-40]))
 
 
+def test_new_words_need_merges_alone(monkeypatch):
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    words = ["".join(rng.choice("aeinrstßéñüŵ") for _ in range(rng.randint(1, 22))) for _ in range(20000)]
+    words += ["".join(rng.choice("ab'tsrevldm019-_%&.,") for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    t, want = tokenbin.Tokenizer(path), [i for x in library(path, texts) for i in [*x, 2]]
+    monkeypatch.setattr(t, "encode", None)  # the library's pipeline, which takes ten times as long a word
+    assert t.ids(pa.array(texts), 2)[0].tolist() == want
+    monkeypatch.setattr(t, "words", None)  # known by now
+    assert t.ids(pa.array(texts), 2)[0].tolist() == want
+
+
+def test_files_are_decoded_together():
+    rng, files = np.random.default_rng(4), []
+    for file, most in ((0, 900), (1, 2**20), (2, 3)):
+        ids = rng.integers(0, most, 5000).astype(np.uint32)
+        files.append((file, ids, b"".join(b + b"\n" for b in tokenbin.blocks(file, 0, np.array([file]), np.array([False]), np.array([5000]), ids))))
+    found = tokenbin.decoded_together([memoryview(data) for _, _, data in files])
+    assert [f for f, _, _ in found] == [0, 1, 2] and all(np.array_equal(got, ids) for (_, _, got), (_, ids, _) in zip(found, files, strict=True))
+
+
 def brute_manifest(rows, claim):
     """{(doc_id, leaf): results} by the definition, level by level."""
     h = lambda *x: sha256("".join(x).encode()).hexdigest()
