@@ -40,8 +40,8 @@ from tessera.llm.common import shared_dir, small_batches, table
 END = 2
 #: Bytes of text that a file is made of, more or less. Ranges of doc_id that hold more go to more tasks.
 FILE_BYTES = 8 << 20
-#: Bytes of files that are decoded together, more or less.
-TOGETHER = 4 << 20
+#: Bytes of files that are decoded together, more or less: small files are, one of ``FILE_BYTES`` of text is read alone.
+TOGETHER = 2 << 20
 #: A small file has blocks of fewer ids, so that it is still coded many at a time; blocks have so many ids at least.
 LEAST_BLOCK, LEAST_LANES = 1024, 512
 #: Words whose ids a worker remembers at most, bits of the table in which words of at most ``SHORT`` bytes are found, and places that a word may have.
